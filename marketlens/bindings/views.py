@@ -98,3 +98,8 @@ LINES = "lines AS (SELECT l_orderkey AS book, round(0.05 + 9 * l_discount, 4) AS
 def six(expr: str) -> str:
     """The SQL twin of ``functions.numbers.six``."""
     return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+
+
+def two(expr: str) -> str:
+    """The SQL twin of ``functions.numbers.two``."""
+    return f"(round(CAST({expr} AS DOUBLE), 2) + 0.0)"

@@ -18,6 +18,11 @@ def six(value: Column) -> Column:
     return F.round(value.cast("double"), 6) + F.lit(0.0)
 
 
+def two(value: Column) -> Column:
+    """Two digits, for spans of time whose sixth digit is often an exact tie."""
+    return F.round(value.cast("double"), 2) + F.lit(0.0)
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
 

@@ -11,7 +11,7 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + (seconds * F.lit(1_000_000)).cast("bigint"))
+    return F.timestamp_micros(F.unix_micros(ts) + (seconds * F.lit(1e6)).cast("bigint"))
 
 
 def settlement_start(day: Column, offset_hours: Column) -> Column:

@@ -52,7 +52,7 @@ def asof_forward(
     several latencies are one pass over an exploded left side.
     """
     target = F.col(left_time) if latency is None else F.timestamp_micros(
-        F.unix_micros(left_time) + (latency * F.lit(1_000_000)).cast("bigint")
+        F.unix_micros(left_time) + (latency * F.lit(1e6)).cast("bigint")
     )
     aimed = left.withColumn("_target", target)
     stacked = _stack(aimed, right, keys, "_target", right_time, right_cols, right_tie, False)
