@@ -39,4 +39,4 @@ def load_all() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ["backtest", "surface"]
+MODULES = ["backtest", "surface", "evaluation"]
