@@ -52,23 +52,20 @@ def strike_probability(
 ) -> Column:
     """Probability of an exact strike; an unknown strike is an error, null or zero (``on_bad``)."""
     name = F.lower(strike)
-    between = normal_cdf(cap_strike + 0.5, mean, sigma, sigma_floor) - normal_cdf(
-        floor_strike - 0.5, mean, sigma, sigma_floor
-    )
+    between = (name == "between") & floor_strike.isNotNull() & cap_strike.isNotNull()
+    less = (name == "less") & cap_strike.isNotNull()
+    greater = (name == "greater") & floor_strike.isNotNull()
+    top = F.when(between, cap_strike + 0.5).when(less, cap_strike - 0.5)
+    bottom = F.when(between, floor_strike - 0.5).when(greater, floor_strike + 0.5)
+    upto = F.coalesce(normal_cdf(top, mean, sigma, sigma_floor), F.lit(1.0))
+    below = F.coalesce(normal_cdf(bottom, mean, sigma, sigma_floor), F.lit(0.0))
     bad = {
         "error": F.raise_error(F.lit("unsupported strike")).cast("double"),
         "null": F.lit(None).cast("double"),
         "zero": F.lit(0.0),
     }[on_bad]
-    return (
-        F.when((name == "between") & floor_strike.isNotNull() & cap_strike.isNotNull(), unit(between))
-        .when((name == "less") & cap_strike.isNotNull(), unit(normal_cdf(cap_strike - 0.5, mean, sigma, sigma_floor)))
-        .when(
-            (name == "greater") & floor_strike.isNotNull(),
-            unit(F.lit(1.0) - normal_cdf(floor_strike + 0.5, mean, sigma, sigma_floor)),
-        )
-        .otherwise(bad)
-    )
+    known = (between | less | greater) & mean.isNotNull() & sigma.isNotNull()
+    return F.when(known, unit(upto - below)).otherwise(bad)
 
 
 def provisional_probability(in_bucket: Column, locked: Column, drop: Column, slope: Column) -> Column:
