@@ -26,7 +26,7 @@ def empirical_probability(
     inside = F.size(
         F.filter(samples, lambda s: contains(shape, lower, upper, base + s, inclusive=inclusive, on_bad="false"))
     )
-    return F.when(F.size(samples) >= minimum, inside / F.size(samples))
+    return F.when(base.isNotNull() & (F.size(samples) >= minimum), inside / F.size(samples))
 
 
 def posterior(

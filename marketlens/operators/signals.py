@@ -72,7 +72,7 @@ def simple_signal(
     return F.when(open_market & (chosen["edge"] >= min_edge), chosen)
 
 
-def _evaluated(
+def evaluated(
     df: DataFrame, p_yes: Column, yes_ask: Column, no_ask: Column, min_edge: float, refusal: Column
 ) -> DataFrame:
     """Add reason, eligible, side, probability and edge of the better side, unless refused before.
@@ -106,7 +106,7 @@ def gaussian_bucket_rule(
     if bias is not None:
         refusal, mean = _too_short(F.coalesce(history_n, F.lit(0)), min_history), forecast + bias
     p = strike_probability(strike, floor, cap, mean, uncertainty, on_bad="null")
-    return _evaluated(df, p, yes_ask, no_ask, min_edge, refusal)
+    return evaluated(df, p, yes_ask, no_ask, min_edge, refusal)
 
 
 def empirical_rule(
@@ -123,7 +123,7 @@ def empirical_rule(
         wrong = F.when(family != required_family, F.concat(F.lit("INCOMPATIBLE_SETTLEMENT_SOURCE:"), family))
         refusal = F.coalesce(wrong, refusal)
     share = F.when(F.size(held) > 0, F.size(inside) / F.size(held))
-    return _evaluated(df, share, yes_ask, no_ask, min_edge, refusal)
+    return evaluated(df, share, yes_ask, no_ask, min_edge, refusal)
 
 
 def eliminated_rule(
