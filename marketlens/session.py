@@ -1,8 +1,9 @@
-"""Session settings the library relies on."""
+"""Session settings the library relies on, and the shared folder of a job."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,24 +18,33 @@ def build_session(app: str = "marketlens", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        **{k.replace("__", "."): v for k, v in conf.items()},
+        **conf,
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a private one only where none is named."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="marketlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+_private: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where none is named."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _private:
+        _private.append(tempfile.mkdtemp(prefix="spark-marketlens-", dir="/tmp"))
+    return _private[0]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, for tables and stream checkpoints of one run."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder once, so that later stages read it back."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
