@@ -19,8 +19,11 @@ LEVEL = "array<struct<price:double,size:double>>"
 
 
 def depth_log(spark, d):
+    return depth_log_of(events(spark, d))
+
+
+def depth_log_of(e):
     """Events as a snapshot/delta log: signup is a snapshot, view an unknown kind, the rest deltas."""
-    e = events(spark, d)
     price = (F.col("k") % 9 + 1) / 10.0
     snap = F.col("event_type") == "signup"
     amount = F.floor("value").cast("double")

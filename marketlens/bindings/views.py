@@ -61,8 +61,11 @@ DAILY = OBS + """, daily AS (SELECT station, day, max(temp) AS high, count(*) AS
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes_of(events(spark, sf_dir))
+
+
+def quotes_of(e: DataFrame) -> DataFrame:
     """Quotes ``(contract, ts, seq, yes_bid, yes_ask, no_bid, no_ask, size)`` from the event stream."""
-    e = events(spark, sf_dir)
     bid = F.round(F.lit(0.02) + F.col("k") * 0.0094, 4)
     return e.select(
         F.col("user_id").alias("contract"), "ts", F.col("event_id").alias("seq"), "event_type",
