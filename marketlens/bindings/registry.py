@@ -39,4 +39,4 @@ def load_all() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ["backtest", "surface", "evaluation", "books", "signals", "spatial", "tables", "labels", "catalog", "streams"]
+MODULES = ["backtest", "surface", "evaluation", "books", "signals", "spatial", "tables", "labels", "catalog", "files", "streams"]

@@ -11,29 +11,37 @@ PRICE = T.DecimalType(18, 6)
 LEVEL = T.StructType([T.StructField("price", PRICE), T.StructField("size", PRICE)])
 LEVELS = T.ArrayType(LEVEL)
 
-DEPTH_EVENT = T.StructType.fromDDL(
-    "timestamp_received timestamp, timestamp timestamp, market_ticker string, market_id string, event_type string, "
-    "yes_bids array<struct<price:decimal(18,6),size:decimal(18,6)>>, no_bids array<struct<price:decimal(18,6),size:decimal(18,6)>>, "
-    "price decimal(18,6), delta decimal(18,6), side string"
+STRING, DOUBLE, TIME, LONG, BOOL = T.StringType(), T.DoubleType(), T.TimestampType(), T.LongType(), T.BooleanType()
+PLAIN_LEVELS = T.ArrayType(T.StructType([T.StructField("price", DOUBLE), T.StructField("size", DOUBLE)]))
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+DEPTH_EVENT = struct(
+    timestamp_received=TIME, timestamp=TIME, market_ticker=STRING, market_id=STRING, event_type=STRING, yes_bids=LEVELS,
+    no_bids=LEVELS, price=PRICE, delta=PRICE, side=STRING,
 )
-ARCHIVE_EVENT = T.StructType.fromDDL(
-    "timestamp_received timestamp, timestamp timestamp, market binary, event_type string, asset_id string, bids string, "
-    "asks string, price double, size double, side string, best_bid double, best_ask double, fee_rate_bps int"
+ARCHIVE_EVENT = struct(
+    timestamp_received=TIME, timestamp=TIME, market=T.BinaryType(), event_type=STRING, asset_id=STRING, bids=STRING, asks=STRING,
+    price=DOUBLE, size=DOUBLE, side=STRING, best_bid=DOUBLE, best_ask=DOUBLE, fee_rate_bps=T.IntegerType(),
 )
-OBSERVATION = T.StructType.fromDDL(
-    "station string, valid_time timestamp, temperature_f double, dewpoint_f double, wind_direction_deg double, "
-    "wind_speed_kt double, pressure_mb double, source string"
+OBSERVATION = struct(
+    station=STRING, valid_time=TIME, temperature_f=DOUBLE, dewpoint_f=DOUBLE, wind_direction_deg=DOUBLE, wind_speed_kt=DOUBLE,
+    pressure_mb=DOUBLE, source=STRING,
 )
-DAILY_CLIMATE = T.StructType.fromDDL(
-    "station string, valid_date date, high_f double, low_f double, precip_in double, snow_in double, source string, raw_json string"
+DAILY_CLIMATE = struct(
+    station=STRING, valid_date=T.DateType(), high_f=DOUBLE, low_f=DOUBLE, precip_in=DOUBLE, snow_in=DOUBLE, source=STRING,
+    raw_json=STRING,
 )
-MANIFEST = T.StructType.fromDDL(
-    "condition_id string, question string, outcomes array<string>, prices array<double>, tokens array<string>, closed boolean, "
-    "end_date string, resolved_outcome string"
+MANIFEST = struct(
+    condition_id=STRING, question=STRING, outcomes=T.ArrayType(STRING), prices=T.ArrayType(DOUBLE), tokens=T.ArrayType(STRING),
+    closed=BOOL, end_date=STRING, resolved_outcome=STRING,
 )
-STREAM_MESSAGE = T.StructType.fromDDL(
-    "connection string, type string, sid int, seq bigint, received timestamp, market_ticker string, side string, price double, "
-    "delta double, yes_bids array<struct<price:double,size:double>>, no_bids array<struct<price:double,size:double>>"
+STREAM_MESSAGE = struct(
+    connection=STRING, type=STRING, sid=T.IntegerType(), seq=LONG, received=TIME, market_ticker=STRING, side=STRING, price=DOUBLE,
+    delta=DOUBLE, yes_bids=PLAIN_LEVELS, no_bids=PLAIN_LEVELS,
 )
 
 
