@@ -12,6 +12,7 @@ from marketlens.functions.numbers import two as r2
 from marketlens.functions.times import naive
 from marketlens.operators import books, pricing
 from marketlens.operators import evaluate as ev
+from marketlens.session import cut_lineage
 from marketlens.operators.asof import asof_backward, asof_forward
 
 DAY = 86_400
@@ -89,7 +90,7 @@ live AS (SELECT t.ticker, t.target, l.side, l.price, arg_max(l.size, struct_pack
 
 def live_levels(spark, d):
     log = depth_log(spark, d)
-    changes = books.level_changes(log)
+    changes = cut_lineage(books.level_changes(log))
     epochs = books.with_epoch(log, F.col("event_type") == "orderbook_snapshot").where(
         F.col("event_type") == "orderbook_snapshot"
     ).select("ticker", "ts", "seq", "epoch")

@@ -18,6 +18,7 @@ from marketlens.operators import ladders, reports
 from marketlens.operators.catalog import ladder_check
 from marketlens.operators.ordered import ordinal
 from marketlens.operators.signals import evaluated, unit_fee
+from marketlens.session import cut_lineage
 from marketlens.plans.case_replay import evaluate_cases, replay
 from marketlens.plans.causal_labels import label_books
 
@@ -141,7 +142,8 @@ def legs(spark, d):
     base = pos.cast("double") + 60
     spoiled = F.when(q <= 2, 0.5).when(q <= 6, 1.0).otherwise(0.0)
     text = lambda c: F.lit(c)
-    return out.select(
+    # The proof reads its legs several times: store them once.
+    return cut_lineage(out.select(
         "event_id", pos.alias("pos"), F.concat_ws("-", "event_id", F.when(disc == 0.1, F.lit(1)).otherwise(pos)).alias("ticker"), shape.alias("shape"),
         F.when(shape != "below", base + spoiled).alias("lower"), F.when(shape != "above", base).alias("upper"),
         F.lit(True).alias("lower_inclusive"), F.lit(True).alias("upper_inclusive"),
@@ -149,7 +151,7 @@ def legs(spark, d):
         text("KNYC").alias("station"), F.when(q == 49, "2024-01-02").otherwise("2024-01-01").alias("date"), text("DAILY_HIGH").alias("measurement"),
         text("LST").alias("window"), text("F").alias("unit"), text("WHOLE_DEGREE").alias("rounding"), text("INTEGER").alias("value_domain"),
         F.round(0.04 + disc, 4).alias("yes_ask"), F.round(F.lit(0.9) - F.col("l_tax"), 4).alias("no_ask"),
-    )
+    ))
 
 
 LEGS = """ll AS (SELECT l_orderkey AS event_id, l_quantity AS q, l_discount AS di, l_tax AS tx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS pos,

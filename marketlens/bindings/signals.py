@@ -78,9 +78,9 @@ def best_side(spark, d):
 SELECT seq, CASE WHEN y >= n THEN 'YES' ELSE 'NO' END AS side, {six('greatest(y, n)')} AS edge FROM e
 WHERE value >= 10 AND spread <= 0.12 AND greatest(y, n) >= 0.06""")
 def simple_signal(spark, d):
-    s = sg.simple_signal(F.col("fair_yes"), F.col("value"), F.col("yes_bid"), F.col("yes_ask"), F.col("no_ask"))
-    out = snapshots(spark, d).select("seq", s.alias("_s")).where(F.col("_s").isNotNull())
-    return out.select("seq", F.col("_s.side").alias("side"), r6(F.col("_s.edge")).alias("edge"))
+    c = F.col
+    out = sg.simple_signal(snapshots(spark, d), c("fair_yes"), c("value"), c("yes_bid"), c("yes_ask"), c("no_ask"))
+    return tidy(out.select("seq", "side", "edge"), "edge")
 
 
 CDF = """(0.5::DOUBLE * (1 + CASE WHEN ({z}) < 0 THEN -1 ELSE 1 END * (1 - (1 / (1 + 0.3275911::DOUBLE * abs({z}))) * (0.254829592::DOUBLE
@@ -224,9 +224,8 @@ def diagnostic_track(spark, d):
 SELECT seq, side, {six('ask')} AS ask, {six(f"1 - ask - {fee_sql('ask')}")} AS gap FROM a WHERE ask <= 0.97 AND round(1 - ask - {fee_sql('ask')}, 9) >= 0.02""")
 def monotonic_lock(spark, d):
     c = F.col
-    m = sg.monotonic_lock(c("shape"), c("lower"), c("upper"), c("high"), c("yes_ask"), c("no_ask"))
-    out = snapshots(spark, d).withColumn("_m", m).where(F.col("_m").isNotNull())
-    return out.select("seq", F.col("_m.side").alias("side"), r6(F.col("_m.ask")).alias("ask"), r6(F.col("_m.gap")).alias("gap"))
+    out = sg.monotonic_lock(snapshots(spark, d), c("shape"), c("lower"), c("upper"), c("high"), c("yes_ask"), c("no_ask"))
+    return tidy(out.select("seq", "side", "ask", "gap"), "ask", "gap")
 
 
 def decided(spark, d):
@@ -237,7 +236,8 @@ def decided(spark, d):
     locked = F.coalesce((c("minutes_since_high") >= 60) & (c("drop") >= 1) & (c("slope") <= 0.02), F.lit(False))
     s = snapshots(spark, d).withColumn("locked", locked)
     p = provisional_probability(c("in_bucket"), c("locked"), c("drop"), c("slope"))
-    s = s.withColumn("_b", sg.net_best_side(p, c("yes_ask"), c("no_ask")))
+    priced = sg.with_fees(s, c("yes_ask"), c("no_ask")).withColumn("_p", p)
+    s = sg.with_net_best_side(priced, c("_p"), c("yes_ask"), c("no_ask"))
     return s.withColumns(
         {"traded": c("k") % 17 == 0, "pending": c("k") % 13 == 0, "age": F.when(c("k") % 11 != 0, c("value"))}
     )
@@ -252,9 +252,9 @@ dd AS (SELECT *, k % 17 = 0 AS traded, k % 13 = 0 AS pending, CASE WHEN k % 11 <
  WHEN age IS NULL THEN 'NO_LIVE_OBSERVATION' WHEN age > 100 THEN 'STALE_OBSERVATION' WHEN NOT locked THEN 'LOCK_GATE_FAIL' WHEN ask < 0.15 THEN 'PRICE_BELOW_FLOOR'
  WHEN round(gross, 9) < 0.08 THEN 'EDGE_BELOW_MINIMUM' WHEN round(net, 9) <= 0 THEN 'NEGATIVE_AFTER_FEE' ELSE 'PAPER_TRADE_ELIGIBLE' END AS decision FROM dd""")
 def live_decision(spark, d):
-    s = decided(spark, d).where(F.col("_b").isNotNull())
+    s = decided(spark, d)
     dec = sg.live_decision(
-        F.col("traded"), F.col("pending"), F.col("age"), F.col("locked"), F.col("_b.ask"), F.col("_b.gross"), F.col("_b.net"),
+        F.col("traded"), F.col("pending"), F.col("age"), F.col("locked"), F.col("ask"), F.col("gross"), F.col("net"),
         floor=0.15, min_edge=0.08,
     )
     return s.select("seq", dec.alias("decision"))
@@ -266,10 +266,10 @@ def live_decision(spark, d):
 SELECT decision, count(*) AS contracts, count(DISTINCT day) AS days, {six('max(net)')} AS best_net FROM st GROUP BY decision""")
 def forward_status(spark, d):
     dec = sg.forward_status(
-        F.col("traded"), F.col("pending"), F.col("locked"), F.col("_b.ask"), F.col("_b.gross"), F.col("_b.net"), floor=0.15, min_edge=0.08
+        F.col("traded"), F.col("pending"), F.col("locked"), F.col("ask"), F.col("gross"), F.col("net"), floor=0.15, min_edge=0.08
     )
     out = decided(spark, d).withColumn("decision", dec).groupBy("decision").agg(
-        F.count(F.lit(1)).alias("contracts"), F.count_distinct("day").alias("days"), F.max("_b.net").alias("best_net")
+        F.count(F.lit(1)).alias("contracts"), F.count_distinct("day").alias("days"), F.max("net").alias("best_net")
     )
     return tidy(out, "best_net")
 
@@ -277,9 +277,9 @@ def forward_status(spark, d):
 @query("near_misses", "F8", f"""WITH {SNAP}, {DECIDED} SELECT seq, contract, side, {six('net')} AS net FROM dd
 WHERE NOT locked AND round(net, 9) > 0 ORDER BY round(net, 9) DESC, seq LIMIT 25""")
 def near_misses(spark, d):
-    s = decided(spark, d).where(~F.col("locked") & (F.round("_b.net", 9) > 0))
-    top = s.withColumn("_n", F.round("_b.net", 9)).orderBy(F.desc("_n"), "seq").limit(25)
-    return top.select("seq", "contract", F.col("_b.side").alias("side"), r6(F.col("_b.net")).alias("net"))
+    s = decided(spark, d).where(~F.col("locked") & (F.round("net", 9) > 0))
+    top = s.withColumn("_n", F.round("net", 9)).orderBy(F.desc("_n"), "seq").limit(25)
+    return top.select("seq", "contract", F.col("side").alias("side"), r6(F.col("net")).alias("net"))
 
 
 @query("first_qualifying_hour", "F2", f"""WITH {SNAP}, {DECIDED}, h AS (SELECT contract, day, CAST(extract(hour FROM ts) AS INTEGER) AS hour, seq, side, ask, net FROM dd
@@ -287,9 +287,9 @@ def near_misses(spark, d):
 SELECT contract, day, hour, seq, side, {six('net')} AS net FROM h WHERE ask >= 0.15 AND round(net, 9) >= 0.02
 QUALIFY row_number() OVER (PARTITION BY contract, day ORDER BY hour) = 1""")
 def first_qualifying_hour(spark, d):
-    s = decided(spark, d).where(F.col("_b").isNotNull()).select(
-        "contract", "day", F.hour("ts").alias("hour"), "seq", F.col("_b.side").alias("side"), F.col("_b.ask").alias("ask"),
-        F.col("_b.net").alias("net"), F.round("_b.net", 9).alias("_n"),
+    s = decided(spark, d).select(
+        "contract", "day", F.hour("ts").alias("hour"), "seq", F.col("side").alias("side"), F.col("ask").alias("ask"),
+        F.col("net").alias("net"), F.round("net", 9).alias("_n"),
     )
     out = sel.first_hour_with_best(
         s, ["contract", "day"], "hour", "_n", ["seq"], (F.col("ask") >= 0.15) & (F.col("_n") >= 0.02)

@@ -46,7 +46,8 @@ def reported_celsius(fahrenheit: Column) -> Column:
 
 def whole_fahrenheit_candidates(celsius: Column) -> Column:
     """Whole Fahrenheit degrees whose rounded Celsius equals the report."""
-    return F.filter(F.sequence(F.lit(-120), F.lit(160)), lambda f: reported_celsius(f) == celsius)
+    near = F.floor(celsius * 9 / F.lit(5.0) + 32).cast("int")
+    return F.filter(F.sequence(near - 1, near + 2), lambda f: f.between(-120, 160) & (reported_celsius(f) == celsius))
 
 
 def complement(bid_other_side: Column) -> Column:

@@ -88,19 +88,24 @@ def ticker_date(ticker: Column) -> Column:
     return _date_of(F.concat(F.lit("20"), part(1)), _month_index(part(2)), part(3))
 
 
-def _groups(text: Column, pattern: str, order: tuple[int, int, int]) -> list[Column]:
-    return [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in order]
+def dates_in_text(text: Column) -> Column:
+    """All valid dates of a text, ISO forms first, then natural ones.
 
+    Each pattern scans the text once; the parts are taken from the short matches.
+    """
 
-def dates_in_text(text: Column) -> Column:
-    """All valid dates of a text, ISO forms first, then natural ones."""
-    iso = F.arrays_zip(*[c.alias(n) for n, c in zip("ymd", _groups(text, ISO_DATE, (1, 2, 3)))])
-    natural = F.arrays_zip(*[c.alias(n) for n, c in zip("ymd", _groups(text, NATURAL_DATE, (3, 1, 2)))])
-    both = F.concat(
-        F.transform(iso, lambda g: _date_of(g["y"], g["m"].try_cast("int"), g["d"])),
-        F.transform(natural, lambda g: _date_of(g["y"], _month_index(g["m"]), g["d"])),
+    def part(match: Column, pattern: str, i: int) -> Column:
+        return F.regexp_extract(match, pattern, i)
+
+    iso = F.transform(
+        F.regexp_extract_all(text, F.lit(ISO_DATE), F.lit(0)),
+        lambda m: _date_of(part(m, ISO_DATE, 1), part(m, ISO_DATE, 2).try_cast("int"), part(m, ISO_DATE, 3)),
+    )
+    natural = F.transform(
+        F.regexp_extract_all(text, F.lit(NATURAL_DATE), F.lit(0)),
+        lambda m: _date_of(part(m, NATURAL_DATE, 3), _month_index(part(m, NATURAL_DATE, 1)), part(m, NATURAL_DATE, 2)),
     )
-    return F.filter(both, lambda d: d.isNotNull())
+    return F.filter(F.concat(iso, natural), lambda d: d.isNotNull())
 
 
 def station_hits(text: Column) -> Column:

@@ -29,16 +29,19 @@ def with_epoch(
     return out.where(F.col("epoch") > 0)
 
 
-def _snapshot_levels(row: DataFrame, keys: Sequence[str]) -> DataFrame:
-    sides = F.array(
-        *[F.struct(F.lit(s).alias("side"), F.coalesce(F.col(f"{s}_bids"), F.array()).alias("levels")) for s in SIDES]
+def _level_rows(row: DataFrame, keys: Sequence[str], is_reset: Column, single: Column, amount: str, name: str) -> DataFrame:
+    """One row per level touched: every level of a reset, the one level of a change; one pass over the log."""
+
+    def levels(side: str) -> Column:
+        held = F.coalesce(F.col(f"{side}_bids"), F.array())
+        kept = F.filter(held, lambda x: x["size"] > 0)
+        return F.transform(kept, lambda x: F.struct(F.lit(side).alias("side"), x["price"].alias("price"), x["size"].alias(name)))
+
+    one = F.array(F.struct(F.col("side").alias("side"), F.col("price").alias("price"), F.col(amount).alias(name)))
+    touched = F.when(is_reset, F.concat(*[levels(s) for s in SIDES])).when(single, one)
+    return row.select(*keys, "ts", "received", "seq", "epoch", F.explode(touched).alias("_l")).select(
+        *keys, "ts", "received", "seq", "epoch", "_l.*"
     )
-    per_side = row.select(*keys, "ts", "received", "seq", "epoch", F.explode(sides).alias("_s"))
-    return per_side.select(
-        *keys, "ts", "received", "seq", "epoch", F.col("_s.side").alias("side"), F.explode("_s.levels").alias("_l")
-    ).select(
-        *keys, "ts", "received", "seq", "epoch", "side", F.col("_l.price").alias("price"), F.col("_l.size").alias("change")
-    ).where(F.col("change") > 0)
 
 
 def level_changes(
@@ -53,13 +56,10 @@ def level_changes(
     """
     is_snapshot = F.lower("event_type").contains("snapshot")
     epochs = with_epoch(log, is_snapshot, keys=keys, block_seconds=block_seconds)
-    resets = _snapshot_levels(epochs.where(is_snapshot), keys)
-    deltas = epochs.where(
-        ~is_snapshot & F.col("price").isNotNull() & F.col("delta").isNotNull() & F.col("side").isin(*SIDES)
-    ).select(*keys, "ts", "received", "seq", "epoch", "side", "price", F.col("delta").alias("change"))
+    single = F.col("price").isNotNull() & F.col("delta").isNotNull() & F.col("side").isin(*SIDES)
+    touched = _level_rows(epochs, keys, is_snapshot, single, "delta", "change")
     return clamped_running_sum(
-        resets.unionByName(deltas), [*keys, "epoch", "side", "price"], ["ts", "received", "seq"], "change", "size",
-        time_block("ts", block_seconds),
+        touched, [*keys, "epoch", "side", "price"], ["ts", "received", "seq"], "change", "size", time_block("ts", block_seconds)
     )
 
 
@@ -67,11 +67,9 @@ def absolute_level_changes(log: DataFrame, *, block_seconds: int = BLOCK_SECONDS
     """The second archive's form: ``book`` replaces depth, ``price_change`` sets one level's size."""
     is_book = F.col("event_type") == "book"
     epochs = with_epoch(log, is_book, block_seconds=block_seconds)
-    resets = _snapshot_levels(epochs.where(is_book), ["ticker"]).withColumnRenamed("change", "size")
-    changes = epochs.where(
-        (F.col("event_type") == "price_change") & F.col("price").isNotNull() & F.col("size").isNotNull()
-    ).select("ticker", "ts", "received", "seq", "epoch", "side", "price", F.greatest(F.lit(0.0), "size").alias("size"))
-    return resets.unionByName(changes)
+    single = (F.col("event_type") == "price_change") & F.col("price").isNotNull() & F.col("size").isNotNull()
+    rows = _level_rows(epochs, ["ticker"], is_book, single, "size", "size")
+    return rows.withColumn("size", F.greatest(F.lit(0.0), "size"))
 
 
 def book_at(
@@ -82,7 +80,7 @@ def book_at(
 
     ``epochs`` holds ``(ticker, ts, seq, epoch)`` of the snapshots. Each target meets every price
     its ticker ever quoted (a bounded tick grid), then one as-of pass finds the level's last size; a
-    level of an older epoch is void.
+    level of an older epoch is void. ``changes`` is read several times: pass a stored table.
     """
     current = asof_backward(
         targets, epochs, ["ticker"], at, "ts", ["epoch"], right_tie=["seq"], block_seconds=block_seconds, how="inner"
@@ -136,16 +134,25 @@ def depth_vwap(
     ``depths`` is an array of quantities. Levels are merged by price first, so the ordered walk sees
     at most one row per tick.
     """
-    merged = merge_levels(levels, keys, price, size)
-    ahead = Window.partitionBy(*keys).orderBy(price).rowsBetween(Window.unboundedPreceding, -1)
+    return walk_levels(merge_levels(levels, keys, price, size), keys, keys, price, size, depths)
+
+
+def walk_levels(
+    merged: DataFrame, keep: Sequence[str], book: Sequence[str], price: str, size: str, depths: Column
+) -> DataFrame:
+    """The walk over levels already merged by price; ``keep`` columns depend on ``book`` and ride along.
+
+    A book without levels (null price and size) comes out unfilled.
+    """
+    ahead = Window.partitionBy(*book).orderBy(price).rowsBetween(Window.unboundedPreceding, -1)
     queued = merged.withColumn("_ahead", F.coalesce(F.sum(size).over(ahead), F.lit(0)))
     wanted = queued.withColumn("depth", F.explode(depths))
-    take = F.greatest(F.lit(0), F.least(F.col(size), F.col("depth") - F.col("_ahead")))
-    walked = wanted.withColumn("_take", take).groupBy(*keys, "depth").agg(
-        F.sum("_take").alias("filled"), F.sum(F.col("_take") * F.col(price)).alias("cost")
+    take = F.greatest(F.lit(0), F.least(F.coalesce(size, F.lit(0)), F.col("depth") - F.col("_ahead")))
+    walked = wanted.withColumn("_take", take).groupBy(*keep, "depth").agg(
+        F.sum("_take").alias("filled"), F.coalesce(F.sum(F.col("_take") * F.col(price)), F.lit(0.0)).alias("cost")
     )
     return walked.select(
-        *keys, "depth", "filled", "cost", F.when(F.col("filled") > 0, F.col("cost") / F.col("filled")).alias("vwap"),
+        *keep, "depth", "filled", "cost", F.when(F.col("filled") > 0, F.col("cost") / F.col("filled")).alias("vwap"),
         (F.col("filled") >= F.col("depth")).alias("complete"),
     )
 

@@ -94,11 +94,15 @@ def classify_contracts(markets: DataFrame) -> DataFrame:
         F.lit(""),
     )
     rules = F.trim(_joined(("rules_primary", "rules_secondary")))
-    staged = markets.withColumns({"_text": _joined(META_TEXT), "_series": series, "_rules": rules})
-    low = F.lower("_text")
+    # Each whole text is joined, lowered and searched once; the flags below are columns of their own.
+    staged = markets.withColumns({"_text": _joined(META_TEXT), "_series": series, "_rules": rules}).withColumns({
+        "_low": F.lower("_text"), "_thermal": F.col("_text").rlike(TEMPERATURE_WORDS),
+        "_wet": F.col("_text").rlike(PRECIPITATION_WORDS),
+    })
+    low = F.col("_low")
     in_high, in_low = F.col("_series").isin(*HIGH_SERIES), F.col("_series").isin(*LOW_SERIES)
-    thermal = F.col("_text").rlike(TEMPERATURE_WORDS)
-    weather = in_high | in_low | thermal | F.col("_text").rlike(PRECIPITATION_WORDS)
+    thermal = F.col("_thermal")
+    weather = in_high | in_low | thermal | F.col("_wet")
     measurement = (
         F.when(in_high | low.contains("daily high") | low.contains("high temperature"), "DAILY_HIGH")
         .when(in_low | low.contains("daily low") | low.contains("low temperature"), "DAILY_LOW")

@@ -61,15 +61,15 @@ def tournament_trades(
 
 
 def simple_signal(
-    p_yes: Column, volume: Column, yes_bid: Column, yes_ask: Column, no_ask: Column, *, min_edge: float = 0.06,
+    df: DataFrame, p_yes: Column, volume: Column, yes_bid: Column, yes_ask: Column, no_ask: Column, *, min_edge: float = 0.06,
     min_volume: float = 10.0, max_spread: float = 0.12,
-) -> Column:
-    """Volume, spread and edge gates over the better side; null without a signal."""
+) -> DataFrame:
+    """Volume, spread and edge gates over the better side; adds side, ask, probability and edge."""
     bid = F.coalesce(yes_bid, F.greatest(F.lit(0.0), 1.0 - no_ask))
     spread = F.greatest(F.lit(0.0), yes_ask - bid)
-    chosen = best_side(p_yes, yes_ask, no_ask)
-    open_market = (volume >= min_volume) & yes_ask.isNotNull() & no_ask.isNotNull() & (spread <= max_spread)
-    return F.when(open_market & (chosen["edge"] >= min_edge), chosen)
+    open_market = df.where((volume >= min_volume) & yes_ask.isNotNull() & no_ask.isNotNull() & (spread <= max_spread))
+    gain = F.greatest(p_yes - yes_ask, (1 - p_yes) - no_ask)
+    return open_market.where(gain >= min_edge).select("*", best_side(p_yes, yes_ask, no_ask).alias("_c")).select(*df.columns, "_c.*")
 
 
 def evaluated(
@@ -147,19 +147,31 @@ def eliminated_rule(
     )
 
 
-def net_best_side(p_yes: Column, yes_ask: Column, no_ask: Column) -> Column:
-    """Struct (side, ask, probability, gross, fee, net): the side with the greater edge after its fee."""
+def with_fees(df: DataFrame, yes_ask: Column, no_ask: Column) -> DataFrame:
+    """Rows with an ask, and the fee of one contract per side, each computed once."""
+    return df.where(yes_ask.isNotNull() | no_ask.isNotNull()).withColumns({"_yfee": unit_fee(yes_ask), "_nfee": unit_fee(no_ask)})
+
+
+def with_net_best_side(df: DataFrame, p_yes: Column, yes_ask: Column, no_ask: Column) -> DataFrame:
+    """Add side, ask, probability, gross, fee and net of the side with the greater edge after its fee.
+
+    Needs :func:`with_fees`. Yes wins ties.
+    """
+    gross = df.withColumns({"_yg": p_yes - yes_ask, "_ng": (1.0 - p_yes) - no_ask})
+    net = gross.withColumns({"_yn": F.col("_yg") - F.col("_yfee"), "_nn": F.col("_ng") - F.col("_nfee")})
+    yes = F.col("_yn").isNotNull() & (F.col("_nn").isNull() | (F.round("_yn", 9) >= F.round("_nn", 9)))
+    picked = net.withColumn("_yes", yes)
+
+    def pick(a: Column, b: Column) -> Column:
+        return F.when(F.col("_yes"), a).otherwise(b)
+
+    return picked.withColumns({
+        "side": pick(F.lit("YES"), F.lit("NO")), "ask": pick(yes_ask, no_ask), "probability": pick(p_yes, 1.0 - p_yes),
+        "gross": pick(F.col("_yg"), F.col("_ng")), "fee": pick(F.col("_yfee"), F.col("_nfee")), "net": pick(F.col("_yn"), F.col("_nn")),
+    }).drop("_yes", "_yg", "_ng", "_yn", "_nn", "_yfee", "_nfee")
 
-    def option(side: str, ask: Column, p: Column) -> Column:
-        fee = unit_fee(ask)
-        return F.struct(
-            F.lit(side).alias("side"), ask.alias("ask"), p.alias("probability"), (p - ask).alias("gross"), fee.alias("fee"),
-            (p - ask - fee).alias("net"),
-        )
 
-    yes, no = option("YES", yes_ask, p_yes), option("NO", no_ask, 1.0 - p_yes)
-    first = yes_ask.isNotNull() & (no_ask.isNull() | (F.round(yes["net"], 9) >= F.round(no["net"], 9)))
-    return F.when(first, yes).when(no_ask.isNotNull(), no)
+BEST_COLUMNS = ("side", "ask", "probability", "gross", "fee", "net")
 
 
 def track_decisions(snapshots: DataFrame, tracks: Mapping[str, Sequence[float]] = TRACKS) -> DataFrame:
@@ -173,21 +185,20 @@ def track_decisions(snapshots: DataFrame, tracks: Mapping[str, Sequence[float]]
             for n, t in tracks.items()
         ]
     )
-    spread = snapshots.withColumn("_t", F.explode(table))
+    spread = with_fees(snapshots, F.col("yes_ask"), F.col("no_ask")).withColumn("_t", F.explode(table))
     locked = F.coalesce(
         (F.col("minutes_since_high") >= F.col("_t.m")) & (F.col("drop") >= F.col("_t.d")) & (F.col("slope") <= F.col("_t.s")),
         F.lit(False),
     )
     p = provisional_probability(F.col("in_bucket"), F.col("locked"), F.col("drop"), F.col("slope"))
-    out = spread.withColumn("locked", locked).withColumn("p_yes", p).withColumn(
-        "_b", net_best_side(F.col("p_yes"), F.col("yes_ask"), F.col("no_ask"))
-    ).where(F.col("_b").isNotNull())
+    priced = spread.withColumn("locked", locked).withColumn("p_yes", p)
+    out = with_net_best_side(priced, F.col("p_yes"), F.col("yes_ask"), F.col("no_ask"))
     decision = (
-        F.when(~F.col("locked"), "LOCK_GATE_FAIL").when(F.col("_b.ask") < F.col("_t.floor"), "PRICE_BELOW_FLOOR")
-        .when(F.round("_b.gross", 9) < F.col("_t.min_edge"), "EDGE_BELOW_MINIMUM")
-        .when(F.round("_b.net", 9) <= 0, "NEGATIVE_AFTER_FEE").otherwise("PAPER_TRADE_ELIGIBLE")
+        F.when(~F.col("locked"), "LOCK_GATE_FAIL").when(F.col("ask") < F.col("_t.floor"), "PRICE_BELOW_FLOOR")
+        .when(F.round("gross", 9) < F.col("_t.min_edge"), "EDGE_BELOW_MINIMUM")
+        .when(F.round("net", 9) <= 0, "NEGATIVE_AFTER_FEE").otherwise("PAPER_TRADE_ELIGIBLE")
     )
-    return out.select(*snapshots.columns, F.col("_t.track").alias("track"), "locked", "p_yes", "_b.*", decision.alias("decision"))
+    return out.select(*snapshots.columns, F.col("_t.track").alias("track"), "locked", "p_yes", *BEST_COLUMNS, decision.alias("decision"))
 
 
 def track_tournament(snapshots: DataFrame, event: Sequence[str], tie: Sequence[str], tracks=TRACKS) -> DataFrame:
@@ -210,35 +221,33 @@ def diagnostic_decisions(snapshots: DataFrame, *, price_floor: float = 0.15, min
         lambda r: r.isNotNull(),
     )
     p = provisional_probability(F.col("in_bucket"), F.lit(True), F.col("drop"), F.col("slope"))
-    out = snapshots.withColumn("failures", failures).withColumn(
-        "_b", net_best_side(p, F.col("yes_ask"), F.col("no_ask"))
-    ).where(F.col("_b").isNotNull())
+    priced = with_fees(snapshots, F.col("yes_ask"), F.col("no_ask")).withColumns({"failures": failures, "_p": p})
+    out = with_net_best_side(priced, F.col("_p"), F.col("yes_ask"), F.col("no_ask"))
     decision = (
         F.when(F.exists("failures", lambda r: r.endswith("_MISSING")), "DATA_INCOMPLETE")
-        .when(F.col("_b.ask") < price_floor, "PRICE_BELOW_FLOOR")
-        .when(F.round("_b.gross", 9) < min_edge, "EDGE_BELOW_MINIMUM")
-        .when(F.round("_b.net", 9) <= 0, "NEGATIVE_AFTER_FEE").otherwise("DIAGNOSTIC_PAPER_ELIGIBLE")
+        .when(F.col("ask") < price_floor, "PRICE_BELOW_FLOOR")
+        .when(F.round("gross", 9) < min_edge, "EDGE_BELOW_MINIMUM")
+        .when(F.round("net", 9) <= 0, "NEGATIVE_AFTER_FEE").otherwise("DIAGNOSTIC_PAPER_ELIGIBLE")
     )
     return out.select(
         *snapshots.columns, "failures", (F.size("failures") == 0).alias("would_pass"),
         (F.col("minutes_since_high") - minutes).alias("minutes_margin"), (F.col("drop") - drop).alias("drop_margin"),
         (F.lit(slope) - F.col("slope")).alias("slope_margin"),
-        ((F.size("failures") <= 1) & (F.round("_b.net", 9) > 0)).alias("near_signal"), "_b.*", decision.alias("decision"),
+        ((F.size("failures") <= 1) & (F.round("net", 9) > 0)).alias("near_signal"), *BEST_COLUMNS, decision.alias("decision"),
     )
 
 
 def monotonic_lock(
-    shape: Column, lower: Column, upper: Column, high: Column, yes_ask: Column, no_ask: Column, *, margin: float = 2.0,
-    max_price: float = 0.97, min_gap: float = 0.02,
-) -> Column:
-    """Struct (side, ask, gap) where the high is beyond a bound by the margin; null otherwise."""
+    df: DataFrame, shape: Column, lower: Column, upper: Column, high: Column, yes_ask: Column, no_ask: Column, *,
+    margin: float = 2.0, max_price: float = 0.97, min_gap: float = 0.02,
+) -> DataFrame:
+    """Rows whose high is beyond a bound by the margin, with side, ask and the gap left after the fee."""
     side = F.when(shape.isin("bucket", "below") & (high >= upper + margin), "NO").when(
         (shape == "above") & (high >= lower + margin), "YES"
     )
-    ask = F.when(side == "YES", yes_ask).when(side == "NO", no_ask)
-    gap = 1.0 - ask - unit_fee(ask)
-    passes = (ask <= max_price) & (F.round(gap, 9) >= min_gap)
-    return F.when(passes, F.struct(side.alias("side"), ask.alias("ask"), gap.alias("gap")))
+    locked = df.withColumn("side", side).where(F.col("side").isNotNull())
+    asked = locked.withColumn("ask", F.when(F.col("side") == "YES", yes_ask).otherwise(no_ask)).where(F.col("ask") <= max_price)
+    return asked.withColumn("gap", 1.0 - F.col("ask") - unit_fee(F.col("ask"))).where(F.round("gap", 9) >= min_gap)
 
 
 def live_decision(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import evaluate, pricing
 from marketlens.operators.pricing import FeeFunction
 from marketlens.operators.signals import missing_features
+from marketlens.session import cut_lineage
 
 #: A strategy turns case rows into the same rows with reason, eligible, side, probability and edge.
 Strategy = Callable[[DataFrame], DataFrame]
@@ -41,8 +42,9 @@ def replay(
     """
     evaluations = evaluate_cases(cases, strategy, required).withColumn("strategy", F.lit(name))
     signals = evaluations.where("eligible").withColumnRenamed("case_id", "signal_id")
-    filled = pricing.delayed_fills(signals, quotes, latency=latency, contracts=contracts, fee=fee).where(
-        F.col("status") == "FILLED"
+    # The fills are few and read three times; storing them reads the quotes once.
+    filled = cut_lineage(
+        pricing.delayed_fills(signals, quotes, latency=latency, contracts=contracts, fee=fee).where(F.col("status") == "FILLED")
     )
     facts = filled.select("signal_id", F.col("signal_id").alias("fill_id"), "price", F.col("quantity").alias("contracts"), "fee")
     money = pricing.settle(filled, results, ["contract"]).select(F.col("signal_id").alias("fill_id"), "pnl")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.numbers import capital_at_risk, fee_ceil_cent, roi, terminal_pnl
 from marketlens.operators.asof import asof_forward
-from marketlens.operators.books import depth_vwap
+from marketlens.operators.books import merge_levels, walk_levels
 
 
 def parameter_grid(signals: DataFrame, latencies: Sequence[float]) -> DataFrame:
@@ -30,12 +30,12 @@ def execute(
         aimed, books, ["event"], "signal_time", "book_time", ["book_time", "book"], right_tie=["book"],
         latency=F.col("latency"), block_seconds=block_seconds,
     )
-    priced = depth_vwap(
-        found.where(F.col("book").isNotNull()).select("event", "latency", "book").join(levels, "book"),
-        ["event", "latency"], "price", "size", F.array(*[F.lit(float(d)) for d in depths]),
+    ladder = merge_levels(levels, ["book"], "price", "size")
+    # Everything found rides along as a group key, so the as-of result is read once.
+    trades = walk_levels(
+        found.join(ladder, "book", "left"), found.columns, ["event", "latency"], "price", "size",
+        F.array(*[F.lit(float(d)) for d in depths]),
     )
-    wanted = found.withColumn("depth", F.explode(F.array(*[F.lit(float(d)) for d in depths])))
-    trades = wanted.join(priced, ["event", "latency", "depth"], "left")
     filled = F.coalesce(F.col("complete"), F.lit(False))
     status = (
         F.when(F.col("book").isNull(), "NO_POST_LATENCY_BOOK")

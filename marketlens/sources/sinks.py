@@ -32,14 +32,12 @@ def with_record_partitions(df: DataFrame, ts: str, venue: Column, stream: Column
 
 
 def record(df: DataFrame, path: str, *, ts: str, venue: Column, stream: Column) -> None:
-    """Append to ``date=/venue=/stream=`` Parquet; rows of a partition are gathered before the write.
+    """Append to ``date=/venue=/stream=`` Parquet with few files per partition.
 
-    A salt from the time spreads a crowded partition over tasks and bounds the number of files.
+    Rebalancing gathers the rows of small partitions and lets AQE split a crowded one.
     """
-    parts = with_record_partitions(df, ts, venue, stream).withColumn("_salt", F.hour(ts))
-    parts.repartition("date", "venue", "stream", "_salt").drop("_salt").write.mode("append").partitionBy(
-        "date", "venue", "stream"
-    ).parquet(path)
+    parts = with_record_partitions(df, ts, venue, stream)
+    parts.hint("rebalance", "date", "venue", "stream").write.mode("append").partitionBy("date", "venue", "stream").parquet(path)
 
 
 def record_lines(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
