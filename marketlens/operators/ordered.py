@@ -118,20 +118,6 @@ def previous_row(
     return out.select(*df.columns, *[F.col(f"_prev.{new}").alias(new) for new in columns])
 
 
-def with_halo(df: DataFrame, micros: str, lookback_us: int, width_us: int) -> DataFrame:
-    """Copy rows near the end of a block into the next one, so a look-back frame fits in a block.
-
-    Adds ``_block`` and ``_own`` (false on copies). Rows per block grow by at most
-    ``lookback/width``; frames of ``lookback_us`` computed per (key, ``_block``) are then exact.
-    """
-    if lookback_us > width_us:
-        raise ValueError("a block must be at least as long as the look-back")
-    own = F.floor(F.col(micros) / F.lit(width_us))
-    late = F.col(micros) + F.lit(lookback_us) >= (own + 1) * F.lit(width_us)
-    copies = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
-    return df.withColumn(BLOCK, F.explode(copies)).withColumn("_own", F.col(BLOCK) == own)
-
-
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], width: float
 ) -> DataFrame:
