@@ -13,6 +13,7 @@ from marketlens.functions import times as tm
 from marketlens.functions.numbers import six as r6
 from marketlens.functions.times import naive
 from marketlens.operators import catalog as cg
+from marketlens.session import cut_lineage
 from marketlens.sources import planning, scans
 
 
@@ -151,7 +152,8 @@ SELECT doc_id, ticker_date, station, settlement_date, source_texts, drift AS dri
  CASE WHEN settlement_date <> ticker_date THEN 'DATE_CONFLICT' END, CASE WHEN drift AND NOT (station IS NOT NULL AND oc > 0) THEN 'SERIES_DRIFT' END) AS reasons FROM r""")
 def resolve_rules(spark, d):
     m = payload(spark, d).select("doc_id", "event_ticker", "series_updated")
-    out = cg.resolve_rules(pairs(spark, d), m, "doc_id")
+    # The texts are read three times: parse the payloads once and store the result.
+    out = cg.resolve_rules(cut_lineage(pairs(spark, d)), m, "doc_id")
     return out.select(
         "doc_id", "ticker_date", "station", "settlement_date", "source_texts", "drift_risk", F.array_join("reasons", ",").alias("reasons")
     )

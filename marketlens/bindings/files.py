@@ -18,7 +18,7 @@ from marketlens.sources import scans, sinks
 
 
 @query("archive_scan", "A1", """SELECT event_id AS fee_rate_bps, CAST(user_id AS VARCHAR) AS asset_id, 'm' || user_id AS market, value AS price, 2 AS levels, value / 2 AS first_price FROM events
-WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND CAST(user_id AS VARCHAR) IN ('1', '2', '3', '5', '8', '13')""")
+WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND user_id IN (SELECT user_id FROM events WHERE value >= 250)""")
 def archive_scan(spark, d):
     e = events(spark, d)
     price = F.col("value").cast("string")
@@ -29,8 +29,9 @@ def archive_scan(spark, d):
         "event_type", F.col("user_id").cast("string").alias("asset_id"), depth.alias("bids"), depth.alias("asks"), F.col("value").alias("price"), F.col("value").alias("size"),
         F.lit("BUY").alias("side"), F.lit(None).cast("double").alias("best_bid"), F.lit(None).cast("double").alias("best_ask"), F.col("event_id").cast("int").alias("fee_rate_bps"),
     ).write.parquet(path)
+    wanted = e.where(F.col("value") >= 250).select(F.col("user_id").cast("string").alias("asset_id"))
     rows = scans.read_archive(
-        spark, [path], assets=["1", "2", "3", "5", "8", "13"], kinds=["click", "view"], start=datetime(2024, 1, 5, tzinfo=timezone.utc),
+        spark, [path], assets=wanted, kinds=["click", "view"], start=datetime(2024, 1, 5, tzinfo=timezone.utc),
         end=datetime(2024, 1, 20, tzinfo=timezone.utc),
     )
     return rows.select("fee_rate_bps", "asset_id", "market", "price", F.size("bids").alias("levels"), F.get("bids", F.lit(0))["price"].alias("first_price"))

@@ -111,17 +111,17 @@ def dates_in_text(text: Column) -> Column:
 def station_hits(text: Column) -> Column:
     """Distinct stations a text names: by code, by URL parameter or by official place name."""
     codes = F.regexp_extract_all(F.upper(text), F.lit(STATION_CODE), F.lit(0))
-    lower = F.lower(text)
-    issued = F.concat(F.lit("K"), F.upper(F.regexp_extract(lower, r"[?&]issuedby=([a-z]{3})(?:&|#|$)", 1)))
     known = F.array(*[F.lit(s) for s in STATION_ALIASES])
-    by_url = F.when(lower.contains("http") & F.array_contains(known, issued), F.array(issued)).otherwise(
-        F.array().cast("array<string>")
-    )
-    by_name = F.filter(
-        F.array(*[F.when(contains_any(lower, names), F.lit(s)) for s, names in STATION_ALIASES.items()]),
-        lambda s: s.isNotNull(),
-    )
-    return F.array_distinct(F.concat(codes, by_url, by_name))
+
+    def named(lower: Column) -> Column:
+        issued = F.concat(F.lit("K"), F.upper(F.regexp_extract(lower, r"[?&]issuedby=([a-z]{3})(?:&|#|$)", 1)))
+        by_url = F.when(lower.contains("http") & F.array_contains(known, issued), issued)
+        by_name = [F.when(contains_any(lower, names), F.lit(s)) for s, names in STATION_ALIASES.items()]
+        return F.filter(F.array(by_url, *by_name), lambda s: s.isNotNull())
+
+    # The text is lowered once, as the only element of an array the names are looked up in.
+    lowered = F.flatten(F.transform(F.array(F.lower(text)), named))
+    return F.array_distinct(F.concat(codes, lowered))
 
 
 def settlement_station(text: Column) -> Column:

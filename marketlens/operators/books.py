@@ -13,11 +13,6 @@ from marketlens.operators.ordered import BLOCK_SECONDS, clamped_running_sum, run
 SIDES = ("yes", "no")
 
 
-def effective_order(log: DataFrame, *, reset_by: str | None = None) -> list[str]:
-    """Key columns of one book: the ticker, and the file where each file starts afresh."""
-    return ["ticker"] + ([reset_by] if reset_by else [])
-
-
 def with_epoch(
     log: DataFrame, is_snapshot: Column, *, keys: Sequence[str] = ("ticker",), block_seconds: int = BLOCK_SECONDS
 ) -> DataFrame:
@@ -49,6 +44,7 @@ def level_changes(
 ) -> DataFrame:
     """Fold a snapshot/delta log into ``(ticker, epoch, side, price, ts, received, seq, size)``.
 
+    Books carry across files; ``keys=("ticker", "source_file")`` makes every file start afresh.
     A snapshot starts a new epoch with both sides; a delta adds to one level and a level at or
     below zero is gone and restarts from zero. Deltas before any snapshot and rows of unknown kind
     are ignored. The key of the fold holds epoch and price, so a hot ticker is spread already, and

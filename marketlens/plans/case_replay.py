@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,16 @@ from marketlens.session import cut_lineage
 Strategy = Callable[[DataFrame], DataFrame]
 
 
+def python_strategy(evaluate_batch: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Strategy:
+    """A strategy from plain Python over Arrow batches, for rules columns cannot express."""
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield evaluate_batch(part)
+
+    return lambda df: df.mapInPandas(batches, schema)
+
+
 def evaluate_cases(cases: DataFrame, strategy: Strategy, required: Sequence[str], nullable: Sequence[str] = ()) -> DataFrame:
     """Evaluation of every case; a case that lacks a registered feature abstains with its name."""
     none = F.array().cast("array<string>")

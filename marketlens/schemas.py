@@ -55,3 +55,13 @@ def require_columns(df: DataFrame, names: Iterable[str] | T.StructType) -> DataF
     if missing:
         raise MissingColumns(f"missing columns: {', '.join(missing)}")
     return df
+
+
+class NoData(ValueError):
+    """A source that must not be empty has no rows."""
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    if df.limit(1).isEmpty():
+        raise NoData(f"no rows: {what}")
+    return df

@@ -153,7 +153,10 @@ def parse_time(text: Column) -> Column:
 
 
 def normalize_observations(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Typed readings from text columns; ``columns`` maps our names to the source's. No row is no data."""
+    """Typed readings from text columns; ``columns`` maps our names to the source's.
+
+    Wrap the result in ``require_rows`` where an empty answer must stop the job.
+    """
     numbers = [c for c in columns if c not in ("station", "valid_time")]
     out = raw.select(
         station_code(F.col(columns["station"])).alias("station"), parse_time(F.col(columns["valid_time"])).alias("valid_time"),

@@ -206,3 +206,44 @@ def test_missing_features_fail_closed(spark):
     m = F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(None).cast("double"), F.lit("c"), F.lit(None).cast("double"))
     lacking = signals.missing_features(m, F.array(*[F.lit(x) for x in "abcd"]), F.array(F.lit("c")))
     assert one(spark, lacking.alias("m")).m == ["b", "d"]
+
+
+def test_python_strategy_abstains_without_features(spark):
+    from marketlens.plans.case_replay import evaluate_cases, python_strategy
+
+    cases = spark.createDataFrame([(1, {"p": 0.9}), (2, {})], "case_id long, features map<string,double>")
+
+    def rule(batch):
+        p = batch["features"].map(lambda f: dict(f).get("p"))
+        return batch.assign(reason="RULE", eligible=p.notna(), side="YES", probability=p.astype(float), edge=p.astype(float) - 0.5)
+
+    schema = "case_id long, features map<string,double>, _missing array<string>, reason string, eligible boolean, side string, probability double, edge double"
+    r = {x.case_id: (x.reason, x.eligible, x.side) for x in evaluate_cases(cases, python_strategy(rule, schema), ["p"]).collect()}
+    assert r == {1: ("RULE", True, "YES"), 2: ("MISSING_REGISTERED_FEATURES:p", False, None)}
+
+
+def test_book_restarts_per_file_when_asked(spark):
+    level = "array<struct<price:double,size:double>>"
+    rows = [("t", "f1", 0, 0, "snapshot", [(0.4, 5.0)], None, None), ("t", "f2", 1, 1, "delta", None, 0.4, 2.0), ("t", "f1", 2, 2, "delta", None, 0.4, 1.0)]
+    df = spark.createDataFrame(rows, f"ticker string, source_file string, t long, seq long, event_type string, yes_bids {level}, price double, delta double")
+    df = df.withColumns({"ts": F.timestamp_seconds("t"), "received": F.timestamp_seconds("t"), "side": F.lit("yes"), "no_bids": F.lit(None).cast(level)})
+    carried = {r.seq: r["size"] for r in books.level_changes(df).collect()}
+    restarted = {r.seq: r["size"] for r in books.level_changes(df, keys=("ticker", "source_file")).collect()}
+    assert carried == {0: 5.0, 1: 7.0, 2: 8.0} and restarted == {0: 5.0, 2: 6.0}
+
+
+def test_hot_keys_are_split_by_block(spark):
+    from marketlens.operators.asof import asof_forward
+
+    df = spark.createDataFrame([("k", 1, 2)], "key string, t long, v long").withColumn("ts", F.timestamp_seconds("t"))
+    right = df.select("key", F.col("ts").alias("rt"), "v")
+    plan = asof_forward(df, right, ["key"], "ts", "rt", ["v", "rt"])._jdf.queryExecution().executedPlan().toString()
+    # The pass over rows is partitioned by key and block; only block summaries meet per key.
+    assert "_block" in plan and "Window" in plan
+
+
+def test_empty_source_is_an_error(spark):
+    from marketlens.schemas import NoData, require_rows
+
+    with pytest.raises(NoData):
+        require_rows(spark.range(0), "observations")
