@@ -17,7 +17,7 @@ from marketlens.session import scratch_path
 from marketlens.sources import scans, sinks
 
 
-@query("archive_scan", "A1", """SELECT event_id AS fee_rate_bps, CAST(user_id AS VARCHAR) AS asset_id, 'm' || user_id AS market, value AS price, 2 AS levels, value / 2 AS first_price FROM events
+@query("archive_scan", "A1", """SELECT CAST(event_id AS INTEGER) AS fee_rate_bps, CAST(user_id AS VARCHAR) AS asset_id, 'm' || user_id AS market, value AS price, 2 AS levels, value / 2 AS first_price FROM events
 WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND user_id IN (SELECT user_id FROM events WHERE value >= 250)""")
 def archive_scan(spark, d):
     e = events(spark, d)
