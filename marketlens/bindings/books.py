@@ -279,10 +279,11 @@ FROM names JOIN evals USING (strategy) LEFT JOIN sg USING (strategy) LEFT JOIN f
 def fact_scorecard(spark, d):
     q = quotes(spark, d)
     name = F.when(F.col("k") % 3 == 0, "alpha").when(F.col("k") % 3 == 1, "beta").otherwise("gamma")
-    filled = fills(spark, d).where(F.col("status") == "FILLED").select(
+    done = cut_lineage(fills(spark, d).where(F.col("status") == "FILLED"))
+    filled = done.select(
         "signal_id", F.col("signal_id").alias("fill_id"), "price", F.col("quantity").alias("contracts"), "fee"
     )
-    pnl = settled(spark, d).select(F.col("signal_id").alias("fill_id"), "pnl")
+    pnl = pricing.settle(done, results(spark, d), ["contract"]).select(F.col("signal_id").alias("fill_id"), "pnl")
     card = ev.scorecard(
         q.select(name.alias("strategy")), signals(spark, d).select("strategy", "signal_id", "date", "station"), filled, pnl,
         marks(spark, d).select("signal_id", "horizon", "value"),

@@ -73,6 +73,9 @@ TEMPERATURE_WORDS = (
     r"\bdaily\s+(?:high|low)\b|\b(?:high|low)\s+temperature\b)"
 )
 PRECIPITATION_WORDS = r"(?i)\b(?:rainfall|precipitation|snowfall)\b"
+#: One of these literals is in every text the two patterns above can match.
+TEMPERATURE_STEMS = ("temp", "°", "degree", "daily")
+PRECIPITATION_STEMS = ("rainfall", "precipitation", "snowfall")
 OFFICIAL_SOURCE = r"(?i)(?:National Weather Service|\bNWS\b|Climatological Report|Daily Climate Report|CLI)"
 MEASURED_IN_DEGREES = ("DAILY_HIGH", "DAILY_LOW", "TEMPERATURE")
 META_TEXT = ("ticker", "event_ticker", "title", "subtitle", "yes_sub_title", "rules_primary", "rules_secondary")
@@ -94,10 +97,12 @@ def classify_contracts(markets: DataFrame) -> DataFrame:
         F.lit(""),
     )
     rules = F.trim(_joined(("rules_primary", "rules_secondary")))
-    # Each whole text is joined, lowered and searched once; the flags below are columns of their own.
-    staged = markets.withColumns({"_text": _joined(META_TEXT), "_series": series, "_rules": rules}).withColumns({
-        "_low": F.lower("_text"), "_thermal": F.col("_text").rlike(TEMPERATURE_WORDS),
-        "_wet": F.col("_text").rlike(PRECIPITATION_WORDS),
+    # Each whole text is joined, lowered and searched once; a plain word test spares most texts the pattern.
+    staged = markets.withColumns({"_text": _joined(META_TEXT), "_series": series, "_rules": rules}).withColumn(
+        "_low", F.lower("_text")
+    ).withColumns({
+        "_thermal": tx.contains_any(F.col("_low"), TEMPERATURE_STEMS) & F.col("_text").rlike(TEMPERATURE_WORDS),
+        "_wet": tx.contains_any(F.col("_low"), PRECIPITATION_STEMS) & F.col("_text").rlike(PRECIPITATION_WORDS),
     })
     low = F.col("_low")
     in_high, in_low = F.col("_series").isin(*HIGH_SERIES), F.col("_series").isin(*LOW_SERIES)

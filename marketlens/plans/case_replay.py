@@ -51,7 +51,8 @@ def replay(
     ``cases``: case_id, contract, signal_time, features, date, station. ``quotes``: contract, ts, seq and
     the quote columns. ``results``: contract, result.
     """
-    evaluations = evaluate_cases(cases, strategy, required).withColumn("strategy", F.lit(name))
+    # Evaluations feed the counts, the fills and the marks; storing them runs the strategy once.
+    evaluations = cut_lineage(evaluate_cases(cases, strategy, required).withColumn("strategy", F.lit(name)))
     signals = evaluations.where("eligible").withColumnRenamed("case_id", "signal_id")
     # The fills are few and read three times; storing them reads the quotes once.
     filled = cut_lineage(
