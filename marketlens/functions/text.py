@@ -16,6 +16,9 @@ NATURAL_DATE = (
     r"Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(20\d{2})\b"
 )
 
+#: Any word where a month could stand; the strict pattern decides on the short match.
+NATURAL_CANDIDATE = r"(?<![\p{L}\p{N}_])[A-Za-z]{3,9}\.?\s+\d{1,2}(?i:st|nd|rd|th)?,?\s+20\d{2}\b"
+
 #: Station codes and the official place names that stand for one.
 STATION_CODE = r"(?<![A-Z0-9])K[A-Z]{3}(?![A-Z0-9])"
 STATION_ALIASES = {
@@ -102,7 +105,7 @@ def dates_in_text(text: Column) -> Column:
         lambda m: _date_of(part(m, ISO_DATE, 1), part(m, ISO_DATE, 2).try_cast("int"), part(m, ISO_DATE, 3)),
     )
     natural = F.transform(
-        F.regexp_extract_all(text, F.lit(NATURAL_DATE), F.lit(0)),
+        F.filter(F.regexp_extract_all(text, F.lit(NATURAL_CANDIDATE), F.lit(0)), lambda m: m.rlike(NATURAL_DATE)),
         lambda m: _date_of(part(m, NATURAL_DATE, 3), _month_index(part(m, NATURAL_DATE, 1)), part(m, NATURAL_DATE, 2)),
     )
     return F.filter(F.concat(iso, natural), lambda d: d.isNotNull())
