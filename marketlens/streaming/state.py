@@ -6,12 +6,17 @@ writes back what changed. The same rules exist as batch operators; tests compare
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Processors travel to the Python workers by value: executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 GATE_OUTPUT = "connection bigint, pos bigint, seq bigint, status string"
