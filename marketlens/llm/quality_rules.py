@@ -40,26 +40,30 @@ def _count(pattern: str) -> Column:
 def word_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and, per row, the counts of STATS with n_lines and n_capitals. Repeats are found on 64-bit hashes of windows."""
     size = lambda name: F.size(name).cast("long")
-    after = [f"get(_h, i + {j})" for j in range(1, WINDOW)]
+    n_windows = f"greatest(size(_h) - {WINDOW - 1}, 0)"
+    shifted = ", ".join(f"slice(_h, {j + 1}, {n_windows})" for j in range(WINDOW))
     counted = (
         docs.select(*keep, whole_text().alias("_text"))
         .select(
             *keep,
-            _count(r"[\x20\x09-\x0D]+").alias("word_chars"),
             _count(r"[^#*$%&|<>]+").alias("n_symbols"),
             _count(r"[^A-Z]+").alias("n_capitals"),
             F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
-            F.transform(F.regexp_extract_all("_text", F.lit(WORD), 0), lambda w: F.xxhash64(w)).alias("_h"),
+            F.regexp_extract_all("_text", F.lit(WORD), 0).alias("_words"),
+        )
+        .select(
+            *keep, "n_symbols", "n_capitals", "_lines",
+            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
         )
         .select(
             *keep, "word_chars", "n_symbols", "n_capitals", size("_h").alias("n_words"), size("_lines").alias("n_lines"),
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            F.expr(f"transform(slice(_h, 1, greatest(size(_h) - {WINDOW - 1}, 0)), (h, i) -> xxhash64(h, {', '.join(after)}))").alias("_win"),
+            F.expr(f"transform(arrays_zip({shifted}), w -> xxhash64(w))").alias("_win"),
         )
     )
     names = [*keep, "word_chars", "n_symbols", "n_capitals", "n_words", "n_lines", "n_dup_lines"]
     repeats = F.size(F.array_distinct("_win")) < F.size("_win")
-    placed = counted.select(*names, F.when(repeats, F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_at"))
+    placed = counted.select(*names, F.when(repeats, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_at"))
     twice = F.expr("transform(filter(transform(_at, (x, i) -> if(x.h = get(_at, i - 1).h or x.h = get(_at, i + 1).h, x.i, null)), p -> p is not null), p -> p)")
     found = placed.select(*names, F.sort_array(twice).alias("_p"))
     covered = F.expr(f"aggregate(transform(_p, (p, i) -> least({WINDOW}, coalesce(get(_p, i + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x)")
@@ -96,7 +100,8 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, alpha:
     over = [F.sum((rule_value(r) > c).cast("long")).alias(f"{r}_{c}") for r, c in cuts]
     counts = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *over)
     tests = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"{r}_{c}").alias("k")) for r, c in cuts]
-    each = counts.select(stratum, "n", F.count(F.lit(1)).over(Window.partitionBy()).alias("strata"), F.inline(F.array(*tests)))
+    counted = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    each = counted.select(stratum, "n", "strata", F.inline(F.array(*tests)))
     certified = each.filter(binomial_tail("n", "k", alpha / len(RULES)) <= F.lit(delta) / (len(cuts) * F.col("strata")))
     return certified.groupBy(stratum).agg(*[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
 
