@@ -28,14 +28,14 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(whole_text(column))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write the frame once to the shared folder and read it back; its shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(_CLEAN_SHUFFLES)
     spark.conf.set(_CLEAN_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, exact_dedup, quality_rules
+from marketlens.llm import bpe, chat_format, exact_dedup, license_scan, near_dedup, packing, quality_rules, sharding, substring_dedup, weak_labels
 from marketlens.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +85,87 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe_codec")
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+def license_sql() -> str:
+    """K-grams of numbered words joined with numbered template words, counted by diagonal, merged by gaps."""
+    templates = [(t, n, True) for t, n in license_scan.PHRASES.items()] + [(t, n, False) for t, n in license_scan.TEMPLATES.items()]
+    values = ", ".join(f"({n}, '{text}', '{label}', {exact})" for n, (text, label, exact) in enumerate(templates))
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+    g AS (SELECT r, i, concat_ws(' ', w, lead(w) OVER p, lead(w, 2) OVER p) AS g FROM w WINDOW p AS (PARTITION BY r ORDER BY i) QUALIFY lead(w, 2) OVER p IS NOT NULL),
+    t AS (SELECT * FROM (VALUES {values}) AS v(t, phrase, label, exact)),
+    tw AS (SELECT t, label, exact, string_split(phrase, ' ') AS ws FROM t),
+    tg AS (SELECT t, label, exact, len(ws) - 2 AS n, unnest(range(0, len(ws) - 2)) AS j, ws FROM tw),
+    tj AS (SELECT t, label, exact, n, j, concat_ws(' ', ws[j + 1], ws[j + 2], ws[j + 3]) AS g FROM tg),
+    hit AS (SELECT r, t, label, exact, n, j, i, i - j AS dg FROM g JOIN tj USING (g)),
+    line AS (SELECT *, dg - lag(dg) OVER (PARTITION BY r, t ORDER BY dg, j) AS gap FROM hit),
+    spanned AS (SELECT *, sum(CASE WHEN gap IS NULL OR (exact AND gap > 0) OR gap > {license_scan.APART} THEN 1 ELSE 0 END) OVER (PARTITION BY r, t ORDER BY dg, j) AS s FROM line),
+    sp AS (SELECT r, t, label, exact, n, s, count(DISTINCT j) AS c, min(i) AS a FROM spanned GROUP BY ALL),
+    b AS (SELECT *, exact AND c = n AS base, c / n AS share FROM sp),
+    o AS (SELECT r, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word,
+          array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
+          array_to_string(list_sort(list_distinct(list(label) FILTER (base OR (NOT exact AND share >= {license_scan.SHARE})))), ',') AS labels, max(share) AS score FROM b GROUP BY r)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           coalesce(score, 0.0) AS score FROM d LEFT JOIN o USING (r)
+    """
+
+
+@query("op4_license_scan", license_sql())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_weak_label_quality")
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shuffled(table(spark, sf_dir, "documents"))
+    return placed.select("record.doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op9_chat_format",
+    r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(21 + length(role) + length(text) + len(regexp_extract_all(role, '</?turn>|<text>')) + len(regexp_extract_all(text, '</?turn>|<text>'))) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id
+    """,
+)
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], rows.schema)
+    formatted = chat_format.format_conversations(rows.unionByName(planted))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = formatted.select("conv_id", F.size("turns").cast("long").alias("n_turns"), lines.alias("lines"), chat_format.masked_text().alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select(
+        "conv_id", "n_turns", F.sha2(F.col("lines").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
