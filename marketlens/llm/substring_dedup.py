@@ -2,7 +2,7 @@
 
 A window is 20 consecutive words of a document. Each window has a minimiser, the smallest hash of its runs of 3 words;
 consecutive windows that share it form a super-k-mer, which travels once, as one packed string, to the bucket of its
-minimiser. Equal windows have equal minimisers, so they meet in one bucket, where sorting the windows by a 128-bit hash
+minimiser, compressed together with those of its batch that go there too. Equal windows have equal minimisers, so they meet in one bucket, where sorting the windows by a 128-bit hash
 of their words, ties in document order, counts them exactly and names the first of each. All others mark their words.
 Inside a task a super-k-mer that repeats an earlier one of its batch is decided at once and not sent, so a passage that
 many documents share travels once per batch. Marks come back as word ranges, are joined with their documents, and the
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ WINDOW, RUN = 20, 3
 BUCKET_BYTES, PACKED = 4 << 20, 3
 NO_ID = (1 << 63) - 1
 
-SUPER = "bucket long, id long, key long, start long, windows long, packed binary"
+COLUMNS = ("id", "key", "start", "windows")
+SUPER = "bucket long, packed binary"
 RANGES = "id long, key long, start long, stop long"
 
 
@@ -86,8 +88,32 @@ def _first_of_equal(order: np.ndarray, a: np.ndarray, b: np.ndarray, place: list
     return first
 
 
+def _packed(rows: dict[str, np.ndarray], texts: list[bytes]) -> bytes:
+    """Super-k-mers of one batch and bucket as one string: their columns, then their words, compressed together."""
+    head = [np.array([len(texts)], "<i8"), *[rows[c].astype("<i8") for c in COLUMNS], np.array([len(t) for t in texts], "<i8")]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*[h.tobytes() for h in head], *texts]))
+
+
+def _unpacked(blobs: pa.ChunkedArray) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """Columns and words of all super-k-mers of a bucket; those that travel without words have empty ones."""
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in (*COLUMNS, "size")}
+    texts = []
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob.as_py())
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        at = 8
+        for column in columns.values():
+            column.append(np.frombuffer(raw, "<i8", n, at))
+            at += 8 * n
+        texts.append(raw[at:])
+    joined = {c: np.concatenate(v) for c, v in columns.items()}
+    offsets = np.append(0, np.cumsum(joined["size"])).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(texts))])
+    return joined, words
+
+
 def _sent(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers of each batch; one that repeats an earlier one goes without its words."""
+    """Super-k-mers of each batch, one string per bucket; one that repeats an earlier one goes without its words."""
     for batch in rows:
         ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
         order = np.lexsort((keys, ids))
@@ -95,44 +121,38 @@ def _sent(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBat
         parts = list(super_kmers(texts, ids[order], keys[order]))
         if not parts:
             continue
-        a, b = (np.concatenate([p[c] for p in parts]) for c in "ab")
-        place = [np.concatenate([p[c] for p in parts]) for c in ("id", "key", "start")]
-        first = _first_of_equal(np.lexsort((np.arange(len(a)), b, a)), a, b, place)
-        done = 0
+        whole = {c: np.concatenate([p[c] for p in parts]) for c in ("low", "a", "b", *COLUMNS)}
+        first = _first_of_equal(np.lexsort((np.arange(len(whole["a"])), whole["b"], whole["a"])), whole["a"], whole["b"], [whole[c] for c in ("id", "key", "start")])
+        packed: list[bytes] = []
         for p in parts:
-            n = len(p["low"])
-            send = first[done : done + n]
-            done += n
             raw = p["data"].tobytes()
-            packed = [raw[s:e] if ok else None for s, e, ok in zip(p["from"].tolist(), p["to"].tolist(), send.tolist(), strict=True)]
-            # what is decided already goes to any bucket, evenly
-            bucket = np.where(send, p["low"] % U(buckets), (p["a"] ^ mix(p["key"].astype(U) + p["start"].astype(U))) % U(buckets)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(p["id"]), pa.array(p["key"]), pa.array(p["start"]), pa.array(p["windows"]), pa.array(packed, pa.binary())],
-                ["bucket", "id", "key", "start", "windows", "packed"],
-            )
+            packed += [raw[s:e] for s, e in zip(p["from"].tolist(), p["to"].tolist(), strict=True)]
+        # what is decided already goes to any bucket, evenly
+        low = np.where(first, whole["low"], whole["a"] ^ mix(whole["key"].astype(U) + whole["start"].astype(U)))
+        bucket = (low % U(buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(bucket[by_bucket]) > 0))
+        blobs = [_packed({c: whole[c][at] for c in COLUMNS}, [packed[i] if first[i] else b"" for i in at.tolist()]) for at in np.split(by_bucket, heads[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[by_bucket][heads]), pa.array(blobs, pa.binary())], ["bucket", "packed"])
 
 
 def _decided(table: pa.Table) -> pa.Table:
     """Word ranges of one bucket that repeat an earlier window."""
-    table = table.combine_chunks()
-    packed = table.column("packed")
-    sent = packed.is_valid().to_numpy()
-    id_, key, start, windows = (table.column(c).to_numpy() for c in ("id", "key", "start", "windows"))
-    known = np.flatnonzero(~sent)
+    rows, texts = _unpacked(table.column("packed"))
+    id_, key, start, windows = (rows[c] for c in COLUMNS)
+    known = np.flatnonzero(rows["size"] == 0)
     out = [(id_[known], key[known], start[known], start[known] + windows[known] + WINDOW - 1)]
-    rows = np.flatnonzero(sent)
-    rows = rows[np.lexsort((start[rows], key[rows], id_[rows]))]
-    if len(rows):
-        texts = pa.concat_arrays(packed.take(pa.array(rows)).chunks) if isinstance(packed, pa.ChunkedArray) else packed.take(pa.array(rows))
+    if len(known) < len(id_):
+        rank = np.empty(len(id_), np.int64)
+        rank[np.lexsort((start, key, id_))] = np.arange(len(id_))
         words = words_of(texts)
-        count = windows[rows]
-        of = np.repeat(np.arange(len(rows)), count)
+        count = np.where(rows["size"] == 0, 0, windows)
+        of = np.repeat(np.arange(len(id_)), count)
         inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         at = words.first[:-1][of] + inside
         a, b = words.windows(at, WINDOW), words.windows(at, WINDOW, second=True)
-        place = [id_[rows][of], key[rows][of], start[rows][of] + inside]
-        first = _first_of_equal(np.lexsort((np.arange(len(a)), b, a)), a, b, place)
+        place = [id_[of], key[of], start[of] + inside]
+        first = _first_of_equal(np.lexsort(((rank[of] << 32) + inside, b, a)), a, b, place)
         again = np.flatnonzero(~first)
         if len(again):
             new = np.ones(len(again), bool)
@@ -201,12 +221,13 @@ def digests(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """The documents with repeated words cut: the words left, joined by one space, and n_chars of them. Others as they came."""
 
-    @F.pandas_udf("string")
-    def left(text, ranges):
-        return text.combine(ranges, lambda t, r: b" ".join(_cut(t, r)[1]).decode("utf-8"))
+    @F.arrow_udf("string")
+    def left(text: pa.Array, ranges: pa.Array) -> pa.Array:
+        cut = [None if r is None else b" ".join(_cut(t, r)[1]).decode("utf-8") for t, r in zip(text.to_pylist(), ranges.to_pylist(), strict=True)]
+        return pa.array(cut, pa.string())
 
     plain = docs.withColumn("_struct", F.struct("*")).select("doc_id", "text", F.col("_struct").alias("_row"))
-    cut = _with_ranges(plain).withColumn("_new", F.when(F.col("ranges").isNotNull(), left(whole_text(), "ranges")))
+    cut = _with_ranges(plain).withColumn("_new", left(whole_text(), F.col("ranges")))
 
     def column(name: str):
         kept = F.col("_row").getField(name)

@@ -16,7 +16,7 @@ import pyarrow as pa
 U = np.uint64
 #: Odd multipliers of the polynomials over bytes and over words; the last two give independent window hashes.
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
