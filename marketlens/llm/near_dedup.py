@@ -6,9 +6,10 @@ darts of its cells up to the rank at which k ln k + 2k darts are expected, deals
 the earliest of each; if a coordinate stays empty the rank doubles. Two documents agree in a coordinate with the
 probability of their weighted Jaccard similarity, at the cost of the darts, not of k hashes per element.
 
-Documents of equal words are one node. Bands of coordinates are joined: in each band the nodes of a key are compared with
-one pivot, the smallest; then, as long as a key holds nodes of several components, with the next pivot, so each round is
-linear and every pair of a key is either compared or connected already. Pairs are verified on their cells by exact
+Documents of equal words are one node. Bands of coordinates are joined: the nodes of a key are compared with one pivot,
+the smallest, which connects a group of copies at once. Only keys whose nodes are still in several components go on, with
+the next pivots, more each round, each compared with the nodes of other components; so a round is linear in its nodes and
+in the end every pair of a key is either compared or connected already. Pairs are verified on their cells by exact
 weighted Jaccard similarity, verified pairs are links, and linked nodes are one class, found by label propagation with
 pointer jumping over stored tables.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import staged, text_key, whole_text
@@ -33,6 +34,8 @@ from marketlens.llm.wordhash import U, blocks, mix, words_of
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
 COORDINATES = BANDS * ROWS
+#: Pivots of the second round, and the factor by which later rounds take more.
+PIVOTS = 4
 
 
 def cells_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,6 +144,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(common >= similarity * (F.size("_x") + F.size("_y") - common)).select("a", "b")
 
 
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """Rows of the keys whose nodes lie in several components."""
+    several = labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l != m").select("band")
+    return labelled.join(several, "band", "left_semi")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, key, class_id, class_size, kept, and twin (repeats the row that stays)."""
     rows = docs.select("doc_id", text_key().alias("key"), whole_text().alias("text"))
@@ -156,27 +169,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = rows.join(spokes, rows["doc_id"].eqNullSafe(spokes["_i"]) & (rows["key"] == spokes["_k"])).select("node", "text")
     sets = staged(texts.mapInArrow(_celled, "node binary, cells array<long>").dropDuplicates(["node"]), "cells")
     links = staged(_verified(members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity), "pairs")
-    while True:
-        found = components(links)
-        placed = members.join(found, "node", "left").select("band", "node", "pivot", F.coalesce("label", "node").alias("label"))
-        # keys whose nodes beyond the pivot are still in several components take their next pivot
-        after = placed.filter("node > pivot")
-        open_ = placed.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l != m").select("band")
-        rest = after.join(open_, "band", "left_semi")
-        next_ = rest.groupBy("band").agg(F.min(F.struct("node", "label")).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.label").alias("_l"))
-        members = staged(rest.drop("pivot").join(next_, "band").select("band", "node", "pivot", "label", "_l"), "bands")
-        pairs = members.filter("node != pivot and label != _l").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        if members.filter("node != pivot").isEmpty():
-            break
+    found = components(links)
+    labelled = _labelled(members, found)
+    ranked = staged(
+        _open(labelled).filter("node > pivot").select("band", "node", F.row_number().over(Window.partitionBy("band").orderBy("node")).alias("rank")), "bands"
+    )
+    done, pivots = 0, PIVOTS
+    while not (left := staged(_open(_labelled(ranked.filter(F.col("rank") > done), found)), "open")).isEmpty():
+        chosen = left.filter(F.col("rank") <= done + pivots).select("band", F.col("node").alias("b"), F.col("rank").alias("_r"), F.col("label").alias("_l"))
+        pairs = left.join(chosen, "band").filter("rank > _r and label != _l").select(F.col("node").alias("a"), "b").distinct()
         more = staged(_verified(pairs, sets, similarity), "pairs")
-        links = links.unionByName(more)
-        members = members.select("band", "node", "pivot")
-    labelled = signed.select("doc_id", "key", "node", F.monotonically_increasing_id().alias("row")).join(found, "node", "left")
-    labelled = staged(labelled.select("doc_id", "key", "row", F.coalesce("label", "node").alias("label")), "classes")
-    stay = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "key")).alias("s"), F.count(F.lit(1)).alias("class_size"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+        done, pivots = done + pivots, pivots * PIVOTS
+    named = signed.select("doc_id", "key", "node", F.monotonically_increasing_id().alias("row")).join(found, "node", "left")
+    named = staged(named.select("doc_id", "key", "row", F.coalesce("label", "node").alias("label")), "classes")
+    stay = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "key")).alias("s"), F.count(F.lit(1)).alias("class_size"))
     kept = F.col("row") == F.col("s.row")
     twin = F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("key") == F.col("s.key")) & ~kept
-    return labelled.join(stay, "label").select("doc_id", F.col("key").alias("text_hash"), F.col("s.doc_id").alias("class_id"), "class_size", kept.alias("kept"), twin.alias("twin"))
+    return named.join(stay, "label").select("doc_id", F.col("key").alias("text_hash"), F.col("s.doc_id").alias("class_id"), "class_size", kept.alias("kept"), twin.alias("twin"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
