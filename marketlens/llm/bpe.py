@@ -30,6 +30,7 @@ from marketlens.llm.common import whole_text
 #: Fixed values of the file's format: white space, the pattern of pieces, white space of str.split that is none there.
 SPACE = "\t-\r \x85\xa0  -     　"
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LOW_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 CHUNKS = re.compile(f"[^{SPACE}]+")
 
@@ -116,16 +117,23 @@ class Bpe:
         ids[-1] = self.last[data[-1]]
         return self.merge(ids) if len(ids) > 1 else ids
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without white space and special tokens."""
+    @staticmethod
+    def cut_chunk(chunk: str) -> list[str]:
+        """Pieces of a text without white space and special tokens, normalised."""
         if chunk.isascii():
-            low = chunk.lower()
+            low, pieces = chunk.lower(), LOW_ASCII_PIECE
         else:
-            low = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+            low, pieces = "".join(map(str.lower, unicodedata.normalize("NFC", chunk))), PIECE
         if low.isalpha():
-            return self.pieces[low]
+            return [low]
+        if low[-1] in ",." and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return pieces.findall(low)
+
+    def chunk(self, chunk: str) -> list[int]:
+        """Ids of a text without white space and special tokens."""
         ids: list[int] = []
-        for piece in PIECE.findall(low):
+        for piece in self.cut_chunk(chunk):
             ids += self.pieces[piece]
         return ids
 

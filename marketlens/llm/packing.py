@@ -25,17 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketlens.llm.bpe import KEPT_CHUNKS, Bpe, Generations, byte_symbols
+from marketlens.llm.bpe import Bpe, Generations, byte_symbols
 from marketlens.llm.common import staged, text_key, whole_text
 
 WINDOW, END, SHARD_TOKENS = 2048, 1, 4_000_000
+#: Chunks whose ids a worker keeps, twice over.
+KEPT_CHUNKS = 600_000
 #: Query: the heaviest tokens of the document that opens the window. BM25's saturation and length weight.
 QUERY_TOKENS, K1, B = 16, 1.2, 0.75
 ID = np.dtype("<u2")
 
 
 class LibraryBpe(Bpe):
-    """Pieces are tokenised by the library's own model."""
+    """Pieces are tokenised by the library's own model; ids are kept as bytes, 16 bits each."""
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -43,17 +45,26 @@ class LibraryBpe(Bpe):
         self.symbols = byte_symbols()
         if max(self.strings) >= 1 << 16:
             raise ValueError("ids are stored in 16 bits")
+        self.coded = np.arange(1 << 16).astype(ID).tobytes()
 
-    def _merged(self, piece: str) -> list[int]:
+    def _code(self, i: int) -> bytes:
+        return self.coded[2 * i : 2 * i + 2]
+
+    def _merged(self, piece: str) -> bytes:
         shown = piece if piece.isascii() and piece.isprintable() else "".join([self.symbols[b] for b in piece.encode("utf-8")])
-        return [t.id for t in self.model.tokenize(shown)]
+        return b"".join([self._code(t.id) for t in self.model.tokenize(shown)])
+
+    def packed(self, chunk: str) -> bytes:
+        """Ids of what ``split`` gives."""
+        special = self.special.get(chunk)
+        return b"".join([self.pieces[p] for p in self.cut_chunk(chunk)]) if special is None else self._code(special)
 
 
 @lru_cache(maxsize=4)
-def coder(path: str) -> tuple[Bpe, Generations]:
-    """One per worker process: the 16-bit ids of a chunk as bytes."""
+def coder(path: str) -> tuple[LibraryBpe, Generations]:
+    """One per worker process: the ids of a chunk as bytes."""
     bpe = LibraryBpe(path)
-    return bpe, Generations(lambda chunk: np.array(bpe.keyed(chunk), ID).tobytes(), KEPT_CHUNKS)
+    return bpe, Generations(bpe.packed, KEPT_CHUNKS)
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
