@@ -10,7 +10,8 @@ from marketlens.functions.numbers import six as r6
 from marketlens.operators import evaluate as ev
 from marketlens.operators.ordered import max_drawdown
 
-DRAWS = 400
+#: Draws of the intervals of means, and of ratios.
+DRAWS, RATIO_DRAWS = 4_000, 10_000
 RET = """ret AS (SELECT o_orderpriority AS strategy, o_orderkey AS event, 'S' || CAST(o_custkey % 25 AS VARCHAR) AS station,
  CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
  CASE WHEN o_orderstatus = 'F' THEN l_quantity * (0.9 - l_discount * 4) ELSE -l_quantity * l_tax * 5 END AS pnl, l_quantity AS capital
@@ -103,12 +104,12 @@ def drawdown(spark, d):
     return tidy(out, "max_drawdown")
 
 
-def draws_sql(seed: int, value: str) -> str:
+def draws_sql(seed: int, value: str, draws: int = DRAWS) -> str:
     """Resampled sums with the same seeded integer arithmetic."""
     return f"""smp AS (SELECT *, count(*) OVER (PARTITION BY strategy) AS n,
  row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS p FROM perd),
 slot AS (SELECT s.strategy, s.n, d.draw, s.p AS slot, (d.draw * {ev.DRAW_A} + s.p * {ev.DRAW_B} + {seed * ev.DRAW_SEED}) % {ev.DRAW_MODULUS} AS a
- FROM smp s, (SELECT unnest(generate_series(1, {DRAWS}))::BIGINT AS draw) d),
+ FROM smp s, (SELECT unnest(generate_series(1, {draws}))::BIGINT AS draw) d),
 pick AS (SELECT strategy, draw, n, (((b * b + draw) % {ev.DRAW_MODULUS}) % n) AS p FROM (SELECT *, (a * a + slot) % {ev.DRAW_MODULUS} AS b FROM slot)),
 boot AS (SELECT k.strategy, k.draw, k.n, sum(s.pnl) AS pnl, sum(s.capital) AS capital, avg({value}) AS m
  FROM pick k JOIN smp s ON s.strategy = k.strategy AND s.p = k.p GROUP BY ALL)"""
@@ -121,13 +122,13 @@ INTERVAL = f"""ci AS (SELECT strategy, list_sort(list(m))[{LOW + 1}] AS lo, list
 
 @query("bootstrap_mean", "D12 J4", f"WITH {RET}, {draws_sql(7, 's.pnl')}, {INTERVAL} SELECT strategy, {six('lo')} AS ci_low, {six('hi')} AS ci_high FROM ci")
 def bootstrap_mean(spark, d):
-    return tidy(ev.bootstrap_mean_interval(per_date(spark, d), ["strategy"], "pnl", draws=DRAWS), "ci_low", "ci_high")
+    return tidy(ev.bootstrap_mean_interval(per_date(spark, d), ["strategy"], "pnl"), "ci_low", "ci_high")
 
 
 @query("date_block_bootstrap", "D13", f"""WITH {RET}, {draws_sql(11, 's.pnl / s.capital')}, {INTERVAL}
 SELECT strategy, {six('lo')} AS ci_low, {six('hi')} AS ci_high FROM ci""")
 def date_block_bootstrap(spark, d):
-    return tidy(ev.date_block_interval(event_returns(spark, d), ["strategy"], draws=DRAWS), "ci_low", "ci_high")
+    return tidy(ev.date_block_interval(event_returns(spark, d), ["strategy"]), "ci_low", "ci_high")
 
 
 RATIO = """rb AS (SELECT strategy, quantile_cont(pnl, 0.025) AS pl, quantile_cont(pnl, 0.975) AS ph,
@@ -135,10 +136,10 @@ RATIO = """rb AS (SELECT strategy, quantile_cont(pnl, 0.025) AS pl, quantile_con
  FROM boot GROUP BY strategy)"""
 
 
-@query("ratio_bootstrap", "D14", f"""WITH {RET}, {draws_sql(13, 's.pnl')}, {RATIO} SELECT strategy, {six('pl')} AS pnl_low,
+@query("ratio_bootstrap", "D14", f"""WITH {RET}, {draws_sql(13, 's.pnl', RATIO_DRAWS)}, {RATIO} SELECT strategy, {six('pl')} AS pnl_low,
  {six('ph')} AS pnl_high, {six('rl')} AS roi_low, {six('rh')} AS roi_high, {six('pn')} AS p_not_positive FROM rb""")
 def ratio_bootstrap(spark, d):
-    out = ev.ratio_bootstrap(per_date(spark, d), ["strategy"], draws=DRAWS)
+    out = ev.ratio_bootstrap(per_date(spark, d), ["strategy"])
     return tidy(out, "pnl_low", "pnl_high", "roi_low", "roi_high", "p_not_positive")
 
 
@@ -150,7 +151,7 @@ verdicts AS (SELECT *, CASE WHEN events < 30 OR dates < 20 OR stations < 2 THEN
 
 
 def validation(spark, d):
-    return ev.validate(returns(spark, d), ["strategy"], ["event", "station"], F.unix_date("date"), draws=DRAWS)
+    return ev.validate(returns(spark, d), ["strategy"], ["event", "station"], F.unix_date("date"))
 
 
 @query("verdict", "D15", f"""WITH {RET}, {draws_sql(11, 's.pnl / s.capital')}, {INTERVAL}, {DRAWDOWN}, {VERDICT}
@@ -174,7 +175,7 @@ def strategy_ranking(spark, d):
     return ranked.select("strategy", "verdict", place.alias("place"))
 
 
-@query("robustness", "D16", f"""WITH {RET}, {BLOCKS.replace('least(7, n)', 'least(4, n)')}, {draws_sql(13, 's.pnl')}, {RATIO},
+@query("robustness", "D16", f"""WITH {RET}, {BLOCKS.replace('least(7, n)', 'least(4, n)')}, {draws_sql(13, 's.pnl', RATIO_DRAWS)}, {RATIO},
 bb AS (SELECT strategy, count(*) FILTER (p > 0) AS good, count(*) AS all_blocks FROM (SELECT strategy, block, sum(pnl) AS p
  FROM blk GROUP BY ALL) GROUP BY strategy),
 lo AS (SELECT strategy, min(w) AS worst, max(t) AS net, max(c) AS dates FROM (SELECT strategy, sum(pnl) OVER w - pnl AS w,
@@ -183,7 +184,7 @@ SELECT strategy, dates, good AS positive_blocks, {six('net')} AS net, {six('wors
  THEN 'INSUFFICIENT_DATES' WHEN good = all_blocks AND worst > 0 AND rl > 0 AND pn <= 0.05 THEN 'ROBUST' ELSE 'NOT_ROBUST' END AS robustness
 FROM rb JOIN bb USING (strategy) JOIN lo USING (strategy)""")
 def robustness(spark, d):
-    out = ev.robustness(per_date(spark, d), ["strategy"], draws=DRAWS)
+    out = ev.robustness(per_date(spark, d), ["strategy"])
     return tidy(out.select("strategy", "dates", "positive_blocks", "net", "worst_without", "robustness"), "net", "worst_without")
 
 

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from marketlens.bindings.books import LEVEL, LOG, depth_log
-from marketlens.bindings.evaluation import DRAWDOWN, DRAWS, INTERVAL, RET, VERDICT, draws_sql, returns
+from marketlens.bindings.evaluation import DRAWDOWN, INTERVAL, RET, VERDICT, draws_sql, returns
 from marketlens.bindings.registry import query
 from marketlens.bindings.views import EVENTS, events, orders
 from marketlens.operators import books
@@ -125,5 +125,5 @@ def panel_union(spark, d):
     rows = returns(spark, d).withColumn("panel", F.col("date"))
     rows.repartition("panel").write.partitionBy("panel").json(path)
     back = spark.read.schema(returns(spark, d).schema).option("recursiveFileLookup", True).json(path)
-    out = ev.validate(back, ["strategy"], ["event", "station"], F.unix_date("date"), draws=DRAWS)
+    out = ev.validate(back, ["strategy"], ["event", "station"], F.unix_date("date"))
     return out.select("strategy", "events", "dates", "stations", "verdict", (F.round("net", 4) + F.lit(0.0)).alias("net"))

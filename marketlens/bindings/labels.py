@@ -18,7 +18,6 @@ from marketlens.operators import ladders, reports
 from marketlens.operators.catalog import ladder_check
 from marketlens.operators.ordered import ordinal
 from marketlens.operators.signals import evaluated, unit_fee
-from marketlens.session import cut_lineage
 from marketlens.plans.case_replay import evaluate_cases, replay
 from marketlens.plans.causal_labels import label_books
 
@@ -134,7 +133,7 @@ def legs(spark, d):
     """Lines of an order as ladder legs: a tail, buckets of one degree, a tail; some are spoiled."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     key = ["l_partkey", "l_suppkey", "l_linenumber"]
-    placed = ordinal(li, ["event_id"], key, "pos", F.floor(F.col("l_partkey") / 100))
+    placed = ordinal(li, ["event_id"], key, "pos", None)  # an event has a handful of legs
     size = li.groupBy("event_id").agg(F.count(F.lit(1)).alias("_size"))
     out = placed.join(size, "event_id")
     pos, q, disc = F.col("pos"), F.col("l_quantity"), F.col("l_discount")
@@ -142,8 +141,7 @@ def legs(spark, d):
     base = pos.cast("double") + 60
     spoiled = F.when(q <= 2, 0.5).when(q <= 6, 1.0).otherwise(0.0)
     text = lambda c: F.lit(c)
-    # The proof reads its legs several times: store them once.
-    return cut_lineage(out.select(
+    return out.select(
         "event_id", pos.alias("pos"), F.concat_ws("-", "event_id", F.when(disc == 0.1, F.lit(1)).otherwise(pos)).alias("ticker"), shape.alias("shape"),
         F.when(shape != "below", base + spoiled).alias("lower"), F.when(shape != "above", base).alias("upper"),
         F.lit(True).alias("lower_inclusive"), F.lit(True).alias("upper_inclusive"),
@@ -151,7 +149,7 @@ def legs(spark, d):
         text("KNYC").alias("station"), F.when(q == 49, "2024-01-02").otherwise("2024-01-01").alias("date"), text("DAILY_HIGH").alias("measurement"),
         text("LST").alias("window"), text("F").alias("unit"), text("WHOLE_DEGREE").alias("rounding"), text("INTEGER").alias("value_domain"),
         F.round(0.04 + disc, 4).alias("yes_ask"), F.round(F.lit(0.9) - F.col("l_tax"), 4).alias("no_ask"),
-    ))
+    )
 
 
 LEGS = """ll AS (SELECT l_orderkey AS event_id, l_quantity AS q, l_discount AS di, l_tax AS tx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS pos,
@@ -169,7 +167,7 @@ proof AS (SELECT event_id, legs, CASE WHEN legs < 3 THEN 'TOO_FEW_LEGS' WHEN tk
 @query("ladder_proof", "E15 A22", f"WITH {LEGS} SELECT event_id, legs, reason FROM proof")
 def ladder_proof(spark, d):
     rows = legs(spark, d)
-    return ladders.ladder_proof(rows, rows.select("event_id", "ticker").distinct(), width=4.0)
+    return ladders.ladder_proof(rows, rows.select("event_id", "ticker").distinct())
 
 
 def fee_text(p):
@@ -181,7 +179,7 @@ def fee_text(p):
 SELECT event_id, n AS n_legs, 'BASKET_YES' AS side, {six('1 - y')} AS edge FROM c WHERE round(1 - y, 9) >= 0.05 UNION ALL SELECT event_id, n, 'BASKET_NO', {six('n - 1 - o')} FROM c WHERE round(n - 1 - o, 9) >= 0.05""")
 def ladder_underround(spark, d):
     rows = legs(spark, d)
-    proof = ladders.ladder_proof(rows, rows.select("event_id", "ticker").distinct(), width=4.0)
+    proof = ladders.ladder_proof(rows, rows.select("event_id", "ticker").distinct())
     priced = rows.withColumns({"yes_fee": unit_fee(F.col("yes_ask")), "no_fee": unit_fee(F.col("no_ask"))})
     out = ladders.underround(priced, proof, 0.05 - 1e-9)
     return tidy(out.select("event_id", "n_legs", "side", "edge"), "edge")

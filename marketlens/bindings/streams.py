@@ -1,4 +1,4 @@
-"""Streaming flows over the event files; each has the rows of its batch twin."""
+"""Streaming flows over the events, replayed in four batches with a restart before each; each has the rows of its batch twin."""
 
 from __future__ import annotations
 
@@ -7,44 +7,28 @@ from pyspark.sql import functions as F
 from marketlens.bindings import books as bb
 from marketlens.bindings.registry import query
 from marketlens.bindings.tables import MSG, messages
-from marketlens.bindings.views import EVENTS, six
+from marketlens.bindings.views import EVENTS, six, table
 from marketlens.functions.numbers import six as r6
 from marketlens.functions.times import naive
-from marketlens.session import scratch_path
+from marketlens.session import cut_lineage, scratch_path
 from marketlens.streaming import flows, state
 
 
-def raw_events(spark, d):
-    """The events file as a stream of files."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return flows.tail_parquet(spark, d, schema, pattern="events.parquet")
-
-
-def event_stream(spark, d):
-    return raw_events(spark, d).select(
+def event_rows(spark, d):
+    return table(spark, d, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
 
 
-def as_stream(df, name):
-    """A frame Spark derived from the tables, replayed as a stream of files."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return flows.tail_parquet(spark, path, df.schema)
-
-
 @query("stream_sequence_gate", "I2", f"WITH {MSG} SELECT connection, pos, seq, status FROM sq")
 def stream_sequence_gate(spark, d):
-    source = as_stream(messages(spark, d).drop("value", "event_type"), "messages")
-    return flows.drain(state.gate_stream(source), "gate")
+    return flows.replayed(cut_lineage(messages(spark, d).drop("value", "event_type")), "ts", state.gate_stream, "gate")
 
 
 @query("stream_book_state", "I1", f"WITH {bb.LOG} SELECT ticker, CAST(epoch AS BIGINT) AS epoch, side, price, seq, size FROM lev")
 def stream_book_state(spark, d):
-    e = event_stream(spark, d)
-    return flows.drain(state.book_stream(bb.depth_log_of(e).drop("received")), "book")
+    return flows.replayed(bb.depth_log_of(event_rows(spark, d)).drop("received"), "ts", state.book_stream, "book")
 
 
 @query("stream_delayed_fill", "I6 I7", f"""WITH {bb.SIG}, mk AS (SELECT s.signal_id, s.contract, s.side, CAST(hz AS BIGINT) AS horizon, min(struct_pack(t := b.ts, e := b.seq)) AS h FROM sig s, (SELECT unnest([300, 3600, 86400]) AS hz)
@@ -53,7 +37,7 @@ SELECT mk.contract, mk.signal_id, mk.horizon, mk.side, mk.h.e AS fill_id, mk.h.t
 def stream_delayed_fill(spark, d):
     from marketlens.bindings.views import quotes_of
 
-    q = quotes_of(event_stream(spark, d))
+    q = quotes_of(event_rows(spark, d))
     is_quote = F.col("event_type") != "signup"
     horizons = F.when(is_quote, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(*[F.lit(h).cast("bigint") for h in (300, 3600, 86_400)]))
     rows = q.withColumn("is_quote", is_quote).withColumn("horizon", F.explode(horizons)).select(
@@ -61,7 +45,7 @@ def stream_delayed_fill(spark, d):
         F.timestamp_micros(F.unix_micros("ts") + F.col("horizon") * 1_000_000).alias("due"),
         F.when(F.col("k") % 2 == 0, "YES").otherwise("NO").alias("side"), "yes_ask", "no_ask",
     )
-    out = flows.drain(state.fill_stream(rows), "fills")
+    out = flows.replayed(rows, "ts", state.fill_stream, "fills")
     return out.withColumns({"fill_time": naive(F.col("fill_time")), "price": r6(F.col("price"))})
 
 
@@ -71,17 +55,18 @@ SELECT user_id AS component, event_id, CASE WHEN sig = '' THEN 'OK' ELSE 'ERROR'
 def stream_health(spark, d):
     kind = F.col("event_type")
     reason = F.when(kind == "error", "STALE_HEALTH").when(kind == "purchase", "INVALID_HEALTH_TTL").otherwise("CURRENT_HEALTH")
-    rows = event_stream(spark, d).select(
+    rows = event_rows(spark, d).select(
         F.col("user_id").alias("component"), "ts", "event_id", reason.alias("reason"),
         F.when(kind.isin("error", "purchase"), "ERROR").otherwise("OK").alias("status"),
     )
-    return flows.drain(state.health_stream(rows), "health")
+    return flows.replayed(rows, "ts", state.health_stream, "health")
 
 
-@query("stream_once_per_event", "I8 I9", "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'signup'")
+@query("stream_once_per_event", "I8 I9", "SELECT user_id || ':' || CAST(ts AS DATE) AS event, arg_min(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events WHERE event_type = 'signup' GROUP BY ALL")
 def stream_once_per_event(spark, d):
-    s = event_stream(spark, d).where(F.col("event_type") == "signup").withColumn("day", F.to_date("ts"))
-    return flows.drain(flows.once_per_event(s, ["user_id", "day"], "ts", "2 days"), "claims").select("user_id", "day")
+    named = F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("event")
+    signals = event_rows(spark, d).where(F.col("event_type") == "signup").select(named, "event_id", "ts")
+    return flows.replayed(signals, "ts", state.claim_stream, "claims").select("event", "event_id")
 
 
 @query("stream_type_counts", "I5 I15", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, max(ts) AS last_seen FROM events GROUP BY ALL")
@@ -89,37 +74,51 @@ def stream_type_counts(spark, d):
     from marketlens.operators.feeds import type_counts
 
     path = scratch_path(spark, "counts")
-    table = flows.VersionedTable(spark, f"{path}/table")
-    flows.keep_complete(type_counts(event_stream(spark, d), "ts", "event_type"), table, f"{path}/checkpoint").awaitTermination()
-    return table.read().withColumns({c: naive(F.col(c)) for c in ("window_start", "last_seen")})
+    kept = flows.VersionedTable(spark, f"{path}/table")
+
+    def run(stream):
+        counts = type_counts(stream.withWatermark("ts", "2 hours"), "ts", "event_type")
+        flows.keep_updates(counts, ["window_start", "event_type"], kept, f"{path}/checkpoint").awaitTermination()
+
+    flows.replay(event_rows(spark, d), "ts", run, "counts-in")
+    return kept.read().withColumns({c: naive(F.col(c)) for c in ("window_start", "last_seen")})
 
 
 @query("stream_best_quote", "I3 A12", """SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, arg_max(value, struct_pack(t := ts, e := event_id)) AS value FROM events GROUP BY user_id""")
 def stream_best_quote(spark, d):
     path = scratch_path(spark, "quotes")
-    table = flows.VersionedTable(spark, f"{path}/table")
-    flows.keep_latest(event_stream(spark, d), ["user_id"], ["ts", "event_id"], table, f"{path}/checkpoint").awaitTermination()
-    return table.read().select("user_id", "event_id", "value")
+
+    def run(stream):
+        # a new table object each time, as after a restart: what is kept is on disk
+        flows.keep_latest(stream, ["user_id"], ["ts", "event_id"], flows.VersionedTable(spark, f"{path}/table"), f"{path}/checkpoint").awaitTermination()
+
+    flows.replay(event_rows(spark, d), "ts", run, "quotes-in")
+    return flows.VersionedTable(spark, f"{path}/table").read().select("user_id", "event_id", "value")
 
 
 @query("stream_raw_archive", "I4 I13 A10", "SELECT event_id, user_id, CAST(ts AS DATE) AS date, CAST(extract(hour FROM ts) AS INTEGER) AS hour FROM events")
 def stream_raw_archive(spark, d):
     path = scratch_path(spark, "archive")
-    rows = flows.raw_archive(event_stream(spark, d), "ts")
-    flows.append_to(rows, f"{path}/table", f"{path}/checkpoint", partitions=["date", "hour"], fmt="json").awaitTermination()
-    return spark.read.schema("event_id bigint, user_id bigint, date date, hour int").json(f"{path}/table").select("event_id", "user_id", "date", "hour")
+
+    def run(stream):
+        whole = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "k"))
+        rows = flows.raw_archive(stream.select(whole.alias("value"), "ts"), "ts").drop("ts")
+        flows.append_to(rows, f"{path}/table", f"{path}/checkpoint", partitions=["date", "hour"], fmt="text", compression="gzip").awaitTermination()
+
+    flows.replay(event_rows(spark, d), "ts", run, "archive-in")
+    read = spark.read.schema("value string, date date, hour int").text(f"{path}/table")
+    field = lambda name: F.get_json_object("value", f"$.{name}").cast("bigint").alias(name)
+    return read.select(field("event_id"), field("user_id"), "date", "hour")
 
 
 @query("stream_settlement", "I11", """WITH f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), r AS (SELECT event_id AS result_id, user_id, ts AS result_time FROM events WHERE event_type = 'purchase')
-SELECT f.event_id, f.user_id, r.result_id FROM f JOIN r ON f.user_id = r.user_id AND r.result_time >= f.ts AND r.result_time <= f.ts + INTERVAL 3 DAY""")
+SELECT f.event_id, f.user_id, arg_min(r.result_id, struct_pack(t := r.result_time, e := r.result_id)) AS result_id FROM f JOIN r ON f.user_id = r.user_id AND r.result_time >= f.ts GROUP BY ALL""")
 def stream_settlement(spark, d):
-    fills = event_stream(spark, d).where(F.col("event_type") == "view").select("event_id", "user_id", "ts")
-    results = event_stream(spark, d).where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("result_id"), "user_id", F.col("ts").alias("result_time")
+    rows = event_rows(spark, d).where(F.col("event_type").isin("view", "purchase")).select(
+        F.col("user_id").alias("contract"), F.col("event_id").alias("id"), "ts", (F.col("event_type") == "purchase").alias("is_result")
     )
-    joined = flows.settlement_join(fills, results, "user_id", fill_time="ts", result_time="result_time", wait="3 days")
-    # Matches come out at once; rows without a result come out as the watermark passes, so only matches compare.
-    return flows.drain(joined, "settled").where(F.col("result_id").isNotNull()).select("event_id", "user_id", "result_id")
+    out = flows.replayed(rows, "ts", state.settlement_stream, "settled")
+    return out.select(F.col("fill_id").alias("event_id"), F.col("contract").alias("user_id"), "result_id")
 
 
 @query("stream_fan_out", "I14", "SELECT 'cheap' AS strategy, event_id FROM events WHERE value < 20 UNION ALL SELECT 'rich', event_id FROM events WHERE value > 80")
@@ -130,14 +129,14 @@ def stream_fan_out(spark, d):
         raise RuntimeError("strategy fails")
 
     strategies = {"cheap": lambda b: b.where("value < 20").select("event_id"), "broken": broken, "rich": lambda b: b.where("value > 80").select("event_id")}
-    flows.fan_out(event_stream(spark, d), strategies, path, f"{path}/checkpoint").awaitTermination()
+    flows.replay(event_rows(spark, d), "ts", lambda stream: flows.fan_out(stream, strategies, path, f"{path}/checkpoint").awaitTermination(), "fanout-in")
     return spark.read.parquet(f"{path}/signals").select(F.col("strategy").cast("string").alias("strategy"), "event_id")
 
 
 @query("stream_fresh_rows", "I10", f"WITH {EVENTS} SELECT event_id, user_id FROM ev WHERE k BETWEEN 0 AND 60")
 def stream_fresh_rows(spark, d):
     now = F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 1_000_000)
-    return flows.drain(flows.fresh_rows(event_stream(spark, d), "ts", now, 60, "1 hour"), "fresh").select("event_id", "user_id")
+    return flows.replayed(event_rows(spark, d), "ts", lambda s: flows.fresh_rows(s, "ts", now, 60), "fresh").select("event_id", "user_id")
 
 
 @query("bounded_seen", "I9", "SELECT user_id, event_id FROM (SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id) ORDER BY ts DESC, event_id DESC LIMIT 50")

@@ -71,8 +71,9 @@ def fallback_when_empty(spark, d):
 
 
 @query("pick_source", "G5 G4", """WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, value, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS rk FROM events WHERE event_type <> 'error'),
-c AS (SELECT *, max(ts) OVER (PARTITION BY user_id, day) AS newest FROM (SELECT *, min(rk) OVER (PARTITION BY user_id, day) AS best FROM r) WHERE rk = best)
-SELECT user_id, day, event_id, value, CAST(rk AS INTEGER) AS source_rank, CASE WHEN epoch_us(CAST(day AS TIMESTAMP) + INTERVAL 1 DAY) - epoch_us(newest) > 36000000000 THEN 'STALE' ELSE 'OK' END AS status FROM c""")
+s AS (SELECT user_id, day, rk, epoch_us(CAST(day AS TIMESTAMP) + INTERVAL 1 DAY) - epoch_us(max(ts)) > 36000000000 AS stale FROM r GROUP BY ALL),
+c AS (SELECT r.*, stale FROM r JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY stale, rk) = 1) b USING (user_id, day, rk))
+SELECT user_id, day, event_id, value, CAST(rk AS INTEGER) AS source_rank, CASE WHEN stale THEN 'STALE' ELSE 'OK' END AS status FROM c""")
 def pick_source(spark, d):
     rank = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
     e = events(spark, d).where(F.col("event_type") != "error").select(
@@ -181,12 +182,15 @@ def pair_edge(spark, d):
 @query("venue_rank", "F6", f"""WITH b AS (SELECT l_suppkey AS venue, avg(l_discount) AS m, min(0.4::DOUBLE + l_discount + l_tax / 2) AS cost FROM lineitem GROUP BY 1)
 SELECT venue, {six('0.6::DOUBLE - cost')} AS edge, CAST(rank() OVER (ORDER BY round(0.6::DOUBLE - cost, 9) DESC) AS BIGINT) AS place FROM b""")
 def venue_rank(spark, d):
-    from pyspark.sql import Window
+    from marketlens.operators.ordered import running
 
     costs = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("venue")).agg(F.min(F.lit(0.4) + F.col("l_discount") + F.col("l_tax") / 2).alias("cost"))
-    # One row per venue: the single ranking pass is bounded by the number of venues.
-    edge = F.lit(0.6) - F.col("cost")
-    return costs.select("venue", r6(edge).alias("edge"), F.rank().over(Window.orderBy(F.desc(F.round(edge, 9)))).cast("bigint").alias("place"))
+    edges = costs.select("venue", (F.lit(0.6) - F.col("cost")).alias("edge")).withColumn("_v", F.round("edge", 9))
+    # The rank is one more than the venues above: equal edges are counted first and summed in value blocks.
+    counted = edges.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(1))
+    above = running(counted, ["_all"], ["_v"], {"_above": ("sum", F.col("_n"))}, F.floor(F.col("_v") * 100), descending=True, current=False)
+    ranked = edges.join(above.select("_v", F.coalesce("_above", F.lit(0)).alias("_above")), "_v")
+    return ranked.select("venue", r6(F.col("edge")).alias("edge"), (F.col("_above") + 1).cast("bigint").alias("place"))
 
 
 @query("gate_events", "C14 I10", """WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events), g AS (SELECT user_id, day FROM e GROUP BY ALL
@@ -222,9 +226,9 @@ def fee_schedule(spark, d):
 
 
 @query("parameter_grid", "C17", """SELECT o_orderkey, CAST(lat AS BIGINT) AS latency, dp AS depth, fl AS floor FROM orders, (SELECT unnest([0, 300]) AS lat), (SELECT unnest([5.0, 25.0])::DOUBLE AS dp),
- (SELECT unnest([0.0, 0.15])::DOUBLE AS fl) WHERE o_totalprice >= 300000""")
+ (SELECT unnest([0.0, 0.15])::DOUBLE AS fl)""")
 def parameter_grid(spark, d):
-    out = orders(spark, d).where(F.col("o_totalprice") >= 300000).select("o_orderkey")
+    out = orders(spark, d).select("o_orderkey")
     out = out.withColumn("latency", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 300)])))
     out = out.withColumn("depth", F.explode(F.array(F.lit(5.0), F.lit(25.0))))
     return out.withColumn("floor", F.explode(F.array(F.lit(0.0), F.lit(0.15))))

@@ -91,6 +91,15 @@ def ticker_date(ticker: Column) -> Column:
     return _date_of(F.concat(F.lit("20"), part(1)), _month_index(part(2)), part(3))
 
 
+def iso_dates_in_text(text: Column) -> Column:
+    """All valid dates a text gives in ISO form, in order."""
+    dates = F.transform(
+        F.regexp_extract_all(text, F.lit(ISO_DATE), F.lit(0)),
+        lambda m: _date_of(F.regexp_extract(m, ISO_DATE, 1), F.regexp_extract(m, ISO_DATE, 2).try_cast("int"), F.regexp_extract(m, ISO_DATE, 3)),
+    )
+    return F.filter(dates, lambda d: d.isNotNull())
+
+
 def dates_in_text(text: Column) -> Column:
     """All valid dates of a text, ISO forms first, then natural ones.
 
@@ -100,15 +109,11 @@ def dates_in_text(text: Column) -> Column:
     def part(match: Column, pattern: str, i: int) -> Column:
         return F.regexp_extract(match, pattern, i)
 
-    iso = F.transform(
-        F.regexp_extract_all(text, F.lit(ISO_DATE), F.lit(0)),
-        lambda m: _date_of(part(m, ISO_DATE, 1), part(m, ISO_DATE, 2).try_cast("int"), part(m, ISO_DATE, 3)),
-    )
     natural = F.transform(
         F.filter(F.regexp_extract_all(text, F.lit(NATURAL_CANDIDATE), F.lit(0)), lambda m: m.rlike(NATURAL_DATE)),
         lambda m: _date_of(part(m, NATURAL_DATE, 3), _month_index(part(m, NATURAL_DATE, 1)), part(m, NATURAL_DATE, 2)),
     )
-    return F.filter(F.concat(iso, natural), lambda d: d.isNotNull())
+    return F.concat(iso_dates_in_text(text), F.filter(natural, lambda d: d.isNotNull()))
 
 
 def station_hits(text: Column) -> Column:

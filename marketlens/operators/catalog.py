@@ -12,12 +12,25 @@ from marketlens.functions.contracts import parse_label
 from marketlens.functions.dimensions import HIGH_SERIES, LOW_SERIES
 
 
-def flatten_payload(df: DataFrame, keys: Sequence[str], payload: Column, *, root: str = "", depth: int = 6) -> DataFrame:
-    """``(keys, path, text)`` of every non-null leaf of a JSON payload, up to ``depth`` levels.
+def nesting(json: Column) -> Column:
+    """How deep objects and arrays of a JSON text are nested: brackets outside strings, counted up and down."""
+    marks = F.regexp_replace(F.regexp_replace(json, r'"(?:\\\\.|[^"\\\\])*+"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
 
-    Each level is one explode over typed variants, so texts that look like JSON stay texts and no
-    level re-reads the source.
+    def step(seen: Column, mark: Column) -> Column:
+        at = seen["at"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(at.alias("at"), F.greatest(seen["most"], at).alias("most"))
+
+    return F.aggregate(F.split(marks, ""), start, step, lambda seen: seen["most"])
+
+
+def flatten_payload(df: DataFrame, keys: Sequence[str], payload: Column, *, root: str = "") -> DataFrame:
+    """``(keys, path, text)`` of every non-null leaf of a JSON payload, however deep.
+
+    One pass over the payloads measures the deepest nesting; then each level is one explode over typed variants, so
+    texts that look like JSON stay texts and no level re-reads the source.
     """
+    depth = df.agg(F.coalesce(F.max(nesting(payload)), F.lit(0))).first()[0]
     level = df.select(*keys, F.lit(root).alias("path"), F.try_parse_json(payload).alias("_v"))
     for _ in range(depth):
         kind = F.schema_of_variant("_v")
@@ -89,7 +102,7 @@ def classify_contracts(markets: DataFrame) -> DataFrame:
     """Catalogue status, measurement, station, date, shape and reasons of each market.
 
     Exact series only; one unique station code; an explicit date; bounds for temperature contracts;
-    a climate-report source. EXACT needs all, PROBABLE a station or a source, REVIEW neither.
+    a climate-report source. Only an ISO date is explicit here. EXACT needs all, PROBABLE a station or a source, REVIEW neither.
     """
     first_part = lambda c: F.upper(F.get(F.split(F.col(c), "-"), 0))
     series = F.coalesce(
@@ -116,7 +129,7 @@ def classify_contracts(markets: DataFrame) -> DataFrame:
     )
     codes = F.array_distinct(F.regexp_extract_all(F.upper("_text"), F.lit(r"\bK[A-Z]{3}\b"), F.lit(0)))
     stated = F.try_to_date(F.substring("settlement_date", 1, 10), "yyyy-MM-dd")
-    in_rules = F.get(tx.dates_in_text(_joined(("rules_primary", "rules_secondary", "title"))), 0)
+    in_rules = F.get(tx.iso_dates_in_text(_joined(("rules_primary", "rules_secondary", "title"))), 0)
     floor, cap = F.col("floor_strike"), F.col("cap_strike")
     shape = (
         F.when(floor.isNotNull() & cap.isNotNull(), "bucket").when(floor.isNotNull(), "above").when(cap.isNotNull(), "below")

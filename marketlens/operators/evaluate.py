@@ -245,7 +245,7 @@ def scorecard(
     money = owned.join(settled, "fill_id").groupBy("strategy").agg(
         F.count(F.lit(1)).alias("settled"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("net"),
         F.sum(F.col("contracts") * F.col("price") + F.col("fee")).alias("capital"),
-        F.count_distinct("date").alias("dates"), F.count_distinct("station").alias("stations"),
+        F.count_distinct("date").alias("dates"), F.count_distinct(F.nullif("station", F.lit("UNKNOWN"))).alias("stations"),
     )
     moved = marks.where(F.col("value").isNotNull()).join(owned, "signal_id").groupBy("strategy", "horizon").agg(
         F.avg(F.col("value") - F.col("price")).alias("markout")

@@ -7,15 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.ordered import ordinal, previous_row, value_block
+from marketlens.operators.ordered import ordinal, previous_row
 
 #: Texts every leg must agree on, and the supported domain/rounding pairs.
 BASIS_FIELDS = ("source", "station", "date", "measurement", "window", "unit", "rounding", "value_domain")
 DOMAINS = {"INTEGER": "WHOLE_DEGREE", "CONTINUOUS": "NONE"}
 
-#: Sorts before any finite bound.
-NO_BOUND_BLOCK = -(2**60)
-
 
 def _blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
@@ -32,12 +29,12 @@ def _bounds(domain: Column) -> dict[str, Column]:
     }
 
 
-def ladder_proof(legs: DataFrame, members: DataFrame, *, width: float = 10.0) -> DataFrame:
+def ladder_proof(legs: DataFrame, members: DataFrame) -> DataFrame:
     """First reason why the legs of an event are not an exact partition, or EXACT_PARTITION.
 
     ``legs``: event_id, ticker, pos, shape, lower, upper, lower_inclusive, upper_inclusive, mapping_status,
     evidence and the basis fields. ``members``: event_id, ticker as the venue lists them. Every test
-    is an aggregate; adjacency compares each leg with the one before it, in blocks of the lower bound.
+    is an aggregate; adjacency compares each leg with the one before it, in one window per event: a ladder is short.
     """
     domain = F.col("value_domain")
     b = _bounds(domain)
@@ -85,9 +82,8 @@ def ladder_proof(legs: DataFrame, members: DataFrame, *, width: float = 10.0) ->
         ).alias("_not_members")
     )
     placed = leg.select("event_id", "pos", "lo", "hi", "li", "ui", F.col("lo").isNotNull().alias("_has"), "value_domain")
-    block = F.when(F.col("lo").isNull(), F.lit(NO_BOUND_BLOCK)).otherwise(value_block("lo", width))
     pairs = previous_row(
-        placed, ["event_id"], ["_has", "lo", "pos"], {"_phi": "hi", "_pui": "ui", "_ppos": "pos"}, block
+        placed, ["event_id"], ["_has", "lo", "pos"], {"_phi": "hi", "_pui": "ui", "_ppos": "pos"}, None
     ).where(F.col("_ppos").isNotNull())
     open_tail = F.col("_phi").isNull() | F.col("lo").isNull()
     apart = F.when(domain == "INTEGER", F.col("_phi") + 1 != F.col("lo")).otherwise(

@@ -43,17 +43,18 @@ def fallback_when_empty(primary: DataFrame, secondary: DataFrame, keys: Sequence
 def pick_source(
     ranked: DataFrame, key: Sequence[str], time: str, order: Sequence[str], now: Column, max_age_seconds: float
 ) -> DataFrame:
-    """Rows of the best ranked source per key, one per time (last wins), with a freshness status.
+    """Rows of one source per key, one per time (last wins), with a freshness status.
 
-    ``ranked`` holds a ``source_rank`` (lower is better).
+    ``ranked`` holds a ``source_rank`` (lower is better). The best rank whose newest row is fresh is chosen, and only
+    where no source is fresh the best rank of all.
     """
     key = list(key)
-    best = ranked.groupBy(*key).agg(F.min("source_rank").alias("source_rank"))
-    chosen = latest_per_key(ranked.join(best, [*key, "source_rank"], "left_semi"), [*key, time], order)
-    newest = chosen.groupBy(*key).agg(F.max(time).alias("_newest"))
     age = (F.unix_micros(now) - F.unix_micros("_newest")) / F.lit(1e6)
-    fresh = newest.withColumn("status", F.when(age > max_age_seconds, "STALE").otherwise("OK"))
-    return chosen.join(fresh.drop("_newest"), key)
+    sources = ranked.groupBy(*key, "source_rank").agg(F.max(time).alias("_newest")).withColumn("_stale", age > max_age_seconds)
+    best = sources.groupBy(*key).agg(F.min(F.struct("_stale", "source_rank")).alias("_b"))
+    status = F.when(F.col("_b._stale"), "STALE").otherwise("OK").alias("status")
+    picked = best.select(*key, F.col("_b.source_rank").alias("source_rank"), status)
+    return latest_per_key(ranked.join(picked, [*key, "source_rank"]), [*key, time], order)
 
 
 def refresh_difference(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

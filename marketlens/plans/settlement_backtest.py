@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.numbers import capital_at_risk, fee_ceil_cent, roi, terminal_pnl
 from marketlens.operators.asof import asof_forward
 from marketlens.operators.books import merge_levels, walk_levels
+from marketlens.session import cut_lineage
 
 
 def parameter_grid(signals: DataFrame, latencies: Sequence[float]) -> DataFrame:
@@ -30,7 +31,10 @@ def execute(
         aimed, books, ["event"], "signal_time", "book_time", ["book_time", "book"], right_tie=["book"],
         latency=F.col("latency"), block_seconds=block_seconds,
     )
-    ladder = merge_levels(levels, ["book"], "price", "size")
+    # Only the few books that were found are merged.
+    found = cut_lineage(found)
+    wanted = found.select("book").where(F.col("book").isNotNull()).distinct()
+    ladder = merge_levels(levels.join(wanted, "book", "left_semi"), ["book"], "price", "size")
     # Everything found rides along as a group key, so the as-of result is read once.
     trades = walk_levels(
         found.join(ladder, "book", "left"), found.columns, ["event", "latency"], "price", "size",

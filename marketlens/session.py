@@ -29,10 +29,12 @@ _private: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where none is named."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session, as in tests, may go without one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _private:
         _private.append(tempfile.mkdtemp(prefix="spark-marketlens-", dir="/tmp"))
     return _private[0]
@@ -44,7 +46,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder once, so that later stages read it back."""
+    """Write the frame to the shared folder once, so that later stages read only the columns and rows they need of it."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,10 +13,6 @@ from marketlens.functions.numbers import clean_number
 from marketlens.operators.ordered import latest_per_key
 from marketlens.schemas import ARCHIVE_EVENT, DEPTH_EVENT, LEVELS, MANIFEST, require_columns
 
-#: Longest id list that is worth a literal predicate; larger sets join instead.
-LITERAL_IDS = 1000
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path (or pattern) holds anything, on any Hadoop file system."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -25,15 +21,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _id_filter(df: DataFrame, column: Column, name: str, ids: Sequence[str] | DataFrame | None) -> DataFrame:
+def _id_filter(df: DataFrame, name: str, ids: Sequence[str] | DataFrame | None) -> DataFrame:
+    """Rows whose id is wanted: a semi join on keys of the stored type, whatever their number."""
     if ids is None:
         return df
-    if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(name)).distinct(), name, "left_semi")
-    if len(ids) > LITERAL_IDS:
-        rows = df.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(name, T.StringType())]))
-        return df.join(rows, name, "left_semi")
-    return df.where(column.isin(*ids))
+    if not isinstance(ids, DataFrame):
+        ids = df.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(name, T.StringType())]))
+    return df.join(ids.select(F.col(ids.columns[0]).cast(df.schema[name].dataType).alias(name)), name, "left_semi")
 
 
 def read_archive(
@@ -52,14 +46,8 @@ def read_archive(
         df = df.where(F.col("timestamp_received") < F.lit(end))
     if kinds:
         df = df.where(F.col("event_type").isin(*kinds))
-    df = _id_filter(df, F.col("asset_id"), "asset_id", assets)
-    if markets is not None and not isinstance(markets, DataFrame) and len(markets) <= LITERAL_IDS:
-        stored = df.schema["market"].dataType
-        keys = [F.lit(m.encode("ascii")) if isinstance(stored, T.BinaryType) else F.lit(m) for m in markets]
-        df = df.where(F.col("market").isin(*keys))
-        markets = None
+    df = _id_filter(_id_filter(df, "asset_id", assets), "market", markets)
     df = df.withColumn("market", F.col("market").cast("string"))
-    df = _id_filter(df, F.col("market"), "market", markets)
 
     def depth(column: str) -> Column:
         pairs = F.from_json(column, "array<array<string>>")
@@ -87,7 +75,7 @@ def read_depth_events(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     checked = F.when(
         blank(F.col("market_ticker")) | blank(F.col("event_type")), F.raise_error(F.lit("depth row without ticker or type"))
     ).otherwise(F.col("market_ticker"))
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n"))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index").alias("n"))
     return df.select(
         checked.alias("ticker"), F.coalesce("market_id", F.lit("")).alias("market_id"), "event_type",
         F.coalesce("timestamp", "timestamp_received").alias("ts"), F.col("timestamp_received").alias("received"),
@@ -225,11 +213,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def bulletin_blocks(spark: SparkSession, path: str, header: str = r"(?m)^\s*(K[A-Z]{3})\s+NBM\s+V") -> DataFrame:
     """One row per station block of forecast bulletins: issue file, station, first maximum and spread.
 
-    Files are split at their station headers, so a block never crosses a row.
+    Lines are read one by one and numbered by the headers before them in their file; a block is the lines from one
+    header to the next, and only a block is gathered in one row.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    marked = whole.select("file", F.regexp_replace("value", header, "\u0001$1 ").alias("_m"))
-    return marked.select("file", F.explode(F.slice(F.split("_m", "\u0001"), 2, 1_000_000)).alias("block")).transform(parse_blocks)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"), "value"
+    )
+    order = Window.partitionBy("file").orderBy("_b", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumn("_block", F.sum(F.col("value").rlike(header).cast("int")).over(order)).where("_block > 0")
+    gathered = numbered.groupBy("file", "_block").agg(F.sort_array(F.collect_list(F.struct("_b", "_n", "value"))).alias("_l"))
+    text = F.regexp_replace(F.array_join(F.col("_l.value"), "\n"), header, "$1 ")
+    return gathered.select("file", text.alias("block")).transform(parse_blocks)
 
 
 def parse_blocks(blocks: DataFrame) -> DataFrame:

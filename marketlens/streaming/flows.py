@@ -12,19 +12,14 @@ from marketlens.operators.ordered import latest_per_key
 from marketlens.session import scratch_path
 
 
-def tail_json(spark: SparkSession, path: str, schema: T.StructType, *, files_per_batch: int = 1000) -> DataFrame:
-    """New rows of an append-only folder of JSON lines; offsets live in the query's checkpoint."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
-
-
 def tail_parquet(spark: SparkSession, path: str, schema: T.StructType, *, pattern: str | None = None, files_per_batch: int = 1000) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
 
 
-def append_to(df: DataFrame, path: str, checkpoint: str, *, partitions: Sequence[str] = (), fmt: str = "parquet"):
+def append_to(df: DataFrame, path: str, checkpoint: str, *, partitions: Sequence[str] = (), fmt: str = "parquet", **options: str):
     """Start a writer that appends each batch exactly once."""
-    writer = df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = df.writeStream.format(fmt).options(**options).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.partitionBy(*partitions) if partitions else writer).trigger(availableNow=True).start()
 
 
@@ -36,61 +31,102 @@ def drain(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/table")
 
 
-def raw_archive(messages: DataFrame, received: str) -> DataFrame:
-    """Raw messages with their receive date and hour, for a sink ahead of any validation."""
-    return messages.withColumns({"date": F.to_date(received), "hour": F.hour(received)})
+def replay(frame: DataFrame, time: str, run: Callable[[DataFrame], None], name: str, slices: int = 4) -> None:
+    """Feed a frame to a flow as a growing folder, in slices of time; each slice is a batch of a newly started query.
 
+    ``run`` gets the stream of the folder, with the same checkpoint each time, and returns when the flow has caught up.
+    """
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = frame.agg(F.min(micros), F.max(micros)).first()
+    place = F.floor((micros - (low or 0)) * slices / ((high or 0) - (low or 0) + 1))
+    for n in range(slices):
+        frame.where(place == n).write.mode("append").parquet(path)
+        run(tail_parquet(spark, path, frame.schema))
 
-def once_per_event(signals: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
-    """The first signal of an event claims it; keys are forgotten once the watermark has passed them."""
-    return signals.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
+def replayed(frame: DataFrame, time: str, flow: Callable[[DataFrame], DataFrame], name: str, **options) -> DataFrame:
+    """The table that an appending flow has written after ``replay``."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    schemas = []
 
-def fresh_rows(df: DataFrame, stamp: str, now: Column, max_age_seconds: float, delay: str) -> DataFrame:
-    """Rows neither in the future nor too old; later rows than the watermark are dropped by state."""
-    age = (F.unix_micros(now) - F.unix_micros(stamp)) / F.lit(1e6)
-    return df.withWatermark(stamp, delay).where((age >= 0) & (age <= max_age_seconds))
+    def run(stream: DataFrame) -> None:
+        out = flow(stream)
+        schemas.append(out.schema)
+        append_to(out, f"{path}/table", f"{path}/checkpoint", **options).awaitTermination()
 
+    replay(frame, time, run, f"{name}-in")
+    return spark.read.schema(schemas[-1]).format(options.get("fmt", "parquet")).load(f"{path}/table")
 
-def settlement_join(fills: DataFrame, results: DataFrame, key: str, *, fill_time: str, result_time: str, wait: str) -> DataFrame:
-    """Fills joined to their result when it arrives within ``wait``; unmatched fills come out after it."""
-    f = fills.withWatermark(fill_time, "1 hour").alias("f")
-    r = results.withWatermark(result_time, "1 hour").alias("r")
-    same = (F.col(f"f.{key}") == F.col(f"r.{key}")) & (F.col(f"r.{result_time}") >= F.col(f"f.{fill_time}")) & (
-        F.col(f"r.{result_time}") <= F.col(f"f.{fill_time}") + F.expr(f"interval {wait}")
-    )
-    return f.join(r, same, "leftOuter").select("f.*", *[F.col(f"r.{c}") for c in results.columns if c != key])
+
+def raw_archive(messages: DataFrame, received: str) -> DataFrame:
+    """Raw messages with their receive date and hour, for a sink ahead of any validation."""
+    return messages.withColumns({"date": F.to_date(received), "hour": F.hour(received)})
+
+
+def fresh_rows(df: DataFrame, stamp: str, now: Column, max_age_seconds: float) -> DataFrame:
+    """Rows neither in the future nor too old at ``now``; a test of each row alone, without state."""
+    age = (F.unix_micros(now) - F.unix_micros(stamp)) / F.lit(1e6)
+    return df.where((age >= 0) & (age <= max_age_seconds))
 
 
 class VersionedTable:
-    """A small keyed table rewritten per batch; a version is named by its batch, so a retry repeats it."""
+    """A keyed table rewritten per batch. A version is a folder named by its batch and counts once its writer has
+    marked it complete, so a new process finds the newest one on disk and a repeated batch starts from the one before."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.version = spark, path, -1
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.version}")
+        self.spark, self.path = spark, path
+
+    def versions(self) -> list[int]:
+        """Complete versions, oldest first."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        marks = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "v=*/_SUCCESS"))
+        return sorted(int(m.getPath().getParent().getName()[2:]) for m in marks)
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The newest version, or the newest one older than batch ``before``; None where there is none."""
+        found = [v for v in self.versions() if before is None or v < before]
+        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
 
     def write(self, df: DataFrame, batch_id: int) -> None:
+        """Write version ``batch_id`` and forget all but the one before it."""
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        self.version = batch_id
+        jvm = self.spark._jvm
+        old = [v for v in self.versions() if v < batch_id][:-1]
+        for version in old:
+            gone = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}")
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], table: VersionedTable, checkpoint: str):
     """Upsert each batch into a keyed table: latest row per key wins."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        before = table.read(batch_id)
         newest = latest_per_key(batch, keys, order)
-        rows = newest if table.version < 0 else latest_per_key(table.read().unionByName(newest), keys, order)
-        table.write(rows, batch_id)
+        table.write(newest if before is None else latest_per_key(before.unionByName(newest), keys, order), batch_id)
 
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_complete(df: DataFrame, table: VersionedTable, checkpoint: str):
-    """Keep the full result of an aggregate, rewritten per batch."""
+def keep_updates(df: DataFrame, keys: Sequence[str], table: VersionedTable, checkpoint: str):
+    """Keep the result of an aggregate: each batch brings the groups that changed, which replace their former rows.
+
+    With a watermark on the aggregate its state is evicted; the table keeps the closed groups.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        before = table.read(batch_id)
+        table.write(batch if before is None else before.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch), batch_id)
+
     return (
-        df.writeStream.outputMode("complete").foreachBatch(table.write).option("checkpointLocation", checkpoint)
+        df.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
@@ -110,7 +146,7 @@ def fan_out(
                 try:
                     strategy(batch).write.mode("overwrite").parquet(f"{path}/signals/strategy={name}/batch={batch_id}")
                 except Exception as exc:  # isolate strategies: record and go on
-                    row = [(name, batch_id, f"{type(exc).__name__}: {str(exc)[:500]}")]
+                    row = [(name, batch_id, f"{type(exc).__name__}: {exc}")]
                     batch.sparkSession.createDataFrame(row, "strategy string, batch bigint, error string").write.mode(
                         "overwrite"
                     ).parquet(f"{path}/errors/strategy_name={name}/batch_id={batch_id}")

@@ -1,7 +1,8 @@
 """Keyed state of the live rules: sequence gate, book fold, delayed fills, health changes.
 
-Each processor loads the small state of its key once per batch, walks the batch in time order and
-writes back what changed. The same rules exist as batch operators; tests compare the two.
+Each processor loads the small state of its key once per batch, decides the batch in time order and writes back what
+changed. Rows are ordered inside a batch; a row that comes in a later batch than its time would ask is taken as it comes.
+The same rules exist as batch operators; tests compare the two.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 GATE_OUTPUT = "connection bigint, pos bigint, seq bigint, status string"
 BOOK_OUTPUT = "ticker bigint, epoch bigint, side string, price double, seq bigint, size double"
 FILL_OUTPUT = "contract bigint, signal_id bigint, horizon bigint, side string, fill_id bigint, fill_time timestamp, price double"
+CLAIM_OUTPUT = "event string, event_id bigint, ts timestamp"
+SETTLED_OUTPUT = "contract bigint, fill_id bigint, result_id bigint"
 HEALTH_OUTPUT = "component bigint, event_id bigint, status string, previous_status string, previous_reason string"
 
 
@@ -31,43 +34,38 @@ def _batch(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class SequenceGate(StatefulProcessor):
-    """Continuity per connection: last number of each subscription and whether a gap has occurred."""
+    """Continuity per connection: last number of each subscription, and whether a gap has occurred.
+
+    The numbers before the first gap decide; from it on everything is invalidated until a new connection. Per
+    subscription the last applied number is the running maximum, so a batch is decided on whole columns.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getMapState("last", "sid int", "seq bigint")
         self.broken = handle.getValueState("broken", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = {k[0]: v[0] for k, v in self.last.iterator()}
-        before = dict(last)
+        batch = _batch(rows, ["ts", "pos"])
+        numbered = batch["sid"].notna() & batch["seq"].notna()
+        sid, seq = batch["sid"].where(numbered), batch["seq"].where(numbered).astype("float64")
+        stored = {k[0]: v[0] for k, v in self.last.iterator()}
+        known = sid.map(stored).astype("float64")
+        earlier = seq.groupby(sid).transform(lambda s: s.cummax().shift())
+        previous = pd.concat([known, earlier], axis=1).max(axis=1)
+        gap = numbered & previous.notna() & (seq > previous + 1) | ~numbered & batch["is_book"].astype(bool)
+        duplicate = numbered & previous.notna() & (seq <= previous)
         broken = self.broken.exists()
-        was_broken = broken
-        out = []
-        at = -1
-        for row in _batch(rows, ["ts", "pos"]).itertuples(index=False):
-            numbered = not pd.isna(row.sid) and not pd.isna(row.seq)
-            previous = last.get(int(row.sid)) if numbered else None
-            if broken:
-                status = "INVALIDATED"
-            elif not numbered:
-                status = "GAP" if row.is_book else "UNSEQUENCED"
-            elif previous is not None and row.seq <= previous:
-                status = "DUPLICATE"
-            elif previous is not None and row.seq > previous + 1:
-                status = "GAP"
-            else:
-                status = "APPLIED"
-                last[int(row.sid)] = int(row.seq)
-            if status == "GAP":
-                broken, at = True, int(row.pos)
-            out.append((int(key[0]), int(row.pos), None if pd.isna(row.seq) else int(row.seq), status))
-        for sid, seq in last.items():
-            if before.get(sid) != seq:
-                self.last.updateValue((sid,), (seq,))
-        if broken and not was_broken:
-            self.broken.update((at,))
-        frame = pd.DataFrame(out, columns=["connection", "pos", "seq", "status"])
-        yield frame.astype({"seq": "Int64"})
+        at = 0 if broken else (int(gap.to_numpy().argmax()) if gap.any() else len(batch))
+        status = pd.Series("APPLIED", batch.index).mask(~numbered, "UNSEQUENCED").mask(duplicate, "DUPLICATE").mask(gap, "GAP")
+        place = pd.RangeIndex(len(batch))
+        status = status.mask(place > at, "INVALIDATED") if not broken else pd.Series("INVALIDATED", batch.index)
+        applied = seq[(place < at) & numbered].groupby(sid[(place < at) & numbered]).max()
+        for subscription, top in applied.items():
+            if stored.get(int(subscription), -1) < top:
+                self.last.updateValue((int(subscription),), (int(top),))
+        if not broken and at < len(batch):
+            self.broken.update((int(batch["pos"].iloc[at]),))
+        yield pd.DataFrame({"connection": int(key[0]), "pos": batch["pos"].astype("int64"), "seq": batch["seq"].astype("Int64"), "status": status})
 
 
 class BookFold(StatefulProcessor):
@@ -111,30 +109,38 @@ class BookFold(StatefulProcessor):
 
 
 class DelayedFill(StatefulProcessor):
-    """Signals wait until the first quote of their contract at or after they are due."""
+    """Signals wait until the first quote of their contract at or after they are due.
+
+    Waiting and new signals are matched with the quotes of the batch by one merge on time. A signal that comes after a
+    quote it could have used meets only later quotes, as live ones do.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.pending = handle.getMapState("pending", "signal_id bigint, horizon bigint", "due timestamp, side string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting = {(k[0], k[1]): (pd.Timestamp(v[0]).tz_localize(None), v[1]) for k, v in self.pending.iterator()}
-        stored = set(waiting)
-        out = []
-        for row in _batch(rows, ["ts", "is_quote", "id"]).itertuples(index=False):
-            if not row.is_quote:
-                waiting[(int(row.id), int(row.horizon))] = (row.due, row.side)
-                continue
-            for (signal, horizon), (due, side) in list(waiting.items()):
-                if due <= row.ts:
-                    price = row.yes_ask if side == "YES" else row.no_ask
-                    out.append((int(key[0]), signal, horizon, side, int(row.id), row.ts, price))
-                    del waiting[(signal, horizon)]
-        for done in stored - waiting.keys():
-            self.pending.removeKey(done)
-        for added in waiting.keys() - stored:
-            due, side = waiting[added]
-            self.pending.updateValue(added, (due.to_pydatetime(), side))
-        yield pd.DataFrame(out, columns=["contract", "signal_id", "horizon", "side", "fill_id", "fill_time", "price"])
+        batch = _batch(rows, ["ts", "is_quote", "id"])
+        batch["place"] = range(len(batch))
+        quotes = batch[batch["is_quote"]][["ts", "place", "id", "yes_ask", "no_ask"]]
+        new = batch[~batch["is_quote"]][["id", "horizon", "due", "side", "place"]]
+        old = [(k[0], k[1], pd.Timestamp(v[0]).tz_localize(None), v[1], -1) for k, v in self.pending.iterator()]
+        kept = pd.DataFrame(old, columns=["id", "horizon", "due", "side", "place"])
+        waiting = pd.concat([kept, new], ignore_index=True) if len(old) else new.reset_index(drop=True)
+        # the first quote that is late enough: on time for signals that came before it, else after the signal's place
+        by_time = quotes["ts"].searchsorted(waiting["due"], side="left") if len(quotes) else 0
+        by_place = quotes["place"].searchsorted(waiting["place"], side="right") if len(quotes) else 0
+        index = pd.concat([pd.Series(by_time, waiting.index), pd.Series(by_place, waiting.index)], axis=1).max(axis=1)
+        found = index < len(quotes)
+        done, used = waiting[found], quotes.iloc[index[found].astype(int)].reset_index(drop=True)
+        for signal, horizon in done[done["place"] < 0][["id", "horizon"]].itertuples(index=False):
+            self.pending.removeKey((int(signal), int(horizon)))
+        for row in waiting[~found & (waiting["place"] >= 0)].itertuples(index=False):
+            self.pending.updateValue((int(row.id), int(row.horizon)), (row.due.to_pydatetime(), row.side))
+        done = done.reset_index(drop=True)
+        yield pd.DataFrame({
+            "contract": int(key[0]), "signal_id": done["id"].astype("int64"), "horizon": done["horizon"].astype("int64"), "side": done["side"],
+            "fill_id": used["id"].astype("int64"), "fill_time": used["ts"], "price": used["yes_ask"].where(done["side"] == "YES", used["no_ask"]),
+        })
 
 
 class HealthChange(StatefulProcessor):
@@ -144,17 +150,64 @@ class HealthChange(StatefulProcessor):
         self.signature = handle.getValueState("signature", "reason string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.signature.get()[0] if self.signature.exists() else ""
-        start = old
-        out = []
-        for row in _batch(rows, ["ts", "event_id"]).itertuples(index=False):
-            new = row.reason if row.status == "ERROR" else ""
-            if new != old:
-                out.append((int(key[0]), int(row.event_id), "ERROR" if new else "OK", "ERROR" if old else "OK", old))
-                old = new
-        if old != start:
-            self.signature.update((old,))
-        yield pd.DataFrame(out, columns=["component", "event_id", "status", "previous_status", "previous_reason"])
+        batch = _batch(rows, ["ts", "event_id"])
+        start = self.signature.get()[0] if self.signature.exists() else ""
+        new = batch["reason"].where(batch["status"] == "ERROR", "")
+        old = new.shift(fill_value=start)
+        if new.iloc[-1] != start:
+            self.signature.update((new.iloc[-1],))
+        changed = new != old
+        word = lambda s: s.ne("").map({True: "ERROR", False: "OK"})
+        yield pd.DataFrame({
+            "component": int(key[0]), "event_id": batch["event_id"].astype("int64"), "status": word(new), "previous_status": word(old), "previous_reason": old,
+        })[changed]
+
+
+class FirstClaim(StatefulProcessor):
+    """The first signal of an event claims it; every later one, in any batch, is dropped."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.claimed = handle.getValueState("claimed", "event_id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = _batch(rows, ["ts", "event_id"]).iloc[:1]
+        if self.claimed.exists():
+            first = first.iloc[:0]
+        else:
+            self.claimed.update((int(first["event_id"].iloc[0]),))
+        yield pd.DataFrame({"event": str(key[0]), "event_id": first["event_id"].astype("int64"), "ts": first["ts"]})
+
+
+class Settlement(StatefulProcessor):
+    """Each fill is settled once, by the first result of its contract at or after it; a fill waits until it has one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "fill_id bigint", "ts timestamp")
+        self.results = handle.getMapState("results", "result_id bigint", "ts timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _batch(rows, ["ts", "id"])[["id", "ts", "is_result"]]
+
+        def with_stored(state, new: pd.DataFrame) -> pd.DataFrame:
+            old = [(k[0], pd.Timestamp(v[0]).tz_localize(None)) for k, v in state.iterator()]
+            both = pd.concat([pd.DataFrame(old, columns=["id", "ts"]), new], ignore_index=True) if old else new
+            return both.sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
+
+        new_fills, new_results = (batch[batch["is_result"] == flag][["id", "ts"]] for flag in (False, True))
+        fills, results = with_stored(self.open, new_fills), with_stored(self.results, new_results)
+        index = results["ts"].searchsorted(fills["ts"], side="left") if len(results) and len(fills) else pd.Series(0, fills.index).to_numpy()
+        found = index < len(results)
+        waited = {k[0] for k, _ in self.open.iterator()}
+        for fill, ts, done in zip(fills["id"], fills["ts"], found, strict=True):
+            if done and fill in waited:
+                self.open.removeKey((int(fill),))
+            elif not done and fill not in waited:
+                self.open.updateValue((int(fill),), (ts.to_pydatetime(),))
+        for result, ts in new_results.itertuples(index=False):
+            self.results.updateValue((int(result),), (ts.to_pydatetime(),))
+        yield pd.DataFrame({
+            "contract": int(key[0]), "fill_id": fills["id"][found].astype("int64").to_numpy(), "result_id": results["id"].to_numpy()[index[found]].astype("int64"),
+        })
 
 
 def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
@@ -182,3 +235,13 @@ def fill_stream(rows: DataFrame) -> DataFrame:
 def health_stream(statuses: DataFrame) -> DataFrame:
     """component, ts, event_id, status, reason in; transitions out."""
     return _stateful(statuses, "component", HealthChange(), HEALTH_OUTPUT)
+
+
+def claim_stream(signals: DataFrame) -> DataFrame:
+    """event, event_id, ts in; the claiming signal of each event out, once."""
+    return _stateful(signals, "event", FirstClaim(), CLAIM_OUTPUT)
+
+
+def settlement_stream(rows: DataFrame) -> DataFrame:
+    """contract, id, ts, is_result in; each fill with its result out, once, however late the result is."""
+    return _stateful(rows, "contract", Settlement(), SETTLED_OUTPUT)

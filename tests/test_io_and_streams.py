@@ -107,3 +107,76 @@ def test_pending_fill_waits_for_a_later_batch(spark):
     ]
     out = flows.drain(state.fill_stream(batches(spark, "fills", frames)), "fills").collect()
     assert [(r.signal_id, r.horizon, r.fill_id, r.price) for r in out] == [(1, 10, 51, 0.4)]
+
+
+def test_tail_follows_growing_and_shrinking_files(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from marketlens.streaming.tail import tail_json
+
+    folder, out, checkpoint = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    folder.mkdir()
+    schema = T.StructType([T.StructField("id", T.LongType())])
+
+    def seen(text, mode):
+        with open(folder / "a.jsonl", mode) as file:
+            file.write(text)
+        flows.append_to(tail_json(spark, str(folder), schema), out, checkpoint).awaitTermination()
+        return sorted(r.id for r in spark.read.parquet(out).collect())
+
+    assert seen('{"id": 1}\nbroken\n{"id": 2', "w") == [1]
+    assert seen('}\n{"id": 3}\n', "a") == [1, 2, 3]
+    assert seen('{"id": 9}\n', "w") == [1, 2, 3, 9]
+
+
+def test_keyed_table_survives_a_restart_and_a_repeated_batch(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "k long, v long")
+    flows.VersionedTable(spark, str(tmp_path / "t")).write(rows((1, 1), (2, 1)), 0)
+    table = flows.VersionedTable(spark, str(tmp_path / "t"))
+    for _ in range(2):  # the second time is the retry of batch 1
+        table.write(table.read(1).unionByName(rows((3, 1))), 1)
+    assert sorted(r.k for r in flows.VersionedTable(spark, str(tmp_path / "t")).read().collect()) == [1, 2, 3]
+    table.write(rows((4, 1)), 2)
+    assert table.versions() == [1, 2]
+
+
+def test_settlement_waits_and_settles_once(spark, tmp_path):
+    def at(day):
+        return f"2024-01-{day:02d} 00:00:00"
+
+    from pyspark.sql import functions as F
+
+    rows = [(1, 10, at(1), False), (1, 11, at(2), False), (1, 50, at(20), True), (1, 51, at(21), True), (1, 12, at(28), False), (2, 13, at(3), False)]
+    frame = spark.createDataFrame(rows, "contract long, id long, ts string, is_result boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = flows.replayed(frame, "ts", state.settlement_stream, "settle-test")
+    assert sorted((r.fill_id, r.result_id) for r in out.collect()) == [(10, 50), (11, 50)]
+
+
+def test_only_iso_dates_are_explicit(spark):
+    from marketlens.functions.text import dates_in_text, iso_dates_in_text
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("high for KNYC on March 3rd, 2024",)], "t string").select(iso_dates_in_text(F.col("t")).alias("iso"), dates_in_text(F.col("t")).alias("any")).first()
+    assert row.iso == [] and len(row.any) == 1
+
+
+def test_flatten_has_no_depth_limit(spark):
+    from marketlens.operators.catalog import flatten_payload
+    from pyspark.sql import functions as F
+
+    deep = '{"a":{"b":[{"c":{"d":{"e":{"f":{"g":[["LEAF {[{"]]}}}}}]},"q":"\\\\\\""}'
+    rows = flatten_payload(spark.createDataFrame([(1, deep)], "id long, p string"), ["id"], F.col("p")).collect()
+    assert {(r.path, r.text) for r in rows} == {("a.b[0].c.d.e.f.g[0][0]", "LEAF {[{"), ("q", '\\"')}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest as pt
+
+    from marketlens.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn"), conf=conf)
+    with pt.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(spark)

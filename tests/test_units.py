@@ -186,7 +186,7 @@ def ladder(spark, legs, **change):
     members = df.select("event_id", "ticker")
     if change.get("extra"):
         members = members.union(spark.createDataFrame([("E", "TX")], "event_id string, ticker string"))
-    return ladders.ladder_proof(df, members, width=1.0).first().reason
+    return ladders.ladder_proof(df, members).first().reason
 
 
 @pytest.mark.parametrize("legs,change,want", [
