@@ -30,6 +30,8 @@ from marketlens.llm.wordhash import U, Words, blocks, mix, words_of
 WINDOW, RUN = 20, 3
 #: Packed bytes a bucket is planned for: super-k-mers are about three times as long as the texts.
 BUCKET_BYTES, PACKED = 4 << 20, 3
+#: Bytes of text that a task packs at once.
+BATCH_BYTES = 8 << 20
 NO_ID = (1 << 63) - 1
 
 COLUMNS = ("id", "key", "start", "windows")
@@ -114,7 +116,8 @@ def _unpacked(blobs: pa.ChunkedArray) -> tuple[dict[str, np.ndarray], pa.Array]:
 
 def _sent(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of each batch, one string per bucket; one that repeats an earlier one goes without its words."""
-    for batch in rows:
+    parts_of = (whole.slice(begin, stop - begin) for whole in rows for begin, stop in blocks(whole.column("text"), BATCH_BYTES))
+    for batch in parts_of:
         ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
         order = np.lexsort((keys, ids))
         texts = batch.column("text").take(pa.array(order))
