@@ -66,7 +66,7 @@ CODES_ANY = r"""list_distinct(regexp_extract_all(regexp_replace(upper(replace({t
 @query("classify_contracts", "B36 B47", rf"""WITH {MARKETS}, c AS (SELECT doc_id, series, title, n_chars, {CODES.format(t='alltext')} AS codes, series IN ('KXHIGHNY', 'KXHIGHCHI') OR title = 'Daily high temperature' AS high, series = 'KXLOWTCHI' AS low,
  regexp_matches(rules, '(?i)(?:National Weather Service|\bNWS\b|Climatological Report|Daily Climate Report|CLI)') AS official, regexp_extract(rules, '\b(20\d\d-\d\d?-\d\d?)\b', 1) AS iso FROM mt),
 m AS (SELECT *, CASE WHEN high THEN 'DAILY_HIGH' WHEN low THEN 'DAILY_LOW' WHEN title = 'Rainfall total' THEN 'RAIN' ELSE 'OTHER' END AS measure, CASE WHEN len(codes) = 1 THEN codes[1] END AS st,
- CASE doc_id % 5 WHEN 0 THEN DATE '2024-01-05' WHEN 3 THEN DATE '2024-01-07' END AS sd, CASE doc_id % 4 WHEN 0 THEN 'above' WHEN 1 THEN 'bucket' END AS sh FROM c)
+ CASE doc_id % 5 WHEN 0 THEN DATE '2024-01-05' END AS sd, CASE doc_id % 4 WHEN 0 THEN 'above' WHEN 1 THEN 'bucket' END AS sh FROM c)
 SELECT doc_id, measure AS measurement, CASE WHEN measure = 'OTHER' THEN 'REJECT' WHEN st IS NOT NULL AND sd IS NOT NULL AND official AND (measure = 'RAIN' OR sh IS NOT NULL) THEN 'EXACT' WHEN st IS NOT NULL OR official THEN 'PROBABLE' ELSE 'REVIEW' END AS status,
  CASE WHEN measure <> 'OTHER' THEN st END AS station, CASE WHEN measure <> 'OTHER' THEN sd END AS settlement_date, CASE WHEN measure <> 'OTHER' THEN sh END AS shape,
  CASE WHEN measure = 'OTHER' THEN 1 ELSE (st IS NULL)::INT + (sd IS NULL)::INT + (sh IS NULL AND measure <> 'RAIN')::INT + (NOT official)::INT END AS reason_count FROM m""")

@@ -106,7 +106,7 @@ def stream_raw_archive(spark, d):
         flows.append_to(rows, f"{path}/table", f"{path}/checkpoint", partitions=["date", "hour"], fmt="text", compression="gzip").awaitTermination()
 
     flows.replay(event_rows(spark, d), "ts", run, "archive-in")
-    read = spark.read.schema("value string, date date, hour int").text(f"{path}/table")
+    read = spark.read.text(f"{path}/table")
     field = lambda name: F.get_json_object("value", f"$.{name}").cast("bigint").alias(name)
     return read.select(field("event_id"), field("user_id"), "date", "hour")
 

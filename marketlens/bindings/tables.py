@@ -71,7 +71,7 @@ def fallback_when_empty(spark, d):
 
 
 @query("pick_source", "G5 G4", """WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, value, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS rk FROM events WHERE event_type <> 'error'),
-s AS (SELECT user_id, day, rk, epoch_us(CAST(day AS TIMESTAMP) + INTERVAL 1 DAY) - epoch_us(max(ts)) > 36000000000 AS stale FROM r GROUP BY ALL),
+s AS (SELECT user_id, day, rk, epoch_us(CAST(day AS TIMESTAMP) + INTERVAL 1 DAY) - epoch_us(max(ts)) > 36000000000 AS stale FROM r GROUP BY user_id, day, rk),
 c AS (SELECT r.*, stale FROM r JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY stale, rk) = 1) b USING (user_id, day, rk))
 SELECT user_id, day, event_id, value, CAST(rk AS INTEGER) AS source_rank, CASE WHEN stale THEN 'STALE' ELSE 'OK' END AS status FROM c""")
 def pick_source(spark, d):
