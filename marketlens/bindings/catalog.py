@@ -224,14 +224,20 @@ def hits_sql(patterns):
     return " + ".join(f"regexp_matches(t, '{p}')::INT" for p in patterns)
 
 
+def texts_sql(patterns):
+    quoted = [p.replace("'", "''") for p in patterns]
+    return ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{p}' END" for p in quoted)
+
+
 @query("phrase_score", "B40", f"""WITH x AS (SELECT conv_id, turn, lower(text || ' ' || {choose_sql('(conv_id + turn)', 5, PHRASES)}) AS t0, lower(text) AS t1, conv_id + turn AS n FROM conversations),
 y AS (SELECT conv_id, turn, coalesce(t0, t1) AS t FROM x), z AS (SELECT *, {hits_sql(tx.COOLER_PHRASES)} AS c, {hits_sql(tx.WARMER_PHRASES)} AS w, {hits_sql(tx.CLOUDIER_PHRASES)} AS cl, {hits_sql(tx.CLEARER_PHRASES)} AS cr FROM y)
-SELECT conv_id, turn, {six('greatest(-1, least(1, (w - c) * 0.2::DOUBLE))')} AS temperature_bias, {six('greatest(-1, least(1, (cr - cl) * 0.2::DOUBLE))')} AS cloud_bias, {six('least(1, (c + w + cl + cr) / 4)')} AS confidence, CAST(c + w + cl + cr AS INTEGER) AS matched FROM z""")
+SELECT conv_id, turn, {six('greatest(-1, least(1, (w - c) * 0.2::DOUBLE))')} AS temperature_bias, {six('greatest(-1, least(1, (cr - cl) * 0.2::DOUBLE))')} AS cloud_bias, {six('least(1, (c + w + cl + cr) / 4)')} AS confidence, CAST(c + w + cl + cr AS INTEGER) AS matched,
+ concat_ws(' | ', {texts_sql(tx.COOLER_PHRASES + tx.WARMER_PHRASES + tx.CLOUDIER_PHRASES + tx.CLEARER_PHRASES)}) AS phrases FROM z""")
 def phrase_score(spark, d):
     c = table(spark, d, "conversations")
     text = F.concat_ws(" ", "text", choose(F.col("conv_id") + F.col("turn"), 5, PHRASES))
     out = c.select("conv_id", "turn", tx.phrase_score(text).alias("_s")).select("conv_id", "turn", "_s.*")
-    return tidy(out, "temperature_bias", "cloud_bias", "confidence")
+    return tidy(out.withColumn("phrases", F.array_join("phrases", " | ")), "temperature_bias", "cloud_bias", "confidence")
 
 
 @query("bulletin_blocks", "B41", f"""WITH {EVENTS} SELECT event_id, 'KNYC' AS station, CASE WHEN event_type <> 'view' THEN CAST(k AS DOUBLE) END AS max_f, CASE WHEN event_type NOT IN ('view', 'click') THEN CAST(k % 7 AS DOUBLE) END AS max_sd_f FROM ev""")
@@ -252,9 +258,11 @@ def remark_temperature(spark, d):
     return tidy(events(spark, d).select("event_id", t.alias("_t")).select("event_id", "_t.*"), "temp_f")
 
 
-@query("key_ids", "B45", """SELECT event_id, sha256(concat_ws('|', user_id, event_type, event_id)) AS id FROM events""")
+@query("key_ids", "B45", """WITH n AS (SELECT event_id, concat_ws('|', user_id, event_type, event_id) AS n FROM events), h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(n)) AS h FROM n)
+SELECT event_id, sha256(n) AS id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%x', (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS uuid FROM h""")
 def key_ids(spark, d):
-    return events(spark, d).select("event_id", tx.key_id(F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("id"))
+    name = F.concat_ws("|", "user_id", "event_type", "event_id")
+    return events(spark, d).select("event_id", tx.key_id(F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("id"), tx.name_uuid(name).alias("uuid"))
 
 
 @query("reason_counts", "D23", """WITH r AS (SELECT source, doc_id, unnest(CASE WHEN len(list_filter([CASE WHEN quality = 0 THEN 'LOW_QUALITY' END, CASE WHEN toxic = 1 THEN 'TOXIC' END, CASE WHEN quality IS NULL THEN 'UNLABELLED' END], lambda x: x IS NOT NULL)) = 0 THEN [NULL]
@@ -276,11 +284,11 @@ def readiness(spark, d):
     return cg.readiness(orders(spark, d).withColumn("day", F.to_date("o_orderdate")), "o_custkey", "day", "o_orderpriority")
 
 
-@query("event_members", "A22", """WITH m AS (SELECT p_brand AS event, p_type AS ticker FROM part GROUP BY ALL), a AS (SELECT event, count(*) AS member_count, min(ticker) AS first_member, max(ticker) AS last_member FROM m GROUP BY 1)
-SELECT p_partkey, p_brand AS event, member_count, first_member, last_member FROM part JOIN a ON a.event = p_brand""")
+@query("event_members", "A22", """WITH m AS (SELECT p_brand AS event, p_type AS ticker FROM part GROUP BY ALL), a AS (SELECT event, count(*) AS member_count, min(ticker) AS first_member, max(ticker) AS last_member, string_agg(ticker, ',' ORDER BY ticker) AS members FROM m GROUP BY 1)
+SELECT p_partkey, p_brand AS event, member_count, first_member, last_member, members FROM part JOIN a ON a.event = p_brand""")
 def event_members(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("event"), F.col("p_type").alias("ticker"))
-    return cg.with_event_members(p, "event", "ticker").select("p_partkey", "event", "member_count", "first_member", "last_member")
+    return cg.with_event_members(p, "event", "ticker").select("p_partkey", "event", "member_count", "first_member", "last_member", F.array_join("members", ",").alias("members"))
 
 
 @query("flatten_markets", "A21", """SELECT user_id, CAST(ts AS DATE) AS day, 'm' || u AS market_id, CASE WHEN u <> 1 THEN round(value, 2) END AS best_bid, CASE WHEN u = 2 THEN NULL ELSE value + u END AS best_ask FROM events, (SELECT unnest([1, 2]) AS u)""")

@@ -142,17 +142,14 @@ def settlement_station(text: Column) -> Column:
 
 
 def phrase_score(text: Column) -> Column:
-    """Struct (temperature_bias, cloud_bias, confidence, matched) of a forecast discussion."""
+    """Struct (temperature_bias, cloud_bias, confidence, matched, phrases) of a forecast discussion."""
     lower = F.lower(text)
 
     def hits(patterns: tuple[str, ...]) -> Column:
-        total = F.lit(0)
-        for p in patterns:
-            total = total + lower.rlike(p).cast("int")
-        return total
+        return F.filter(F.array(*[F.when(lower.rlike(p), F.lit(p)) for p in patterns]), lambda p: p.isNotNull())
 
-    cool, warm = hits(COOLER_PHRASES), hits(WARMER_PHRASES)
-    cloudy, clear = hits(CLOUDIER_PHRASES), hits(CLEARER_PHRASES)
+    found = [hits(p) for p in (COOLER_PHRASES, WARMER_PHRASES, CLOUDIER_PHRASES, CLEARER_PHRASES)]
+    cool, warm, cloudy, clear = (F.size(f) for f in found)
     matched = cool + warm + cloudy + clear
 
     def bias(up: Column, down: Column) -> Column:
@@ -161,6 +158,7 @@ def phrase_score(text: Column) -> Column:
     return F.struct(
         bias(warm, cool).alias("temperature_bias"), bias(clear, cloudy).alias("cloud_bias"),
         F.least(F.lit(1.0), matched / 4.0).alias("confidence"), matched.alias("matched"),
+        F.concat(*found).alias("phrases"),
     )
 
 

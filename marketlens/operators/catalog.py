@@ -271,14 +271,13 @@ def flatten_markets(events: DataFrame, keys: Sequence[str], markets: str) -> Dat
 
 
 def with_event_members(contracts: DataFrame, event: str, ticker: str) -> DataFrame:
-    """Attach to each contract how many members its event has and an order-free fingerprint of them.
+    """Attach to each contract the sorted members of its event, how many they are and an order-free fingerprint.
 
-    The member list itself stays a relation: equality of membership is equality of count and
-    fingerprint, so no event is ever gathered into one row.
+    A ladder is short, so its list is one array per event; equality of membership needs only count and fingerprint.
     """
     members = contracts.select(event, ticker).distinct().groupBy(event).agg(
         F.count(F.lit(1)).alias("member_count"), F.min(ticker).alias("first_member"), F.max(ticker).alias("last_member"),
-        F.sum(F.xxhash64(ticker).cast("decimal(20,0)")).alias("member_fingerprint"),
+        F.sum(F.xxhash64(ticker).cast("decimal(20,0)")).alias("member_fingerprint"), F.array_sort(F.collect_list(ticker)).alias("members"),
     )
     return contracts.join(members, event)
 
