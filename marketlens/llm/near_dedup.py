@@ -7,7 +7,7 @@ the earliest of each; if a coordinate stays empty the rank doubles. Two document
 probability of their weighted Jaccard similarity, at the cost of the darts, not of k hashes per element.
 
 Documents of equal words are one node. Bands of coordinates are joined: in the first bands the nodes of a key are compared
-with one pivot, the smallest, which connects most of a group of copies at once. Then, in all bands, only keys whose nodes
+with one pivot, the node that shares keys with most others, which connects most of a group of copies at once. Then, in all bands, only keys whose nodes
 are still in several components go on, with one pivot, then the next ones, more each round, each compared with the nodes of
 other components; so a round is linear in its nodes and in the end every pair of a key is either compared or connected
 already. Pairs are verified on their cells by exact
@@ -36,7 +36,7 @@ from marketlens.llm.wordhash import U, blocks, mix, words_of
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
 COORDINATES = BANDS * ROWS
 #: Bands of the first round, and the factor by which later rounds take more pivots.
-FIRST_BANDS, PIVOTS = 2, 4
+FIRST_BANDS, PIVOTS = 3, 4
 
 
 def cells_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,18 +162,22 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = staged(rows.mapInArrow(_signed, f"doc_id {id_type}, key long, node binary, bands array<long>"), "signatures")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     banded = nodes.select("node", F.posexplode("bands").alias("place", "band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "pivot")
-    members = staged(banded.join(shared, "band"), "bands")  # place, band, node, pivot: only keys that several nodes share
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = staged(banded.join(sizes, "band"), "bands")  # only keys that several nodes share
+    # the pivot of a key is the node that shares its keys with most others, as an original does with its copies
+    popular = met.groupBy("node").agg((-F.sum("n")).alias("far"))
+    members = staged(met.join(popular, "node").select("place", "band", "node", "far"), "bands")
     wanted = members.select("node").distinct()
     named = signed.select("doc_id", "key", "node").join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("d"))
     spokes = named.select("node", F.col("d.doc_id").alias("_i"), F.col("d.key").alias("_k"))
     texts = rows.join(spokes, rows["doc_id"].eqNullSafe(spokes["_i"]) & (rows["key"] == spokes["_k"])).select("node", "text")
     sets = staged(texts.mapInArrow(_celled, "node binary, cells array<long>").dropDuplicates(["node"]), "cells")
-    first = members.filter((F.col("place") < FIRST_BANDS) & (F.col("node") != F.col("pivot")))
-    links = staged(_verified(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity), "pairs")
+    first = members.filter(F.col("place") < FIRST_BANDS)
+    pivot = first.groupBy("band").agg(F.min(F.struct("far", "node")).alias("p")).select("band", F.col("p.node").alias("b"))
+    links = staged(_verified(first.join(pivot, "band").filter("node != b").select(F.col("node").alias("a"), "b").distinct(), sets, similarity), "pairs")
     found = components(links)
-    order = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-    ranked = staged(_open(_labelled(members.select("band", "node"), found)).select("band", "node", order.alias("rank")), "bands")
+    order = F.row_number().over(Window.partitionBy("band").orderBy("far", "node"))
+    ranked = staged(_open(_labelled(members, found)).select("band", "node", order.alias("rank")), "bands")
     done, pivots = 0, 1
     while not (left := staged(_open(_labelled(ranked.filter(F.col("rank") > done), found)), "open")).isEmpty():
         chosen = left.filter(F.col("rank") <= done + pivots).select("band", F.col("node").alias("b"), F.col("rank").alias("_r"), F.col("label").alias("_l"))
