@@ -11,13 +11,14 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from marketlens.session import build_session
 
     session = build_session(
         "tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-           "spark.driver.memory": "8g"},
+           "spark.driver.memory": "8g",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("spark-shared"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
