@@ -87,7 +87,21 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-@query("op1_near_dedup")
+@query(
+    "op1_near_dedup",
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    c AS (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM d, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(i) WHERE len(ws) > 0) GROUP BY ALL),
+    t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS i FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN t a ON a.doc_id = x JOIN t b ON b.doc_id = y WHERE i >= 0.8 * (a.n + b.n - i)
+          UNION ALL SELECT (SELECT min(doc_id) FROM d WHERE len(ws) = 0), doc_id FROM d WHERE len(ws) = 0),
+    e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
+    k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a)
+    SELECT a AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, a = class_id AS kept FROM k
+    """,
+)
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
@@ -166,6 +180,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_substring_dedup")
+@query(
+    "op10_substring_dedup",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM d, unnest(range(1, len(ws) - 18)) AS t(i)),
+    f AS (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM g),
+    c AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM f WHERE again),
+    w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+    k AS (SELECT w.r, count(c.i) AS gone, string_agg(w, ' ' ORDER BY w.i) FILTER (c.i IS NULL) AS kept FROM w LEFT JOIN c ON c.r = w.r AND c.i = w.i GROUP BY w.r)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+    """,
+)
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
