@@ -405,7 +405,7 @@ def retention_plan(spark, d):
         F.rint("o_totalprice").cast("bigint").alias("bytes"), F.when(F.col("o_orderkey") % 50 == 0, F.lit("2001-01-01").cast("timestamp")).otherwise(F.col("o_orderdate")).alias("modified"),
         F.lit(False).alias("is_link"),
     )
-    return planning.retention_plan(files, now=F.lit("2000-12-01").cast("timestamp"), days=30, pattern=r"^book_\d{4}-\d{2}-\d{2}_\d+$")
+    return planning.retention_plan(files, now=F.lit("2000-12-01").cast("timestamp"), days=30, pattern=r"^book_(\d{4}-\d{2}-\d{2})_\d+$")
 
 
 @query("climate_normalise", "A8 A9 B7", f"""WITH {DAILY} SELECT 'K' || CAST(station AS VARCHAR) AS station, day AS valid_date, CASE station % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE high END AS high_f, low AS low_f FROM daily WHERE station % 9 <> 3 OR day IS NULL""")

@@ -49,13 +49,6 @@ def floor_quarter_hour(ts: Column) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / 900) * 900)
 
 
-def epoch_timestamp(number: Column) -> Column:
-    """Seconds or milliseconds since 1970, told apart by size."""
-    return F.when(F.abs(number) > 1e10, F.timestamp_millis(number.cast("bigint"))).otherwise(
-        F.timestamp_seconds(number)
-    )
-
-
 def segments(start: Column, end: Column, hours: int) -> Column:
     """Array of ``{seg_start, seg_end}`` that cover ``[start, end)``; the last may be short."""
     width = hours * 3600 * 1_000_000

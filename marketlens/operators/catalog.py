@@ -90,6 +90,8 @@ PRECIPITATION_WORDS = r"(?i)\b(?:rainfall|precipitation|snowfall)\b"
 TEMPERATURE_STEMS = ("temp", "°", "degree", "daily")
 PRECIPITATION_STEMS = ("rainfall", "precipitation", "snowfall")
 OFFICIAL_SOURCE = r"(?i)(?:National Weather Service|\bNWS\b|Climatological Report|Daily Climate Report|CLI)"
+#: Measurements, and the fields whose text counts as official metadata. Status words, measurement names and
+#: the sentences of the reasons below are fixed values too.
 MEASURED_IN_DEGREES = ("DAILY_HIGH", "DAILY_LOW", "TEMPERATURE")
 META_TEXT = ("ticker", "event_ticker", "title", "subtitle", "yes_sub_title", "rules_primary", "rules_secondary")
 

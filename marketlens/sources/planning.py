@@ -59,13 +59,13 @@ def list_files(spark, path: str) -> DataFrame:
 def retention_plan(files: DataFrame, *, now: Column, days: int = 30, pattern: str) -> DataFrame:
     """Eligible or blocked state per UTC day that ended at or before ``now - days``.
 
-    ``files``: day, file_name, bytes, modified, is_link. One unexpected name, link or recent change
-    blocks the whole day. The result is a table; nothing is deleted.
+    ``files``: day, file_name, bytes, modified, is_link. The first group of ``pattern`` is the date in a file's name. One
+    unexpected name, link or recent change blocks the whole day. The result is a table; nothing is deleted.
     """
     cutoff = plus_seconds(now, F.lit(-86_400 * days))
     old = files.where(F.date_add("day", 1).cast("timestamp") <= cutoff)
     odd = (
-        F.col("is_link") | ~F.col("file_name").rlike(pattern) | ~F.col("file_name").contains(F.date_format("day", "yyyy-MM-dd"))
+        F.col("is_link") | ~F.col("file_name").rlike(pattern) | (F.regexp_extract("file_name", pattern, 1) != F.date_format("day", "yyyy-MM-dd"))
     )
     recent = F.col("modified") > cutoff
     per_day = old.groupBy("day").agg(
