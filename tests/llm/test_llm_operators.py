@@ -134,6 +134,24 @@ def test_cutoffs_bound_false_rejection(spark):
     assert {r[0] for r in few} <= kept  # too few labels certify nothing
 
 
+def test_cutoffs_of_several_strata_equal_sql(spark, tmp_path):
+    """Two strata get cutoffs of their own, one has too few labels; the SQL decides the same rows."""
+    rows = []
+    for lang, first, good, capitals in (("en", 10_000, 1700, 2), ("de", 20_000, 1900, 9), ("xx", 30_000, 60, 2)):
+        rows += [(first + i, ("A" * capitals if i % 50 == 0 else "") + prose(first + i, 30), lang, 1) for i in range(good)]
+        rows += [(first + 5000 + i, " ".join(w + "###" for w in prose(first + 5000 + i, 30).split()), lang, 0) for i in range(40)]
+    for name, columns, schema in (("documents", (0, 1, 2), "doc_id long, text string, lang string"), ("labels", (0, 3), "doc_id long, quality int")):
+        pq.write_table(spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], schema).toArrow(), tmp_path / f"{name}.parquet")
+    got = {r["doc_id"]: r["kept"] for r in collected(contract.queries()["op5_quality_rules"](spark, str(tmp_path)))}
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    assert got == dict(con.execute(f"SELECT doc_id, kept FROM ({contract.oracle_sql()['op5_quality_rules']})").fetchall())
+    junk = {lang: [got[r[0]] for r in rows if r[2] == lang and r[3] == 0] for lang in ("en", "de", "xx")}
+    assert not any(junk["en"]) and not any(junk["de"]) and all(junk["xx"])
+    assert all(sum(not got[r[0]] for r in rows if r[2] == lang and r[3]) <= quality_rules.ALPHA * n for lang, n in (("en", 1700), ("de", 1900)))
+
+
 def test_quality_rules_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, None, None), (None, 1, 0), (5, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
     got = collected(quality_rules.judge(odd, labels))
