@@ -31,8 +31,10 @@ from marketlens.llm.common import staged, text_key, whole_text
 WINDOW, END, SHARD_TOKENS = 2048, 1, 4_000_000
 #: Chunks whose ids a worker keeps, twice over.
 KEPT_CHUNKS = 600_000
-#: Query: the heaviest tokens of the document that opens the window. BM25's saturation and length weight.
-QUERY_TOKENS, K1, B = 16, 1.2, 0.75
+#: BM25's saturation and length weight.
+K1, B = 1.2, 0.75
+#: A token in one of so many documents of a shard has a row with a weight for each of them.
+FREQUENT = 4
 ID = np.dtype("<u2")
 
 
@@ -127,17 +129,22 @@ class Index:
         order = np.argsort(self.terms, kind="stable")
         self.docs, self.weights = doc[order], self.weight[order]
         self.begin = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
-        self.score = np.zeros(len(ids))
+        frequent = np.flatnonzero(np.diff(self.begin) * FREQUENT >= max(len(ids), FREQUENT))
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), len(ids)))
+        row = self.row[self.terms]
+        self.rows[row[row >= 0], doc[row >= 0]] = self.weight[row >= 0]
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a heavy token of ``doc``, best first."""
-        a, b = self.first[doc], self.first[doc + 1]
-        weight, terms = self.weight[a:b], self.terms[a:b]
-        if len(terms) > QUERY_TOKENS:
-            terms = terms[np.argpartition(-weight, QUERY_TOKENS)[:QUERY_TOKENS]]
-        spans = [(self.begin[t], self.begin[t + 1]) for t in terms]
-        docs = np.concatenate([self.docs[x:y] for x, y in spans])
-        scores = np.bincount(docs, np.concatenate([self.weights[x:y] for x, y in spans]), minlength=len(self.score))
+        """Unused documents that share a token of ``doc``, best first. All its tokens are asked."""
+        terms = self.terms[self.first[doc] : self.first[doc + 1]]
+        row = self.row[terms]
+        scores = self.rows[row[row >= 0]].sum(axis=0)
+        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms[row < 0]]
+        if spans:
+            docs, weights = (np.concatenate([x[span] for span in spans]) for x in (self.docs, self.weights))
+            scores += np.bincount(docs, weights, minlength=len(scores))
         found = np.flatnonzero((scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")]
 

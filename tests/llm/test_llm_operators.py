@@ -465,6 +465,15 @@ def test_index_ranks_by_bm25():
     assert found.tolist() == sorted((1, 2, 3, 4), key=lambda d: -score(ids[d]))
 
 
+def test_all_tokens_of_a_seed_are_asked():
+    seed, many, few = list(range(10, 60)), list(range(26, 60)), list(range(10, 13))
+    ids = [np.array([*x, 1], packing.ID) for x in (seed, few + list(range(100, 131)), many)]
+    idf = np.concatenate([np.full(26, 2.0), np.full(200, 1.0)])
+    assert packing.Index(ids, idf, 40.0).neighbours(0, np.array([False, True, True])).tolist() == [2, 1]
+    apart = [np.array([*x, 1], packing.ID) for x in (seed, *[range(200, 205)] * 9, few + list(range(100, 131)), many)]  # tokens without a row too
+    assert packing.Index(apart, idf, 40.0).neighbours(0, np.array([False] + [True] * 11)).tolist()[:2] == [11, 10]
+
+
 # the pipeline
 
 
