@@ -349,6 +349,34 @@ def test_substring_dedup_on_odd_rows(odd, none, bucket_bytes, monkeypatch):
     assert substring_dedup.digests(none).count() == 0 and substring_dedup.apply(none).count() == 0
 
 
+def test_a_frequent_line_is_split_over_buckets(spark):
+    """One line stands in each document amid other words: no bucket gets more than a few times its share, no row changes."""
+    line = prose(50, 12)
+    rows = [(i, f"{prose(5000 + i, 25)} {line} {prose(7000 + i, 25)}") for i in range(600)]
+    rows += [(1000 + i, f"{prose(5000 + i, 25)} {line} {prose(9000 + i, 15)}") for i in range(0, 600, 9)]  # equal windows across the line
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def counted(blobs):
+        rows, _, singles = substring_dedup._unpacked(blobs)
+        return int(rows["windows"].sum()) + len(singles["a"])
+
+    source = docs.select(F.col("doc_id").alias("id"), substring_dedup.text_key().alias("key"), "text").toArrow().combine_chunks().to_batches()
+    total = sum(len(r[1]) for r in rows)
+    buckets, bucket_bytes = 24, total * substring_dedup.PACKED // 24
+    slots = list(substring_dedup._slot_bytes(iter(source), buckets * substring_dedup.SLOTS))
+    hot = np.concatenate([s.column("slot").to_numpy()[s.column("n").to_numpy() > bucket_bytes] for s in slots])
+    assert len(hot)
+    by = collections.defaultdict(list)
+    for batch in substring_dedup._sent(iter(source), buckets, hot):
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
+            by[bucket].append(blob)
+    sizes = [counted(blobs) for blobs in by.values()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
+    want = brute_cut([(i, t, 0) for i, t in rows])
+    ranges = {r["id"]: r["ranges"] for r in collected(substring_dedup.repeated_ranges(docs, bucket_bytes))}
+    assert {i: substring_dedup._cut(t, ranges.get(i, []))[1] for i, t in rows} == {i: want[i, t][0] for i, t in rows}
+
+
 def test_substring_query(spark, sf_dir, docs):
     want = brute_cut([(r["doc_id"], r["text"], 0) for r in docs])
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in collected(QUERIES["op10_substring_dedup"](spark, sf_dir))}
