@@ -34,13 +34,13 @@ def drain(df: DataFrame, name: str, **options) -> DataFrame:
 def replay(frame: DataFrame, time: str, run: Callable[[DataFrame], None], name: str, slices: int = 4) -> None:
     """Feed a frame to a flow as a growing folder, in slices of time; each slice is a batch of a newly started query.
 
-    ``run`` gets the stream of the folder, with the same checkpoint each time, and returns when the flow has caught up.
+    A row without a time is in the first slice. ``run`` gets the stream of the folder, with the same checkpoint each time, and returns when the flow has caught up.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     low, high = frame.agg(F.min(micros), F.max(micros)).first()
-    place = F.floor((micros - (low or 0)) * slices / ((high or 0) - (low or 0) + 1))
+    place = F.coalesce(F.least(F.floor((micros - (low or 0)) * slices / ((high or 0) - (low or 0) + 1)), F.lit(slices - 1)), F.lit(0))
     for n in range(slices):
         frame.where(place == n).write.mode("append").parquet(path)
         run(tail_parquet(spark, path, frame.schema))

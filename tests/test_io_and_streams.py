@@ -180,3 +180,11 @@ def test_a_cluster_must_name_its_shared_folder():
     spark = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn"), conf=conf)
     with pt.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(spark)
+
+
+def test_replay_keeps_rows_without_a_time(spark):
+    stamp = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    for times in ([stamp, None, datetime(2024, 1, 2, tzinfo=timezone.utc)], [None, None]):
+        frame = spark.createDataFrame(list(enumerate(times)), "i int, ts timestamp")
+        out = flows.replayed(frame, "ts", lambda stream: stream, "null-times")
+        assert sorted((r.i, r.ts is None) for r in out.collect()) == [(i, x is None) for i, x in enumerate(times)]
