@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, chat_format, exact_dedup, license_scan, near_dedup, packing, quality_rules, sharding, substring_dedup, weak_labels
+from marketlens.llm import bpe, centroids, chat_format, exact_dedup, filter_audit, license_scan, near_dedup, packing, quality_rules, sharding, substring_dedup, weak_labels
 from marketlens.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -194,3 +194,57 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def centroid_sql() -> str:
+    """Every vector against every centroid in each round, by components numbered in rows."""
+    k, size = centroids.K, centroids.SIZE
+    rounds = "".join(
+        f"""
+    a{n} AS (SELECT r, c, far FROM (SELECT v.r, o.c, sum((v.x - o.x) * (v.x - o.x)) AS far FROM v JOIN o{n} o USING (i) GROUP BY ALL)
+             QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, c) = 1),
+    m{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN v USING (r) GROUP BY ALL),
+    o{n + 1} AS (SELECT o.c, o.i, CASE WHEN m.n IS NULL THEN o.x ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS x FROM o{n} o LEFT JOIN m{n} m ON m.c = o.c AND m.i = o.i),"""
+        for n in range(centroids.ROUNDS)
+    )
+    last = centroids.ROUNDS
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: isfinite(x))) = {size}),
+    v AS (SELECT r, unnest(range(1, {size + 1})) AS i, CAST(floor({centroids.SCALE} * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS x FROM d),
+    f AS (SELECT r, row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id)) - 1 AS c FROM d QUALIFY c < {k}),
+    o0 AS (SELECT f.c, v.i, v.x FROM f JOIN v USING (r)),{rounds}
+    a AS (SELECT r, c, far FROM (SELECT v.r, o.c, sum((v.x - o.x) * (v.x - o.x)) AS far FROM v JOIN o{last} o USING (i) GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, c) = 1),
+    h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM o{last} GROUP BY c)
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance, CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+           CAST(sum(far) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM a JOIN d USING (r) JOIN h USING (c)
+    """
+
+
+@query("op12_centroid_clustering", centroid_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
+    f AS (SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) AS c,
+          regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM d),
+    l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+    st AS (SELECT o, k AS step, o[k] AS x, string_split(o[1:k - 1], '') AS before, string_split(o, '') AS every FROM o, unnest(range(1, 6)) AS u(k)),
+    g AS (SELECT st.*, m.*, fails[x] AS hit, len(list_filter(before, lambda y: y <> '' AND fails[y])) > 0 AS gone, len(list_filter(every, lambda y: fails[y])) AS n_fails FROM st, m),
+    r AS (SELECT part, o AS filter_order, step, x, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (NOT gone AND hit) AS removed, sum(n) FILTER (gone AND hit) AS redundant,
+          sum(n) FILTER (hit AND n_fails = 1) AS unique_fails, sum(good) FILTER (NOT gone AND hit) AS good_lost, sum(toxic) FILTER (NOT gone AND hit) AS toxic_lost FROM g GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+           CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+           CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+    """,
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
