@@ -114,15 +114,18 @@ def games(counts: DataFrame) -> DataFrame:
     return valued.select("*", potentials("n").alias("potential"))
 
 
-def orders() -> list[tuple[str, int, int, int, int]]:
-    """(filter_order, step, bit of its filter, coalition before the step, coalition after it) for all orders."""
-    rows = []
-    for order in itertools.permutations(range(len(FILTERS))):
-        before = 0
-        for step, bit in enumerate(order, 1):
-            rows.append(("".join(FILTERS[b] for b in order), step, bit, before, before | 1 << bit))
-            before |= 1 << bit
-    return rows
+def steps(rows: DataFrame) -> DataFrame:
+    """Each row once per order and step: adds filter_order, step, and the coalitions before and after it."""
+    every = F.split(F.lit(" ".join("".join(o) for o in itertools.permutations(FILTERS))), " ")
+    ordered = rows.select("*", F.explode(every).alias("filter_order"))
+    stepped = ordered.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))).alias("step"))
+    earlier = F.substring("filter_order", F.lit(1), F.col("step") - 1)
+
+    def coalition(names: Column) -> Column:
+        bits = [F.when(names.contains(name), 1 << bit).otherwise(0) for bit, name in enumerate(FILTERS)]
+        return sum(bits[1:], bits[0])
+
+    return stepped.withColumns({"before": coalition(earlier), "after": coalition(F.substring("filter_order", F.lit(1), F.col("step")))})
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,9 +133,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``shapley`` is the sum over all orders of what the filter of the step removes: the Shapley value times the number of orders.
     """
-    names = ("filter_order", "step", "bit", "before", "after")
-    plan = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in orders()])
-    rows = games(failure_counts(docs, labels)).select("*", F.explode(plan).alias("o")).select("*", "o.*")
+    rows = steps(games(failure_counts(docs, labels)))
 
     def value(game: str, coalition: Column) -> Column:
         return F.get(F.col(game), coalition)
@@ -140,7 +141,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def gain(game: str) -> Column:
         return value(game, F.col("after")) - value(game, F.col("before"))
 
-    alone = F.element_at(F.array(*[F.lit(1 << bit) for bit in range(len(FILTERS))]), F.col("bit") + 1)
+    alone = F.col("after") - F.col("before")
     others = F.lit(ALL).bitwiseXOR(alone)
     scale = len(FILTERS)  # |all|! / |all without one|!
     return rows.select(
