@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, centroids, chat_format, exact_dedup, filter_audit, license_scan, near_dedup, packing, quality_rules, sharding, substring_dedup, weak_labels
+from marketlens.llm import bpe, centroids, chat_format, exact_dedup, filter_audit, license_scan, near_dedup, packing, pii, quality_rules, sharding, substring_dedup, weak_labels
 from marketlens.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +196,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def centroid_sql() -> str:
     """Every vector against every centroid in each round, by components numbered in rows."""
     k, size = centroids.K, centroids.SIZE
