@@ -11,6 +11,7 @@ from marketlens.functions.numbers import two as r2
 from marketlens.functions.times import naive, settlement_end, settlement_start
 from marketlens.operators import priors, rolling, surface
 from marketlens.operators.ordered import exact_quantiles
+from marketlens.session import cut_lineage
 
 LOOKBACK = 6 * 3600
 
@@ -234,10 +235,8 @@ pred AS (SELECT station, day, hour, count(*) AS n, median(residual) AS med, avg(
 
 
 def knn(spark, d):
-    rows = feature_rows(spark, d)
-    return priors.nearest_prior(
-        rows, rows, "station", "day", KNN, row_id=["station", "day", "hour"], tie=["day", "hour"], k=12, minimum=6
-    )
+    rows = cut_lineage(feature_rows(spark, d))  # both sides of the join
+    return priors.nearest_prior(rows, rows, "station", "day", KNN, tie=["day", "hour"], k=12, minimum=6)
 
 
 @query("knn_prior", "C6", f"""WITH {FEATURES}, {KNN_SQL}

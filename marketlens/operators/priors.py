@@ -59,47 +59,91 @@ NEIGHBOUR_SCALES = {
 
 
 def scaled_distance(pairs: Mapping[str, tuple[Column, Column]], scales: Mapping[str, float]) -> Column:
-    """Root mean square of the scaled gaps over the features both sides have; infinite without any."""
+    """Root mean square of the scaled gaps over the features both sides have (null: has not); infinite without any."""
+    gaps = [(a - b) / F.lit(scales[name]) for name, (a, b) in pairs.items()]
+    total = sum((F.coalesce(g * g, F.lit(0.0)) for g in gaps), F.lit(0.0))
+    used = sum((g.isNotNull().cast("int") for g in gaps), F.lit(0))
+    return F.when(used > 0, F.sqrt(total / used)).otherwise(F.lit(float("inf")))
+
+
+def least_distance(block: Column, state: Mapping[str, Column], scales: Mapping[str, float]) -> Column:
+    """A number not above the scaled distance of a state to any row of a block, from the block's ranges.
+
+    A feature counts with its gap to the range if all rows of the block have it, and in the divisor if any row has it.
+    """
     total, used = F.lit(0.0), F.lit(0)
-    for name, (a, b) in pairs.items():
-        gap = (a - b) / F.lit(scales[name])
-        known = a.isNotNull() & b.isNotNull() & ~F.isnan(a.cast("double")) & ~F.isnan(b.cast("double"))
-        total = total + F.when(known, gap * gap).otherwise(0.0)
+    for name, scale in scales.items():
+        low, high = block[f"{name}_low"], block[f"{name}_high"]
+        gap = F.greatest(low - state[name], state[name] - high, F.lit(0.0)) / F.lit(scale)
+        known = state[name].isNotNull() & low.isNotNull()
+        total = total + F.when(known & block[f"{name}_whole"], gap * gap).otherwise(0.0)
         used = used + known.cast("int")
-    return F.when(used > 0, F.sqrt(total / used)).otherwise(F.lit(float("inf")))
+    return F.when(used > 0, F.sqrt(total / used) * (1 - 1e-12)).otherwise(F.lit(float("inf")))
+
+
+def state_blocks(
+    history: DataFrame, place: str, day: str, features: Mapping[str, float], tie: Sequence[str], max_hour_gap: int, block_days: int
+) -> DataFrame:
+    """Per place and hour all past states it may be compared with, in blocks of days with the range of each feature.
+
+    ``history`` holds each feature as a number or null below its name with an underscore before it. One row stands for one place, day and
+    hour, so a block is bounded by its days and a place by the calendar.
+    """
+    past = history.where(F.col("residual").isNotNull())
+    state = F.struct(
+        F.unix_date(day).alias("day"), *[F.col(f"_{f}").alias(f) for f in features],
+        F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("tie"), F.col("residual").cast("double").alias("residual"),
+    )
+    ranges = [
+        part for f in features
+        for part in (F.min(f"_{f}").alias(f"{f}_low"), F.max(f"_{f}").alias(f"{f}_high"), (F.count(f"_{f}") == F.count(F.lit(1))).alias(f"{f}_whole"))
+    ]
+    blocks = past.groupBy(place, "hour", F.floor(F.unix_date(day) / block_days).alias("_block")).agg(
+        F.collect_list(state).alias("states"), F.min(F.unix_date(day)).alias("since"), *ranges
+    )
+    near_hours = F.explode(F.sequence(F.col("hour") - max_hour_gap, F.col("hour") + max_hour_gap)).alias("_at_hour")
+    whole = F.struct(*[c for c in blocks.columns if c not in (place, "hour", "_block")]).alias("block")
+    return blocks.select(place, near_hours, whole).groupBy(place, "_at_hour").agg(F.collect_list("block").alias("_blocks"))
 
 
 def nearest_prior(
     current: DataFrame, history: DataFrame, place: str, day: str, features: Mapping[str, float], *,
-    row_id: Sequence[str], tie: Sequence[str], k: int = 80, minimum: int = 30, max_hour_gap: int = 2,
+    tie: Sequence[str], k: int = 80, minimum: int = 30, max_hour_gap: int = 2, block_days: int = 32,
 ) -> DataFrame:
     """The ``k`` nearest earlier states of the same place and a close hour, and their residuals.
 
-    History rows are copied to the hours they may serve, which makes the hour gap an equi-key. One
-    row stands for one place, day and hour, so the candidates of a row are bounded by the calendar;
-    the rank limit keeps ``k`` per task before anything is shuffled by row.
+    Each row meets the blocks of its place and hour in one equi-join, one row to one row, and folds them by rising lower bound into
+    a list of at most ``k`` states: a block whose bound exceeds the k-th distance so far is passed over, another one is measured and
+    merged. Pairs never become rows. A feature that is NaN counts as missing; ties of distance go by the ``tie`` columns.
     """
-    spread = F.sequence(F.col("hour") - max_hour_gap, F.col("hour") + max_hour_gap)
-    past = history.where(F.col("residual").isNotNull()).select(
-        place, F.col(day).alias("_h_day"), F.col("residual").alias("_residual"), F.explode(spread).alias("_at_hour"),
-        *[F.col(f).alias(f"_h_{f}") for f in features],
-        *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)],
-    )
-    now = current.withColumn("_at_hour", F.col("hour"))
-    pairs = now.join(past, [place, "_at_hour"]).where(F.col("_h_day") < F.col(day))
-    measured = pairs.select(
-        *row_id, "_residual", *[f"_t{i}" for i in range(len(tie))],
-        scaled_distance({f: (F.col(f), F.col(f"_h_{f}")) for f in features}, features).alias("distance"),
-    )
-    nearest = Window.partitionBy(*row_id).orderBy("distance", *[f"_t{i}" for i in range(len(tie))])
-    kept = measured.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
-    found = kept.groupBy(*row_id).agg(
-        F.count(F.lit(1)).alias("neighbours"), F.percentile("_residual", F.lit(0.5)).alias("_median"),
-        F.avg((F.col("_residual") <= 0).cast("double")).alias("_terminal"),
-        F.array_sort(F.collect_list("_residual")).alias("residuals"),
+    numbers = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
+    shelves = state_blocks(history.withColumns({f"_{f}": c for f, c in numbers.items()}), place, day, features, tie, max_hour_gap, block_days)
+    now = current.withColumn("_now", F.struct(*[c.alias(f) for f, c in numbers.items()]))
+    met = now.join(shelves.withColumnRenamed(place, "_place"), (F.col(place) == F.col("_place")) & (F.col("hour") == F.col("_at_hour")), "left")
+    state = {f: F.col("_now")[f] for f in features}
+    today = F.unix_date(day)
+    usable = F.filter("_blocks", lambda b: b["since"] < today)
+    ordered = met.withColumn("_ordered", F.array_sort(F.transform(usable, lambda b: F.struct(least_distance(b, state, features).alias("least"), b.alias("b")))))
+
+    def measured(states: Column) -> Column:
+        before = F.filter(states, lambda s: s["day"] < today)
+        return F.transform(before, lambda s: F.struct(
+            scaled_distance({f: (state[f], s[f]) for f in features}, features).alias("distance"), s["tie"].alias("tie"), s["residual"].alias("residual")
+        ))
+
+    def visit(nearest: Column, item: Column) -> Column:
+        far = item["least"] > F.get(nearest, F.lit(k - 1))["distance"]
+        return F.when(far, nearest).otherwise(F.slice(F.array_sort(F.concat(nearest, measured(item["b"]["states"]))), 1, k))
+
+    tie_type = shelves.schema["_blocks"].dataType.elementType["states"].dataType.elementType["tie"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<distance: double, tie: {tie_type}, residual: double>>")
+    found = ordered.withColumn("_nearest", F.coalesce(F.aggregate("_ordered", none, visit), none))
+    kept = found.select(*current.columns, F.array_sort(F.transform("_nearest", lambda n: n["residual"])).alias("_residuals"))
+    n = F.size("_residuals")
+    middle = (F.get("_residuals", F.floor((n - 1) / 2).cast("int")) + F.get("_residuals", F.floor(n / 2).cast("int"))) / 2
+    enough = n >= minimum
+    return kept.select(
+        *current.columns, n.cast("long").alias("neighbours"), F.when(n > 0, F.col("_residuals")).alias("residuals"),
+        F.when(enough, middle).alias("median_residual"),
+        F.when(enough, F.size(F.filter("_residuals", lambda r: r <= 0)) / n).alias("terminal_probability"),
     )
-    out = current.join(found, list(row_id), "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
-    enough = F.col("neighbours") >= minimum
-    return out.withColumn("median_residual", F.when(enough, F.col("_median"))).withColumn(
-        "terminal_probability", F.when(enough, F.col("_terminal"))
-    ).drop("_median", "_terminal")
