@@ -126,9 +126,9 @@ features AS (SELECT f.station, f.day, CAST(f.hour AS INTEGER) AS hour, f.officia
  FROM feat f JOIN grid g ON g.station = f.station AND g.day = f.day AND g.hour = f.hour)"""
 
 
-def feature_rows(spark, d):
-    o = observations(spark, d)
-    days = daily(spark, d).select("station", "day", "official")
+def feature_rows(spark, d, o=None):
+    o = observations(spark, d) if o is None else o
+    days = o.groupBy("station", "day").agg(F.floor(F.max("temp") + 0.5).cast("double").alias("official"))
     targets = surface.hourly_targets(
         days, range(10, 19), settlement_start(F.col("day"), offset_hours(F.col("station")))
     )
@@ -235,7 +235,8 @@ pred AS (SELECT station, day, hour, count(*) AS n, median(residual) AS med, avg(
 
 
 def knn(spark, d):
-    rows = cut_lineage(feature_rows(spark, d))  # both sides of the join
+    seen = cut_lineage(observations(spark, d))  # read several times
+    rows = cut_lineage(feature_rows(spark, d, seen))  # both sides of the join
     return priors.nearest_prior(rows, rows, "station", "day", KNN, tie=["day", "hour"], k=12, minimum=6)
 
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.asof import asof_backward
 from marketlens.operators.ordered import BLOCK_SECONDS, clamped_running_sum, running, time_block
+from marketlens.session import cut_lineage
 
 SIDES = ("yes", "no")
 
@@ -68,27 +68,79 @@ def absolute_level_changes(log: DataFrame, *, block_seconds: int = BLOCK_SECONDS
     return rows.withColumn("size", F.greatest(F.lit(0.0), "size"))
 
 
+def numbered_log(
+    changes: DataFrame, epochs: DataFrame, targets: DataFrame, at: str, *, block_seconds: int = BLOCK_SECONDS
+) -> DataFrame:
+    """Changes and targets on one axis: ``_n`` is the number of changes of the ticker so far, ``_now`` its newest epoch.
+
+    A target comes after everything of its own time.
+    """
+    entry = F.struct("epoch", "side", "price", "size").alias("_change")
+    moved = changes.select("ticker", F.col("ts").alias("_t"), F.lit(0).alias("_rank"), F.col("received").alias("_r"), F.col("seq").alias("_s"),
+                           F.struct("side", "price").alias("_l"), entry)
+    marked = epochs.select("ticker", F.col("ts").alias("_t"), F.lit(0).alias("_rank"), F.col("epoch").alias("_mark"))
+    asked = targets.select("ticker", F.col(at).alias("_t"), F.lit(1).alias("_rank"), F.struct(*targets.columns).alias("_target"))
+    axis = moved.unionByName(marked, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    return running(
+        axis, ["ticker"], ["_t", "_rank", "_r", "_s", "_l"],
+        {"_n": ("sum", F.col("_change").isNotNull().cast("bigint")), "_now": ("max", F.col("_mark"))}, time_block("_t", block_seconds),
+    ).select("ticker", "_n", "_now", "_change", "_target")
+
+
+def opening_books(changes: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row ``(ticker, epoch, _block, opening)`` per asked block: the live levels at the end of the blocks before it.
+
+    A level lives from the block of its last change to the block of its next one. Asked blocks are numbered within their epoch, so a level
+    is laid out over the asked blocks of its life and over no others.
+    """
+    key = ["ticker", "epoch"]
+    ends = changes.groupBy(*key, "side", "price", "_block").agg(F.max_by("size", "_n").alias("size"))
+    blocks = ends.select(*key, "_block", F.lit(0).alias("_a")).unionByName(asked.select(*key, "_block", F.lit(1).alias("_a")))
+    in_order = Window.partitionBy(*key).orderBy("_block")
+    numbers = blocks.groupBy(*key, "_block").agg(F.max("_a").alias("_a")).select(
+        *key, "_block", "_a", F.sum("_a").over(in_order).alias("_i"), F.sum("_a").over(Window.partitionBy(*key)).alias("_all")
+    )
+    level = Window.partitionBy(*key, "side", "price").orderBy("_block")
+    lives = ends.join(numbers.drop("_a"), [*key, "_block"]).select(
+        *key, "side", "price", "size", "_i", F.coalesce(F.lead("_i").over(level), "_all").alias("_until")
+    ).where((F.col("size") > 0) & (F.col("_until") > F.col("_i")))
+    laid = lives.select(*key, F.explode(F.sequence(F.col("_i") + 1, F.col("_until"))).alias("_i"), F.struct("side", "price", F.lit(0).cast("bigint").alias("n"), "size").alias("_l"))
+    books = laid.groupBy(*key, "_i").agg(F.collect_list("_l").alias("opening"))
+    return numbers.where("_a = 1").select(*key, "_block", "_i").join(books, [*key, "_i"]).drop("_i")
+
+
 def book_at(
     changes: DataFrame, epochs: DataFrame, targets: DataFrame, target_id: Sequence[str], at: str,
-    *, block_seconds: int = BLOCK_SECONDS,
+    *, block_seconds: int = BLOCK_SECONDS, block_changes: int = 256,
 ) -> DataFrame:
     """Live levels ``(target id, side, price, size)`` of the last book at or before each target time.
 
-    ``epochs`` holds ``(ticker, ts, seq, epoch)`` of the snapshots. Each target meets every price
-    its ticker ever quoted (a bounded tick grid), then one as-of pass finds the level's last size; a
-    level of an older epoch is void. ``changes`` is read several times: pass a stored table.
+    ``epochs`` holds ``(ticker, ts, seq, epoch)`` of the snapshots; a level of an older epoch is void. The changes of a ticker are cut into blocks of
+    ``block_changes``. A target meets two stored rows, the book its block opened with and the changes of its block, however hot its ticker is,
+    and folds them in place.
     """
-    current = asof_backward(
-        targets, epochs, ["ticker"], at, "ts", ["epoch"], right_tie=["seq"], block_seconds=block_seconds, how="inner"
-    )
-    grid = changes.select("ticker", "side", "price").distinct()
-    wanted = current.withColumnRenamed("epoch", "_now").join(grid, "ticker")
-    latest = changes.withColumnRenamed("epoch", "_of")
-    levels = asof_backward(
-        wanted, latest, ["ticker", "side", "price"], at, "ts", ["_of", "size"], right_tie=["received", "seq"],
-        block_seconds=block_seconds, how="inner",
-    )
-    return levels.where((F.col("_of") == F.col("_now")) & (F.col("size") > 0)).drop("_of", "_now")
+    placed = cut_lineage(numbered_log(changes, epochs, targets, at, block_seconds=block_seconds))
+    block = F.floor(F.col("_n") / block_changes).alias("_block")
+    moved = placed.where(F.col("_change").isNotNull()).select("ticker", "_change.*", "_n", block)
+    asks = placed.where(F.col("_target").isNotNull() & F.col("_now").isNotNull()).select("ticker", F.col("_now").alias("epoch"), "_n", block, "_target")
+    key = ["ticker", "epoch", "_block"]
+    asked = asks.select(*key).distinct()
+    own = moved.join(asked, key, "left_semi").groupBy(*key).agg(F.collect_list(F.struct("side", "price", F.col("_n").alias("n"), "size")).alias("own"))
+    stored = asked.join(opening_books(moved, asked), key, "left").join(own, key, "left")
+    none = F.array().cast(own.schema["own"].dataType)
+    until = F.col("_n")
+    known = F.concat(F.coalesce("opening", none), F.filter(F.coalesce("own", none), lambda c: c["n"] <= until))
+    # per level the newest entry first
+    sorted_ = F.array_sort(F.transform(known, lambda c: F.struct(c["side"].alias("side"), c["price"].alias("price"), (-c["n"]).alias("n"), c["size"].alias("size"))))
+    folded = asks.join(stored, key).select("_target", sorted_.alias("_levels"))
+
+    def live(c: Column, i: Column) -> Column:
+        before = F.get("_levels", i - 1)
+        newest = (i == 0) | (before["side"] != c["side"]) | (before["price"] != c["price"])
+        return newest & (c["size"] > 0)
+
+    levels = folded.select(*[F.col(f"_target.{c}").alias(c) for c in targets.columns], F.explode(F.filter("_levels", live)).alias("_l"))
+    return levels.select(*targets.columns, "_l.side", "_l.price", "_l.size")
 
 
 def top_of_book(levels: DataFrame, target_id: Sequence[str]) -> DataFrame:

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from marketlens.functions.contracts import contains
 
+# Functions of this module travel to the Python workers by value: executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
 
 def prior_samples(history: DataFrame, keys: Sequence[str], day: str, value: str, usable: Column) -> DataFrame:
     """Per place and day the array of usable values of all strictly earlier days.
@@ -58,92 +67,106 @@ NEIGHBOUR_SCALES = {
 }
 
 
-def scaled_distance(pairs: Mapping[str, tuple[Column, Column]], scales: Mapping[str, float]) -> Column:
-    """Root mean square of the scaled gaps over the features both sides have (null: has not); infinite without any."""
-    gaps = [(a - b) / F.lit(scales[name]) for name, (a, b) in pairs.items()]
-    total = sum((F.coalesce(g * g, F.lit(0.0)) for g in gaps), F.lit(0.0))
-    used = sum((g.isNotNull().cast("int") for g in gaps), F.lit(0))
-    return F.when(used > 0, F.sqrt(total / used)).otherwise(F.lit(float("inf")))
+def _scaled(gaps: np.ndarray) -> np.ndarray:
+    """Root mean square of scaled gaps along the last axis, NaN where a side lacks the feature; infinite without any."""
+    known = ~np.isnan(gaps)
+    used = known.sum(axis=-1)
+    total = np.where(known, gaps * gaps, 0.0).sum(axis=-1)
+    return np.where(used > 0, np.sqrt(total / np.maximum(used, 1)), np.inf)
 
 
-def least_distance(block: Column, state: Mapping[str, Column], scales: Mapping[str, float]) -> Column:
-    """A number not above the scaled distance of a state to any row of a block, from the block's ranges.
+def _least(state: np.ndarray, block: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Per state a number not above its scaled distance to any row of the block, from the block's ranges.
 
     A feature counts with its gap to the range if all rows of the block have it, and in the divisor if any row has it.
     """
-    total, used = F.lit(0.0), F.lit(0)
-    for name, scale in scales.items():
-        low, high = block[f"{name}_low"], block[f"{name}_high"]
-        gap = F.greatest(low - state[name], state[name] - high, F.lit(0.0)) / F.lit(scale)
-        known = state[name].isNotNull() & low.isNotNull()
-        total = total + F.when(known & block[f"{name}_whole"], gap * gap).otherwise(0.0)
-        used = used + known.cast("int")
-    return F.when(used > 0, F.sqrt(total / used) * (1 - 1e-12)).otherwise(F.lit(float("inf")))
-
-
-def state_blocks(
-    history: DataFrame, place: str, day: str, features: Mapping[str, float], tie: Sequence[str], max_hour_gap: int, block_days: int
-) -> DataFrame:
-    """Per place and hour all past states it may be compared with, in blocks of days with the range of each feature.
-
-    ``history`` holds each feature as a number or null below its name with an underscore before it. One row stands for one place, day and
-    hour, so a block is bounded by its days and a place by the calendar.
+    have = ~np.isnan(block)
+    some, every = have.any(axis=0), have.all(axis=0)
+    low, high = np.where(have, block, np.inf).min(axis=0), np.where(have, block, -np.inf).max(axis=0)
+    known = ~np.isnan(state)
+    gap = np.where(known & every, np.maximum(0.0, np.maximum(low - state, state - high)) / scales, 0.0)
+    used = (known & some).sum(axis=1)
+    return np.where(used > 0, np.sqrt((gap * gap).sum(axis=1) / np.maximum(used, 1)) * (1 - 1e-12), np.inf)
+
+
+def nearest_states(
+    day: np.ndarray, state: np.ndarray, past_day: np.ndarray, past: np.ndarray, scales: np.ndarray, k: int, block_days: int
+) -> np.ndarray:
+    """Per state the numbers of its k nearest past rows of strictly earlier days, nearest first, -1 where there are fewer.
+
+    Past rows come in the order that decides ties, and go in blocks of days, the latest block first. A list of k is kept per state; a block whose
+    lower bound exceeds the last distance of a full list is passed over, another one is measured and merged.
     """
-    past = history.where(F.col("residual").isNotNull())
-    state = F.struct(
-        F.unix_date(day).alias("day"), *[F.col(f"_{f}").alias(f) for f in features],
-        F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("tie"), F.col("residual").cast("double").alias("residual"),
-    )
-    ranges = [
-        part for f in features
-        for part in (F.min(f"_{f}").alias(f"{f}_low"), F.max(f"_{f}").alias(f"{f}_high"), (F.count(f"_{f}") == F.count(F.lit(1))).alias(f"{f}_whole"))
-    ]
-    blocks = past.groupBy(place, "hour", F.floor(F.unix_date(day) / block_days).alias("_block")).agg(
-        F.collect_list(state).alias("states"), F.min(F.unix_date(day)).alias("since"), *ranges
-    )
-    near_hours = F.explode(F.sequence(F.col("hour") - max_hour_gap, F.col("hour") + max_hour_gap)).alias("_at_hour")
-    whole = F.struct(*[c for c in blocks.columns if c not in (place, "hour", "_block")]).alias("block")
-    return blocks.select(place, near_hours, whole).groupBy(place, "_at_hour").agg(F.collect_list("block").alias("_blocks"))
+    n, rows = len(day), np.arange(len(past_day))
+    near, number = np.full((n, k), np.inf), np.full((n, k), len(rows))
+    slot = past_day // block_days
+    for one in np.unique(slot)[::-1]:
+        mine = rows[slot == one]
+        asks = np.flatnonzero(day > past_day[mine].min())
+        full = number[asks, -1] < len(rows)
+        if full.any():
+            asks = np.append(asks[~full], asks[full][_least(state[asks[full]], past[mine], scales) <= near[asks[full], -1]])
+        for at in range(0, len(asks), 1024):
+            some = asks[at : at + 1024]
+            far = _scaled((state[some, None, :] - past[None, mine, :]) / scales)
+            early = past_day[mine][None, :] < day[some, None]
+            both = np.concatenate([near[some], np.where(early, far, np.inf)], axis=1)
+            which = np.concatenate([number[some], np.where(early, mine[None, :], len(rows))], axis=1)
+            # no row at all sorts behind rows at an infinite distance
+            best = np.lexsort((which, both), axis=-1)[:, :k]
+            near[some], number[some] = np.take_along_axis(both, best, 1), np.take_along_axis(which, best, 1)
+    return np.where(number < len(rows), number, -1)
 
 
 def nearest_prior(
     current: DataFrame, history: DataFrame, place: str, day: str, features: Mapping[str, float], *,
-    tie: Sequence[str], k: int = 80, minimum: int = 30, max_hour_gap: int = 2, block_days: int = 32,
+    tie: Sequence[str], k: int = 80, minimum: int = 30, max_hour_gap: int = 2, block_days: int = 32, group_days: int = 366,
 ) -> DataFrame:
     """The ``k`` nearest earlier states of the same place and a close hour, and their residuals.
 
-    Each row meets the blocks of its place and hour in one equi-join, one row to one row, and folds them by rising lower bound into
-    a list of at most ``k`` states: a block whose bound exceeds the k-th distance so far is passed over, another one is measured and
-    merged. Pairs never become rows. A feature that is NaN counts as missing; ties of distance go by the ``tie`` columns.
+    Rows meet per place and span of ``group_days``; a past row goes to its own span and to each later one. One row stands for one place, day and
+    hour, so a group is bounded by the calendar whatever the place. Inside a group bounded lists are merged block by block; pairs are
+    never rows. A feature that is NaN counts as missing; ties of distance go by the ``tie`` columns; rows without place, day or hour have no neighbours.
     """
-    numbers = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
-    shelves = state_blocks(history.withColumns({f"_{f}": c for f, c in numbers.items()}), place, day, features, tie, max_hour_gap, block_days)
-    now = current.withColumn("_now", F.struct(*[c.alias(f) for f, c in numbers.items()]))
-    met = now.join(shelves.withColumnRenamed(place, "_place"), (F.col(place) == F.col("_place")) & (F.col("hour") == F.col("_at_hour")), "left")
-    state = {f: F.col("_now")[f] for f in features}
-    today = F.unix_date(day)
-    usable = F.filter("_blocks", lambda b: b["since"] < today)
-    ordered = met.withColumn("_ordered", F.array_sort(F.transform(usable, lambda b: F.struct(least_distance(b, state, features).alias("least"), b.alias("b")))))
-
-    def measured(states: Column) -> Column:
-        before = F.filter(states, lambda s: s["day"] < today)
-        return F.transform(before, lambda s: F.struct(
-            scaled_distance({f: (state[f], s[f]) for f in features}, features).alias("distance"), s["tie"].alias("tie"), s["residual"].alias("residual")
-        ))
-
-    def visit(nearest: Column, item: Column) -> Column:
-        far = item["least"] > F.get(nearest, F.lit(k - 1))["distance"]
-        return F.when(far, nearest).otherwise(F.slice(F.array_sort(F.concat(nearest, measured(item["b"]["states"]))), 1, k))
-
-    tie_type = shelves.schema["_blocks"].dataType.elementType["states"].dataType.elementType["tie"].dataType.simpleString()
-    none = F.array().cast(f"array<struct<distance: double, tie: {tie_type}, residual: double>>")
-    found = ordered.withColumn("_nearest", F.coalesce(F.aggregate("_ordered", none, visit), none))
-    kept = found.select(*current.columns, F.array_sort(F.transform("_nearest", lambda n: n["residual"])).alias("_residuals"))
-    n = F.size("_residuals")
-    middle = (F.get("_residuals", F.floor((n - 1) / 2).cast("int")) + F.get("_residuals", F.floor(n / 2).cast("int"))) / 2
-    enough = n >= minimum
-    return kept.select(
-        *current.columns, n.cast("long").alias("neighbours"), F.when(n > 0, F.col("_residuals")).alias("residuals"),
-        F.when(enough, middle).alias("median_residual"),
-        F.when(enough, F.size(F.filter("_residuals", lambda r: r <= 0)) / n).alias("terminal_probability"),
+    names, scales = list(features), np.array([features[f] for f in features])
+    number = [F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f"_f{i}") for i, f in enumerate(names)]
+    span = F.floor(F.unix_date(day) / group_days)
+    now = current.select("*", span.alias("_span"), F.unix_date(day).alias("_day"), *number)
+    last = F.lit(current.agg(F.max(span)).first()[0]).cast("long")
+    past = history.where(F.col("residual").isNotNull() & F.col(place).isNotNull() & F.col("hour").isNotNull() & (span <= last)).select(
+        F.col(place).alias("_place"), F.unix_date(day).alias("_day"), F.col("hour").cast("long").alias("_hour"), *number, F.col("residual").cast("double").alias("_residual"),
+        F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("_tie"), F.explode(F.sequence(span, last)).alias("_span"),
     )
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.stack([table.column(f"_f{i}").to_numpy() for i in range(len(names))], axis=1)
+
+    kept = current.columns
+
+    def group(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.flatten()
+        theirs = theirs.take(pc.sort_indices(theirs, [(f"_tie.t{i}", "ascending") for i in range(len(tie))]))
+        hour, past_hour = pc.fill_null(mine.column("hour").cast("int64"), -1_000_000).to_numpy(), theirs.column("_hour").to_numpy()
+        day_, past_day = pc.fill_null(mine.column("_day").cast("int64"), -1_000_000).to_numpy(), theirs.column("_day").cast("int64").to_numpy()
+        state, past_state, residual = matrix(mine), matrix(theirs), theirs.column("_residual").to_numpy()
+        found = np.full((len(mine), k), np.nan)
+        for h in np.unique(hour):
+            rows, close = np.flatnonzero(hour == h), np.flatnonzero(np.abs(past_hour - h) <= max_hour_gap)
+            if len(close):
+                near = nearest_states(day_[rows], state[rows], past_day[close], past_state[close], scales, k, block_days)
+                found[rows] = np.where(near >= 0, residual[close][near], np.nan)
+        found = np.sort(found, axis=1)  # NaN last
+        n = (~np.isnan(found)).sum(axis=1)
+        at = np.arange(len(mine))
+        middle = (found[at, np.maximum((n - 1) // 2, 0)] + found[at, np.minimum(n // 2, k - 1)]) / 2
+        enough = n >= max(minimum, 1)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32(), mask=np.append(n == 0, False)), pa.array(found[~np.isnan(found)]))
+        columns = [pa.array(n), lists, pa.array(middle, mask=~enough), pa.array((found <= 0).sum(axis=1) / np.maximum(n, 1), mask=~enough)]
+        out = mine.select(kept)
+        for name, column in zip(("neighbours", "residuals", "median_residual", "terminal_probability"), columns, strict=True):
+            out = out.append_column(name, column)
+        return out
+
+    schema = StructType(list(current.schema.fields)).add("neighbours", LongType()).add("residuals", ArrayType(DoubleType()))
+    schema = schema.add("median_residual", DoubleType()).add("terminal_probability", DoubleType())
+    return now.groupBy(place, "_span").cogroup(past.groupBy("_place", "_span")).applyInArrow(group, schema)
