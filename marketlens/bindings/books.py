@@ -90,10 +90,9 @@ live AS (SELECT t.ticker, t.target, l.side, l.price, arg_max(l.size, struct_pack
 
 def live_levels(spark, d):
     log = depth_log(spark, d)
-    changes = books.level_changes(log)
-    epochs = books.with_epoch(log, F.col("event_type") == "orderbook_snapshot").where(
-        F.col("event_type") == "orderbook_snapshot"
-    ).select("ticker", "ts", "seq", "epoch")
+    numbered = cut_lineage(books.with_epoch(log, F.col("event_type") == "orderbook_snapshot"))
+    changes = cut_lineage(books.level_changes(log, epochs=numbered))
+    epochs = numbered.where(F.col("event_type") == "orderbook_snapshot").select("ticker", "ts", "seq", "epoch")
     targets = log.where(F.col("event_type") == "ticker").select("ticker", F.col("ts").alias("at"), F.col("seq").alias("target"))
     return books.book_at(changes, epochs, targets, ["ticker", "target"], "at")
 

@@ -40,7 +40,7 @@ def _level_rows(row: DataFrame, keys: Sequence[str], is_reset: Column, single: C
 
 
 def level_changes(
-    log: DataFrame, *, keys: Sequence[str] = ("ticker",), block_seconds: int = BLOCK_SECONDS
+    log: DataFrame, *, keys: Sequence[str] = ("ticker",), block_seconds: int = BLOCK_SECONDS, epochs: DataFrame | None = None
 ) -> DataFrame:
     """Fold a snapshot/delta log into ``(ticker, epoch, side, price, ts, received, seq, size)``.
 
@@ -48,10 +48,10 @@ def level_changes(
     A snapshot starts a new epoch with both sides; a delta adds to one level and a level at or
     below zero is gone and restarts from zero. Deltas before any snapshot and rows of unknown kind
     are ignored. The key of the fold holds epoch and price, so a hot ticker is spread already, and
-    time blocks split what remains.
+    time blocks split what remains. ``epochs`` is the log with its epochs, if it is stored already.
     """
     is_snapshot = F.lower("event_type").contains("snapshot")
-    epochs = with_epoch(log, is_snapshot, keys=keys, block_seconds=block_seconds)
+    epochs = with_epoch(log, is_snapshot, keys=keys, block_seconds=block_seconds) if epochs is None else epochs
     single = F.col("price").isNotNull() & F.col("delta").isNotNull() & F.col("side").isin(*SIDES)
     touched = _level_rows(epochs, keys, is_snapshot, single, "delta", "change")
     return clamped_running_sum(
@@ -115,7 +115,7 @@ def book_at(
 ) -> DataFrame:
     """Live levels ``(target id, side, price, size)`` of the last book at or before each target time.
 
-    ``epochs`` holds ``(ticker, ts, seq, epoch)`` of the snapshots; a level of an older epoch is void. The changes of a ticker are cut into blocks of
+    ``epochs`` holds ``(ticker, ts, seq, epoch)`` of the snapshots; a level of an older epoch is void. ``changes`` is read twice: pass a stored table. The changes of a ticker are cut into blocks of
     ``block_changes``. A target meets two stored rows, the book its block opened with and the changes of its block, however hot its ticker is,
     and folds them in place.
     """

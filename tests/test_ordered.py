@@ -2,11 +2,12 @@
 
 import random
 from collections import defaultdict
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.operators import books, evaluate
+from marketlens.operators import books, evaluate, priors
 from marketlens.operators.asof import asof_backward, asof_forward
 from marketlens.operators.ordered import (
     clamped_running_sum, exact_quantiles, max_drawdown, ordinal, previous_row, running, value_block,
@@ -157,3 +158,63 @@ def test_draws_are_even(spark):
     picks = df.select(evaluate.draw_index(F.col("id"), F.col("slot"), 7, F.lit(20)).alias("p")).groupBy("p").count().collect()
     assert len(picks) == 20
     assert all(abs(r["count"] - 2000) < 250 for r in picks)
+
+
+def test_books_at_any_time_equal_a_fold(spark):
+    draw = random.Random(11)
+    log, targets = [], []
+    for i in range(900):
+        ticker = draw.choice([1, 1, 1, 2])
+        at = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=draw.randrange(4000))
+        kind = draw.choices(["orderbook_snapshot", "orderbook_delta", "target"], [1, 20, 6])[0]
+        levels = [(p / 10, float(draw.randrange(4))) for p in draw.sample(range(1, 8), 3)]
+        if kind == "target":
+            targets.append((ticker, at, i))
+        elif kind == "orderbook_snapshot":
+            log.append((ticker, at, at, i, kind, levels, levels[:1], None, None, None))
+        else:
+            log.append((ticker, at, at, i, kind, None, None, draw.randrange(1, 8) / 10, float(draw.randrange(-3, 5)), draw.choice(["yes", "no"])))
+    want = set()
+    for ticker, at, number in targets:
+        book = {}
+        for row in sorted((r for r in log if r[0] == ticker and r[1] <= at), key=lambda r: (r[1], r[3])):
+            if row[4] == "orderbook_snapshot":
+                book = {(side, p): s for side, side_levels in (("yes", row[5]), ("no", row[6])) for p, s in side_levels if s > 0}
+                seen = True
+            elif any(r[4] == "orderbook_snapshot" and (r[1], r[3]) < (row[1], row[3]) for r in log if r[0] == ticker):
+                book[row[9], row[7]] = max(0.0, book.get((row[9], row[7]), 0.0) + row[8])
+        want |= {(ticker, number, side, p, s) for (side, p), s in book.items() if s > 0}
+    level = "array<struct<price:double,size:double>>"
+    frame = spark.createDataFrame(log, f"ticker long, ts timestamp, received timestamp, seq long, event_type string, yes_bids {level}, no_bids {level}, price double, delta double, side string")
+    epochs = books.with_epoch(frame, F.col("event_type") == "orderbook_snapshot").where("event_type = 'orderbook_snapshot'").select("ticker", "ts", "seq", "epoch")
+    asked = spark.createDataFrame(targets, "ticker long, at timestamp, target long")
+    for size in (4, 256):
+        got = books.book_at(books.level_changes(frame), epochs, asked, ["ticker", "target"], "at", block_changes=size).collect()
+        assert {(r.ticker, r.target, r.side, r.price, r["size"]) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_prior_equals_brute_force(spark):
+    draw = random.Random(4)
+    nan = float("nan")
+    states = [
+        (draw.choice([1, 1, 2]), date(2023, 1, 1) + timedelta(days=d), h, draw.choice([None, nan, *[draw.random() * 20 for _ in range(6)]]), draw.choice([None, 1.0, 2.0, 3.0]), draw.choice([None, *range(-3, 4)]))
+        for d in range(0, 900, 7) for h in (10, 11, 14)
+    ]
+    scales = {"hour": 1.5, "high": 10.0, "drop": 1.0}
+    frame = spark.createDataFrame([(p, d, h, x, y, None if r is None else float(r)) for p, d, h, x, y, r in states], "place int, day date, hour int, high double, drop double, residual double")
+
+    def known(x):
+        return x is not None and x == x
+
+    def far(a, b):
+        gaps = [((x - y) / s) ** 2 for x, y, s in zip(a[2:5], b[2:5], (1.5, 10.0, 1.0), strict=True) if known(x) and known(y)]
+        return (sum(gaps) / len(gaps)) ** 0.5 if gaps else float("inf")
+
+    got = {(r.place, r.day, r.hour): r for r in priors.nearest_prior(frame, frame, "place", "day", scales, tie=["day", "hour"], k=5, minimum=3, block_days=20, group_days=300).collect()}
+    for row in states:
+        past = [b for b in states if b[0] == row[0] and b[1] < row[1] and abs(b[2] - row[2]) <= 2 and b[5] is not None]
+        best = sorted(float(b[5]) for b in sorted(past, key=lambda b: (far(row, b), b[1], b[2]))[:5])
+        r = got[row[0], row[1], row[2]]
+        assert (r.residuals or []) == best and r.neighbours == len(best)
+        assert (r.terminal_probability is not None) == (len(best) >= 3)
+    assert priors.nearest_prior(frame.limit(0), frame, "place", "day", scales, tie=["day"]).count() == 0
