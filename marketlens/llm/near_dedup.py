@@ -55,9 +55,7 @@ def cells_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(h))
     copy = place - np.maximum.accumulate(np.where(new, place, 0))
     cells = mix(h + copy.astype(U) * U(0x9E3779B97F4A7C15))
-    start = words.first[:-1]
-    name = np.stack([words.windows(start, n), words.windows(start, n, second=True) ^ n.astype(U)], axis=1)
-    return cells, np.append(0, np.cumsum(runs)), name
+    return cells, np.append(0, np.cumsum(runs)), words.names()
 
 
 def signatures(cells: np.ndarray, first: np.ndarray, k: int = COORDINATES) -> np.ndarray:

@@ -10,7 +10,7 @@ where a slot alone would overfill a bucket (a frequent line in ever new contexts
 hashes, to the bucket of the whole window, so equal windows still meet and the group splits. Marks come back as word ranges, are joined with their documents, and the
 words that are covered are cut.
 
-Order is (doc_id, hash of the text, start), a null doc_id last. Defined results: null text has no words; a text of fewer
+Order is (doc_id, hash of the text, start), a null doc_id last; ids of any type that sorts will do. Defined results: null text has no words; a text of fewer
 than 20 words has no window and stays; rows that repeat doc_id and text are one document and get the same result; an
 empty table gives an empty result; further columns are ignored by ``cut_words`` and returned unchanged by ``apply``.
 """
@@ -25,15 +25,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from marketlens.llm.common import staged, text_key, whole_text
-from marketlens.llm.wordhash import U, Words, blocks, mix, words_of
+from marketlens.llm.wordhash import LONGEST_WINDOW, U, Words, blocks, buffers, mix, words_of
 
 WINDOW, RUN = 20, 3
+#: Windows of a super-k-mer at most: one over repetitive words is cut, so that its hashes keep their strength.
+MOST_WINDOWS = LONGEST_WINDOW // 2
 #: Packed bytes a bucket is planned for: super-k-mers are about three times as long as the texts.
 BUCKET_BYTES, PACKED = 4 << 20, 3
 #: Bytes of text that a task packs at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Slots per bucket in which the bytes of minimisers are summed.
 SLOTS = 64
 NO_ID = (1 << 63) - 1
@@ -74,6 +77,8 @@ def super_kmers(texts: pa.Array, ids: np.ndarray, keys: np.ndarray, hot: np.ndar
         doc = np.searchsorted(words.first, starts, side="right") - 1
         new = np.ones(len(starts), bool)
         new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+        place = np.arange(len(starts))
+        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % MOST_WINDOWS == 0
         head = np.flatnonzero(new)
         count = np.diff(np.append(head, len(starts)))
         at, span = starts[head], count + WINDOW - 1
@@ -146,12 +151,22 @@ def _collapsed(rows: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) ->
         yield parts, whole, _first_of_equal(np.lexsort((np.arange(len(whole["a"])), whole["b"], whole["a"])), whole["a"], whole["b"], [whole[c] for c in ("id", "key", "start")])
 
 
-def _slot_bytes(rows: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of words that would go out, by slot of the minimiser."""
-    total = np.zeros(slots, np.int64)
-    for _, whole, first in _collapsed(rows):
+def _slot_bytes(rows: Iterator[pa.RecordBatch], slots: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Bytes of words that would go out, by slot of the minimiser, where they are at least ``share`` of the text bytes of the task.
+
+    What tasks leave out of a slot is less than ``share`` of all text bytes together.
+    """
+    total, read = np.zeros(slots, np.int64), 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        nonlocal read
+        for batch in rows:
+            read += int(buffers(batch.column("text"))[1][-1])
+            yield batch
+
+    for _, whole, first in _collapsed(counted()):
         np.add.at(total, (whole["low"][first] % U(slots)).astype(np.int64), (whole["to"] - whole["from"])[first])
-    at = np.flatnonzero(total)
+    at = np.flatnonzero((total > 0) & (total >= share * read))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
 
@@ -227,16 +242,29 @@ def _decided(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(np.concatenate([o[i] for o in out])) for i, n in enumerate(("id", "key", "start", "stop"))})
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds _id, a whole number in the order of doc_id, null last. Whole numbers are taken as they are, all other ids are sorted and numbered."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        ends = docs.agg(F.max("doc_id").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("n")).first()
+        if ends["top"] != NO_ID or not ends["n"]:
+            return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    ids = docs.select(F.col("doc_id").alias("_of")).filter("_of is not null").distinct().repartitionByRange("_of").sortWithinPartitions("_of")
+    order = staged(ids.select("_of", F.monotonically_increasing_id().alias("_id")), "ids")
+    return docs.join(order, docs["doc_id"] == order["_of"], "left").drop("_of").withColumn("_id", F.coalesce("_id", F.lit(NO_ID)))
+
+
 def repeated_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """id, key, ranges: array<struct<start, stop>> of words, per document with a window that came earlier."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key().alias("key"), whole_text().alias("text"))
+    """id, key, ranges: array<struct<start, stop>> of words, per document, numbered by _id, with a window that came earlier."""
+    rows = docs.select(F.col("_id").alias("id"), text_key().alias("key"), whole_text().alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(whole_text())), F.lit(0))).first()[0]
     buckets = max(1, -(-total * PACKED // bucket_bytes))
     hot = None
     if buckets > 1:
-        slots = buckets * SLOTS
-        bytes_ = rows.mapInArrow(lambda batches: _slot_bytes(batches, slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-        hot = bytes_.filter(F.col("n") > bucket_bytes).select("slot").toArrow().column("slot").to_numpy()
+        # a slot of bucket_bytes in all has at least half of them in tasks that name it
+        slots, share = buckets * SLOTS, bucket_bytes / 2 / total
+        bytes_ = rows.mapInArrow(lambda batches: _slot_bytes(batches, slots, share), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        hot = bytes_.filter(F.col("n") >= bucket_bytes // 2).select("slot").toArrow().column("slot").to_numpy()
     sent = rows.mapInArrow(lambda batches: _sent(batches, buckets, hot), SUPER)
     marks = sent.groupBy("bucket").applyInArrow(_decided, RANGES)
     return staged(marks, "marks").groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
@@ -264,9 +292,9 @@ def _cut(text: str, ranges: list[dict]) -> tuple[int, list[bytes]]:
 
 
 def _with_ranges(docs: DataFrame) -> DataFrame:
-    ranges = repeated_ranges(docs)
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.join(ranges, (id_ == ranges["id"]) & (text_key() == ranges["key"]), "left").drop(ranges["id"], ranges["key"])
+    known = numbered(docs)
+    ranges = repeated_ranges(known)
+    return known.join(ranges, (known["_id"] == ranges["id"]) & (text_key() == ranges["key"]), "left").drop(ranges["id"], ranges["key"])
 
 
 def digests(docs: DataFrame) -> DataFrame:

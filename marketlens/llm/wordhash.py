@@ -1,8 +1,9 @@
 """Words of a batch of texts and their 64-bit hashes, computed on whole byte buffers.
 
-A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. Its hash is a
-polynomial of its bytes modulo 2**64, taken from running sums, and mixed. Work goes in blocks of texts, so that memory is
-bounded by the block or by the longest text.
+A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. It has two hashes, each the sum of
+one pseudo-random number per (place in the word, byte): tabulation, which no structure of the bytes can defeat, as it defeats polynomials modulo
+2**64. A window of few words hashes as a polynomial of word hashes, from running sums; a whole text, however long, again by
+tabulation of its words. Work goes in blocks of texts, so that memory is bounded by the block or by the longest text.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Odd multipliers of the polynomials over bytes and over words; the last two give independent window hashes.
-BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Odd multipliers of the polynomials over words, one for each of the two word hashes.
+WORD_BASE, WORD_BASE_2 = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Seeds of the two tabulations, and the places of a word whose numbers are kept in a table.
+SEEDS, TABLE_PLACES = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F), 64
+#: Words of the longest window: beyond it polynomials of two alternating word hashes lose too many bits.
+LONGEST_WINDOW = 128
 BLOCK_BYTES = 2 << 20
 
 
@@ -44,7 +49,24 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS, _WORDS_2 = Powers(BYTE_BASE), Powers(WORD_BASE), Powers(WORD_BASE_2)
+_WORDS, _WORDS_2 = Powers(WORD_BASE), Powers(WORD_BASE_2)
+
+
+def _number(place: np.ndarray, value: np.ndarray, seed: int) -> np.ndarray:
+    """A pseudo-random number for each (place, value)."""
+    return mix(mix(value + U(seed)) + place.astype(U) * U(0xD1B54A32D192ED03))
+
+
+_TABLES = [_number(np.arange(TABLE_PLACES * 256) // 256, (np.arange(TABLE_PLACES * 256) % 256).astype(U), seed) for seed in SEEDS]
+
+
+def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sum of each run of ``count`` values; 0 for an empty run."""
+    out = np.zeros(len(count), U)
+    some = count > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(count) - count)[some])
+    return out
 
 
 def _running(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
@@ -55,20 +77,27 @@ def _running(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Byte ranges [start, end) and hash of each word, and the range of words of each text: first[t] to first[t + 1]."""
+    """Byte ranges [start, end) and two hashes of each word, and the range of words of each text: first[t] to first[t + 1]."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     h: np.ndarray
+    h2: np.ndarray
     first: np.ndarray
 
+    def names(self) -> np.ndarray:
+        """Two hashes of the word sequence of each text, one row a text."""
+        count = np.diff(self.first)
+        place = np.arange(len(self.h)) - np.repeat(self.first[:-1], count)
+        return np.stack([mix(_sums(_number(place, h, seed), count) + count.astype(U)) for h, seed in zip((self.h, self.h2), SEEDS, strict=True)], axis=1)
+
     def windows(self, at: np.ndarray, length: np.ndarray | int, second: bool = False) -> np.ndarray:
-        """Hash of the ``length`` words from word ``at`` on; equal word sequences have equal hashes."""
+        """Hash of the ``length`` words (at most LONGEST_WINDOW) from word ``at`` on; equal word sequences have equal hashes."""
         up, down = (_WORDS_2 if second else _WORDS).upto(len(self.h) + 1)
         key = "_sums2" if second else "_sums"
         if not hasattr(self, key):
-            setattr(self, key, _running(self.h, up[: len(self.h)]))
+            setattr(self, key, _running(self.h2 if second else self.h, up[: len(self.h)]))
         sums = getattr(self, key)
         return mix((sums[at + length] - sums[at]) * down[at] + U(1))
 
@@ -106,7 +135,13 @@ def words_of(texts: pa.Array, fold_case: bool = False) -> Words:
     ends[:-1] &= gap[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     shown = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32) if fold_case else data
-    up, down = _BYTES.upto(len(data) + 1)
-    sums = _running(shown.astype(U) + U(1), up[: len(data)])
-    h = mix((sums[end] - sums[start]) * down[start])
-    return Words(data, start, end, h, np.searchsorted(start, offsets))
+    inside, size = shown[word], end - start
+    place = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.minimum(place, TABLE_PLACES - 1) * 256 + inside
+    beyond = np.flatnonzero(place >= TABLE_PLACES)
+    hashes = []
+    for table, seed in zip(_TABLES, SEEDS, strict=True):
+        number = table[at]
+        number[beyond] = _number(place[beyond], inside[beyond].astype(U), seed)
+        hashes.append(mix(_sums(number, size) + size.astype(U)))
+    return Words(data, start, end, *hashes, np.searchsorted(start, offsets))
