@@ -2,8 +2,9 @@
 
 All rolling word k-grams of a text are hashed and joined with the hashed k-grams of the templates, a table of fixed size
 that is broadcast. A hit is kept only if its words are the template's words, so hashes decide nothing. Hits are counted
-by diagonal, text position minus template position; neighbouring diagonals of one template, as an inserted or lost word
-makes them, are merged; a merged span is a license if it covers enough of its template's k-grams. A phrase must lie on
+by diagonal, text position minus template position; a diagonal is merged with those up to ``DRIFT`` words above it, as inserted or lost words
+make them. So a span is never longer than its template by more than that, and it is verified: going up the template, only k-grams that
+lie behind all earlier ones in the text count. A span is a license if these are enough of its template's k-grams. A phrase must lie on
 one diagonal whole. The text is split once, and only hits and one marker row per document are shuffled.
 
 Defined results: null text has no words; letters A-Z are lower-cased, other letters never match a template; a document
@@ -39,8 +40,10 @@ TEMPLATES = {
 }
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a k-gram, words that neighbouring diagonals may lie apart, share of a template's k-grams that makes a license.
-GRAM, APART, SHARE = 3, 4, 0.8
+#: Words of a k-gram, words by which a span may drift in all, share of a template's k-grams that makes a license.
+GRAM, DRIFT, SHARE = 3, 4, 0.8
+#: K-grams of templates that are broadcast; a caller's larger set of templates is joined as Spark sees fit.
+BROADCAST_GRAMS = 100_000
 #: Lower-casing makes this letter a k, which it is not here.
 KELVIN, OTHER = "K", "κ"
 
@@ -65,29 +68,44 @@ def template_grams(spark, phrases: dict[str, str], templates: dict[str, str]) ->
 
 
 def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Merged diagonals: row, doc_id, n_words, template, label, exact, share, start and end word; one marker span per row."""
+    """One span per diagonal hit, with those above it: row, doc_id, n_words, template, label, exact, share, start and end word; one marker span per row."""
     lowered = F.lower(F.replace(whole_text(), F.lit(KELVIN), F.lit(OTHER)))
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(lowered, F.lit(WORDS), 0).alias("words"))
     hashed = words.withColumn("hs", F.concat(F.array(F.lit(0).cast("long")), _hashes("words")))
     placed = hashed.select("row", "doc_id", "words", F.posexplode("hs").alias("pos", "h"))
     grams = template_grams(docs.sparkSession, phrases, templates)
+    if sum(len(t.split(" ")) for t in [*phrases, *templates]) <= BROADCAST_GRAMS:
+        grams = F.broadcast(grams)
     marker = (F.col("pos") == 0) & (F.col("template") == -1)
     equal = (F.col("pos") > 0) & (F.array_join(F.slice("words", F.greatest("pos", F.lit(1)), GRAM), " ") == F.col("gram"))
     hits = (
-        placed.join(F.broadcast(grams), "h").filter(marker | equal)
+        placed.join(grams, "h").filter(marker | equal)
         .select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "template", "label", "exact", "grams", "at", (F.col("pos") - 1 - F.col("at")).alias("diagonal"))
         .repartition("row")
     )
     voted = hits.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "grams", "diagonal").agg(F.collect_set("at").alias("ats"))
-    line = Window.partitionBy("row", "template").orderBy("diagonal")
-    breaks = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(line) > APART)
-    merged = voted.withColumn("span", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(line))
-    found = merged.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "grams", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"),
-        F.min(F.col("diagonal") + F.array_min("ats")).cast("long").alias("start"),
-        F.max(F.col("diagonal") + F.array_max("ats") + GRAM).cast("long").alias("end"),
+    above = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    own = F.transform("ats", lambda a: F.struct(a.alias("at"), (a + F.col("diagonal")).alias("pos")))
+    merged = voted.withColumn("own", own).withColumn("hits", F.when(F.col("exact"), F.col("own")).otherwise(F.flatten(F.collect_list("own").over(above))))
+    found = merged.withColumn("chain", F.aggregate(F.array_sort("hits"), _no_chain(), _longer))
+    return found.select(
+        "row", "doc_id", "n_words", "template", "label", "exact", "grams", F.col("chain.covered").alias("covered"),
+        F.col("chain.first").cast("long").alias("start"), (F.col("chain.last") + GRAM).cast("long").alias("end"),
+        F.when(F.col("template") >= 0, F.col("chain.covered") / F.col("grams")).alias("share"),
+    )
+
+
+def _no_chain() -> Column:
+    return F.struct(*[F.lit(v).alias(n) for n, v in (("at", -1), ("first", None), ("last", -1), ("covered", 0))]).cast("struct<at: int, first: int, last: int, covered: int>")
+
+
+def _longer(chain: Column, hit: Column) -> Column:
+    """One more k-gram in the order of the template, then of the text: it counts if it is new and lies behind all before it."""
+    counts = (hit["at"] > chain["at"]) & (hit["pos"] > chain["last"])
+    return F.struct(
+        hit["at"].alias("at"), F.coalesce(chain["first"], hit["pos"]).alias("first"),
+        F.when(counts, hit["pos"]).otherwise(chain["last"]).alias("last"), (chain["covered"] + counts.cast("int")).alias("covered"),
     )
-    return found.withColumn("share", F.when(F.col("template") >= 0, F.col("covered") / F.col("grams")))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:

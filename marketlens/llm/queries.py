@@ -125,9 +125,10 @@ def license_sql() -> str:
     tg AS (SELECT t, label, exact, len(ws) - 2 AS n, unnest(range(0, len(ws) - 2)) AS j, ws FROM tw),
     tj AS (SELECT t, label, exact, n, j, concat_ws(' ', ws[j + 1], ws[j + 2], ws[j + 3]) AS g FROM tg),
     hit AS (SELECT r, t, label, exact, n, j, i, i - j AS dg FROM g JOIN tj USING (g)),
-    line AS (SELECT *, dg - lag(dg) OVER (PARTITION BY r, t ORDER BY dg, j) AS gap FROM hit),
-    spanned AS (SELECT *, sum(CASE WHEN gap IS NULL OR (exact AND gap > 0) OR gap > {license_scan.APART} THEN 1 ELSE 0 END) OVER (PARTITION BY r, t ORDER BY dg, j) AS s FROM line),
-    sp AS (SELECT r, t, label, exact, n, s, count(DISTINCT j) AS c, min(i) AS a FROM spanned GROUP BY ALL),
+    dg AS (SELECT DISTINCT r, t, dg FROM hit),
+    near AS (SELECT h.r, h.t, dg.dg AS s, label, exact, n, j, min(i) AS i FROM hit h JOIN dg ON dg.r = h.r AND dg.t = h.t AND h.dg BETWEEN dg.dg AND dg.dg + CASE WHEN exact THEN 0 ELSE {license_scan.DRIFT} END GROUP BY ALL),
+    chain AS (SELECT *, coalesce(i > max(i) OVER (PARTITION BY r, t, s ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS on_chain FROM near),
+    sp AS (SELECT r, t, label, exact, n, s, count(*) FILTER (on_chain) AS c, min(i) AS a FROM chain GROUP BY ALL),
     b AS (SELECT *, exact AND c = n AS base, c / n AS share FROM sp),
     o AS (SELECT r, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word,
           array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,

@@ -230,6 +230,11 @@ def test_license_spans(spark, odd, none):
     assert (got[2]["n_base"], got[2]["base_labels"], got[2]["labels"]) == (0, "", "mit") and 0.8 <= got[2]["score"] < 1
     assert got[3]["labels"] == "" and 0 < got[3]["score"] < 0.5
     assert got[4]["labels"] == "gpl-3" and got[5]["labels"] == "" and got[6]["n_base"] == 2 and got[7]["labels"] == "" and got[8]["labels"] == ""
+    apache = "licensed under the apache license version 2 0".split()
+    torn = " ".join(w for i in range(len(apache) - 2) for w in apache[i : i + 3])
+    back = " ".join(" ".join(apache[i : i + 3]) for i in range(len(apache) - 3, -1, -1))
+    again = spark.createDataFrame([(1, torn), (2, back), (3, "under the mit license " * 3000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scan(again).collect()} == {1: "", 2: "", 3: "mit"}
     assert license_scan.scan(odd).count() == len(odd_rows()) and license_scan.scan(none).count() == 0
     fifteen = next(r for r in collected(license_scan.scan(odd)) if r["doc_id"] == 15)
     assert (fifteen["n_base"], fifteen["first_word"], fifteen["last_word"], fifteen["base_labels"]) == (3, 0, 8, "apache-2,mit")
