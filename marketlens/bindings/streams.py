@@ -10,6 +10,8 @@ from marketlens.bindings.tables import MSG, messages
 from marketlens.bindings.views import EVENTS, six, table
 from marketlens.functions.numbers import six as r6
 from marketlens.functions.times import naive
+from marketlens.operators import feeds
+from marketlens.operators.ordered import ordinal, time_block
 from marketlens.session import cut_lineage, scratch_path
 from marketlens.streaming import flows, state
 
@@ -21,19 +23,72 @@ def event_rows(spark, d):
     )
 
 
-@query("stream_sequence_gate", "I2", f"WITH {MSG} SELECT connection, pos, seq, status FROM sq")
+@query("stream_sequence_gate", "I2", f"WITH {MSG} SELECT connection, pos, seq, status, missing FROM sc")
 def stream_sequence_gate(spark, d):
     return flows.replayed(cut_lineage(messages(spark, d).drop("value", "event_type")), "ts", state.gate_stream, "gate")
 
 
+FEED = EVENTS + """, nm AS (SELECT *, user_id * 10 + CAST(day(ts) AS BIGINT) // 8 AS connection, floor(value) AS amount, row_number() OVER (PARTITION BY user_id, CAST(day(ts) AS BIGINT) // 8 ORDER BY ts, event_id) AS n FROM ev),
+msg AS (SELECT connection, connection * 10 + k % 2 AS ticker, CASE WHEN k <> 98 THEN 1 END AS sid, CASE WHEN k = 7 THEN n - 2 WHEN k = 50 THEN n + 3 ELSE n END AS seq, event_id AS pos, ts, event_type, amount,
+ (k % 9 + 1) / 10.0::DOUBLE AS price, CASE WHEN k % 3 = 0 THEN 'yes' ELSE 'no' END AS side FROM nm),
+jd AS (SELECT *, CASE WHEN sid IS NULL THEN CASE WHEN event_type <> 'view' THEN 'GAP' ELSE 'UNSEQUENCED' END WHEN b IS NULL THEN 'APPLIED' WHEN seq <= b THEN 'DUPLICATE' WHEN seq > b + 1 THEN 'GAP' ELSE 'APPLIED' END AS raw
+ FROM (SELECT *, max(seq) OVER (PARTITION BY connection, sid ORDER BY ts, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM msg)),
+gap AS (SELECT connection, min(struct_pack(t := ts, p := pos)) AS g FROM jd WHERE raw = 'GAP' GROUP BY 1),
+ap AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY connection, ticker ORDER BY ts, pos) AS epoch FROM jd LEFT JOIN gap USING (connection)
+ WHERE raw = 'APPLIED' AND event_type <> 'view' AND (g IS NULL OR struct_pack(t := ts, p := pos) < g)),
+chg AS (SELECT connection, ticker, epoch, ts, pos, side, price, CASE event_type WHEN 'error' THEN -amount ELSE floor(amount / 2) END AS change FROM ap WHERE event_type <> 'signup' AND epoch > 0
+ UNION ALL SELECT connection, ticker, epoch, ts, pos, 'yes', price, amount + 1 FROM ap WHERE event_type = 'signup' UNION ALL SELECT connection, ticker, epoch, ts, pos, 'no', 0.5, amount + 5 FROM ap WHERE event_type = 'signup'),
+fold AS (SELECT *, c - least(0, min(c) OVER w) AS size FROM (SELECT *, sum(change) OVER w AS c FROM chg WINDOW w AS (PARTITION BY connection, ticker, epoch, side, price ORDER BY ts, pos ROWS UNBOUNDED PRECEDING))
+ WINDOW w AS (PARTITION BY connection, ticker, epoch, side, price ORDER BY ts, pos ROWS UNBOUNDED PRECEDING))"""
+
+
+def live_book_changes(spark, d):
+    """Books behind the gate: a connection a user and week, two tickers each; a gap comes from skipped or missing numbers."""
+    e = event_rows(spark, d).withColumn("connection", F.col("user_id") * 10 + F.floor(F.dayofmonth("ts") / 8))
+    k, amount = F.col("k"), F.floor("value").cast("double")
+    kind, price = F.col("event_type"), (k % 9 + 1) / 10.0
+    n = F.col("_n")
+    placed = ordinal(e, ["connection"], ["ts", "event_id"], "_n", time_block("ts"))
+    entry = lambda p, size: F.array(F.struct(p.cast("double").alias("price"), size.alias("size")))
+    snap = kind == "signup"
+    rows = placed.select(
+        "connection", F.when(k != 98, F.lit(1)).alias("sid"), F.when(k == 7, n - 2).when(k == 50, n + 3).otherwise(n).alias("seq"),
+        (kind != "view").alias("is_book"), "ts", F.col("event_id").alias("pos"), (F.col("connection") * 10 + k % 2).alias("ticker"),
+        F.when(snap, "orderbook_snapshot").when(kind == "view", "ticker").otherwise("orderbook_delta").alias("event_type"),
+        F.when(snap, entry(price, amount + 1)).alias("yes_bids"), F.when(snap, entry(F.lit(0.5), amount + 5)).alias("no_bids"),
+        F.when(~snap, price).alias("price"), F.when(~snap, F.when(kind == "error", -amount).otherwise(F.floor(amount / 2).cast("double"))).alias("delta"),
+        F.when(k % 3 == 0, "yes").otherwise("no").alias("side"),
+    )
+    return flows.replayed(cut_lineage(rows), "ts", state.live_book_stream, "live-book")
+
+
+@query("stream_live_book", "I1 I2", f"""WITH {FEED} SELECT connection, ticker, side, price, arg_max(size, struct_pack(t := ts, p := pos)) AS size FROM fold
+ JOIN (SELECT connection, ticker, max(epoch) AS epoch FROM ap GROUP BY ALL) USING (connection, ticker, epoch) WHERE connection NOT IN (SELECT connection FROM gap) GROUP BY ALL HAVING arg_max(size, struct_pack(t := ts, p := pos)) > 0""")
+def stream_live_book(spark, d):
+    return feeds.live_levels(live_book_changes(spark, d))
+
+
+@query("stream_gated_changes", "I1 I2", f"""WITH {FEED} SELECT connection, ticker, CAST(epoch AS BIGINT) AS epoch, side, price, pos, size, 'LEVEL' AS status, 0::BIGINT AS missing FROM fold
+ UNION ALL SELECT connection, NULL, NULL, NULL, NULL, pos, NULL, 'GAP', CASE WHEN sid IS NULL THEN 0 ELSE seq - b - 1 END FROM jd JOIN gap USING (connection) WHERE struct_pack(t := ts, p := pos) = g""")
+def stream_gated_changes(spark, d):
+    return live_book_changes(spark, d).where("status <> 'BOOK'").drop("ts")
+
+
 @query("stream_book_state", "I1", f"WITH {bb.LOG} SELECT ticker, CAST(epoch AS BIGINT) AS epoch, side, price, seq, size FROM lev")
 def stream_book_state(spark, d):
     return flows.replayed(bb.depth_log_of(event_rows(spark, d)).drop("received"), "ts", state.book_stream, "book")
 
 
+#: Seconds after which a signal that found no quote is given up.
+PATIENCE = 43_200
+
+
 @query("stream_delayed_fill", "I6 I7", f"""WITH {bb.SIG}, mk AS (SELECT s.signal_id, s.contract, s.side, CAST(hz AS BIGINT) AS horizon, min(struct_pack(t := b.ts, e := b.seq)) AS h FROM sig s, (SELECT unnest([300, 3600, 86400]) AS hz)
- JOIN book b ON b.contract = s.contract AND b.ts >= s.signal_time + to_seconds(hz) GROUP BY ALL)
-SELECT mk.contract, mk.signal_id, mk.horizon, mk.side, mk.h.e AS fill_id, mk.h.t AS fill_time, {six("CASE WHEN mk.side = 'YES' THEN b.yes_ask ELSE b.no_ask END")} AS price FROM mk JOIN book b ON b.seq = mk.h.e""")
+ JOIN book b ON b.contract = s.contract AND b.ts BETWEEN s.signal_time + to_seconds(hz) AND s.signal_time + to_seconds(hz + {PATIENCE}) GROUP BY ALL)
+SELECT mk.contract, mk.signal_id, mk.horizon, mk.side, mk.h.e AS fill_id, mk.h.t AS fill_time, {six("CASE WHEN mk.side = 'YES' THEN b.yes_ask ELSE b.no_ask END")} AS price,
+ CASE WHEN (CASE WHEN mk.side = 'YES' THEN b.yes_ask ELSE b.no_ask END) IS NULL THEN 'NO_EXECUTABLE_ASK' ELSE 'FILLED' END AS status FROM mk JOIN book b ON b.seq = mk.h.e
+UNION ALL SELECT s.contract, s.signal_id, CAST(hz AS BIGINT), s.side, NULL, NULL, NULL, 'NO_MARKET_QUOTE' FROM sig s, (SELECT unnest([300, 3600, 86400]) AS hz)
+ WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.signal_id = s.signal_id AND mk.horizon = hz) AND s.signal_time + to_seconds(hz + {PATIENCE}) < (SELECT max(ts) - INTERVAL 1 MINUTE FROM ev)""")
 def stream_delayed_fill(spark, d):
     from marketlens.bindings.views import quotes_of
 
@@ -43,6 +98,7 @@ def stream_delayed_fill(spark, d):
     rows = q.withColumn("is_quote", is_quote).withColumn("horizon", F.explode(horizons)).select(
         "contract", "ts", F.col("seq").alias("id"), "is_quote", "horizon",
         F.timestamp_micros(F.unix_micros("ts") + F.col("horizon") * 1_000_000).alias("due"),
+        F.timestamp_micros(F.unix_micros("ts") + (F.col("horizon") + PATIENCE) * 1_000_000).alias("expires"),
         F.when(F.col("k") % 2 == 0, "YES").otherwise("NO").alias("side"), "yes_ask", "no_ask",
     )
     out = flows.replayed(rows, "ts", state.fill_stream, "fills")

@@ -271,12 +271,13 @@ MSG = EVENTS + """, msg AS (SELECT user_id AS connection, CASE WHEN k <> 98 THEN
 jd AS (SELECT *, CASE WHEN sid IS NULL OR seq IS NULL THEN CASE WHEN is_book THEN 'GAP' ELSE 'UNSEQUENCED' END WHEN b IS NULL THEN 'APPLIED' WHEN seq <= b THEN 'DUPLICATE' WHEN seq > b + 1 THEN 'GAP' ELSE 'APPLIED' END AS raw
  FROM (SELECT *, max(seq) OVER (PARTITION BY connection, sid ORDER BY ts, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM msg)),
 sq AS (SELECT j.*, CASE WHEN g.g IS NOT NULL AND struct_pack(t := ts, p := pos) > g.g THEN 'INVALIDATED' ELSE raw END AS status FROM jd j LEFT JOIN
- (SELECT connection, min(struct_pack(t := ts, p := pos)) AS g FROM jd WHERE raw = 'GAP' GROUP BY 1) g USING (connection))"""
+ (SELECT connection, min(struct_pack(t := ts, p := pos)) AS g FROM jd WHERE raw = 'GAP' GROUP BY 1) g USING (connection)),
+sc AS (SELECT *, CASE WHEN status = 'GAP' AND sid IS NOT NULL AND seq IS NOT NULL THEN seq - b - 1 ELSE 0 END AS missing FROM sq)"""
 
 
-@query("sequence_status", "I2", f"WITH {MSG} SELECT connection, pos, seq, status FROM sq")
+@query("sequence_status", "I2", f"WITH {MSG} SELECT connection, pos, seq, status, missing FROM sc")
 def sequence_status(spark, d):
-    return feeds.sequence_status(messages(spark, d)).select("connection", "pos", "seq", "status")
+    return feeds.sequence_status(messages(spark, d)).select("connection", "pos", "seq", "status", "missing")
 
 
 @query("best_quotes", "I3 A12", f"""WITH {QUOTES} SELECT contract, arg_max(seq, struct_pack(t := ts, s := seq)) AS seq, {six('arg_max(yes_bid, struct_pack(t := ts, s := seq))')} AS yes_bid,

@@ -15,7 +15,7 @@ def sequence_status(messages: DataFrame, *, block_seconds: int = BLOCK_SECONDS)
 
     ``messages``: connection, sid, seq, is_book, ts, pos (arrival order). Numbers belong to a
     subscription, a break belongs to the connection: everything after its first gap waits for a new
-    connection. A book message without a number is a gap.
+    connection. A book message without a number is a gap. ``missing`` counts the numbers that a gap left out.
     """
     numbered = F.col("sid").isNotNull() & F.col("seq").isNotNull()
     keyed = messages.withColumn("_sid", F.coalesce("sid", F.lit(-1)))
@@ -32,7 +32,22 @@ def sequence_status(messages: DataFrame, *, block_seconds: int = BLOCK_SECONDS)
     breaks = judged.where(F.col("_raw") == "GAP").groupBy("connection").agg(F.min(F.struct("ts", "pos")).alias("_break"))
     out = judged.join(breaks, "connection", "left")
     after = F.col("_break").isNotNull() & (F.struct("ts", "pos") > F.col("_break"))
-    return out.select(*messages.columns, F.when(after, "INVALIDATED").otherwise(F.col("_raw")).alias("status"))
+    status = F.when(after, "INVALIDATED").otherwise(F.col("_raw"))
+    lost = F.when((status == "GAP") & numbered, F.col("seq") - F.col("_before") - 1).otherwise(0)
+    return out.select(*messages.columns, status.alias("status"), lost.cast("long").alias("missing"))
+
+
+def live_levels(changes: DataFrame) -> DataFrame:
+    """The books now, off the changes of ``state.live_book_stream``: connection, ticker, side, price, size of each live level.
+
+    A level is void if its ticker has a newer book or its connection a gap.
+    """
+    level = F.col("status") == "LEVEL"
+    last = changes.where(level).groupBy("connection", "ticker", "side", "price").agg(F.max_by(F.struct("epoch", "size"), F.struct("epoch", "ts", "pos")).alias("_l"))
+    newest = changes.where(F.col("status") == "BOOK").groupBy("connection", "ticker").agg(F.max("epoch").alias("_now"))
+    gaps = changes.where(F.col("status") == "GAP").select("connection").distinct()
+    live = last.join(newest, ["connection", "ticker"]).where((F.col("_l.epoch") == F.col("_now")) & (F.col("_l.size") > 0))
+    return live.join(gaps, "connection", "left_anti").select("connection", "ticker", "side", "price", F.col("_l.size").alias("size"))
 
 
 def best_quotes(quotes: DataFrame, key: str, order: Sequence[str], carried: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Keyed state of the live rules: sequence gate, book fold, delayed fills, health changes.
+"""Keyed state of the live rules: sequence gate, gated live books, book fold, delayed fills, health changes, settlement.
 
 Each processor loads the small state of its key once per batch, decides the batch in time order and writes back what
 changed. Rows are ordered inside a batch; a row that comes in a later batch than its time would ask is taken as it comes.
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Processors travel to the Python workers by value: executors need no copy of this package.
@@ -20,9 +21,10 @@ register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-GATE_OUTPUT = "connection bigint, pos bigint, seq bigint, status string"
+GATE_OUTPUT = "connection bigint, pos bigint, seq bigint, status string, missing bigint"
+LIVE_OUTPUT = "connection bigint, ticker bigint, epoch bigint, side string, price double, ts timestamp, pos bigint, size double, status string, missing bigint"
 BOOK_OUTPUT = "ticker bigint, epoch bigint, side string, price double, seq bigint, size double"
-FILL_OUTPUT = "contract bigint, signal_id bigint, horizon bigint, side string, fill_id bigint, fill_time timestamp, price double"
+FILL_OUTPUT = "contract bigint, signal_id bigint, horizon bigint, side string, fill_id bigint, fill_time timestamp, price double, status string"
 CLAIM_OUTPUT = "event string, event_id bigint, ts timestamp"
 SETTLED_OUTPUT = "contract bigint, fill_id bigint, result_id bigint"
 HEALTH_OUTPUT = "component bigint, event_id bigint, status string, previous_status string, previous_reason string"
@@ -37,15 +39,16 @@ class SequenceGate(StatefulProcessor):
     """Continuity per connection: last number of each subscription, and whether a gap has occurred.
 
     The numbers before the first gap decide; from it on everything is invalidated until a new connection. Per
-    subscription the last applied number is the running maximum, so a batch is decided on whole columns.
+    subscription the last applied number is the running maximum, so a batch is decided on whole columns. ``missing`` counts the numbers that
+    a gap left out; a gap without numbers counts none.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getMapState("last", "sid int", "seq bigint")
         self.broken = handle.getValueState("broken", "at bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _batch(rows, ["ts", "pos"])
+    def judged(self, batch: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a batch, in order, with status and missing; the state moves on."""
         numbered = batch["sid"].notna() & batch["seq"].notna()
         sid, seq = batch["sid"].where(numbered), batch["seq"].where(numbered).astype("float64")
         stored = {k[0]: v[0] for k, v in self.last.iterator()}
@@ -65,82 +68,198 @@ class SequenceGate(StatefulProcessor):
                 self.last.updateValue((int(subscription),), (int(top),))
         if not broken and at < len(batch):
             self.broken.update((int(batch["pos"].iloc[at]),))
-        yield pd.DataFrame({"connection": int(key[0]), "pos": batch["pos"].astype("int64"), "seq": batch["seq"].astype("Int64"), "status": status})
+        missing = (seq - previous - 1).where((status == "GAP") & numbered, 0.0).fillna(0.0).astype("int64")
+        return batch.assign(status=status, missing=missing)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = self.judged(_batch(rows, ["ts", "pos"]))
+        yield pd.DataFrame({
+            "connection": int(key[0]), "pos": found["pos"].astype("int64"), "seq": found["seq"].astype("Int64"), "status": found["status"], "missing": found["missing"],
+        })
+
+
+class LevelGate(SequenceGate):
+    """The gate in front of the books of a connection: applied book messages go on as level rows, a new book and a gap as one row
+    without a level.
+
+    A snapshot starts a new epoch of its ticker; deltas before any snapshot of this connection go nowhere. So nothing of an older
+    connection, and nothing after a gap, can reach a book.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.epochs = handle.getMapState("epochs", "ticker bigint", "epoch bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = self.judged(_batch(rows, ["ts", "pos"]))
+        applied = found[(found["status"] == "APPLIED") & found["is_book"].astype(bool) & found["ticker"].notna()]
+        snapshot = applied["event_type"].str.lower().str.contains("snapshot")
+        stored = {k[0]: v[0] for k, v in self.epochs.iterator()}
+        count = snapshot.astype("int64").groupby(applied["ticker"]).cumsum() + applied["ticker"].map(stored).fillna(0).astype("int64")
+        placed = applied.assign(epoch=count, snapshot=snapshot)
+        for ticker, epoch in count.groupby(applied["ticker"]).max().items():
+            if epoch != stored.get(int(ticker), 0):
+                self.epochs.updateValue((int(ticker),), (int(epoch),))
+        live = placed[placed["epoch"] > 0]
+        keep = ["ticker", "epoch", "ts", "pos"]
+        delta = live[~live["snapshot"] & single_changes(live)][[*keep, "side", "price", "delta"]]
+        parts = [delta, snapshot_levels(live[live["snapshot"]], keep)]
+        levels = pd.concat(parts, ignore_index=True).assign(status="LEVEL", missing=0)
+        gaps = found[found["status"] == "GAP"][["ts", "pos", "missing"]].assign(status="GAP")
+        books = live[live["snapshot"]][["ticker", "epoch", "ts", "pos"]].assign(status="BOOK", missing=0)
+        out = pd.concat([levels, books, gaps], ignore_index=True).reindex(columns=["ticker", "epoch", "side", "price", "ts", "pos", "delta", "status", "missing"])
+        out.insert(0, "connection", int(key[0]))
+        # keys without nulls: a null would turn the whole numbers of its batch into floating point, which are no keys
+        yield out.fillna({"ticker": -1, "epoch": 0, "side": "", "price": 0.0}).astype({"ticker": "int64", "epoch": "int64", "pos": "int64", "missing": "int64"})
+
+
+class HeldLevels:
+    """The live levels of one ticker in its newest epoch, stored as one list that is read once and written once per batch."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("held", "epoch bigint, side string, price double, size double")
+
+    def read(self) -> pd.DataFrame:
+        rows = [tuple(r) for r in self.state.get()] if self.state.exists() else []
+        return pd.DataFrame(rows, columns=["epoch", "side", "price", "size"]).astype({"epoch": "int64", "price": "float64", "size": "float64"})
+
+    def fold(self, held: pd.DataFrame, changes: pd.DataFrame, epoch: int) -> pd.Series:
+        """Sizes after each change, in order: a running sum per epoch, side and price that restarts from zero when it would go below."""
+        level = ["epoch", "side", "price"]
+        changes = changes.astype({"epoch": "int64", "side": "object", "price": "float64"})
+        carried = changes[level].merge(held, on=level, how="left")["size"].fillna(0.0).to_numpy()
+        keys = [changes[c] for c in level]
+        total = changes["delta"].astype("float64").groupby(keys).cumsum() + carried
+        size = total - total.groupby(keys).cummin().clip(upper=0.0)
+        now = pd.concat([held, changes.assign(size=size)[[*level, "size"]]], ignore_index=True)
+        live = now[now["epoch"] == epoch].drop_duplicates(level, keep="last")
+        live = live[live["size"] > 0]
+        if len(live):
+            self.state.put([(int(e), s, float(p), float(q)) for e, s, p, q in live.itertuples(index=False)])
+        elif len(held):
+            self.state.clear()
+        return size
+
+
+def snapshot_levels(books: pd.DataFrame, keep: list[str]) -> pd.DataFrame:
+    """One row per level of each snapshot, its size as a change, with the ``keep`` columns."""
+    parts = []
+    for side in ("yes", "no"):
+        held = books[[*keep, f"{side}_bids"]].explode(f"{side}_bids", ignore_index=True).dropna(subset=[f"{side}_bids"])
+        pairs = [(x["price"], x["size"]) if isinstance(x, dict) else (x[0], x[1]) for x in held[f"{side}_bids"]]
+        level = pd.DataFrame(pairs, columns=["price", "delta"], index=held.index, dtype="float64")
+        parts.append(held[keep].assign(side=side, price=level["price"], delta=level["delta"])[level["delta"] > 0])
+    return pd.concat(parts, ignore_index=True)
+
+
+def single_changes(rows: pd.DataFrame) -> pd.Series:
+    """Which rows change one level."""
+    return rows["side"].isin(["yes", "no"]) & rows["price"].notna() & rows["delta"].notna()
+
+
+class LevelFold(StatefulProcessor):
+    """The book of one ticker of a connection behind the gate; a new epoch voids what is held."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = HeldLevels(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _batch(rows, ["ts", "pos"]).reset_index(drop=True).assign(size=float("nan"))
+        level = batch["side"] != ""
+        if int(key[1]) >= 0:
+            changes = batch[level].reset_index(drop=True)
+            batch.loc[level, "size"] = self.held.fold(self.held.read(), changes, int(batch["epoch"].max())).to_numpy()
+        yield batch[LIVE_COLUMNS]
+
+
+LIVE_COLUMNS = ["connection", "ticker", "epoch", "side", "price", "ts", "pos", "size", "status", "missing"]
 
 
 class BookFold(StatefulProcessor):
     """Levels of one ticker since its last snapshot; a delta before any snapshot is ignored."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price double", "size double")
+        self.held = HeldLevels(handle)
         self.epoch = handle.getValueState("epoch", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        book = {(k[0], k[1]): v[0] for k, v in self.levels.iterator()}
-        stored = dict(book)
-        epoch = self.epoch.get()[0] if self.epoch.exists() else 0
-        start = epoch
-        out = []
-        for row in _batch(rows, ["ts", "seq"]).itertuples(index=False):
-            if "snapshot" in row.event_type.lower():
-                epoch += 1
-                book = {}
-                for side, levels in (("yes", row.yes_bids), ("no", row.no_bids)):
-                    for level in levels if levels is not None else ():
-                        price, size = (level["price"], level["size"]) if isinstance(level, dict) else (level[0], level[1])
-                        if size > 0:
-                            book[(side, price)] = book.get((side, price), 0.0) + size
-                            out.append((int(key[0]), epoch, side, price, int(row.seq), book[(side, price)]))
-            elif epoch and row.side in ("yes", "no") and not pd.isna(row.price) and not pd.isna(row.delta):
-                size = max(0.0, book.get((row.side, row.price), 0.0) + row.delta)
-                if size > 0:
-                    book[(row.side, row.price)] = size
-                else:
-                    book.pop((row.side, row.price), None)
-                out.append((int(key[0]), epoch, row.side, row.price, int(row.seq), size))
-        for level in stored.keys() - book.keys():
-            self.levels.removeKey(level)
-        for level, size in book.items():
-            if stored.get(level) != size:
-                self.levels.updateValue(level, (float(size),))
-        if epoch != start:
-            self.epoch.update((epoch,))
-        yield pd.DataFrame(out, columns=["ticker", "epoch", "side", "price", "seq", "size"])
+        batch = _batch(rows, ["ts", "seq"]).reset_index(drop=True)
+        start = self.epoch.get()[0] if self.epoch.exists() else 0
+        snapshot = batch["event_type"].str.lower().str.contains("snapshot")
+        batch["epoch"] = start + snapshot.astype("int64").cumsum()
+        batch["place"] = batch.index
+        keep = ["epoch", "place", "seq"]
+        single = batch[~snapshot & (batch["epoch"] > 0) & single_changes(batch)][[*keep, "side", "price", "delta"]]
+        changes = pd.concat([single, snapshot_levels(batch[snapshot], keep)], ignore_index=True).sort_values("place", kind="stable", ignore_index=True)
+        last = int(batch["epoch"].iloc[-1])
+        changes["size"] = self.held.fold(self.held.read(), changes, last)
+        if last != start:
+            self.epoch.update((last,))
+        out = changes.astype({"epoch": "int64", "seq": "int64"})[["epoch", "side", "price", "seq", "size"]]
+        out.insert(0, "ticker", int(key[0]))
+        yield out
 
 
 class DelayedFill(StatefulProcessor):
-    """Signals wait until the first quote of their contract at or after they are due.
+    """Signals wait until the first quote of their contract at or after they are due, or until they expire.
 
     Waiting and new signals are matched with the quotes of the batch by one merge on time. A signal that comes after a
-    quote it could have used meets only later quotes, as live ones do.
+    quote it could have used meets only later quotes, as live ones do. A signal whose last moment passes without a quote is given up: a quote that
+    comes later shows it within the batch, or a timer at the watermark. Either way it gives a row, and leaves the state.
     """
 
+    COLUMNS = ("id", "horizon", "due", "expires", "side", "place")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getMapState("pending", "signal_id bigint, horizon bigint", "due timestamp, side string")
+        self.handle = handle
+        self.pending = handle.getListState("pending", "id bigint, horizon bigint, due timestamp, expires timestamp, side string")
+
+    def _waiting(self) -> pd.DataFrame:
+        old = [(i, h, pd.Timestamp(d).tz_localize(None), pd.Timestamp(e).tz_localize(None), s, -1) for i, h, d, e, s in (self.pending.get() if self.pending.exists() else ())]
+        return pd.DataFrame(old, columns=list(self.COLUMNS))
+
+    def _keep(self, waiting: pd.DataFrame, had: bool) -> None:
+        """The whole list in one write; a timer at the earliest expiry."""
+        if len(waiting):
+            self.pending.put([(int(r.id), int(r.horizon), r.due.to_pydatetime(), r.expires.to_pydatetime(), r.side) for r in waiting.itertuples(index=False)])
+            self.handle.registerTimer(int(waiting["expires"].min().timestamp() * 1000) + 1)
+        elif had:
+            self.pending.clear()
+
+    @staticmethod
+    def _rows(contract: int, done: pd.DataFrame, used: pd.DataFrame | None) -> pd.DataFrame:
+        done = done.reset_index(drop=True)
+        row = {"contract": contract, "signal_id": done["id"].astype("int64"), "horizon": done["horizon"].astype("int64"), "side": done["side"]}
+        if used is None:
+            return pd.DataFrame({**row, "fill_id": pd.Series(pd.NA, done.index, "Int64"), "fill_time": pd.Series(pd.NaT, done.index, "datetime64[us]"), "price": pd.Series(float("nan"), done.index).where(lambda x: x == x, None).astype("object"), "status": "NO_MARKET_QUOTE"})
+        price = used["yes_ask"].where(done["side"] == "YES", used["no_ask"])
+        status = pd.Series("FILLED", done.index).mask(price.isna(), "NO_EXECUTABLE_ASK")
+        return pd.DataFrame({**row, "fill_id": used["id"].astype("Int64"), "fill_time": used["ts"], "price": price, "status": status})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _batch(rows, ["ts", "is_quote", "id"])
         batch["place"] = range(len(batch))
         quotes = batch[batch["is_quote"]][["ts", "place", "id", "yes_ask", "no_ask"]]
-        new = batch[~batch["is_quote"]][["id", "horizon", "due", "side", "place"]]
-        old = [(k[0], k[1], pd.Timestamp(v[0]).tz_localize(None), v[1], -1) for k, v in self.pending.iterator()]
-        kept = pd.DataFrame(old, columns=["id", "horizon", "due", "side", "place"])
-        waiting = pd.concat([kept, new], ignore_index=True) if len(old) else new.reset_index(drop=True)
+        new = batch[~batch["is_quote"]][list(self.COLUMNS)]
+        kept = self._waiting()
+        waiting = pd.concat([kept, new], ignore_index=True) if len(kept) else new.reset_index(drop=True)
         # the first quote that is late enough: on time for signals that came before it, else after the signal's place
         by_time = quotes["ts"].searchsorted(waiting["due"], side="left") if len(quotes) else 0
         by_place = quotes["place"].searchsorted(waiting["place"], side="right") if len(quotes) else 0
         index = pd.concat([pd.Series(by_time, waiting.index), pd.Series(by_place, waiting.index)], axis=1).max(axis=1)
         found = index < len(quotes)
         done, used = waiting[found], quotes.iloc[index[found].astype(int)].reset_index(drop=True)
-        for signal, horizon in done[done["place"] < 0][["id", "horizon"]].itertuples(index=False):
-            self.pending.removeKey((int(signal), int(horizon)))
-        for row in waiting[~found & (waiting["place"] >= 0)].itertuples(index=False):
-            self.pending.updateValue((int(row.id), int(row.horizon)), (row.due.to_pydatetime(), row.side))
-        done = done.reset_index(drop=True)
-        yield pd.DataFrame({
-            "contract": int(key[0]), "signal_id": done["id"].astype("int64"), "horizon": done["horizon"].astype("int64"), "side": done["side"],
-            "fill_id": used["id"].astype("int64"), "fill_time": used["ts"], "price": used["yes_ask"].where(done["side"] == "YES", used["no_ask"]),
-        })
+        late = used["ts"].to_numpy() > done["expires"].to_numpy()
+        self._keep(waiting[~found], len(kept) > 0)
+        yield self._rows(int(key[0]), done[~late], used[~late].reset_index(drop=True))
+        if late.any():
+            yield self._rows(int(key[0]), done[late], None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = self._waiting()
+        gone = waiting["expires"] < pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        self._keep(waiting[~gone], len(waiting) > 0)
+        yield self._rows(int(key[0]), waiting[gone], None)
 
 
 class HealthChange(StatefulProcessor):
@@ -179,41 +298,50 @@ class FirstClaim(StatefulProcessor):
 
 
 class Settlement(StatefulProcessor):
-    """Each fill is settled once, by the first result of its contract at or after it; a fill waits until it has one."""
+    """Each fill is settled once, by the first result of its contract at or after it; a fill waits until it has one.
+
+    State is two sorted lists, each written whole once per batch: open fills, and results not older than the watermark. An older result can
+    settle nothing any more: no fill before the watermark is still to come, and those that wait came after it. So results do not pile up.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", "fill_id bigint", "ts timestamp")
-        self.results = handle.getMapState("results", "result_id bigint", "ts timestamp")
+        self.open = handle.getListState("open", "id bigint, ts timestamp")
+        self.results = handle.getListState("results", "id bigint, ts timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _batch(rows, ["ts", "id"])[["id", "ts", "is_result"]]
+        watermark = pd.Timestamp(max(timerValues.getCurrentWatermarkInMs(), 0), unit="ms")
 
-        def with_stored(state, new: pd.DataFrame) -> pd.DataFrame:
-            old = [(k[0], pd.Timestamp(v[0]).tz_localize(None)) for k, v in state.iterator()]
+        def stored(state) -> list[tuple]:
+            return [(i, pd.Timestamp(ts).tz_localize(None)) for i, ts in state.get()] if state.exists() else []
+
+        def merged(old: list[tuple], new: pd.DataFrame) -> pd.DataFrame:
             both = pd.concat([pd.DataFrame(old, columns=["id", "ts"]), new], ignore_index=True) if old else new
             return both.sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
 
+        def keep(state, left: pd.DataFrame, old: list[tuple]) -> None:
+            now = [(int(i), ts.to_pydatetime()) for i, ts in left.itertuples(index=False)]
+            if now:
+                state.put(now)
+            elif old:
+                state.clear()
+
+        open_, known = stored(self.open), stored(self.results)
         new_fills, new_results = (batch[batch["is_result"] == flag][["id", "ts"]] for flag in (False, True))
-        fills, results = with_stored(self.open, new_fills), with_stored(self.results, new_results)
+        fills, results = merged(open_, new_fills), merged(known, new_results)
         index = results["ts"].searchsorted(fills["ts"], side="left") if len(results) and len(fills) else pd.Series(0, fills.index).to_numpy()
         found = index < len(results)
-        waited = {k[0] for k, _ in self.open.iterator()}
-        for fill, ts, done in zip(fills["id"], fills["ts"], found, strict=True):
-            if done and fill in waited:
-                self.open.removeKey((int(fill),))
-            elif not done and fill not in waited:
-                self.open.updateValue((int(fill),), (ts.to_pydatetime(),))
-        for result, ts in new_results.itertuples(index=False):
-            self.results.updateValue((int(result),), (ts.to_pydatetime(),))
+        keep(self.open, fills[~found], open_)
+        keep(self.results, results[results["ts"] >= watermark], known)
         yield pd.DataFrame({
             "contract": int(key[0]), "fill_id": fills["id"][found].astype("int64").to_numpy(), "result_id": results["id"].to_numpy()[index[found]].astype("int64"),
         })
 
 
-def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+def _stateful(df: DataFrame, key: str | list[str], processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time
     )
 
 
@@ -222,14 +350,29 @@ def gate_stream(messages: DataFrame) -> DataFrame:
     return _stateful(messages, "connection", SequenceGate(), GATE_OUTPUT)
 
 
+def live_book_stream(messages: DataFrame) -> DataFrame:
+    """connection, sid, seq, is_book, ts, pos, ticker, event_type, yes_bids, no_bids, price, delta, side in; level changes and gaps out.
+
+    Two stateful operators in one query: the gate, keyed by connection, and the books behind it, keyed by ticker. ``feeds.live_levels``
+    reads the live books off the changes.
+    """
+    gated = _stateful(messages, "connection", LevelGate(), LIVE_OUTPUT.replace("size double", "delta double"))
+    out = _stateful(gated, ["connection", "ticker"], LevelFold(), LIVE_OUTPUT)
+    gap, level = F.col("status") == "GAP", F.col("status") == "LEVEL"
+    return out.withColumns({**{c: F.when(~gap, F.col(c)) for c in ("ticker", "epoch")}, **{c: F.when(level, F.col(c)) for c in ("side", "price", "size")}})
+
+
 def book_stream(log: DataFrame) -> DataFrame:
     """ticker, ts, seq, event_type, yes_bids, no_bids, price, delta, side in; level changes out."""
     return _stateful(log, "ticker", BookFold(), BOOK_OUTPUT)
 
 
-def fill_stream(rows: DataFrame) -> DataFrame:
-    """contract, ts, id, is_quote, horizon, due, side, yes_ask, no_ask in; fills out, each signal and horizon once."""
-    return _stateful(rows, "contract", DelayedFill(), FILL_OUTPUT)
+def fill_stream(rows: DataFrame, lateness: str = "1 minute") -> DataFrame:
+    """contract, ts, id, is_quote, horizon, due, expires, side, yes_ask, no_ask in; one row per signal and horizon out, filled or given up.
+
+    Rows older than the watermark are late and dropped.
+    """
+    return _stateful(rows.withWatermark("ts", lateness), "contract", DelayedFill(), FILL_OUTPUT, "EventTime")
 
 
 def health_stream(statuses: DataFrame) -> DataFrame:
@@ -242,6 +385,6 @@ def claim_stream(signals: DataFrame) -> DataFrame:
     return _stateful(signals, "event", FirstClaim(), CLAIM_OUTPUT)
 
 
-def settlement_stream(rows: DataFrame) -> DataFrame:
-    """contract, id, ts, is_result in; each fill with its result out, once, however late the result is."""
-    return _stateful(rows, "contract", Settlement(), SETTLED_OUTPUT)
+def settlement_stream(rows: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """contract, id, ts, is_result in; each fill with its result out, once, however late the result is. Rows older than the watermark are late and dropped."""
+    return _stateful(rows.withWatermark("ts", lateness), "contract", Settlement(), SETTLED_OUTPUT, "EventTime")

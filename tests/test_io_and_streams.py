@@ -93,20 +93,66 @@ def test_gap_invalidates_the_whole_connection(spark):
     ]
     frames = [spark.createDataFrame(x, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t") for x in frames]
     out = flows.drain(state.gate_stream(batches(spark, "gate", frames)), "gate")
-    assert {r.pos: r.status for r in out.collect()} == {
-        0: "APPLIED", 1: "APPLIED", 2: "DUPLICATE", 3: "GAP", 4: "INVALIDATED", 5: "APPLIED", 6: "INVALIDATED"}
+    assert {r.pos: (r.status if not r.missing else (r.status, r.missing)) for r in out.collect()} == {
+        0: "APPLIED", 1: "APPLIED", 2: "DUPLICATE", 3: ("GAP", 2), 4: "INVALIDATED", 5: "APPLIED", 6: "INVALIDATED"}
 
 
 def test_pending_fill_waits_for_a_later_batch(spark):
     schema = "contract long, t long, id long, is_quote boolean, horizon long, d long, side string, yes_ask double, no_ask double"
     frames = [
-        [(1, 0, 1, False, 10, 10, "YES", None, None), (1, 5, 50, True, 0, 5, None, 0.3, 0.8)], [(1, 12, 51, True, 0, 12, None, 0.4, 0.7), (1, 13, 52, True, 0, 13, None, 0.5, 0.6)],
+        [(1, 0, 1, False, 10, 10, "YES", None, None), (1, 5, 50, True, 0, 5, None, 0.3, 0.8), (2, 0, 2, False, 10, 10, "NO", None, None), (2, 1, 3, False, 1189, 1190, "NO", None, None), (3, 0, 4, False, 5, 5, "YES", None, None),
+         (4, 0, 5, False, 7, 7, "YES", None, None)],
+        [(1, 12, 51, True, 0, 12, None, 0.4, 0.7), (1, 13, 52, True, 0, 13, None, 0.5, 0.6), (3, 90, 53, True, 0, 90, None, 0.5, 0.6)],
+        [(9, 1000, 54, True, 0, 1000, None, 0.4, 0.7)],
+        [(2, 1200, 55, True, 0, 1200, None, 0.4, None)],
     ]
     frames = [
-        spark.createDataFrame(x, schema).withColumns({"ts": F.timestamp_seconds("t"), "due": F.timestamp_seconds("d")}).drop("t", "d") for x in frames
+        spark.createDataFrame(x, schema).withColumns({"ts": F.timestamp_seconds("t"), "due": F.timestamp_seconds("d"), "expires": F.timestamp_seconds(F.col("d") + 60)}).drop("t", "d") for x in frames
     ]
+    frames = [f.withColumns({c: F.col(c) + F.expr("INTERVAL 10 DAYS") for c in ("ts", "due", "expires")}) for f in frames]
     out = flows.drain(state.fill_stream(batches(spark, "fills", frames)), "fills").collect()
-    assert [(r.signal_id, r.horizon, r.fill_id, r.price) for r in out] == [(1, 10, 51, 0.4)]
+    # 2 and 5 expire by a timer, without any row of their contract; 3 finds a quote without an ask; the quote for 4 is too late
+    assert sorted((r.signal_id, r.horizon, r.fill_id, r.price, r.status) for r in out) == [
+        (1, 10, 51, 0.4, "FILLED"), (2, 10, None, None, "NO_MARKET_QUOTE"), (3, 1189, 55, None, "NO_EXECUTABLE_ASK"), (4, 5, None, None, "NO_MARKET_QUOTE"), (5, 7, None, None, "NO_MARKET_QUOTE")]
+
+
+def test_gap_empties_the_books_of_its_connection(spark):
+    from marketlens.operators import feeds
+
+    schema = f"connection long, sid int, seq long, is_book boolean, t long, pos long, ticker long, event_type string, yes_bids {LEVEL}, no_bids {LEVEL}, price double, delta double, side string"
+
+    def snap(c, seq, pos, ticker):
+        return (c, 1, seq, True, pos, pos, ticker, "orderbook_snapshot", [(0.4, 5.0), (0.3, 0.0)], [(0.5, 7.0 + seq), (0.2, 1.0)], None, None, None)
+
+    def move(c, seq, pos, ticker, change, sid=1):
+        return (c, sid, seq, True, pos, pos, ticker, "orderbook_delta", None, None, 0.4, change, "yes")
+
+    frames = [
+        [snap(1, 1, 0, 10), snap(1, 2, 1, 11), move(1, 3, 2, 10, 2.0), move(1, 3, 3, 10, 2.0), snap(2, 7, 4, 20), move(1, 4, 5, 12, 1.0)],
+        [move(2, 8, 6, 20, -9.0), move(2, 9, 7, 20, 3.0), move(1, 8, 8, 10, 1.0), move(1, 9, 9, 10, 1.0)],
+        [snap(3, 1, 10, 10), move(3, 2, 11, 10, 1.0), move(3, 3, 12, 11, 1.0), move(2, None, 13, 20, 1.0), snap(4, 1, 14, 20), snap(4, 2, 15, 20), move(4, 3, 16, 20, -5.0)],
+    ]
+    frames = [spark.createDataFrame(x, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t") for x in frames]
+    for upto, want in (
+        (1, {(1, 10, "yes", 7.0), (1, 10, "no", 8.0), (1, 11, "yes", 5.0), (1, 11, "no", 9.0), (2, 20, "yes", 5.0), (2, 20, "no", 14.0)}),
+        (2, {(2, 20, "yes", 3.0), (2, 20, "no", 14.0)}),
+        (3, {(3, 10, "yes", 6.0), (3, 10, "no", 8.0), (4, 20, "no", 9.0)}),
+    ):
+        want |= {(c, t, "no", 1.0) for c, t, _, _ in want}
+        changes = flows.drain(state.live_book_stream(batches(spark, "live", frames[:upto])), "live")
+        live = feeds.live_levels(changes)
+        assert {(r.connection, r.ticker, r.side, r["size"]) for r in live.collect()} == want and live.count() == len(want)
+    gaps = {(r.connection, r.pos, r.missing) for r in changes.where("status = 'GAP'").collect()}
+    assert gaps == {(1, 8, 3), (2, 13, 0)}
+
+
+def test_results_do_not_pile_up(spark):
+    frames = [[(1, 100 * n + i, 100_000 * (n + 1) + i, True) for i in range(50)] + ([(1, 1, 1000, False)] if n == 3 else []) for n in range(4)]
+    frames = [spark.createDataFrame(x, "contract long, id long, t long, is_result boolean").withColumn("ts", F.timestamp_seconds("t")).drop("t") for x in frames]
+    path = scratch_path(spark, "settle-state")
+    flows.append_to(state.settlement_stream(batches(spark, "settle-in", frames)), f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    held = spark.read.format("statestore").option("path", f"{path}/checkpoint").option("stateVarName", "results").load()
+    assert held.count() <= 100
 
 
 def test_tail_follows_growing_and_shrinking_files(spark, tmp_path):
