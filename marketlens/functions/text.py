@@ -13,7 +13,7 @@ TICKER_DATE = r"(?i)-(\d{2})(" + "|".join(MONTHS) + r")(\d{1,2})(?:-|$)"
 ISO_DATE = r"\b(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b"
 NATURAL_DATE = (
     r"(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December|"
-    r"Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(20\d{2})\b"
+    r"Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(20\d{2})\b"
 )
 
 #: Any word where a month could stand; the strict pattern decides on the short match.

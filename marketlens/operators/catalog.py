@@ -10,47 +10,51 @@ from pyspark.sql import functions as F
 from marketlens.functions import text as tx
 from marketlens.functions.contracts import parse_label
 from marketlens.functions.dimensions import HIGH_SERIES, LOW_SERIES
+from marketlens.session import cut_lineage
 
 
-def nesting(json: Column) -> Column:
-    """How deep objects and arrays of a JSON text are nested: brackets outside strings, counted up and down."""
-    marks = F.regexp_replace(F.regexp_replace(json, r'"(?:\\\\.|[^"\\\\])*+"', ""), r"[^\[\]{}]+", "")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+#: Levels that one pass over nested payloads opens: few at first, as most are shallow; no plan holds more than the last number.
+LEVELS = (4, 8, 16)
 
-    def step(seen: Column, mark: Column) -> Column:
-        at = seen["at"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
-        return F.struct(at.alias("at"), F.greatest(seen["most"], at).alias("most"))
 
-    return F.aggregate(F.split(marks, ""), start, step, lambda seen: seen["most"])
+def _opened(level: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One level deeper: members of objects and items of arrays with their paths; leaves as they are."""
+    kind = F.schema_of_variant("_v")
+    prefix = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
+    members = F.transform(
+        F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>")),
+        lambda e: F.struct(F.concat(prefix, e["key"]).alias("path"), e["value"].alias("v")),
+    )
+    items = F.transform(
+        F.try_variant_get("_v", "$", "array<variant>"),
+        lambda v, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("v")),
+    )
+    leaf = F.array(F.struct(F.col("path").alias("path"), F.col("_v").alias("v")))
+    entries = F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), items).otherwise(leaf)
+    return level.select(*keys, F.explode(entries).alias("_e")).select(*keys, F.col("_e.path").alias("path"), F.col("_e.v").alias("_v"))
 
 
 def flatten_payload(df: DataFrame, keys: Sequence[str], payload: Column, *, root: str = "") -> DataFrame:
     """``(keys, path, text)`` of every non-null leaf of a JSON payload, however deep.
 
-    One pass over the payloads measures the deepest nesting; then each level is one explode over typed variants, so
-    texts that look like JSON stay texts and no level re-reads the source.
+    A pass opens a fixed number of levels, one explode over typed variants each, and stores what it found; only what is still nested goes on.
+    So the size of a plan does not follow the deepest payload, a deep one costs passes over itself alone, and a text that is no
+    JSON costs nothing. Texts that look like JSON stay texts.
     """
-    depth = df.agg(F.coalesce(F.max(nesting(payload)), F.lit(0))).first()[0]
-    level = df.select(*keys, F.lit(root).alias("path"), F.try_parse_json(payload).alias("_v"))
-    for _ in range(depth):
-        kind = F.schema_of_variant("_v")
-        prefix = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
-        members = F.transform(
-            F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>")),
-            lambda e: F.struct(F.concat(prefix, e["key"]).alias("path"), e["value"].alias("v")),
-        )
-        items = F.transform(
-            F.try_variant_get("_v", "$", "array<variant>"),
-            lambda v, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("v")),
-        )
-        leaf = F.array(F.struct(F.col("path").alias("path"), F.col("_v").alias("v")))
-        entries = F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), items).otherwise(leaf)
-        level = level.select(*keys, F.explode(entries).alias("_e")).select(
-            *keys, F.col("_e.path").alias("path"), F.col("_e.v").alias("_v")
-        )
-    return level.select(*keys, "path", F.try_variant_get("_v", "$", "string").alias("text")).where(
-        F.col("text").isNotNull()
-    )
+    level = df.select(*keys, F.lit(root).alias("path"), F.try_parse_json(payload).alias("_v")).where(F.col("_v").isNotNull())
+    kind = F.schema_of_variant("_v")
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    leaves, turn = None, 0
+    while True:
+        for _ in range(LEVELS[min(turn, len(LEVELS) - 1)]):
+            level = _opened(level, keys)
+        stored = cut_lineage(level.withColumn("_nested", nested))
+        found = stored.where(~F.col("_nested")).select(*keys, "path", F.try_variant_get("_v", "$", "string").alias("text"))
+        leaves = found if leaves is None else leaves.unionByName(found)
+        level = stored.where("_nested").drop("_nested")
+        turn += 1
+        if level.isEmpty():
+            return leaves.where(F.col("text").isNotNull())
 
 
 def relevant_path(path: Column) -> Column:

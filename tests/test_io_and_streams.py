@@ -213,6 +213,10 @@ def test_flatten_has_no_depth_limit(spark):
     deep = '{"a":{"b":[{"c":{"d":{"e":{"f":{"g":[["LEAF {[{"]]}}}}}]},"q":"\\\\\\""}'
     rows = flatten_payload(spark.createDataFrame([(1, deep)], "id long, p string"), ["id"], F.col("p")).collect()
     assert {(r.path, r.text) for r in rows} == {("a.b[0].c.d.e.f.g[0][0]", "LEAF {[{"), ("q", '\\"')}
+    depth = 60
+    texts = ['{"a":' * depth + "7" + "}" * depth, "[" * 300, '{"x": 1, "y": [], "z": {}, "n": null}', None, "", "not json", "5"]
+    rows = flatten_payload(spark.createDataFrame(list(enumerate(texts)), "id long, p string"), ["id"], F.col("p")).collect()
+    assert {(r.id, r.path, r.text) for r in rows} == {(0, ".".join("a" * depth), "7"), (2, "x", "1"), (6, "", "5")}
 
 
 def test_a_cluster_must_name_its_shared_folder():
