@@ -50,12 +50,12 @@ walk AS (SELECT w.event, w.latency, w.depth, l.price, l.size,
  FROM want w JOIN (SELECT book, price, sum(size) AS size FROM lines GROUP BY 1, 2) l ON l.book = w.book),
 priced AS (SELECT event, latency, depth, sum(greatest(0, least(size, depth - ahead))) AS filled,
  sum(greatest(0, least(size, depth - ahead)) * price) AS cost FROM walk GROUP BY 1, 2, 3),
-tr AS (SELECT w.event, w.signal_time, w.latency, w.depth, w.won, w.book, p.filled, p.cost / p.filled AS vwap,
+tr AS (SELECT w.event, w.signal_time, w.latency, w.depth, w.won, w.book, p.filled, p.cost, p.cost / p.filled AS vwap,
  CASE WHEN w.book IS NULL THEN 'NO_POST_LATENCY_BOOK' WHEN coalesce(p.filled >= w.depth, false) THEN 'EXECUTED'
  ELSE 'INSUFFICIENT_DEPTH' END AS status
  FROM want w LEFT JOIN priced p USING (event, latency, depth)),
-trades AS (SELECT *, CASE WHEN status = 'EXECUTED' THEN CAST(ceil(0.07::DECIMAL(5,4) * depth::DECIMAL(10,2)
- * vwap::DECIMAL(9,6) * (1::DECIMAL(1,0) - vwap::DECIMAL(9,6)) * 100::DECIMAL(3,0)) AS DOUBLE) / 100 END AS fee FROM tr),
+trades AS (SELECT *, CASE WHEN status = 'EXECUTED' THEN ceil(round(0.07::DOUBLE * depth * cost * (filled - cost)
+ / (filled * filled) * 100, 9)) / 100 END AS fee FROM tr),
 money AS (SELECT *, CASE WHEN won THEN depth ELSE 0 END - depth * vwap - fee AS pnl, depth * vwap + fee AS capital
  FROM trades)"""
 

@@ -68,6 +68,15 @@ def fee_ceil_cent(coefficient: float | Column, contracts: Column, price: Column)
     return F.when(contracts <= 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.ceil(raw, F.lit(2)).cast("decimal(18,2)"))
 
 
+def fee_of_fill(coefficient: float, contracts: Column, cost: Column, filled: Column) -> Column:
+    """The same fee at the average price of a fill, from its cost and quantity: an average such as 1/14 is never cut to a number of digits.
+
+    Noise of floating point, below a billionth of a cent, does not reach the rounding.
+    """
+    cents = F.lit(coefficient) * contracts * cost * (filled - cost) / (filled * filled) * 100
+    return F.when(contracts <= 0, F.lit(0.0)).otherwise(F.ceil(F.round(cents, 9)) / 100)
+
+
 def fee_unrounded(rate: Column, contracts: Column, price: Column) -> Column:
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), price))
     return F.when(contracts <= 0, F.lit(0.0)).otherwise(contracts * rate * p * (1 - p))

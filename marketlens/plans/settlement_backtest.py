@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numbers import capital_at_risk, fee_ceil_cent, roi, terminal_pnl
+from marketlens.functions.numbers import capital_at_risk, fee_of_fill, roi, terminal_pnl
 from marketlens.operators.asof import asof_forward
 from marketlens.operators.books import merge_levels, walk_levels
 from marketlens.session import cut_lineage
@@ -46,7 +46,7 @@ def execute(
         .when(~filled, "INSUFFICIENT_DEPTH")
         .otherwise("EXECUTED")
     )
-    fee = fee_ceil_cent(fee_coefficient, F.col("depth"), F.col("vwap")).cast("double")
+    fee = fee_of_fill(fee_coefficient, F.col("depth"), F.col("cost"), F.col("filled"))
     return (
         trades.withColumn("status", status)
         .withColumn("fee", F.when(F.col("status") == "EXECUTED", fee))

@@ -42,6 +42,13 @@ def test_fee_rounds_up_to_the_cent(spark):
     assert [float(x) for x in r] == [0.02, 1.75, 0.0, 0.07]
 
 
+def test_fee_of_a_fill_keeps_its_whole_average(spark):
+    # 28 contracts for 2 dollars: 0.07 * 28 * 1/14 * 13/14 is 13 cents to the digit
+    r = one(spark, nb.fee_of_fill(0.07, F.lit(28.0), F.lit(2.0), F.lit(28.0)).alias("a"), nb.fee_of_fill(0.07, F.lit(28.0), F.lit(2.01), F.lit(28.0)).alias("b"),
+            nb.fee_of_fill(0.07, F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("c"), nb.fee_of_fill(0.07, F.lit(100.0), F.lit(50.0), F.lit(100.0)).alias("d"))
+    assert (r.a, r.b, r.c, r.d) == (0.13, 0.14, 0.0, 1.75)
+
+
 def test_depth_vwap(spark):
     levels = spark.createDataFrame([(1, 0.50, 10.0), (1, 0.55, 20.0)], "book long, price double, size double")
     r = {x.depth: x for x in books.depth_vwap(levels, ["book"], "price", "size", F.array(F.lit(20.0), F.lit(40.0))).collect()}
