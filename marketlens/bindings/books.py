@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketlens.bindings.evaluation import INTERVAL, VERDICT, draws_sql
 from marketlens.bindings.registry import query
 from marketlens.bindings.views import EVENTS, QUOTES, events, quotes, six, two
 from marketlens.functions.numbers import fee_ceil_cent
@@ -269,18 +270,26 @@ sg AS (SELECT strategy, count(*) AS signals FROM sig GROUP BY 1),
 fl AS (SELECT strategy, count(*) AS fills FROM fills WHERE status = 'FILLED' GROUP BY 1),
 st AS (SELECT strategy, count(*) AS settled, count(*) FILTER (pnl > 0) AS wins, sum(pnl) AS net, sum(capital) AS capital,
  count(DISTINCT date) AS dates, count(DISTINCT station) AS stations FROM settled GROUP BY 1),
-mo AS (SELECT strategy, avg(value - price) AS m FROM marks JOIN fills USING (signal_id) WHERE status = 'FILLED' AND horizon = 3600 GROUP BY 1)
-SELECT strategy, evaluations, coalesce(signals, 0) AS signals, coalesce(fills, 0) AS fills, coalesce(settled, 0) AS settled,
- coalesce(wins, 0) AS wins, coalesce(settled, 0) - coalesce(wins, 0) AS losses, coalesce(dates, 0) AS dates,
- coalesce(stations, 0) AS stations, {six('coalesce(net, 0)')} AS net, {six('coalesce(capital, 0)')} AS capital,
- {six('net / capital')} AS roi, {six('m')} AS markout_3600
-FROM names JOIN evals USING (strategy) LEFT JOIN sg USING (strategy) LEFT JOIN fl USING (strategy) LEFT JOIN st USING (strategy) LEFT JOIN mo USING (strategy)""")
+mo AS (SELECT strategy, avg(value - price) AS m FROM marks JOIN fills USING (signal_id) WHERE status = 'FILLED' AND horizon = 3600 GROUP BY 1),
+evt AS (SELECT strategy, signal_id AS event, station, date, pnl, capital FROM settled),
+perd AS (SELECT strategy, date, sum(pnl) AS pnl, sum(capital) AS capital FROM evt GROUP BY ALL), {draws_sql(11, 's.pnl / s.capital')}, {INTERVAL},
+dd AS (SELECT strategy, min(least(0, e - greatest(0, p))) AS fall FROM (SELECT strategy, e, max(e) OVER (PARTITION BY strategy ORDER BY fill_time, signal_id ROWS UNBOUNDED PRECEDING) AS p FROM
+ (SELECT *, sum(pnl) OVER (PARTITION BY strategy ORDER BY fill_time, signal_id ROWS UNBOUNDED PRECEDING) AS e FROM settled)) GROUP BY strategy), {VERDICT}
+SELECT strategy, {six('coalesce(fall, 0)')} AS max_drawdown, coalesce(verdict, 'insufficient_data') AS verdict,
+ CASE WHEN verdict IS NULL THEN 'no settled fills' WHEN verdict = 'insufficient_data' THEN 'need >= 30 events, >= 20 settlement dates, >= 2 stations for exploratory read'
+ WHEN verdict = 'kill' THEN CASE WHEN v.net <= 0 OR mean_roi <= 0 THEN 'negative out-of-sample economics after realistic execution' ELSE '95% settlement-date block-bootstrap ROI interval is entirely non-positive' END
+ WHEN verdict = 'provisional' THEN CASE WHEN v.dates < 50 THEN 'positive exploratory economics; need >= 50 independent settlement dates for KEEP' ELSE 'positive point estimate but date-block 95% ROI interval crosses zero' END
+ ELSE 'positive OOS economics with positive date-block bootstrap lower bound and sufficient independent dates' END AS reason, evaluations, coalesce(signals, 0) AS signals, coalesce(fills, 0) AS fills, coalesce(settled, 0) AS settled,
+ coalesce(st.wins, 0) AS wins, coalesce(settled, 0) - coalesce(st.wins, 0) AS losses, coalesce(st.dates, 0) AS dates,
+ coalesce(st.stations, 0) AS stations, {six('coalesce(st.net, 0)')} AS net, {six('coalesce(st.capital, 0)')} AS capital,
+ {six('st.net / st.capital')} AS roi, {six('m')} AS markout_3600
+FROM names JOIN evals USING (strategy) LEFT JOIN sg USING (strategy) LEFT JOIN fl USING (strategy) LEFT JOIN st USING (strategy) LEFT JOIN mo USING (strategy) LEFT JOIN verdicts v USING (strategy)""")
 def fact_scorecard(spark, d):
     q = quotes(spark, d)
     name = F.when(F.col("k") % 3 == 0, "alpha").when(F.col("k") % 3 == 1, "beta").otherwise("gamma")
     done = cut_lineage(fills(spark, d).where(F.col("status") == "FILLED"))
     filled = done.select(
-        "signal_id", F.col("signal_id").alias("fill_id"), "price", F.col("quantity").alias("contracts"), "fee"
+        "signal_id", F.col("signal_id").alias("fill_id"), F.col("fill_time").alias("filled_at"), "price", F.col("quantity").alias("contracts"), "fee"
     )
     pnl = pricing.settle(done, results(spark, d), ["contract"]).select(F.col("signal_id").alias("fill_id"), "pnl")
     card = ev.scorecard(
@@ -290,7 +299,7 @@ def fact_scorecard(spark, d):
     return card.select(
         "strategy", "evaluations", "signals", "fills", "settled", "wins", "losses", "dates", "stations",
         r6(F.col("net")).alias("net"), r6(F.col("capital")).alias("capital"), r6(F.col("roi")).alias("roi"),
-        r6(F.element_at("markouts", F.lit(3600).cast("bigint"))).alias("markout_3600"),
+        r6(F.element_at("markouts", F.lit(3600).cast("bigint"))).alias("markout_3600"), r6(F.col("max_drawdown")).alias("max_drawdown"), "verdict", "reason",
     )
 
 

@@ -158,7 +158,7 @@ def validation(spark, d):
 SELECT strategy, events, wins, dates, stations, verdict, {six('net')} AS net, {six('mean_roi')} AS mean_roi, {six('lo')} AS ci_low,
  {six('hi')} AS ci_high, {six('fall')} AS max_drawdown, {six('wins / events')} AS win_rate FROM verdicts""")
 def verdict(spark, d):
-    out = validation(spark, d).drop("losses", "capital")
+    out = validation(spark, d).drop("losses", "capital", "reason")
     return tidy(out, "net", "mean_roi", "ci_low", "ci_high", "max_drawdown", "win_rate")
 
 

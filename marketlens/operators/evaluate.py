@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.numbers import roi
-from marketlens.operators.ordered import max_drawdown
+from marketlens.operators.ordered import max_drawdown, time_block
+from marketlens.session import cut_lineage
 
 #: Thresholds of the verdicts and their order of merit.
 MIN_EVENTS, MIN_DATES, MIN_STATIONS, DATES_TO_KEEP = 30, 20, 2, 50
@@ -185,6 +186,31 @@ def verdict(
     )
 
 
+# Why a verdict was given.
+REASONS = {
+    "few": f"need >= {MIN_EVENTS} events, >= {MIN_DATES} settlement dates, >= {MIN_STATIONS} stations for exploratory read",
+    "negative": "negative out-of-sample economics after realistic execution",
+    "interval": "95% settlement-date block-bootstrap ROI interval is entirely non-positive",
+    "dates": f"positive exploratory economics; need >= {DATES_TO_KEEP} independent settlement dates for KEEP",
+    "crosses": "positive point estimate but date-block 95% ROI interval crosses zero",
+    "keep": "positive OOS economics with positive date-block bootstrap lower bound and sufficient independent dates",
+    "none": "no settled fills",
+}
+
+
+def verdict_reason(
+    events: Column, dates: Column, stations: Column, net: Column, mean_roi: Column, low: Column, high: Column
+) -> Column:
+    """The sentence behind ``verdict``."""
+    kind = verdict(events, dates, stations, net, mean_roi, low, high)
+    return (
+        F.when(kind == "insufficient_data", REASONS["few"])
+        .when((kind == "kill") & ((net <= 0) | (mean_roi <= 0)), REASONS["negative"]).when(kind == "kill", REASONS["interval"])
+        .when((kind == "provisional") & (dates < DATES_TO_KEEP), REASONS["dates"]).when(kind == "provisional", REASONS["crosses"])
+        .otherwise(REASONS["keep"])
+    )
+
+
 def validate(
     rows: DataFrame, cell: Sequence[str], event_keys: Sequence[str], drawdown_block: Column, *, draws: int = 4000
 ) -> DataFrame:
@@ -194,7 +220,8 @@ def validate(
     interval = date_block_interval(events, cell, draws=draws)
     out = facts.join(interval, list(cell))
     c = {n: F.col(n) for n in ("events", "dates", "stations", "net", "mean_roi", "ci_low", "ci_high")}
-    return out.withColumn("verdict", verdict(*c.values())).withColumn("win_rate", F.col("wins") / F.col("events"))
+    judged = {"verdict": verdict(*c.values()), "reason": verdict_reason(*c.values()), "win_rate": F.col("wins") / F.col("events")}
+    return out.withColumns(judged)
 
 
 def rank_strategies(results: DataFrame) -> DataFrame:
@@ -232,19 +259,20 @@ def robustness(
 def scorecard(
     evaluations: DataFrame, signals: DataFrame, fills: DataFrame, settled: DataFrame, marks: DataFrame
 ) -> DataFrame:
-    """Counts and money per strategy from the five facts; a strategy needs only one of them to appear.
+    """Counts, money, drawdown and verdict per strategy from the five facts; a strategy needs only one of them to appear.
 
-    ``signals``: strategy, signal_id, date, station. ``fills``: signal_id, fill_id, price, contracts, fee.
-    ``settled``: fill_id, pnl. ``marks``: signal_id, horizon, value.
+    ``signals``: strategy, signal_id, date, station. ``fills``: signal_id, fill_id, filled_at, price, contracts, fee.
+    ``settled``: fill_id, pnl. ``marks``: signal_id, horizon, value. The drawdown goes in the order of the fills.
     """
     names = evaluations.select("strategy").union(signals.select("strategy")).distinct()
     tried = evaluations.groupBy("strategy").agg(F.count(F.lit(1)).alias("evaluations"))
     sent = signals.groupBy("strategy").agg(F.count(F.lit(1)).alias("signals"))
     owned = fills.join(signals, "signal_id")
     filled = owned.groupBy("strategy").agg(F.count(F.lit(1)).alias("fills"))
-    money = owned.join(settled, "fill_id").groupBy("strategy").agg(
+    paid = cut_lineage(owned.join(settled, "fill_id").withColumn("capital", F.col("contracts") * F.col("price") + F.col("fee")))
+    money = paid.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("settled"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("net"),
-        F.sum(F.col("contracts") * F.col("price") + F.col("fee")).alias("capital"),
+        F.sum("capital").alias("capital"),
         F.count_distinct("date").alias("dates"), F.count_distinct(F.nullif("station", F.lit("UNKNOWN"))).alias("stations"),
     )
     moved = marks.where(F.col("value").isNotNull()).join(owned, "signal_id").groupBy("strategy", "horizon").agg(
@@ -252,12 +280,15 @@ def scorecard(
     ).groupBy("strategy").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", "markout")))).alias("markouts")
     )
+    falls = max_drawdown(paid, ["strategy"], ["filled_at", "fill_id"], "pnl", time_block("filled_at", 86_400))
+    judged = validate(paid, ["strategy"], ["signal_id", "station"], F.unix_date("date")).select("strategy", "verdict", "reason")
     out = names
-    for part in (tried, sent, filled, money, moved):
+    for part in (tried, sent, filled, money, moved, falls, judged):
         out = out.join(part, "strategy", "left")
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("evaluations", "signals", "fills", "settled", "wins", "dates", "stations")}
-    sums = {c: F.coalesce(c, F.lit(0.0)) for c in ("net", "capital")}
-    return out.withColumns({**counts, **sums}).withColumns(
+    sums = {c: F.coalesce(c, F.lit(0.0)) for c in ("net", "capital", "max_drawdown")}
+    texts = {"verdict": F.coalesce("verdict", F.lit("insufficient_data")), "reason": F.coalesce("reason", F.lit(REASONS["none"]))}
+    return out.withColumns({**counts, **sums, **texts}).withColumns(
         {"losses": F.col("settled") - F.col("wins"), "roi": roi(F.col("net"), F.col("capital")),
          "win_rate": F.when(F.col("settled") > 0, F.col("wins") / F.col("settled"))}
     )

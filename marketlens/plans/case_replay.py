@@ -58,7 +58,7 @@ def replay(
     filled = cut_lineage(
         pricing.delayed_fills(signals, quotes, latency=latency, contracts=contracts, fee=fee).where(F.col("status") == "FILLED")
     )
-    facts = filled.select("signal_id", F.col("signal_id").alias("fill_id"), "price", F.col("quantity").alias("contracts"), "fee")
+    facts = filled.select("signal_id", F.col("signal_id").alias("fill_id"), F.col("fill_time").alias("filled_at"), "price", F.col("quantity").alias("contracts"), "fee")
     money = pricing.settle(filled, results, ["contract"]).select(F.col("signal_id").alias("fill_id"), "pnl")
     marked = signals.join(filled.select("signal_id"), "signal_id", "left_semi")
     marks = pricing.markouts(marked, quotes, horizons).select("signal_id", "horizon", "value")
