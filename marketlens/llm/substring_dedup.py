@@ -151,7 +151,7 @@ def _collapsed(rows: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) ->
         yield parts, whole, _first_of_equal(np.lexsort((np.arange(len(whole["a"])), whole["b"], whole["a"])), whole["a"], whole["b"], [whole[c] for c in ("id", "key", "start")])
 
 
-def _slot_bytes(rows: Iterator[pa.RecordBatch], slots: int, share: float) -> Iterator[pa.RecordBatch]:
+def _slot_bytes(rows: Iterator[pa.RecordBatch], slots: int, share: float = 0.0) -> Iterator[pa.RecordBatch]:
     """Bytes of words that would go out, by slot of the minimiser, where they are at least ``share`` of the text bytes of the task.
 
     What tasks leave out of a slot is less than ``share`` of all text bytes together.
@@ -255,7 +255,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """id, key, ranges: array<struct<start, stop>> of words, per document, numbered by _id, with a window that came earlier."""
+    """id, key, ranges: array<struct<start, stop>> of words, per document with a window that came earlier; id as ``numbered`` gives it."""
+    docs = docs if "_id" in docs.columns else numbered(docs)
     rows = docs.select(F.col("_id").alias("id"), text_key().alias("key"), whole_text().alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(whole_text())), F.lit(0))).first()[0]
     buckets = max(1, -(-total * PACKED // bucket_bytes))
