@@ -33,8 +33,12 @@ WINDOW, END, SHARD_TOKENS = 2048, 1, 4_000_000
 KEPT_CHUNKS = 600_000
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
-#: A token in one of so many documents of a shard has a row with a weight for each of them.
-FREQUENT = 4
+#: A token in one of so many documents of a shard has a row with a weight (four bytes) for each of them.
+FREQUENT = 8
+#: The best neighbours are sorted out so many at a time; a window seldom takes more.
+BEST = 32
+#: An index leaves used documents out again when they are this share of it.
+USED_SHARE = 0.03
 ID = np.dtype("<u2")
 
 
@@ -80,7 +84,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             for text in batch.column("text"):
                 got = b"".join(map(cache.__getitem__, bpe.split(text.as_py()))) + end
                 ids.append(got)
-                terms.append(np.unique(np.frombuffer(got, ID)).tobytes())
+                terms.append(_distinct(np.frombuffer(got, ID))[0].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("u"), pa.array(ids, pa.binary()), pa.array(terms, pa.binary())],
                                              ["doc_id", "key", "u", "ids", "terms"])
 
@@ -114,48 +118,79 @@ def _routes(terms: list[bytes], frequency: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and how often each occurs."""
+    ordered = np.sort(ids)
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[at], np.diff(np.append(at, len(ordered)))
+
+
 class Index:
-    """BM25 weights of the documents of one shard, by document and by token."""
+    """BM25 weights of the documents of one shard, by document and by token; ``names`` are the documents still in it, in order."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        pairs = [np.unique(x, return_counts=True) for x in ids]
+        pairs = [_distinct(x) for x in ids]
         n = np.array([len(t) for t, _ in pairs])
         self.first = np.append(0, np.cumsum(n))
         self.terms = np.concatenate([t for t, _ in pairs]).astype(np.int64)
         doc = np.repeat(np.arange(len(ids)), n)
         tf = np.concatenate([c for _, c in pairs]).astype(np.float64)
         size = np.array([len(x) for x in ids], float)[doc]
-        self.weight = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-        order = np.argsort(self.terms, kind="stable")
-        self.docs, self.weights = doc[order], self.weight[order]
-        self.begin = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
-        frequent = np.flatnonzero(np.diff(self.begin) * FREQUENT >= max(len(ids), FREQUENT))
+        weight = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+        frequent = np.flatnonzero(np.bincount(self.terms, minlength=len(idf)) * FREQUENT >= max(len(ids), FREQUENT))
         self.row = np.full(len(idf), -1)
         self.row[frequent] = np.arange(len(frequent))
-        self.rows = np.zeros((len(frequent), len(ids)))
+        self.rows = np.zeros((len(frequent), len(ids)), np.float32)
         row = self.row[self.terms]
-        self.rows[row[row >= 0], doc[row >= 0]] = self.weight[row >= 0]
+        self.rows[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.docs, self.weights = doc[rare], weight[rare]
+        self.begin = np.searchsorted(self.terms[rare], np.arange(len(idf) + 1))
+        self.names = np.arange(len(ids))
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Leave used documents out. The others keep their order and their scores."""
+        stays = unused[self.names]
+        kept, number = np.flatnonzero(stays), np.cumsum(stays) - 1
+        posting = stays[self.docs]
+        self.begin = np.append(0, np.cumsum(posting))[self.begin]
+        self.docs, self.weights = number[self.docs[posting]], self.weights[posting]
+        self.rows, self.names = np.take(self.rows, kept, axis=1), self.names[kept]
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a token of ``doc``, best first. All its tokens are asked."""
+        return np.fromiter(self.best_first(doc, unused), np.int64)
+
+    def best_first(self, doc: int, unused: np.ndarray) -> Iterator[int]:
+        """What ``neighbours`` returns, sorted only as far as it is asked for."""
         terms = self.terms[self.first[doc] : self.first[doc + 1]]
         row = self.row[terms]
-        scores = self.rows[row[row >= 0]].sum(axis=0)
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms[row < 0]]
+        scores = self.rows[row[row >= 0]].sum(axis=0).astype(float)
+        terms = terms[row < 0]
+        begin, end = self.begin[terms], self.begin[terms + 1]
+        spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True) if a < b]
         if spans:
             docs, weights = (np.concatenate([x[span] for span in spans]) for x in (self.docs, self.weights))
             scores += np.bincount(docs, weights, minlength=len(scores))
-        found = np.flatnonzero((scores > 0) & unused)
-        return found[np.argsort(-scores[found], kind="stable")]
+        found = np.flatnonzero((scores > 0) & unused[self.names])
+        distance = -scores[found]
+        while len(found):
+            best = np.arange(len(found))
+            if len(found) > BEST:
+                best = np.flatnonzero(distance <= np.partition(distance, BEST - 1)[BEST - 1])
+            yield from self.names[found[best[np.argsort(distance[best], kind="stable")]]].tolist()
+            found, distance = np.delete(found, best), np.delete(distance, best)
 
 
 def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of the documents of one shard."""
     index = Index(ids, idf, mean)
     unused = np.ones(len(ids), bool)
+    left_in = len(ids)
     sequence, offset, following = 0, 0, 0
     waiting: Iterator[int] = iter(())
-    for _ in range(len(ids)):
+    for n in range(len(ids)):
         doc = next((d for d in waiting if unused[d]), None)
         if doc is None:
             while not unused[following]:
@@ -170,7 +205,10 @@ def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIND
             if offset == window:
                 sequence, offset, opened = sequence + 1, 0, True
         if opened:  # the document opens the window that is being filled
-            waiting = iter(index.neighbours(doc, unused).tolist()) if offset else iter(())
+            waiting = index.best_first(doc, unused) if offset else iter(())
+            if left_in - (len(ids) - n - 1) > USED_SHARE * left_in:
+                index.forget(unused)
+                left_in = len(ids) - n - 1
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
