@@ -63,13 +63,16 @@ CODES = r"""list_distinct(regexp_extract_all(regexp_replace(upper(replace({t}, '
 CODES_ANY = r"""list_distinct(regexp_extract_all(regexp_replace(upper(replace({t}, 'ß', 'ss')), '[^A-Z0-9]', '  ', 'g'), '(?:^| )(K[A-Z]{{3}})(?: |$)', 1))"""
 
 
-@query("classify_contracts", "B36 B47", rf"""WITH {MARKETS}, c AS (SELECT doc_id, series, title, n_chars, {CODES.format(t='alltext')} AS codes, series IN ('KXHIGHNY', 'KXHIGHCHI') OR title = 'Daily high temperature' AS high, series = 'KXLOWTCHI' AS low,
+CLASSIFIED_SQL = rf"""WITH {MARKETS}, c AS (SELECT doc_id, series, title, n_chars, {CODES.format(t='alltext')} AS codes, series IN ('KXHIGHNY', 'KXHIGHCHI') OR title = 'Daily high temperature' AS high, series = 'KXLOWTCHI' AS low,
  regexp_matches(rules, '(?i)(?:National Weather Service|\bNWS\b|Climatological Report|Daily Climate Report|CLI)') AS official, regexp_extract(rules, '\b(20\d\d-\d\d?-\d\d?)\b', 1) AS iso FROM mt),
 m AS (SELECT *, CASE WHEN high THEN 'DAILY_HIGH' WHEN low THEN 'DAILY_LOW' WHEN title = 'Rainfall total' THEN 'RAIN' ELSE 'OTHER' END AS measure, CASE WHEN len(codes) = 1 THEN codes[1] END AS st,
  CASE doc_id % 5 WHEN 0 THEN DATE '2024-01-05' END AS sd, CASE doc_id % 4 WHEN 0 THEN 'above' WHEN 1 THEN 'bucket' END AS sh FROM c)
 SELECT doc_id, measure AS measurement, CASE WHEN measure = 'OTHER' THEN 'REJECT' WHEN st IS NOT NULL AND sd IS NOT NULL AND official AND (measure = 'RAIN' OR sh IS NOT NULL) THEN 'EXACT' WHEN st IS NOT NULL OR official THEN 'PROBABLE' ELSE 'REVIEW' END AS status,
  CASE WHEN measure <> 'OTHER' THEN st END AS station, CASE WHEN measure <> 'OTHER' THEN sd END AS settlement_date, CASE WHEN measure <> 'OTHER' THEN sh END AS shape,
- CASE WHEN measure = 'OTHER' THEN 1 ELSE (st IS NULL)::INT + (sd IS NULL)::INT + (sh IS NULL AND measure <> 'RAIN')::INT + (NOT official)::INT END AS reason_count FROM m""")
+ CASE WHEN measure = 'OTHER' THEN 1 ELSE (st IS NULL)::INT + (sd IS NULL)::INT + (sh IS NULL AND measure <> 'RAIN')::INT + (NOT official)::INT END AS reason_count FROM m"""
+
+
+@query("classify_contracts", "B36 B47", CLASSIFIED_SQL)
 def classify_contracts(spark, d):
     out = cg.classify_contracts(markets(spark, d))
     return out.select("doc_id", "measurement", "status", "station", "settlement_date", "shape", F.size("reasons").alias("reason_count"))
@@ -95,6 +98,9 @@ def pairs(spark, d):
     return cg.flatten_payload(payload(spark, d), ["doc_id"], F.col("payload"))
 
 
+RANK = "CASE WHEN path LIKE 'series.%' THEN 2 WHEN path LIKE 'event.%' THEN 1 ELSE 0 END"
+
+
 @query("json_flatten", "B33", f"WITH {PAIRS} SELECT doc_id, path, md5(text) AS text_hash FROM pr")
 def json_flatten(spark, d):
     return pairs(spark, d).select("doc_id", "path", F.md5("text").alias("text_hash"))
@@ -102,9 +108,11 @@ def json_flatten(spark, d):
 
 @query("source_family", "B35 B33", f"""WITH {PAIRS}, s AS (SELECT doc_id, path, text, contains(lower(text), 'national weather service') OR contains(lower(text), 'climatological report') OR contains(lower(text), 'daily climate report') OR trim(lower(text)) = 'nws' AS a,
  contains(lower(text), 'the weather company') OR contains(lower(text), 'weather.com/kalshi') OR contains(lower(text), 'globaltemperature') AS b FROM pr WHERE path <> 'market.event_ticker' AND path <> 'series.flag')
-SELECT doc_id, CASE WHEN bool_or(a) AND bool_or(b) THEN 'MIXED_OR_TRANSITIONAL' WHEN bool_or(b) THEN 'WEATHER_COMPANY' WHEN bool_or(a) THEN 'NWS_CLI' ELSE 'UNKNOWN' END AS family, count(*) FILTER (a OR b) AS evidence FROM s GROUP BY doc_id""")
+SELECT doc_id, CASE WHEN bool_or(a) AND bool_or(b) THEN 'MIXED_OR_TRANSITIONAL' WHEN bool_or(b) THEN 'WEATHER_COMPANY' WHEN bool_or(a) THEN 'NWS_CLI' ELSE 'UNKNOWN' END AS family, count(*) FILTER (a OR b) AS evidence,
+ coalesce(string_agg(path || '=' || text, ' | ' ORDER BY NOT b, {RANK}, path) FILTER (a OR b), '') AS evidence_texts FROM s GROUP BY doc_id""")
 def source_family(spark, d):
-    return cg.source_family(pairs(spark, d), ["doc_id"])
+    out = cg.source_family(pairs(spark, d), ["doc_id"])
+    return out.select("doc_id", "family", F.size("evidence").cast("bigint").alias("evidence"), F.array_join("evidence", " | ").alias("evidence_texts"))
 
 
 @query("regime_history", "D34", f"""WITH {MARKETS}, f AS (SELECT day, CASE WHEN contains(lower(rules), 'national weather service') OR contains(lower(rules), 'climatological report') THEN CASE WHEN contains(lower(rules), 'the weather company') THEN 'MIXED_OR_TRANSITIONAL' ELSE 'NWS_CLI' END
@@ -141,22 +149,40 @@ def settlement_station(spark, d):
     return table(spark, d, "pages").select("page_id", tx.settlement_station(F.concat("url", tail)).alias("station"))
 
 
-@query("resolve_rules", "B37 B32 B33", rf"""WITH {PAIRS}, al AS ({ALIASES}), rel AS (SELECT *, path NOT LIKE 'series.%' AS own FROM pr WHERE path NOT IN ('market.event_ticker', 'series.flag')),
-sh AS (SELECT DISTINCT doc_id, s, own FROM (SELECT doc_id, own, unnest({CODES_ANY.format(t='text')}) AS s FROM rel UNION ALL SELECT doc_id, own, station FROM rel JOIN al ON contains(lower(text), name))),
-sf AS (SELECT doc_id, count(DISTINCT s) AS n, min(s) AS s FROM sh GROUP BY 1),
-so AS (SELECT doc_id, count(*) AS c, count(*) FILTER (own) AS oc FROM rel WHERE regexp_matches(text, '(?i)(?:\bCLI\b|Daily Climate Report|Climatological Report|National Weather Service|\bNWS\b)') AND path <> 'market.rules.titles[0]' OR regexp_matches(text, '(?i)\bNWS\b') GROUP BY 1),
-dt AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN DATE '2024-01-05' WHEN 1 THEN DATE '2024-03-03' WHEN 3 THEN DATE '2024-01-07' END AS d, day FROM mk),
-r AS (SELECT mk.doc_id, mk.day AS ticker_date, CASE WHEN sf.n = 1 THEN sf.s END AS station, dt.d AS settlement_date, coalesce(so.c, 0) AS source_texts, coalesce(so.oc, 0) AS oc, coalesce(mk.doc_id % 3 = 0 AND DATE '2024-06-01' > mk.day, false) AS drift
- FROM mk LEFT JOIN sf USING (doc_id) LEFT JOIN so USING (doc_id) LEFT JOIN dt USING (doc_id))
-SELECT doc_id, ticker_date, station, settlement_date, source_texts, drift AS drift_risk, concat_ws(',', CASE WHEN station IS NULL THEN 'STATION_NOT_UNIQUE' END, CASE WHEN settlement_date IS NULL THEN 'NO_EVENT_DATE' END, CASE WHEN source_texts = 0 THEN 'NO_SOURCE' END,
- CASE WHEN settlement_date <> ticker_date THEN 'DATE_CONFLICT' END, CASE WHEN drift AND NOT (station IS NOT NULL AND oc > 0) THEN 'SERIES_DRIFT' END) AS reasons FROM r""")
+MENTIONS = CODES_ANY.replace("list_distinct(", "(")
+
+
+RESOLVED_SQL = rf"""WITH {PAIRS}, al AS ({ALIASES}), rel AS (SELECT *, {RANK} AS rk FROM pr WHERE path NOT IN ('market.event_ticker', 'series.flag')),
+sh AS (SELECT doc_id, rk, path, text, s, count(*) AS n FROM (SELECT doc_id, rk, path, text, unnest({MENTIONS.format(t='text')}) AS s FROM rel UNION ALL (SELECT DISTINCT doc_id, rk, path, text, station FROM rel JOIN al ON contains(lower(text), name))) GROUP BY ALL),
+sf AS (SELECT doc_id, count(DISTINCT s) AS n, min(s) AS s, bool_or(rk < 2) AS own FROM sh GROUP BY 1),
+se AS (SELECT doc_id, string_agg(path || '=' || text, ' | ' ORDER BY rk, path) AS lines FROM (SELECT sh.*, unnest(range(sh.n)) AS u FROM sh JOIN sf USING (doc_id) WHERE sf.n = 1 AND (NOT own OR rk < 2)) GROUP BY 1),
+sx AS (SELECT *, count(*) FILTER (rk < 2) OVER (PARTITION BY doc_id) AS oc FROM rel WHERE regexp_matches(text, '(?i)(?:\bCLI\b|Daily Climate Report|Climatological Report|National Weather Service|\bNWS\b)')),
+so AS (SELECT doc_id, count(*) AS c, any_value(oc) AS oc, string_agg(path || '=' || text, ' | ' ORDER BY rk, path) FILTER (rk < 2 OR oc = 0) AS lines, arg_min(path || '=' || text, struct_pack(r := rk, p := path)) AS source FROM sx GROUP BY 1),
+dt AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN DATE '2024-01-05' WHEN 1 THEN DATE '2024-03-03' WHEN 3 THEN DATE '2024-01-07' END AS d, 'market.rules.primary=' || rules AS line FROM mk),
+r AS (SELECT mk.doc_id, mk.day AS ticker_date, CASE WHEN sf.n = 1 THEN sf.s END AS station, dt.d AS settlement_date, coalesce(so.c, 0) AS source_texts, coalesce(so.oc, 0) AS oc, coalesce(sf.own, false) AS own,
+ coalesce(mk.doc_id % 3 = 0 AND DATE '2024-06-01' > mk.day, false) AS drift, coalesce(se.lines, '') AS station_evidence, CASE WHEN dt.d IS NOT NULL THEN dt.line ELSE '' END AS date_evidence, coalesce(so.lines, '') AS source_evidence, so.source AS settlement_source
+ FROM mk LEFT JOIN sf USING (doc_id) LEFT JOIN so USING (doc_id) LEFT JOIN dt USING (doc_id) LEFT JOIN se USING (doc_id)),
+e AS (SELECT *, concat_ws(' | ', CASE WHEN station IS NULL THEN '{cg.NO_STATION}' END, CASE WHEN settlement_date IS NULL THEN '{cg.NO_DATE}' END, CASE WHEN source_texts = 0 THEN '{cg.NO_SOURCE}' END,
+ CASE WHEN settlement_date <> ticker_date THEN '{cg.DATE_CONFLICT}' END, CASE WHEN drift AND NOT (station IS NOT NULL AND own AND oc > 0) THEN '{cg.SERIES_DRIFT}' END) AS reasons FROM r)
+SELECT doc_id, ticker_date, station, settlement_date, source_texts, drift AS drift_risk, settlement_source, station_evidence, date_evidence, source_evidence, reasons, reasons = '' AS exact FROM e"""
+
+
+@query("resolve_rules", "B37 B34 B32 B33", RESOLVED_SQL)
 def resolve_rules(spark, d):
     m = payload(spark, d).select("doc_id", "event_ticker", "series_updated")
-    # The texts are read three times: parse the payloads once and store the result.
-    out = cg.resolve_rules(cut_lineage(pairs(spark, d)), m, "doc_id")
-    return out.select(
-        "doc_id", "ticker_date", "station", "settlement_date", "source_texts", "drift_risk", F.array_join("reasons", ",").alias("reasons")
-    )
+    out = cg.resolve_rules(pairs(spark, d), m, "doc_id")
+    lines = [F.array_join(c, " | ").alias(c) for c in ("station_evidence", "date_evidence", "source_evidence", "reasons")]
+    return out.select("doc_id", "ticker_date", "station", "settlement_date", "source_texts", "drift_risk", "settlement_source", *lines, "exact")
+
+
+@query("enriched_catalogue", "B37 B36", f"""SELECT c.doc_id, c.measurement, c.shape, coalesce(r.station, c.station) AS station, coalesce(r.settlement_date, c.settlement_date) AS settlement_date,
+ CASE WHEN r.exact AND (c.shape IS NOT NULL OR c.measurement NOT IN ('DAILY_HIGH', 'DAILY_LOW', 'TEMPERATURE')) THEN 'EXACT' ELSE 'PROBABLE' END AS status,
+ concat_ws(' | ', nullif(r.reasons, ''), CASE WHEN c.shape IS NULL AND c.measurement IN ('DAILY_HIGH', 'DAILY_LOW', 'TEMPERATURE') THEN '{cg.NO_BOUNDS}' END) AS reasons
+FROM ({CLASSIFIED_SQL}) c JOIN ({RESOLVED_SQL}) r USING (doc_id)""")
+def enriched_catalogue(spark, d):
+    records = cg.classify_contracts(markets(spark, d)).select("doc_id", "status", "measurement", "shape", "station", "settlement_date", "reasons")
+    resolved = cg.resolve_rules(pairs(spark, d), payload(spark, d).select("doc_id", "event_ticker", "series_updated"), "doc_id")
+    return cg.enrich_catalogue(records, resolved, "doc_id").withColumn("reasons", F.array_join("reasons", " | "))
 
 
 @query("dates_in_text", "B32", f"""WITH {MARKETS} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '2024-01-05' WHEN 1 THEN '2024-03-03' WHEN 3 THEN '2024-01-07' ELSE '' END AS dates, day AS ticker_date FROM mk""")
@@ -195,18 +221,22 @@ def strike_labels(spark, d):
     return p.select("p_partkey", ct.strike_of_shape(F.col("shape")).alias("strike"), ct.display_label(F.col("shape"), F.col("lower"), F.col("upper")).alias("label"))
 
 
-@query("second_venue", "B38", f"""WITH {PARSED}, v AS (SELECT p_partkey, p_brand AS slug, CASE p_partkey % 3 WHEN 0 THEN 'KMDW' WHEN 1 THEN 'KNYC' END AS station, shape, lower, upper FROM part JOIN pa USING (p_partkey))
-SELECT arg_max(p_partkey, p_partkey) AS p_partkey, slug, arg_max(station, p_partkey) AS station, arg_max(shape, p_partkey) AS shape, max(CASE WHEN p_partkey = m THEN lower END) AS lower, max(CASE WHEN p_partkey = m THEN upper END) AS upper
+@query("second_venue", "B38 B32", f"""WITH {PARSED}, v AS (SELECT p_partkey, p_brand AS slug, CASE p_partkey % 3 WHEN 0 THEN 'KMDW' WHEN 1 THEN 'KNYC' END AS station, shape, lower, upper,
+ try_cast(CASE WHEN p_partkey % 2 = 0 THEN 2025 WHEN p_partkey % 4 = 1 THEN 2024 WHEN p_partkey % 8 = 3 THEN 2023 END || '-02-' || lpad(CAST(p_partkey % 31 + 1 AS VARCHAR), 2, '0') AS DATE) AS day FROM part JOIN pa USING (p_partkey))
+SELECT arg_max(p_partkey, p_partkey) AS p_partkey, slug, arg_max(station, p_partkey) AS station, arg_max(shape, p_partkey) AS shape, max(CASE WHEN p_partkey = m THEN lower END) AS lower, max(CASE WHEN p_partkey = m THEN upper END) AS upper,
+ max(CASE WHEN p_partkey = m THEN day END) AS settlement_date
 FROM (SELECT *, max(p_partkey) OVER (PARTITION BY slug) AS m FROM v WHERE station IS NOT NULL AND shape IS NOT NULL) GROUP BY slug""")
 def second_venue(spark, d):
     i = F.col("p_partkey")
+    city = F.when(i % 3 == 0, "Highest temperature in Chicago").when(i % 3 == 1, "Highest temperature in New York").otherwise("High in Boston")
+    day = F.concat(F.lit(" on February "), (i % 31 + 1).cast("string"), F.when(i % 2 == 0, ", 2025").otherwise(""))
     rows = labels(spark, d).select(
-        "p_partkey", F.col("p_brand").alias("slug"),
-        F.when(i % 3 == 0, "Highest temperature in Chicago").when(i % 3 == 1, "Highest temperature in New York").otherwise("High in Boston").alias("event_title"),
+        "p_partkey", F.col("p_brand").alias("slug"), F.concat(city, day).alias("event_title"),
         F.lit("").alias("market_title"), F.col("label").alias("outcome"), F.lit("daily").alias("description"),
+        F.when(i % 4 == 1, "2024-05-01T00:00:00Z").otherwise("soon").alias("starts"), F.when(i % 8 == 3, "2023-12-31T23:00:00Z").alias("ends"),
     )
-    out = cg.normalize_second_venue(rows, slug="slug", order=["p_partkey"])
-    return out.select("p_partkey", "slug", "station", "shape", "lower", "upper")
+    out = cg.normalize_second_venue(rows, slug="slug", order=["p_partkey"], times=["starts", "ends"])
+    return out.select("p_partkey", "slug", "station", "shape", "lower", "upper", "settlement_date")
 
 
 @query("terminal_outcome", "B39", f"""WITH {EVENTS} SELECT event_id, CASE WHEN event_type <> 'view' AND k > 60 THEN 'Yes' WHEN event_type <> 'view' AND k < 20 THEN 'No' END AS outcome FROM ev""")

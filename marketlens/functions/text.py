@@ -19,6 +19,12 @@ NATURAL_DATE = (
 #: Any word where a month could stand; the strict pattern decides on the short match.
 NATURAL_CANDIDATE = r"(?<![\p{L}\p{N}_])[A-Za-z]{3,9}\.?\s+\d{1,2}(?i:st|nd|rd|th)?,?\s+20\d{2}\b"
 
+#: Fixed value: a second-venue date, whose year may be missing.
+VENUE_DATE = (
+    r"(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December)\s+"
+    r"(\d{1,2})(?:,\s*(20\d{2}))?\b"
+)
+
 #: Station codes and the official place names that stand for one.
 STATION_CODE = r"(?<![A-Z0-9])K[A-Z]{3}(?![A-Z0-9])"
 STATION_ALIASES = {
@@ -116,8 +122,18 @@ def dates_in_text(text: Column) -> Column:
     return F.concat(iso_dates_in_text(text), F.filter(natural, lambda d: d.isNotNull()))
 
 
-def station_hits(text: Column) -> Column:
-    """Distinct stations a text names: by code, by URL parameter or by official place name."""
+def venue_date(text: Column, *times: Column) -> Column:
+    """The first named date of a text. A date without a year takes that of the first readable time; without one it is null."""
+
+    def part(i: int) -> Column:
+        return F.nullif(F.regexp_extract(text, VENUE_DATE, i), F.lit(""))
+
+    years = [F.date_format(F.try_to_timestamp(t), "yyyy") for t in times]
+    return _date_of(F.coalesce(part(3), *years), _month_index(part(1)), part(2))
+
+
+def station_mentions(text: Column) -> Column:
+    """Stations a text names, once per mention: each code, the URL parameter, and each station with an official place name."""
     codes = F.regexp_extract_all(F.upper(text), F.lit(STATION_CODE), F.lit(0))
     known = F.array(*[F.lit(s) for s in STATION_ALIASES])
 
@@ -129,7 +145,12 @@ def station_hits(text: Column) -> Column:
 
     # The text is lowered once, as the only element of an array the names are looked up in.
     lowered = F.flatten(F.transform(F.array(F.lower(text)), named))
-    return F.array_distinct(F.concat(codes, lowered))
+    return F.concat(codes, lowered)
+
+
+def station_hits(text: Column) -> Column:
+    """Distinct stations a text names: by code, by URL parameter or by official place name."""
+    return F.array_distinct(station_mentions(text))
 
 
 def settlement_station(text: Column) -> Column:

@@ -69,19 +69,35 @@ def source_marks(path: Column, text: Column) -> tuple[Column, Column]:
     return relevant_path(path) & climate, relevant_path(path) & company
 
 
+def payload_rank(path: Column) -> Column:
+    """Order of the payloads: market, event, series."""
+    return F.when(path.startswith("series."), 2).when(path.startswith("event."), 1).otherwise(0)
+
+
+def evidence_line(found: Column) -> Column:
+    return F.concat(found["path"], F.lit("="), found["text"])
+
+
+#: Evidence where nothing was found.
+NO_LINES = F.array().cast("array<string>")
+
+
 def source_family(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Settlement source family per contract from its flattened texts, with the number of evidence texts."""
+    """Settlement source family per contract from its flattened texts, with its evidence.
+
+    ``evidence``: distinct ``path=text`` lines, the company's first, then market, event, series, by path. They are collected as a
+    set, so repeats merge before the shuffle; a row holds the texts of one contract that name a source. Without any the
+    family is UNKNOWN and the evidence empty.
+    """
     climate, company = source_marks(F.col("path"), F.col("text"))
-    seen = pairs.select(*keys, "path", "text", climate.alias("_cli"), company.alias("_twc"))
-    facts = seen.groupBy(*keys).agg(
-        F.max("_cli").alias("_cli"), F.max("_twc").alias("_twc"),
-        F.count_distinct(F.when(F.col("_cli") | F.col("_twc"), F.struct("path", "text"))).alias("evidence"),
-    )
+    seen = pairs.select(*keys, payload_rank(F.col("path")).alias("rank"), "path", "text", climate.alias("climate"), company.alias("company"))
+    line = F.struct((~F.col("company")).alias("later"), "rank", "path", "text", "climate", "company")
+    facts = seen.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("climate") | F.col("company"), line))).alias("_found"))
+    by_climate, by_company = F.exists("_found", lambda f: f["climate"]), F.exists("_found", lambda f: f["company"])
     family = (
-        F.when(F.col("_cli") & F.col("_twc"), "MIXED_OR_TRANSITIONAL").when(F.col("_twc"), "WEATHER_COMPANY")
-        .when(F.col("_cli"), "NWS_CLI").otherwise("UNKNOWN")
+        F.when(by_climate & by_company, "MIXED_OR_TRANSITIONAL").when(by_company, "WEATHER_COMPANY").when(by_climate, "NWS_CLI").otherwise("UNKNOWN")
     )
-    return facts.select(*keys, family.alias("family"), "evidence")
+    return facts.select(*keys, family.alias("family"), F.array_distinct(F.transform("_found", evidence_line)).alias("evidence"))
 
 
 #: Words that make a market about temperature or precipitation.
@@ -182,57 +198,99 @@ DATE_LEAVES = ("settlement_date", "event_date", "strike_date", "observation_date
 DATE_PATH_WORDS = ("rule", "term", "title", "subtitle")
 
 
+#: Why a market is not resolved.
+NO_STATION = "official rules do not identify one unique settlement station"
+NO_DATE = "official market/event text does not identify the event settlement date"
+NO_SOURCE = "official rules do not identify an NWS/CLI-like settlement source"
+DATE_CONFLICT = "official settlement date conflicts with ticker date"
+SERIES_DRIFT = "current recurring-series metadata post-dates event; historical market/event rules must independently prove station/source"
+NO_BOUNDS = "temperature contract bounds unavailable"
+
+
 def resolve_rules(pairs: DataFrame, markets: DataFrame, key: str) -> DataFrame:
-    """Station, date and source of each market from its own texts; fails closed.
+    """Station, date and source of each market from its own texts, with the evidence of each; fails closed.
 
     ``pairs``: key, path (rooted at market, event or series), text. ``markets``: key, event_ticker,
     series_updated. When the series text is newer than the event, market or event text must prove
     station and source on its own.
+
+    ``station_evidence``, ``date_evidence`` and ``source_evidence`` are ``path=text`` lines in the order market, event, series, by path; a
+    text that names the station or the date more than once is listed as often. Lines of the series stand only where market and event give none.
+    A text is searched once, and only texts that say something are grouped, in one shuffle.
     """
     path = F.lower("path")
-    own = ~F.col("path").startswith("series.")
-    relevant = pairs.where(relevant_path(F.col("path")))
-    stations = relevant.select(key, own.alias("_own"), F.explode(tx.station_hits(F.col("text"))).alias("station"))
-    station_facts = stations.groupBy(key).agg(
-        F.count_distinct("station").alias("_stations"), F.min("station").alias("_station"), F.max("_own").alias("_own_station")
-    )
-    sourced = F.col("text").rlike(tx.CLIMATE_SOURCE_PATTERN) & tx.contains_any(
-        path, ("settle", "rule", "source", "term", "product")
-    )
-    source_facts = relevant.groupBy(key).agg(
-        F.max(sourced).alias("_source"), F.max(sourced & own).alias("_own_source"), F.count_if(sourced).alias("source_texts")
-    )
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    relevant = relevant_path(F.col("path"))
+    sourced = relevant & F.col("text").rlike(tx.CLIMATE_SOURCE_PATTERN) & tx.contains_any(path, ("settle", "rule", "source", "term", "product"))
     leaf = F.regexp_replace(F.element_at(F.split(path, r"\."), -1), r"\[\d+\]", "")
-    dated = pairs.where(leaf.isin(*DATE_LEAVES) | tx.contains_any(path, DATE_PATH_WORDS))
-    dates = dated.select(key, F.explode(tx.dates_in_text(F.col("text"))).alias("_d")).distinct()
-    ticker_dates = markets.select(key, tx.ticker_date(F.col("event_ticker")).alias("ticker_date"))
-    date_facts = dates.join(ticker_dates, key).groupBy(key).agg(
-        F.count(F.lit(1)).alias("_dates"), F.min("_d").alias("_only"),
-        F.max(F.coalesce(F.col("_d") == F.col("ticker_date"), F.lit(False))).alias("_agrees"),
-    )
-    table = (
-        markets.join(ticker_dates, key).join(station_facts, key, "left").join(source_facts, key, "left").join(date_facts, key, "left")
-    )
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    station = F.when(F.col("_stations") == 1, F.col("_station"))
-    day = F.when(yes("_agrees"), F.col("ticker_date")).when(F.col("_dates") == 1, F.col("_only"))
-    resolved = table.withColumns({"station": station, "settlement_date": day}).withColumns({
+    dated = leaf.isin(*DATE_LEAVES) | tx.contains_any(path, DATE_PATH_WORDS)
+    searched = pairs.select(
+        key, payload_rank(F.col("path")).alias("rank"), "path", "text", F.coalesce(sourced, F.lit(False)).alias("sourced"),
+        F.when(relevant, tx.station_mentions(F.col("text"))).otherwise(none("string")).alias("stations"),
+        F.when(dated, tx.dates_in_text(F.col("text"))).otherwise(none("date")).alias("dates"),
+    ).where(F.col("sourced") | (F.size("stations") > 0) | (F.size("dates") > 0))
+    facts = searched.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "path", "text", "sourced", "stations", "dates"))).alias("_found"))
+
+    def lines(found: Column, times) -> Column:
+        return F.coalesce(F.flatten(F.transform(found, lambda f: F.array_repeat(evidence_line(f), times(f)))), NO_LINES)
+
+    def of(values: str) -> Column:
+        return F.array_distinct(F.flatten(F.transform("_found", lambda f: f[values])))
+
+    def preferred(found: Column) -> Column:
+        own = F.filter(found, lambda f: f["rank"] < 2)
+        return F.when(F.size(own) > 0, own).otherwise(found)
+
+    def is_own(found: Column) -> Column:
+        return F.coalesce(F.exists(found, lambda f: f["rank"] < 2), F.lit(False))
+
+    table = markets.withColumn("ticker_date", tx.ticker_date(F.col("event_ticker"))).join(facts, key, "left").withColumns({
+        "_stations": of("stations"), "_dates": of("dates"),
+        "_naming": F.filter("_found", lambda f: F.size(f["stations"]) > 0), "_sourced": F.filter("_found", lambda f: f["sourced"]),
+    })
+    day = F.when(F.array_contains("_dates", F.col("ticker_date")), F.col("ticker_date")).when(F.size("_dates") == 1, F.get("_dates", 0))
+    resolved = table.withColumns({
+        "station": F.when(F.size("_stations") == 1, F.get("_stations", 0)), "settlement_date": day,
+        "source_evidence": lines(preferred(F.col("_sourced")), lambda f: F.lit(1)),
+    }).withColumns({
+        "station_evidence": F.when(F.col("station").isNull(), NO_LINES).otherwise(lines(preferred(F.col("_naming")), lambda f: F.size(f["stations"]))),
+        "date_evidence": F.when(F.col("settlement_date").isNull(), NO_LINES).otherwise(
+            lines(F.col("_found"), lambda f: F.size(F.filter(f["dates"], lambda d: d == F.col("settlement_date"))))
+        ),
         "date_matches": F.col("ticker_date") == F.col("settlement_date"),
         "drift_risk": F.coalesce(F.to_date("series_updated") > F.col("ticker_date"), F.lit(False)),
     }).withColumn(
-        "_proved", ~F.col("drift_risk") | (F.col("station").isNotNull() & yes("_own_station") & yes("_own_source"))
+        "_proved", ~F.col("drift_risk") | (F.col("station").isNotNull() & is_own(F.col("_naming")) & is_own(F.col("_sourced")))
     )
     reasons = F.filter(
         F.array(
-            F.when(F.col("station").isNull(), "STATION_NOT_UNIQUE"), F.when(F.col("settlement_date").isNull(), "NO_EVENT_DATE"),
-            F.when(~yes("_source"), "NO_SOURCE"), F.when(~F.col("date_matches"), "DATE_CONFLICT"),
-            F.when(~F.col("_proved"), "SERIES_DRIFT"),
+            F.when(F.col("station").isNull(), NO_STATION), F.when(F.col("settlement_date").isNull(), NO_DATE),
+            F.when(F.size("source_evidence") == 0, NO_SOURCE), F.when(~F.col("date_matches"), DATE_CONFLICT),
+            F.when(~F.col("_proved"), SERIES_DRIFT),
         ),
         lambda r: r.isNotNull(),
     )
     return resolved.select(
-        *markets.columns, "ticker_date", "station", "settlement_date", "date_matches", "drift_risk",
-        F.coalesce("source_texts", F.lit(0)).alias("source_texts"), reasons.alias("reasons"), (F.size(reasons) == 0).alias("exact"),
+        *markets.columns, "ticker_date", "station", "settlement_date", "date_matches", "drift_risk", F.get("source_evidence", 0).alias("settlement_source"),
+        "station_evidence", "date_evidence", "source_evidence",
+        F.when(F.col("_sourced").isNull(), 0).otherwise(F.size("_sourced")).alias("source_texts"), reasons.alias("reasons"), (F.size(reasons) == 0).alias("exact"),
+    )
+
+
+def enrich_catalogue(records: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
+    """Records of a catalogue with what the rules resolved: EXACT only where the rules are exact and a temperature contract has bounds.
+
+    ``records``: key, measurement, shape, station, settlement_date and whatever else; a resolved station or date replaces theirs, their status and
+    reasons are those of the rules. A record without resolved rules stays as it is.
+    """
+    own = [c for c in records.columns if c not in ("status", "station", "settlement_date", "reasons")]
+    found = resolved.select(key, F.lit(True).alias("_there"), F.struct("station", "settlement_date", "exact", "reasons").alias("_r"))
+    bounded = F.col("shape").isNotNull() | ~F.coalesce(F.col("measurement").isin(*MEASURED_IN_DEGREES), F.lit(False))
+    status = F.when(F.col("_r.exact") & bounded, "EXACT").otherwise("PROBABLE")
+    reasons = F.concat(F.col("_r.reasons"), F.when(bounded, NO_LINES).otherwise(F.array(F.lit(NO_BOUNDS))))
+    kept = lambda c, new: F.when(F.col("_there"), new).otherwise(F.col(c)).alias(c)
+    return records.join(found, key, "left").select(
+        *own, kept("status", status), *[F.coalesce(F.col(f"_r.{c}"), F.col(c)).alias(c) for c in ("station", "settlement_date")], kept("reasons", reasons),
     )
 
 
@@ -251,17 +309,18 @@ def station_of_city(text: Column) -> Column:
     return out
 
 
-def normalize_second_venue(markets: DataFrame, *, slug: str, order: Sequence[str]) -> DataFrame:
+def normalize_second_venue(markets: DataFrame, *, slug: str, order: Sequence[str], times: Sequence[str] = ()) -> DataFrame:
     """Temperature markets of known cities with parsed bounds; the last row of a slug wins.
 
-    ``markets``: event_title, market_title, outcome, description, slug and ordering columns.
+    ``markets``: event_title, market_title, outcome, description, slug and ordering columns. ``times`` are columns with the start and end of
+    the event as texts, in order; a date without a year takes the year of the first that can be read.
     """
     label = F.coalesce(F.nullif(F.col("outcome"), F.lit("")), F.col("market_title"), F.lit(""))
     combined = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (F.col("event_title"), F.col("market_title"), label, F.col("description"))])
     staged = markets.withColumns({"_text": combined, "_a": parse_label(label), "_b": parse_label(F.col("market_title"))})
     bounds = F.when(F.col("_a.shape").isNotNull(), F.col("_a")).otherwise(F.col("_b"))
     found = staged.where(F.col("_text").rlike(r"(?i)\btemperature\b|\bhigh\b|°")).withColumns(
-        {"station": station_of_city(F.col("_text")), "_p": bounds, "settlement_date": F.get(tx.dates_in_text(F.col("_text")), 0)}
+        {"station": station_of_city(F.col("_text")), "_p": bounds, "settlement_date": tx.venue_date(F.col("_text"), *[F.col(t) for t in times])}
     ).where(F.col("station").isNotNull() & F.col("_p.shape").isNotNull())
     rows = found.select(*markets.columns, "station", "settlement_date", "_p.*")
     return rows.groupBy(slug).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_r")).select("_r.*")

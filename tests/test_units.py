@@ -140,6 +140,62 @@ def test_dates_and_stations_in_text(spark):
     assert r.t == date(2026, 1, 5)
 
 
+@pytest.mark.parametrize("text,start,end,want", [
+    ("High on March 3, 2025?", "2024-01-01T00:00:00Z", None, date(2025, 3, 3)), ("high on march 3?", "2024-12-31T23:30:00Z", "2026-01-01T00:00:00Z", date(2024, 3, 3)),
+    ("March 3", "soon", "2026-01-01T00:00:00Z", date(2026, 3, 3)), ("March 3", None, None, None), ("February 30", "2024-01-01", None, None), ("2025-03-03", None, None, None)])
+def test_year_of_a_venue_date_may_come_from_the_event(spark, text, start, end, want):
+    assert one(spark, tx.venue_date(F.lit(text), F.lit(start).cast("string"), F.lit(end).cast("string")).alias("d")).d == want
+
+
+CLIMATE, COMPANY = "the National Weather Service", "The Weather Company"
+
+
+def test_source_evidence_is_distinct_and_in_order(spark):
+    from marketlens.operators import catalog as cg
+
+    rows = [
+        (1, "series.rule", COMPANY), (1, "market.rules[0]", CLIMATE), (1, "event.title", f"{CLIMATE}, not {COMPANY}"), (1, "market.rules[0]", CLIMATE), (1, "market.id", CLIMATE),
+        (2, "series.source", " NWS "), (2, "event.source", CLIMATE), (3, "market.title", "nothing"),
+    ]
+    got = {r.k: (r.family, r.evidence) for r in cg.source_family(spark.createDataFrame(rows, "k long, path string, text string"), ["k"]).collect()}
+    assert got == {
+        1: ("MIXED_OR_TRANSITIONAL", [f"event.title={CLIMATE}, not {COMPANY}", f"series.rule={COMPANY}", f"market.rules[0]={CLIMATE}"]),
+        2: ("NWS_CLI", [f"event.source={CLIMATE}", "series.source= NWS "]), 3: ("UNKNOWN", []),
+    }
+
+
+def test_rules_give_their_evidence_and_records_take_it(spark):
+    from datetime import datetime
+
+    from marketlens.operators import catalog as cg
+
+    rule = f"{CLIMATE} at Central Park (KNYC), KNYC, on 2026-01-05"
+    rows = [
+        (1, "series.rule", f"NWS report for KNYC on {rule[-10:]}"), (1, "market.rule", rule), (1, "market.note", "KMDW"), (2, "series.rule", rule),
+        (3, "market.rule", "KNYC or KMDW, 2026-01-04 and 2026-01-05"), (3, "event.date", "2026-01-06"),
+    ]
+    pairs = spark.createDataFrame(rows, "k long, path string, text string")
+    late = datetime(2026, 2, 1)
+    markets = spark.createDataFrame([(k, "KXHIGHNY-26JAN05", late if k < 3 else None) for k in (1, 2, 3, 4)], "k long, event_ticker string, series_updated timestamp")
+    resolved = cg.resolve_rules(pairs, markets, "k")
+    got = {r.k: r for r in resolved.collect()}
+    assert got[1].exact and got[1].station == "KNYC" and got[1].settlement_source == f"market.rule={rule}"
+    assert got[1].station_evidence == [f"market.rule={rule}"] * 3 and got[1].source_evidence == [f"market.rule={rule}"]
+    assert got[1].date_evidence == [f"market.rule={rule}", f"series.rule={rows[0][2]}"] and got[1].source_texts == 2
+    assert got[2].reasons == [cg.SERIES_DRIFT] and got[2].source_evidence == [f"series.rule={rule}"]
+    assert got[3].station is None and got[3].station_evidence == [] and got[3].date_evidence == [f"market.rule={rows[4][2]}"] and got[3].reasons == [cg.NO_STATION, cg.NO_SOURCE]
+    assert got[4].reasons == [cg.NO_STATION, cg.NO_DATE, cg.NO_SOURCE] and got[4].source_texts == 0 and got[4].date_evidence == []
+    records = spark.createDataFrame(
+        [(1, "DAILY_HIGH", None, "KLAX", None, "PROBABLE", []), (1, "RAIN", None, None, None, "PROBABLE", []), (3, "DAILY_HIGH", "above", "KLAX", None, "REVIEW", ["x"]), (9, "RAIN", None, "KLAX", None, "REVIEW", ["x"])],
+        "k long, measurement string, shape string, station string, settlement_date date, status string, reasons array<string>")
+    out = {(r.k, r.measurement): (r.status, r.station, r.settlement_date, r.reasons) for r in cg.enrich_catalogue(records, resolved, "k").collect()}
+    day = date(2026, 1, 5)
+    assert out == {
+        (1, "DAILY_HIGH"): ("PROBABLE", "KNYC", day, [cg.NO_BOUNDS]), (1, "RAIN"): ("EXACT", "KNYC", day, []),
+        (3, "DAILY_HIGH"): ("PROBABLE", "KLAX", day, [cg.NO_STATION, cg.NO_SOURCE]), (9, "RAIN"): ("REVIEW", "KLAX", None, ["x"]),
+    }
+
+
 def test_name_uuid(spark):
     import uuid
 
