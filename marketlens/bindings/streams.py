@@ -130,26 +130,39 @@ def stream_type_counts(spark, d):
     from marketlens.operators.feeds import type_counts
 
     path = scratch_path(spark, "counts")
-    kept = flows.VersionedTable(spark, f"{path}/table")
+    kept = flows.KeyedTable(spark, f"{path}/table", ["window_start", "event_type"], fan=2)
 
     def run(stream):
         counts = type_counts(stream.withWatermark("ts", "2 hours"), "ts", "event_type")
-        flows.keep_updates(counts, ["window_start", "event_type"], kept, f"{path}/checkpoint").awaitTermination()
+        flows.keep_updates(counts, kept, f"{path}/checkpoint").awaitTermination()
 
     flows.replay(event_rows(spark, d), "ts", run, "counts-in")
     return kept.read().withColumns({c: naive(F.col(c)) for c in ("window_start", "last_seen")})
 
 
-@query("stream_best_quote", "I3 A12", """SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, arg_max(value, struct_pack(t := ts, e := event_id)) AS value FROM events GROUP BY user_id""")
+#: Series whose quotes the table shows; others are kept out before they are stored.
+QUOTED_SERIES = ("KXHIGHNY", "KXLOWTCHI")
+
+
+@query("stream_best_quote", "I3 A12", f"""WITH {EVENTS}, t AS (SELECT CASE user_id % 3 WHEN 0 THEN 'KXHIGHNY' WHEN 1 THEN 'kxlowtchi' ELSE 'KXOTHER' END || '-' || user_id AS ticker, *, struct_pack(t := ts, e := event_id) AS o FROM ev WHERE user_id % 3 < 2)
+SELECT ticker, arg_max(event_id, o) AS event_id, arg_max(value, o) AS value, arg_max(value, o) FILTER (event_type = 'purchase') AS last_trade, arg_max(k, o) FILTER (event_type = 'purchase') AS last_trade_size FROM t GROUP BY ticker""")
 def stream_best_quote(spark, d):
     path = scratch_path(spark, "quotes")
+    traded = F.col("event_type") == "purchase"
+    series = F.when(F.col("user_id") % 3 == 0, "KXHIGHNY").when(F.col("user_id") % 3 == 1, "kxlowtchi").otherwise("KXOTHER")
+    rows = event_rows(spark, d).select(
+        F.concat_ws("-", series, "user_id").alias("ticker"), "ts", "event_id", "value", F.when(traded, F.col("value")).alias("last_trade"), F.when(traded, F.col("k")).alias("last_trade_size"),
+    )
 
-    def run(stream):
+    def kept():
         # a new table object each time, as after a restart: what is kept is on disk
-        flows.keep_latest(stream, ["user_id"], ["ts", "event_id"], flows.VersionedTable(spark, f"{path}/table"), f"{path}/checkpoint").awaitTermination()
+        return flows.KeyedTable(spark, f"{path}/table", ["ticker"], ["ts", "event_id"], carried=["last_trade", "last_trade_size"], fan=2)
+
+    def run(stream):
+        flows.keep_latest(feeds.of_series(stream, "ticker", QUOTED_SERIES), kept(), f"{path}/checkpoint").awaitTermination()
 
-    flows.replay(event_rows(spark, d), "ts", run, "quotes-in")
-    return flows.VersionedTable(spark, f"{path}/table").read().select("user_id", "event_id", "value")
+    flows.replay(rows, "ts", run, "quotes-in")
+    return kept().read().select("ticker", "event_id", "value", "last_trade", "last_trade_size")
 
 
 @query("stream_raw_archive", "I4 I13 A10", "SELECT event_id, user_id, CAST(ts AS DATE) AS date, CAST(extract(hour FROM ts) AS INTEGER) AS hour FROM events")

@@ -59,6 +59,11 @@ def best_quotes(quotes: DataFrame, key: str, order: Sequence[str], carried: Sequ
     return newest.join(last, key)
 
 
+def of_series(df: DataFrame, ticker: str, series: Sequence[str]) -> DataFrame:
+    """Rows whose ticker belongs to one of the series: the part before the first dash, in any case."""
+    return df.where(F.upper(F.get(F.split(F.col(ticker), "-"), 0)).isin(*series))
+
+
 def complement_quote(df: DataFrame) -> DataFrame:
     """NO side of a YES quote: complement prices and swapped sizes."""
     return df.withColumns({

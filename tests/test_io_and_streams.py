@@ -177,13 +177,43 @@ def test_tail_follows_growing_and_shrinking_files(spark, tmp_path):
 
 def test_keyed_table_survives_a_restart_and_a_repeated_batch(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "k long, v long")
-    flows.VersionedTable(spark, str(tmp_path / "t")).write(rows((1, 1), (2, 1)), 0)
-    table = flows.VersionedTable(spark, str(tmp_path / "t"))
+    table = lambda: flows.KeyedTable(spark, str(tmp_path / "t"), ["k"], buckets=2, fan=2)
+    held = lambda **args: {r.k: r.v for r in table().read(**args).collect()}
+    assert table().read() is None
+    table().write(rows((1, 1), (2, 1), (None, 1)), 0)
     for _ in range(2):  # the second time is the retry of batch 1
-        table.write(table.read(1).unionByName(rows((3, 1))), 1)
-    assert sorted(r.k for r in flows.VersionedTable(spark, str(tmp_path / "t")).read().collect()) == [1, 2, 3]
-    table.write(rows((4, 1)), 2)
-    assert table.versions() == [1, 2]
+        table().write(rows((3, 2), (1, 2)), 1)
+    assert held() == {1: 2, 2: 1, 3: 2, None: 1} and held(before=1) == {1: 1, 2: 1, None: 1}
+    table().write(rows((4, 3), (None, 3)), 2)
+    assert table().runs() == [(0, 1), (2, 2)] and held()[None] == 3
+    table().write(rows((2, 4)), 3)
+    table().write(rows((9, 9)).limit(0), 4)
+    assert table().runs() == [(0, 3), (4, 4)] and held() == {1: 2, 2: 4, 3: 2, 4: 3, None: 3}
+    bucket = table().bucket_of(2)
+    assert held(buckets=[bucket])[2] == 4 and {**held(buckets=[0]), **held(buckets=[1])} == held()
+
+
+def test_keyed_table_writes_what_a_batch_brings(spark, tmp_path):
+    table = flows.KeyedTable(spark, str(tmp_path / "t"), ["k"], ["v"], buckets=4, fan=4)
+    size = lambda run: sum(f.stat().st_size for f in (tmp_path / "t" / run).rglob("*.parquet"))
+    table.write(spark.range(200_000).selectExpr("id AS k", "id AS v"), 0)
+    table.write(spark.range(10).selectExpr("id AS k", "id + 1000000 AS v"), 1)
+    assert size("run=1-1") * 50 < size("run=0-0") and table.read().count() == 200_000 and table.read().where("v >= 1000000").count() == 10
+
+
+def test_keyed_table_against_a_fold(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    batches = [[(rnd.randrange(6), rnd.randrange(50), 100 * n + i, rnd.choice([None, rnd.randrange(9)])) for i in range(5)] for n in range(7)]
+    kept = lambda: flows.KeyedTable(spark, str(tmp_path / "t"), ["k"], ["t", "i"], carried=["c"], buckets=2, fan=3)
+    for n, batch in enumerate(batches):
+        kept().write(spark.createDataFrame(batch, "k long, t long, i long, c long"), n)
+    want = {}
+    for k, t, i, c in sorted((r for b in batches for r in b), key=lambda r: r[1:3]):
+        want[k] = (t, i, c if c is not None else want.get(k, (0, 0, None))[2])
+    assert {r.k: (r.t, r.i, r.c) for r in kept().read().collect()} == want
+    assert kept().runs() == [(0, 2), (3, 5), (6, 6)]
 
 
 def test_settlement_waits_and_settles_once(spark, tmp_path):
