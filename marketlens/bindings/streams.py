@@ -208,6 +208,23 @@ def stream_fresh_rows(spark, d):
     return flows.replayed(event_rows(spark, d), "ts", lambda s: flows.fresh_rows(s, "ts", now, 60), "fresh").select("event_id", "user_id")
 
 
+#: Events a snapshot must cover, and seconds between two runs of a feed.
+LEAST_EVENTS, SPACING = 3, 10_800
+
+
+@query("stream_input_gate", "I10", f"""WITH RECURSIVE {EVENTS}, x AS (SELECT user_id AS feed, event_id AS id, ts, (k % 4) || '|' || event_type || '|' || CASE WHEN k < 50 THEN CAST(k % 2 AS VARCHAR) ELSE '' END AS key, k % 10 AS events,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev),
+g AS (SELECT feed, 0::BIGINT AS n, NULL::BIGINT AS id, '' AS status, 0::BIGINT AS events, NULL::VARCHAR AS lk, NULL::TIMESTAMP AS lt FROM (SELECT DISTINCT feed FROM x)
+ UNION ALL SELECT feed, n, id, status, events, CASE WHEN status = 'ACCEPTED' THEN key ELSE lk END, CASE WHEN status = 'ACCEPTED' THEN ts ELSE lt END FROM (SELECT x.*, g.lk, g.lt, CASE WHEN x.key = g.lk THEN 'DUPLICATE_SNAPSHOT'
+  WHEN x.ts < g.lt + to_seconds({SPACING}) THEN 'MINIMUM_SPACING' WHEN x.events < {LEAST_EVENTS} THEN 'UNIVERSE_COVERAGE_INCOMPLETE' ELSE 'ACCEPTED' END AS status FROM g JOIN x ON x.feed = g.feed AND x.n = g.n + 1))
+SELECT feed, id, status, CAST(events AS BIGINT) AS events FROM g WHERE n > 0""")
+def stream_input_gate(spark, d):
+    k = F.col("k")
+    key = feeds.snapshot_key(k % 4, F.col("event_type"), F.when(k < 50, k % 2))
+    rows = event_rows(spark, d).select(F.col("user_id").alias("feed"), F.col("event_id").alias("id"), "ts", key.alias("input_key"), (k % 10).alias("events"))
+    return flows.replayed(rows, "ts", lambda s: state.input_stream(s, minimum_events=LEAST_EVENTS, spacing_seconds=SPACING), "input-gate")
+
+
 @query("bounded_seen", "I9", "SELECT user_id, event_id FROM (SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id) ORDER BY ts DESC, event_id DESC LIMIT 50")
 def bounded_seen(spark, d):
     from marketlens.bindings.views import events

@@ -79,6 +79,11 @@ def type_counts(messages: DataFrame, ts: str, kind: str, width: str = "1 hour")
     ).select(F.col("_w.start").alias("window_start"), kind, "n", "last_seen")
 
 
+def snapshot_key(catalogue: Column, quotes: Column, surface: Column) -> Column:
+    """Identity of a set of inputs: the times of its catalogue, its quotes and, if it is fresh, its surface."""
+    return F.concat(catalogue.cast("string"), F.lit("|"), quotes.cast("string"), F.lit("|"), F.coalesce(surface.cast("string"), F.lit("")))
+
+
 def fresh(ts: Column, now: Column, max_age_seconds: float) -> Column:
     """Known, not in the future and not too old."""
     age = (F.unix_micros(now) - F.unix_micros(ts)) / F.lit(1e6)

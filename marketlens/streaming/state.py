@@ -27,6 +27,7 @@ BOOK_OUTPUT = "ticker bigint, epoch bigint, side string, price double, seq bigin
 FILL_OUTPUT = "contract bigint, signal_id bigint, horizon bigint, side string, fill_id bigint, fill_time timestamp, price double, status string"
 CLAIM_OUTPUT = "event string, event_id bigint, ts timestamp"
 SETTLED_OUTPUT = "contract bigint, fill_id bigint, result_id bigint"
+INPUT_OUTPUT = "feed bigint, id bigint, status string, events bigint"
 HEALTH_OUTPUT = "component bigint, event_id bigint, status string, previous_status string, previous_reason string"
 
 
@@ -282,6 +283,41 @@ class HealthChange(StatefulProcessor):
         })[changed]
 
 
+class InputGate(StatefulProcessor):
+    """Whether a snapshot of a feed is worth a run: the last accepted key and time are kept.
+
+    A snapshot with the key of the last accepted one is a duplicate, one that follows it by less than ``spacing`` microseconds comes too
+    soon, and one that covers fewer than ``minimum`` events is incomplete, in this order. Only an accepted snapshot moves the state.
+    A null key is a key of its own; a null time is at the start; a null count covers nothing.
+    """
+
+    def __init__(self, minimum: int, spacing: int) -> None:
+        self.minimum, self.spacing = minimum, spacing
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getValueState("accepted", "input_key string, at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _batch(rows, ["at", "id"])
+        last = tuple(self.accepted.get()) if self.accepted.exists() else None
+        start, statuses = last, []
+        events = batch["events"].fillna(0).astype("int64")
+        for input_key, at, n in zip(batch["input_key"], batch["at"], events, strict=True):
+            input_key = None if pd.isna(input_key) else input_key
+            if last is not None and input_key == last[0]:
+                status = "DUPLICATE_SNAPSHOT"
+            elif last is not None and at - last[1] < self.spacing:
+                status = "MINIMUM_SPACING"
+            elif n < self.minimum:
+                status = "UNIVERSE_COVERAGE_INCOMPLETE"
+            else:
+                status, last = "ACCEPTED", (input_key, int(at))
+            statuses.append(status)
+        if last != start:
+            self.accepted.update(last)
+        yield pd.DataFrame({"feed": int(key[0]), "id": batch["id"].astype("int64"), "status": statuses, "events": events})
+
+
 class FirstClaim(StatefulProcessor):
     """The first signal of an event claims it; every later one, in any batch, is dropped."""
 
@@ -380,6 +416,12 @@ def health_stream(statuses: DataFrame) -> DataFrame:
     return _stateful(statuses, "component", HealthChange(), HEALTH_OUTPUT)
 
 
+def input_stream(snapshots: DataFrame, *, minimum_events: int, spacing_seconds: float = 0.0) -> DataFrame:
+    """feed, id, ts, input_key, events (how many events the snapshot covers) in; a status and the count of each snapshot out."""
+    rows = snapshots.select("feed", "id", F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("at"), "input_key", "events")
+    return _stateful(rows, "feed", InputGate(minimum_events, round(spacing_seconds * 1e6)), INPUT_OUTPUT)
+
+
 def claim_stream(signals: DataFrame) -> DataFrame:
     """event, event_id, ts in; the claiming signal of each event out, once."""
     return _stateful(signals, "event", FirstClaim(), CLAIM_OUTPUT)

@@ -216,6 +216,19 @@ def test_keyed_table_against_a_fold(spark, tmp_path):
     assert kept().runs() == [(0, 2), (3, 5), (6, 6)]
 
 
+def test_a_snapshot_sent_twice_counts_once(spark):
+    at = lambda minute: datetime(2024, 1, 1, 0, minute, tzinfo=timezone.utc)
+    rows = [  # replayed in four slices of a quarter of an hour, so repeats come in later batches
+        (1, 1, at(0), "a", 5), (1, 2, at(16), "a", 5), (1, 3, at(17), "b", 1), (1, 4, at(31), "b", 3), (1, 5, at(32), "c", 9), (1, 6, at(59), "b", 3), (1, 7, at(59), None, 3),
+        (2, 8, at(16), "a", None), (2, 9, None, None, 3), (2, 10, at(50), None, 3),
+    ]
+    frame = spark.createDataFrame(rows, "feed long, id long, ts timestamp, input_key string, events long")
+    out = flows.replayed(frame, "ts", lambda s: state.input_stream(s, minimum_events=3, spacing_seconds=300), "snapshots")
+    got = {r.id: r.status for r in out.collect()}
+    few, twice = "UNIVERSE_COVERAGE_INCOMPLETE", "DUPLICATE_SNAPSHOT"
+    assert got == {1: "ACCEPTED", 2: twice, 3: few, 4: "ACCEPTED", 5: "MINIMUM_SPACING", 6: twice, 7: "ACCEPTED", 8: few, 9: "ACCEPTED", 10: twice}
+
+
 def test_settlement_waits_and_settles_once(spark, tmp_path):
     def at(day):
         return f"2024-01-{day:02d} 00:00:00"
