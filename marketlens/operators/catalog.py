@@ -78,8 +78,9 @@ def evidence_line(found: Column) -> Column:
     return F.concat(found["path"], F.lit("="), found["text"])
 
 
-#: Evidence where nothing was found.
-NO_LINES = F.array().cast("array<string>")
+def no_lines() -> Column:
+    """Evidence where nothing was found."""
+    return F.array().cast("array<string>")
 
 
 def source_family(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -232,7 +233,7 @@ def resolve_rules(pairs: DataFrame, markets: DataFrame, key: str) -> DataFrame:
     facts = searched.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "path", "text", "sourced", "stations", "dates"))).alias("_found"))
 
     def lines(found: Column, times) -> Column:
-        return F.coalesce(F.flatten(F.transform(found, lambda f: F.array_repeat(evidence_line(f), times(f)))), NO_LINES)
+        return F.coalesce(F.flatten(F.transform(found, lambda f: F.array_repeat(evidence_line(f), times(f)))), no_lines())
 
     def of(values: str) -> Column:
         return F.array_distinct(F.flatten(F.transform("_found", lambda f: f[values])))
@@ -253,8 +254,8 @@ def resolve_rules(pairs: DataFrame, markets: DataFrame, key: str) -> DataFrame:
         "station": F.when(F.size("_stations") == 1, F.get("_stations", 0)), "settlement_date": day,
         "source_evidence": lines(preferred(F.col("_sourced")), lambda f: F.lit(1)),
     }).withColumns({
-        "station_evidence": F.when(F.col("station").isNull(), NO_LINES).otherwise(lines(preferred(F.col("_naming")), lambda f: F.size(f["stations"]))),
-        "date_evidence": F.when(F.col("settlement_date").isNull(), NO_LINES).otherwise(
+        "station_evidence": F.when(F.col("station").isNull(), no_lines()).otherwise(lines(preferred(F.col("_naming")), lambda f: F.size(f["stations"]))),
+        "date_evidence": F.when(F.col("settlement_date").isNull(), no_lines()).otherwise(
             lines(F.col("_found"), lambda f: F.size(F.filter(f["dates"], lambda d: d == F.col("settlement_date"))))
         ),
         "date_matches": F.col("ticker_date") == F.col("settlement_date"),
@@ -287,7 +288,7 @@ def enrich_catalogue(records: DataFrame, resolved: DataFrame, key: str) -> DataF
     found = resolved.select(key, F.lit(True).alias("_there"), F.struct("station", "settlement_date", "exact", "reasons").alias("_r"))
     bounded = F.col("shape").isNotNull() | ~F.coalesce(F.col("measurement").isin(*MEASURED_IN_DEGREES), F.lit(False))
     status = F.when(F.col("_r.exact") & bounded, "EXACT").otherwise("PROBABLE")
-    reasons = F.concat(F.col("_r.reasons"), F.when(bounded, NO_LINES).otherwise(F.array(F.lit(NO_BOUNDS))))
+    reasons = F.concat(F.col("_r.reasons"), F.when(bounded, no_lines()).otherwise(F.array(F.lit(NO_BOUNDS))))
     kept = lambda c, new: F.when(F.col("_there"), new).otherwise(F.col(c)).alias(c)
     return records.join(found, key, "left").select(
         *own, kept("status", status), *[F.coalesce(F.col(f"_r.{c}"), F.col(c)).alias(c) for c in ("station", "settlement_date")], kept("reasons", reasons),
