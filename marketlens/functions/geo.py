@@ -18,6 +18,14 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def folded(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """The same point of the sphere with its latitude within the poles; only a latitude beyond a pole is changed."""
+    turned = F.pmod(lat + 180.0, F.lit(360.0)) - 180.0
+    over = F.abs(turned) > 90.0
+    within = F.when(F.abs(lat) <= 90.0, lat).when(over, F.signum(turned) * 180.0 - turned).otherwise(turned)
+    return within, F.when((F.abs(lat) > 90.0) & over, lon + 180.0).otherwise(lon)
+
+
 def initial_bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p1, p2, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
     east = F.sin(dl) * F.cos(p2)

@@ -24,24 +24,25 @@ def radius_count(
     """Points within a radius of each place, zero included.
 
     Both sides meet on degree cells of the place's box; longitudes wrap and boxes that touch a pole
-    take every longitude. The distance decides, so cells only prune.
+    take every longitude. A latitude beyond a pole runs down the far meridian. The distance decides, so cells only prune.
     """
-    p = places.withColumn("_radius", radius_km)
+    folded_lat, folded_lon = geo.folded(F.col(lat), F.col(lon))
+    p = places.withColumns({"_radius": radius_km, "_flat": folded_lat, "_flon": folded_lon})
     half_lat = F.col("_radius") / 110.0
-    reach = F.abs(F.col(lat)) + half_lat
+    reach = F.abs(F.col("_flat")) + half_lat
     half_lon = F.when(reach >= 89.0, 180.0).otherwise(
         F.least(F.lit(180.0), F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(half_lat)) / F.cos(F.radians(reach))))) + 0.01)
     )
-    rows = F.sequence(F.floor((F.col(lat) - half_lat) / cell), F.floor((F.col(lat) + half_lat) / cell))
+    rows = F.sequence(F.floor((F.col("_flat") - half_lat) / cell), F.floor((F.col("_flat") + half_lat) / cell))
     per_turn = int(round(360 / cell))
-    raw = F.sequence(F.floor((F.col(lon) - half_lon) / cell), F.floor((F.col(lon) + half_lon) / cell))
+    raw = F.sequence(F.floor((F.col("_flon") - half_lon) / cell), F.floor((F.col("_flon") + half_lon) / cell))
     columns = F.array_distinct(F.transform(raw, lambda c: F.pmod(c, F.lit(per_turn))))
     spread = p.select(place, "_radius", F.col(lat).alias("_plat"), F.col(lon).alias("_plon"), F.explode(rows).alias("_r"), columns.alias("_cs"))
     spread = spread.select(place, "_radius", "_plat", "_plon", "_r", F.explode("_cs").alias("_c"))
     usable = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon))
     located = usable.select(
-        F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.floor(F.col(lat) / cell).alias("_r"),
-        F.pmod(F.floor(F.col(lon) / cell), F.lit(per_turn)).alias("_c"),
+        F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.floor(folded_lat / cell).alias("_r"),
+        F.pmod(F.floor(folded_lon / cell), F.lit(per_turn)).alias("_c"),
     )
     hits = located.join(spread, ["_r", "_c"]).where(
         geo.haversine_km(F.col("_plat"), F.col("_plon"), F.col("_lat"), F.col("_lon")) <= F.col("_radius")

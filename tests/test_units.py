@@ -239,6 +239,23 @@ def test_nearest_point_matches_brute_force(spark):
         assert have[place] == sum(km(lat, lon, p[1], p[2]) <= 2500 for p in pts)
 
 
+def test_points_beyond_a_pole_lie_on_the_far_meridian(spark):
+    import math
+
+    plc = [(1, 60.0, 166.0), (2, -85.0, 10.0), (3, 120.0, -14.0), (4, 0.0, 0.0), (5, -250.0, 30.0)]
+    pts = [(lat, lon) for lat in (-410.0, -118.0, -95.0, -66.0, 0.0, 66.0, 89.0, 114.0, 181.0, 430.0) for lon in (-190.0, -14.0, -1.9, 0.0, 30.0, 166.0, 178.0, 226.0)]
+
+    def km(a, b, c, d):
+        p, q = math.radians(a), math.radians(c)
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h)))
+
+    got = spatial.radius_count(
+        spark.createDataFrame(plc, "place long, lat double, lon double"), spark.createDataFrame(pts, "lat double, lon double"), "place", F.lit(1500.0), cell=5.0)
+    want = {place: sum(km(lat, lon, *p) <= 1500 for p in pts) for place, lat, lon in plc}
+    assert {r.place: r.n for r in got.collect()} == want and min(want.values()) > 0
+
+
 def ladder(spark, legs, **change):
     rows = [("E", f"T{i}", i, s, lo, hi, True, True, change.get("status", "EXACT"), "rules", "NWS", "KNYC", "2026-01-01", "HIGH", "LST", "F",
              "WHOLE_DEGREE", "INTEGER") for i, (s, lo, hi) in enumerate(legs)]
