@@ -65,7 +65,7 @@ class SequenceGate(StatefulProcessor):
         status = status.mask(place > at, "INVALIDATED") if not broken else pd.Series("INVALIDATED", batch.index)
         applied = seq[(place < at) & numbered].groupby(sid[(place < at) & numbered]).max()
         for subscription, top in applied.items():
-            if stored.get(int(subscription), -1) < top:
+            if int(subscription) not in stored or stored[int(subscription)] < top:
                 self.last.updateValue((int(subscription),), (int(top),))
         if not broken and at < len(batch):
             self.broken.update((int(batch["pos"].iloc[at]),))

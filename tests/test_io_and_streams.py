@@ -97,6 +97,16 @@ def test_gap_invalidates_the_whole_connection(spark):
         0: "APPLIED", 1: "APPLIED", 2: "DUPLICATE", 3: ("GAP", 2), 4: "INVALIDATED", 5: "APPLIED", 6: "INVALIDATED"}
 
 
+def test_a_number_below_zero_is_remembered(spark):
+    schema = f"connection long, sid int, seq long, is_book boolean, t long, pos long, ticker long, event_type string, yes_bids {LEVEL}, no_bids {LEVEL}, price double, delta double, side string"
+    rows = [(1, 1, -1, True, 0, 0, 10, "orderbook_snapshot", [(0.4, 5.0)], None, None, None, None), (1, 1, 2, True, 1, 1, 10, "orderbook_delta", None, None, 0.4, 1.0, "yes")]
+    frames = [spark.createDataFrame([r], schema).withColumn("ts", F.timestamp_seconds("t")).drop("t") for r in rows]
+    gate = flows.drain(state.gate_stream(batches(spark, "below", frames)), "below").collect()
+    assert {(r.pos, r.status, r.missing) for r in gate} == {(0, "APPLIED", 0), (1, "GAP", 2)}
+    live = flows.drain(state.live_book_stream(batches(spark, "below", frames)), "below").collect()
+    assert {(r.pos, r.status, r.missing) for r in live} == {(0, "LEVEL", 0), (0, "BOOK", 0), (1, "GAP", 2)}
+
+
 def test_pending_fill_waits_for_a_later_batch(spark):
     schema = "contract long, t long, id long, is_quote boolean, horizon long, d long, side string, yes_ask double, no_ask double"
     frames = [
