@@ -107,6 +107,18 @@ def test_a_number_below_zero_is_remembered(spark):
     assert {(r.pos, r.status, r.missing) for r in live} == {(0, "LEVEL", 0), (0, "BOOK", 0), (1, "GAP", 2)}
 
 
+def test_keys_share_the_calls_of_a_batch(spark):
+    rows = [(k, k % 3, 10_000 * n + k, "ERROR" if (k + n) % 2 else "OK", "R") for n in range(2) for k in range(1500)]
+    frames = [spark.createDataFrame(part, "component long, t long, event_id long, status string, reason string") for part in (rows[:1500], rows[1500:])]
+    frames = [f.withColumn("ts", F.timestamp_seconds("t")).drop("t") for f in frames]
+    path = scratch_path(spark, "health-state")
+    flows.append_to(state.health_stream(batches(spark, "health-in", frames)), f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{path}/table")
+    assert {(r.event_id, r.status) for r in out.collect()} == {(e, s) for k, _, e, s, _ in rows if k % 2 or e >= 10_000}
+    held = spark.read.format("statestore").option("path", f"{path}/checkpoint").option("stateVarName", "signatures").load()
+    assert held.count() == 750 and held.select("key").distinct().count() <= state.BUCKETS
+
+
 def test_pending_fill_waits_for_a_later_batch(spark):
     schema = "contract long, t long, id long, is_quote boolean, horizon long, d long, side string, yes_ask double, no_ask double"
     frames = [
