@@ -118,23 +118,50 @@ def nearest_states(
     return np.where(number < len(rows), number, -1)
 
 
+def _paired(
+    day: np.ndarray, hour: np.ndarray, state: np.ndarray, first: np.ndarray, count: np.ndarray, past_day: np.ndarray, past_hour: np.ndarray, past: np.ndarray,
+    scales: np.ndarray, k: int, max_hour_gap: int, pairs: int = 1_000_000,
+) -> np.ndarray:
+    """As :func:`nearest_states` for states of many small places at once: each asks the ``count`` past rows from ``first`` on, some pairs at a time."""
+    out, upto, at = np.full((len(day), k), -1), np.cumsum(count), 0
+    while at < len(day):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + pairs, side="right")))
+        row = np.repeat(np.arange(at, end), count[at:end])
+        col = np.arange(len(row)) + np.repeat(first[at:end] - (upto[at:end] - count[at:end] - (upto[at - 1] if at else 0)), count[at:end])
+        good = (past_day[col] < day[row]) & (np.abs(past_hour[col] - hour[row]) <= max_hour_gap)
+        row, col = row[good], col[good]
+        order = np.lexsort((col, _scaled((state[row] - past[col]) / scales), row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        out[row[rank < k], rank[rank < k]] = col[rank < k]
+        at = end
+    return out
+
+
+#: Rows of a group of places, and past rows from which a place is folded block by block.
+GROUP_ROWS, LARGE_PLACE = 4000, 512
+
+
 def nearest_prior(
     current: DataFrame, history: DataFrame, place: str, day: str, features: Mapping[str, float], *,
     tie: Sequence[str], k: int = 80, minimum: int = 30, max_hour_gap: int = 2, block_days: int = 32, group_days: int = 366,
 ) -> DataFrame:
     """The ``k`` nearest earlier states of the same place and a close hour, and their residuals.
 
-    Rows meet per place and span of ``group_days``; a past row goes to its own span and to each later one. One row stands for one place, day and
-    hour, so a group is bounded by the calendar whatever the place. Inside a group bounded lists are merged block by block; pairs are
-    never rows. A feature that is NaN counts as missing; ties of distance go by the ``tie`` columns; rows without place, day or hour have no neighbours.
+    Rows meet per group of places and span of ``group_days``; a past row goes to its own span and to each later one. There are as many groups as
+    the rows ask for, and one row stands for one place, day and hour, so a group is bounded by the calendar whatever the place. Inside a group small
+    places are measured together, on arrays, and for large ones bounded lists are merged block by block; pairs are never rows. A feature that is NaN counts
+    as missing; ties of distance go by the ``tie`` columns; rows without place, day or hour have no neighbours.
     """
     names, scales = list(features), np.array([features[f] for f in features])
     number = [F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f"_f{i}") for i, f in enumerate(names)]
     span = F.floor(F.unix_date(day) / group_days)
-    now = current.select("*", span.alias("_span"), F.unix_date(day).alias("_day"), *number)
-    last = F.lit(current.agg(F.max(span)).first()[0]).cast("long")
+    last, rows = current.agg(F.max(span), F.count(F.lit(1))).first()
+    last, groups = F.lit(last).cast("long"), F.lit(-(-rows // GROUP_ROWS) or 1)
+    now = current.select("*", span.alias("_span"), F.unix_date(day).alias("_day"), F.pmod(F.xxhash64(place), groups).alias("_group"), *number)
     past = history.where(F.col("residual").isNotNull() & F.col(place).isNotNull() & F.col("hour").isNotNull() & (span <= last)).select(
-        F.col(place).alias("_place"), F.unix_date(day).alias("_day"), F.col("hour").cast("long").alias("_hour"), *number, F.col("residual").cast("double").alias("_residual"),
+        F.col(place).alias("_place"), F.pmod(F.xxhash64(place), groups).alias("_group"), F.unix_date(day).alias("_day"), F.col("hour").cast("long").alias("_hour"), *number,
+        F.col("residual").cast("double").alias("_residual"),
         F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("_tie"), F.explode(F.sequence(span, last)).alias("_span"),
     )
 
@@ -146,15 +173,27 @@ def nearest_prior(
     def group(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         theirs = theirs.flatten()
         theirs = theirs.take(pc.sort_indices(theirs, [(f"_tie.t{i}", "ascending") for i in range(len(tie))]))
+        names_ = pa.chunked_array([*mine.column(place).chunks, *theirs.column("_place").chunks], theirs.schema.field("_place").type)
+        code = pc.fill_null(names_.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        own, past_own = code[: len(mine)], code[len(mine) :]
+        order = np.argsort(past_own, kind="stable")
+        theirs, past_own = theirs.take(pa.array(order)), past_own[order]
         hour, past_hour = pc.fill_null(mine.column("hour").cast("int64"), -1_000_000).to_numpy(), theirs.column("_hour").to_numpy()
         day_, past_day = pc.fill_null(mine.column("_day").cast("int64"), -1_000_000).to_numpy(), theirs.column("_day").cast("int64").to_numpy()
         state, past_state, residual = matrix(mine), matrix(theirs), theirs.column("_residual").to_numpy()
+        first = np.searchsorted(past_own, own)
+        count = np.searchsorted(past_own, own, side="right") - first
+        near, small = np.full((len(mine), k), -1), np.flatnonzero(count < LARGE_PLACE)
+        near[small] = _paired(day_[small], hour[small], state[small], first[small], count[small], past_day, past_hour, past_state, scales, k, max_hour_gap)
+        for one in np.unique(own[count >= LARGE_PLACE]):
+            asks, there = np.flatnonzero(own == one), np.flatnonzero(past_own == one)
+            for h in np.unique(hour[asks]):
+                rows, close = asks[hour[asks] == h], there[np.abs(past_hour[there] - h) <= max_hour_gap]
+                if len(close):
+                    best = nearest_states(day_[rows], state[rows], past_day[close], past_state[close], scales, k, block_days)
+                    near[rows] = np.where(best >= 0, close[best], -1)
         found = np.full((len(mine), k), np.nan)
-        for h in np.unique(hour):
-            rows, close = np.flatnonzero(hour == h), np.flatnonzero(np.abs(past_hour - h) <= max_hour_gap)
-            if len(close):
-                near = nearest_states(day_[rows], state[rows], past_day[close], past_state[close], scales, k, block_days)
-                found[rows] = np.where(near >= 0, residual[close][near], np.nan)
+        found[near >= 0] = residual[near[near >= 0]]
         found = np.sort(found, axis=1)  # NaN last
         n = (~np.isnan(found)).sum(axis=1)
         at = np.arange(len(mine))
@@ -169,4 +208,4 @@ def nearest_prior(
 
     schema = StructType(list(current.schema.fields)).add("neighbours", LongType()).add("residuals", ArrayType(DoubleType()))
     schema = schema.add("median_residual", DoubleType()).add("terminal_probability", DoubleType())
-    return now.groupBy(place, "_span").cogroup(past.groupBy("_place", "_span")).applyInArrow(group, schema)
+    return now.groupBy("_group", "_span").cogroup(past.groupBy("_group", "_span")).applyInArrow(group, schema)

@@ -218,3 +218,24 @@ def test_nearest_prior_equals_brute_force(spark):
         assert (r.residuals or []) == best and r.neighbours == len(best)
         assert (r.terminal_probability is not None) == (len(best) >= 3)
     assert priors.nearest_prior(frame.limit(0), frame, "place", "day", scales, tie=["day"]).count() == 0
+
+
+def test_nearest_prior_measures_many_places_in_one_group(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(f"p{p}", day, h, rnd.choice([1.0, 2.0, None, 5.0]), float(rnd.randrange(9))) for p in range(60) for day in range(12) for h in (3, 4, 7)]
+    rows += [("big", day, h, float(rnd.randrange(40)), float(rnd.randrange(9))) for day in range(200) for h in (3, 4, 7)]
+    frame = spark.createDataFrame(rows, "place string, d int, hour int, x double, residual double").withColumn("day", F.date_from_unix_date("d"))
+    groups = frame.groupBy("place").count().count()
+    monkeypatch.setattr(priors, "GROUP_ROWS", 10_000)
+    out = priors.nearest_prior(frame, frame, "place", "day", {"x": 2.0}, tie=["day", "hour"], k=4, minimum=2)
+    tasks = out.withColumn("_t", F.spark_partition_id()).where("place <> 'big'").select("_t").distinct().count()
+    assert tasks == 1 and groups == 61
+    past = {}
+    for r in rows:
+        past.setdefault(r[0], []).append(r)
+    got = {(r.place, r.d, r.hour): (r.neighbours, sorted(r.residuals or [])) for r in out.collect()}
+    for place, day, hour, x, _ in rows:
+        far = sorted((float("inf") if x is None or b[3] is None else abs(x - b[3]) / 2.0, b[1], b[2], b[4]) for b in past[place] if b[1] < day and abs(b[2] - hour) <= 2)[:4]
+        assert got[place, day, hour] == (len(far), sorted(f[3] for f in far))
