@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.probability import SIGMA_FLOOR_WIDE
-from marketlens.operators.ordered import exact_quantiles
 from marketlens.operators.rolling import robust_z
 
 
@@ -77,24 +76,33 @@ def nowcast(anchors: DataFrame, trends: DataFrame, blends: DataFrame, key: str,
     )
 
 
-def activity_panel(today: DataFrame, baseline: DataFrame, key: str, metrics: Sequence[str], width: float = 1.0) -> DataFrame:
+def activity_panel(today: DataFrame, baseline: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
     """Each metric of today against its matched baseline days: mean, median, share at most, robust z.
 
-    One row per key today, one row per key and day in the baseline.
+    One row per key today, one row per key and day in the baseline: the values of a key are an array no longer than the calendar, met in one join.
     """
-    out = today.select(key, *metrics)
-    shares = baseline.join(today.select(key, *[F.col(m).alias(f"_t_{m}") for m in metrics]), key).groupBy(key).agg(
-        F.count(F.lit(1)).alias("baseline_days"), *[F.avg(m).alias(f"{m}_mean") for m in metrics],
-        *[(F.avg((F.col(m) <= F.col(f"_t_{m}")).cast("double")) * 100.0).alias(f"{m}_pct") for m in metrics],
+
+    def median(values: Column) -> Column:
+        place = (F.size(values) - 1) * F.lit(0.5)
+        low, high = F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    def at_most(values: Column, now: Column) -> Column:
+        return F.filter(values, lambda v: v <= now)
+
+    def gaps(values: Column, middle: Column) -> Column:
+        return F.transform(values, lambda v: F.abs(v - middle))
+
+    matched = baseline.groupBy(key).agg(
+        F.count(F.lit(1)).alias("baseline_days"), *[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.collect_list(m).alias(f"_{m}_days") for m in metrics]
     )
-    out = out.join(shares, key, "left")
+    out = today.select(key, *metrics).join(matched, key, "left")
     for m in metrics:
-        med = exact_quantiles(baseline, [key], m, {f"{m}_median": 0.5}, width)
-        gaps = baseline.join(med, key).select(key, F.abs(F.col(m) - F.col(f"{m}_median")).alias("_gap"))
-        mad = exact_quantiles(gaps, [key], "_gap", {f"_{m}_mad": 0.5}, width)
-        out = out.join(med, key, "left").join(mad, key, "left").withColumn(
-            f"{m}_z", robust_z(F.col(m), F.col(f"{m}_median"), F.col(f"_{m}_mad"))
-        ).drop(f"_{m}_mad")
+        days = F.col(f"_{m}_days")
+        out = out.withColumn(f"{m}_pct", F.when((F.size(days) > 0) & F.col(m).isNotNull(), F.size(at_most(days, F.col(m))) / F.size(days) * 100.0))
+        out = out.withColumn(f"{m}_median", F.when(F.size(days) > 0, median(F.array_sort(days))))
+        out = out.withColumn("_mad", median(F.array_sort(gaps(days, F.col(f"{m}_median")))))
+        out = out.withColumn(f"{m}_z", robust_z(F.col(m), F.col(f"{m}_median"), F.col("_mad"))).drop("_mad", f"_{m}_days")
     ranks = F.array_sort(F.filter(F.array(*[F.col(f"{m}_pct") for m in metrics]), lambda v: v.isNotNull()))
     n = F.size(ranks)
     middle = (F.get(ranks, F.floor((n - 1) / 2).cast("int")) + F.get(ranks, F.floor(n / 2).cast("int"))) / 2
