@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.bindings.books import SETTLED, fee_function, fills, market, results, settled, signals
@@ -20,6 +21,7 @@ from marketlens.operators.ordered import ordinal
 from marketlens.operators.signals import evaluated, unit_fee
 from marketlens.plans.case_replay import evaluate_cases, replay
 from marketlens.plans.causal_labels import label_books
+from marketlens.session import cut_lineage, tasks_for
 
 
 def tidy(df, *columns):
@@ -133,9 +135,8 @@ def legs(spark, d):
     """Lines of an order as ladder legs: a tail, buckets of one degree, a tail; some are spoiled."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     key = ["l_partkey", "l_suppkey", "l_linenumber"]
-    placed = ordinal(li, ["event_id"], key, "pos", None)  # an event has a handful of legs
-    size = li.groupBy("event_id").agg(F.count(F.lit(1)).alias("_size"))
-    out = placed.join(size, "event_id")
+    placed = ordinal(li.repartition(tasks_for(li.count()), "event_id"), ["event_id"], key, "pos", None)  # an event has a handful of legs
+    out = placed.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("event_id")))
     pos, q, disc = F.col("pos"), F.col("l_quantity"), F.col("l_discount")
     shape = F.when(pos == 1, "below").when(pos == F.col("_size"), "above").otherwise("bucket")
     base = pos.cast("double") + 60
@@ -166,8 +167,11 @@ proof AS (SELECT event_id, legs, CASE WHEN legs < 3 THEN 'TOO_FEW_LEGS' WHEN tk
 
 @query("ladder_proof", "E15 A22", f"WITH {LEGS} SELECT event_id, legs, reason FROM proof")
 def ladder_proof(spark, d):
-    rows = legs(spark, d)
-    return ladders.ladder_proof(rows, rows.select("event_id", "ticker").distinct())
+    return proven(spark, d, legs(spark, d))
+
+
+def proven(spark, d, rows):
+    return ladders.ladder_proof(rows, rows.select("event_id", "ticker").distinct(), tasks=tasks_for(table(spark, d, "lineitem").count()))
 
 
 def fee_text(p):
@@ -179,7 +183,7 @@ def fee_text(p):
 SELECT event_id, n AS n_legs, 'BASKET_YES' AS side, {six('1 - y')} AS edge FROM c WHERE round(1 - y, 9) >= 0.05 UNION ALL SELECT event_id, n, 'BASKET_NO', {six('n - 1 - o')} FROM c WHERE round(n - 1 - o, 9) >= 0.05""")
 def ladder_underround(spark, d):
     rows = legs(spark, d)
-    proof = ladders.ladder_proof(rows, rows.select("event_id", "ticker").distinct())
+    proof = proven(spark, d, rows)
     priced = rows.withColumns({"yes_fee": unit_fee(F.col("yes_ask")), "no_fee": unit_fee(F.col("no_ask"))})
     out = ladders.underround(priced, proof, 0.05 - 1e-9)
     return tidy(out.select("event_id", "n_legs", "side", "edge"), "edge")
@@ -196,7 +200,8 @@ def best_run(spark, d):
         F.col("l_discount").alias("fair"), F.col("l_tax").alias("cost"),
     )
     out = ladders.best_run(
-        rows, ["event"], ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], F.floor(F.col("l_extendedprice") / 1000), chunk=16
+        rows, ["event"], ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], F.floor(F.col("l_extendedprice") / 1000), chunk=16,
+        tasks=tasks_for(table(spark, d, "lineitem").count()),
     )
     return tidy(out, "edge")
 
@@ -278,10 +283,10 @@ SELECT station, baseline_days, cnt, top, {six('cm')} AS cnt_mean, {six('tm')} AS
  CASE WHEN ca <> 0 THEN {six('0.67448975::DOUBLE * (cnt - cd) / ca')} END AS cnt_z, CASE WHEN ta <> 0 THEN {six('0.67448975::DOUBLE * (top - td) / ta')} END AS top_z, {six('(cp + tp) / 2')} AS activity_pct
 FROM t LEFT JOIN s USING (station) LEFT JOIN g USING (station)""")
 def activity_panel(spark, d):
-    x = daily(spark, d).select("station", "day", F.col("n").cast("double").alias("cnt"), F.col("high").alias("top"))
+    x = cut_lineage(daily(spark, d).select("station", "day", F.col("n").cast("double").alias("cnt"), F.col("high").alias("top")))  # read three times
     last = x.groupBy("station").agg(F.max("day").alias("last"))
     x = x.join(last, "station")
-    out = fc.activity_panel(x.where(F.col("day") == F.col("last")), x.where(F.col("day") < F.col("last")), "station", ["cnt", "top"], width=20.0)
+    out = fc.activity_panel(x.where(F.col("day") == F.col("last")), x.where(F.col("day") < F.col("last")), "station", ["cnt", "top"])
     return tidy(out, *[c for c in out.columns if c not in ("station", "baseline_days", "cnt", "top")])
 
 

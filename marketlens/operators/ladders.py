@@ -29,12 +29,13 @@ def _bounds(domain: Column) -> dict[str, Column]:
     }
 
 
-def ladder_proof(legs: DataFrame, members: DataFrame) -> DataFrame:
+def ladder_proof(legs: DataFrame, members: DataFrame, *, tasks: int | None = None) -> DataFrame:
     """First reason why the legs of an event are not an exact partition, or EXACT_PARTITION.
 
     ``legs``: event_id, ticker, pos, shape, lower, upper, lower_inclusive, upper_inclusive, mapping_status,
     evidence and the basis fields. ``members``: event_id, ticker as the venue lists them. Every test
-    is an aggregate; adjacency compares each leg with the one before it, in one window per event: a ladder is short.
+    is an aggregate; adjacency compares each leg with the one before it, in one window per event: a ladder is short. The aggregates go over the rows as
+    the window leaves them, so the legs are shuffled once, or not at all if they come by event in as many ``tasks``, which share the members too.
     """
     domain = F.col("value_domain")
     b = _bounds(domain)
@@ -60,40 +61,38 @@ def ladder_proof(legs: DataFrame, members: DataFrame) -> DataFrame:
         F.when(~(finite[0] & finite[1]), "INVALID_BOUND").when(~F.coalesce(shaped, F.lit(False)), "INVALID_SHAPE_BOUNDS")
         .when((domain == "INTEGER") & fraction, "NONINTEGER_BOUND").when(empty, "EMPTY_OR_REVERSED_INTERVAL")
     )
-    leg = leg.withColumns({"_semantics": semantics, "_bounds": bounds})
+    leg = leg.withColumns({"_semantics": semantics, "_bounds": bounds, "_has": F.col("lo").isNotNull()})
+    leg = previous_row(leg, ["event_id"], ["_has", "lo", "pos"], {"_phi": "hi", "_pui": "ui", "_ppos": "pos"}, None)
+    open_tail = F.col("_phi").isNull() | F.col("lo").isNull()
+    apart = F.when(domain == "INTEGER", F.col("_phi") + 1 != F.col("lo")).otherwise(
+        (F.col("_phi") != F.col("lo")) | (F.col("_pui") == F.col("li"))
+    )
+    pair_reason = F.when(open_tail, "OVERLAPPING_TAILS").when(apart, "GAP_OR_OVERLAP")
+    leg = leg.withColumn("_pair", F.when(F.col("_ppos").isNotNull(), pair_reason))
 
     def first_reason(name: str) -> Column:
         return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("pos")))
 
     facts = leg.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("legs"), F.count_distinct("ticker").alias("_tickers"),
+        F.count(F.lit(1)).alias("legs"),
         F.max(_blank(F.col("ticker"))).alias("_no_ticker"), first_reason("_semantics").alias("_semantics"),
         first_reason("_bounds").alias("_bounds"), F.min("basis").alias("_basis"),
         (F.min("basis") != F.max("basis")).alias("_mixed"),
         *[F.count_if(F.col("shape") == s).alias(f"_{s}") for s in ("below", "above", "bucket")],
         F.max_by("hi", F.struct(F.col("lo").isNotNull(), "lo", "pos")).alias("_top_hi"),
         F.max(F.col("lo").isNull()).alias("_open_low"),
+        F.min_by("_pair", F.when(F.col("_pair").isNotNull(), F.struct("_has", "lo", "pos"))).alias("_pair"),
     )
-    listed = members.groupBy("event_id", "ticker").agg(F.count(F.lit(1)).alias("_times"))
-    seen = legs.select("event_id", "ticker").distinct().withColumn("_seen", F.lit(True))
-    membership = listed.join(seen, ["event_id", "ticker"], "full_outer").groupBy("event_id").agg(
-        F.max(
-            F.col("_times").isNull() | F.col("_seen").isNull() | (F.col("_times") > 1) | _blank(F.col("ticker"))
-        ).alias("_not_members")
-    )
-    placed = leg.select("event_id", "pos", "lo", "hi", "li", "ui", F.col("lo").isNotNull().alias("_has"), "value_domain")
-    pairs = previous_row(
-        placed, ["event_id"], ["_has", "lo", "pos"], {"_phi": "hi", "_pui": "ui", "_ppos": "pos"}, None
-    ).where(F.col("_ppos").isNotNull())
-    open_tail = F.col("_phi").isNull() | F.col("lo").isNull()
-    apart = F.when(domain == "INTEGER", F.col("_phi") + 1 != F.col("lo")).otherwise(
-        (F.col("_phi") != F.col("lo")) | (F.col("_pui") == F.col("li"))
+    listed = members.select("event_id", "ticker", F.lit(1).alias("_listed"), F.lit(0).alias("_seen"))
+    seen = legs.select("event_id", "ticker", F.lit(0).alias("_listed"), F.lit(1).alias("_seen"))
+    both = listed.union(seen)
+    if tasks:
+        both = both.repartition(tasks, "event_id")
+    membership = both.groupBy("event_id", "ticker").agg(F.sum("_listed").alias("_times"), F.sum("_seen").alias("_seen")).groupBy("event_id").agg(
+        F.max((F.col("_times") != 1) | (F.col("_seen") == 0) | _blank(F.col("ticker"))).alias("_not_members"),
+        F.count_if((F.col("_seen") > 0) & F.col("ticker").isNotNull()).alias("_tickers"),
     )
-    pair_reason = F.when(open_tail, "OVERLAPPING_TAILS").when(apart, "GAP_OR_OVERLAP")
-    adjacency = pairs.withColumn("_pair", pair_reason).groupBy("event_id").agg(
-        F.min_by("_pair", F.when(F.col("_pair").isNotNull(), F.struct("_has", "lo", "pos"))).alias("_pair")
-    )
-    table = facts.join(membership, "event_id", "left").join(adjacency, "event_id", "left")
+    table = facts.join(membership, "event_id", "left")
     supported = F.lit(False)
     for name, rounding in DOMAINS.items():
         supported = supported | ((F.col("_basis.value_domain") == name) & (F.col("_basis.rounding") == rounding))
@@ -144,33 +143,31 @@ def underround(legs: DataFrame, proof: DataFrame, minimum_edge: float) -> DataFr
 
 def best_run(
     legs: DataFrame, event: Sequence[str], order: Sequence[str], block: Column, *, fair: str = "fair", cost: str = "cost",
-    max_legs: int = 6, minimum_edge: float = 0.02, chunk: int = 4096,
+    max_legs: int = 6, minimum_edge: float = 0.02, chunk: int = 4096, tasks: int | None = None,
 ) -> DataFrame:
     """The contiguous legs with the greatest fair minus cost, earliest and shortest on ties.
 
     Legs get their exact position in two levels, positions are cut into chunks, and the first legs of
-    a chunk are copied to the chunk before it, so every run of ``max_legs`` lies inside one chunk.
+    a chunk are copied to the chunk before it, so every run of ``max_legs`` lies inside one chunk. ``tasks`` share blocks and chunks; a leg gives
+    its best run only, in the order of its chunk, so nothing is sorted again.
     """
     event = list(event)
-    placed = ordinal(legs, event, order, "_pos", block)
+    placed = ordinal(legs, event, order, "_pos", block, tasks=tasks)
     own = F.floor((F.col("_pos") - 1) / chunk)
     edge_of_chunk = ((F.col("_pos") - 1) % chunk < max_legs - 1) & (own > 0)
     copied = placed.withColumn(
         "_chunk", F.explode(F.when(edge_of_chunk, F.array(own, own - 1)).otherwise(F.array(own)))
     ).withColumn("_mine", F.col("_chunk") == own)
+    if tasks:
+        copied = copied.repartition(tasks, *event, "_chunk")
     runs = []
     for k in range(max_legs):
         w = Window.partitionBy(*event, "_chunk").orderBy("_pos").rowsBetween(0, k)
         whole = F.count(F.lit(1)).over(w) == k + 1
         gain = F.round(F.sum(fair).over(w) - F.sum(cost).over(w), 9)
-        runs.append(F.when(whole, F.struct(gain.alias("edge"), F.lit(k + 1).alias("run_legs"))))
-    measured = copied.select(*event, "_pos", "_mine", F.array(*runs).alias("_runs")).where(F.col("_mine"))
-    candidates = measured.select(*event, "_pos", F.explode("_runs").alias("_r")).where(F.col("_r").isNotNull())
-    best = candidates.groupBy(*event).agg(
-        F.max(
-            F.struct(F.col("_r.edge").alias("edge"), (-F.col("_pos")).alias("p"), (-F.col("_r.run_legs")).alias("l"))
-        ).alias("_b")
-    )
+        runs.append(F.when(whole, F.struct(gain.alias("edge"), (-F.col("_pos")).alias("p"), F.lit(-k - 1).alias("l"))))
+    measured = copied.select(*event, "_mine", F.array_max(F.array(*runs)).alias("_r")).where(F.col("_mine"))
+    best = measured.groupBy(*event).agg(F.max("_r").alias("_b"))
     return best.select(
         *event, F.col("_b.edge").alias("edge"), (-F.col("_b.p")).alias("first_leg"), (-F.col("_b.l")).cast("bigint").alias("run_legs")
     ).where(F.col("edge") >= minimum_edge)

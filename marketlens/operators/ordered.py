@@ -67,13 +67,14 @@ def running(
     *,
     descending: bool = False,
     current: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add running aggregates from the first row of each key up to the current row.
 
     ``aggs`` maps a new column to ``(kind, expression)`` with kind sum, max, min, last or first
     (the last two skip nulls). ``block`` must not decrease along ``order``. With ``current=False``
     the current row is left out. ``block=None`` uses one plain window, for keys whose group is
-    bounded by nature (levels of one book, dates of one place).
+    bounded by nature (levels of one book, dates of one place). ``tasks`` names the tasks that share the blocks.
     """
     keys = list(keys)
     end = Window.currentRow if current else -1
@@ -86,6 +87,8 @@ def running(
         return df.select("*", *[_local(k, e, whole).alias(n) for n, (k, e) in aggs.items()])
 
     sliced = df.withColumn(BLOCK, block)
+    if tasks:
+        sliced = sliced.repartition(tasks, *keys, BLOCK)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*ordered(order)).rowsBetween(Window.unboundedPreceding, end)
     local = sliced.select("*", *[_local(k, e, inside).alias(f"_in_{n}") for n, (k, e) in aggs.items()])
     totals = sliced.groupBy(*keys, BLOCK).agg(
@@ -100,9 +103,9 @@ def running(
     return joined.select(*df.columns, *[c.alias(n) for n, c in results.items()])
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, block: Column | None) -> DataFrame:
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, block: Column | None, *, tasks: int | None = None) -> DataFrame:
     """Exact 1-based position of each row within its key."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, block)
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, block, tasks=tasks)
 
 
 def previous_row(

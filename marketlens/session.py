@@ -51,3 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that one task is to sort.
+ROWS_PER_TASK = 100_000
+
+
+def tasks_for(rows: int) -> int:
+    """Partitions for a shuffle of so many rows, so that what one task holds does not grow with the table."""
+    return max(1, -(-rows // ROWS_PER_TASK))

@@ -327,3 +327,56 @@ def test_empty_source_is_an_error(spark):
 
     with pytest.raises(NoData):
         require_rows(spark.range(0), "observations")
+
+
+def test_activity_panel_meets_its_baseline_once(spark):
+    import random
+    from statistics import mean, median
+
+    from marketlens.operators.forecasts import activity_panel
+
+    rnd = random.Random(5)
+    base = [(k, rnd.choice([None, 1.0, 2.0, 4.0, 9.0]), float(rnd.randrange(50))) for k in range(6) for _ in range(k)] + [(9, None, 1.0)]
+    now = [(k, rnd.choice([1.0, 3.0, 9.0]), None if k == 4 else 20.0) for k in range(7)] + [(9, 2.0, 2.0)]
+    out = activity_panel(spark.createDataFrame(now, "k long, a double, b double"), spark.createDataFrame(base, "k long, a double, b double"), "k", ["a", "b"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    for r in out.collect():
+        for name, at in (("a", 1), ("b", 2)):
+            seen, value = [x[at] for x in base if x[0] == r.k and x[at] is not None], r[name]
+            mid = median(seen) if seen else None
+            assert r[f"{name}_median"] == mid and r[f"{name}_mean"] == (pytest.approx(mean(seen)) if seen else None)
+            assert r[f"{name}_pct"] == (pytest.approx(100 * sum(x <= value for x in seen) / len(seen)) if seen and value is not None else None)
+            mad = median(abs(x - mid) for x in seen) if seen else None
+            assert r[f"{name}_z"] == (pytest.approx(0.67448975 * (value - mid) / mad) if mad and value is not None else None)
+
+
+def test_best_run_sorts_once_and_spreads_over_its_tasks(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = [(e, i, rnd.randrange(9) / 10, rnd.randrange(9) / 10) for e in range(5) for i in range(60)]
+    frame = spark.createDataFrame(rows, "event long, i long, fair double, cost double")
+    out = ladders.best_run(frame, ["event"], ["i"], F.floor(F.col("i") / 10), chunk=8, tasks=7)
+    assert "_runs" not in out._jdf.queryExecution().optimizedPlan().toString()
+    best = {}
+    for e in range(5):
+        legs = [(round(f - c, 9)) for x, _, f, c in rows if x == e]
+        runs = [(-round(sum(legs[a : a + n]), 9), a + 1, n) for a in range(60) for n in range(1, 7) if a + n <= 60]
+        best[e] = min(runs)
+    assert {r.event: (-round(r.edge, 9), r.first_leg, r.run_legs) for r in out.collect()} == best
+
+
+def test_ladder_proof_counts_tickers_without_another_pass(spark):
+    names = ("event_id string, ticker string, pos int, shape string, lower double, upper double, lower_inclusive boolean, upper_inclusive boolean, mapping_status string, evidence string, "
+             "source string, station string, date string, measurement string, window string, unit string, rounding string, value_domain string")
+    tail = (True, True, "EXACT", "rules", "NWS", "KNYC", "2026-01-01", "HIGH", "LST", "F", "WHOLE_DEGREE", "INTEGER")
+    shapes = [("below", None, 60.0), ("bucket", 61.0, 62.0), ("above", 63.0, None)]
+    tickers = {"ok": "abc", "twice": "aab", "none": ["a", "b", None], "short": "ab", "unlisted": "abc", "more": "abc"}
+    legs = spark.createDataFrame([(e, t, i, *shapes[i], *tail) for e, ts_ in tickers.items() for i, t in enumerate(ts_)], names)
+    listed = [(e, t) for e, ts_ in tickers.items() for t in sorted({x or "" for x in ts_}) if e != "unlisted"] + [("more", "d")]
+    for tasks in (None, 5):
+        out = ladders.ladder_proof(legs, spark.createDataFrame(listed, "event_id string, ticker string"), tasks=tasks)
+        assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert {r.event_id: (r.legs, r.reason) for r in out.collect()} == {
+            "ok": (3, "EXACT_PARTITION"), "twice": (3, "DUPLICATE_OR_MISSING_CONTRACT"), "none": (3, "DUPLICATE_OR_MISSING_CONTRACT"), "short": (2, "TOO_FEW_LEGS"),
+            "unlisted": (3, "CANONICAL_MEMBERSHIP_INCOMPLETE"), "more": (3, "CANONICAL_MEMBERSHIP_INCOMPLETE")}
