@@ -7,10 +7,12 @@ the earliest of each; if a coordinate stays empty the rank doubles. Two document
 probability of their weighted Jaccard similarity, at the cost of the darts, not of k hashes per element.
 
 Documents of equal words are one node. Bands of coordinates are joined: in the first bands the nodes of a key are compared
-with one pivot, the node that shares keys with most others, which connects most of a group of copies at once. Then, in all bands, only keys whose nodes
-are still in several components go on, with one pivot, then the next ones, more each round, each compared with the nodes of
-other components; so a round is linear in its nodes and in the end every pair of a key is either compared or connected
-already. Pairs are verified on their cells by exact
+with one pivot, the node that shares keys with most others, which connects most of a group of copies at once. Then, in all bands, the nodes of a
+key that lies in several components are compared with its pivot, the centre. What is left of such keys is compared by differences: what a node and the centre
+do not share. Two nodes have as many cells in only one of them as their differences have, so those of different components are similar only if their differences
+share at least half of what these are larger than similarity allows; cells that no other component has count for none. Each node
+therefore names the rarest of its shared differences, as many as must hold one common cell, and only nodes that meet there and still can share enough are compared. So in the
+end every pair of a key is either compared, connected already or proved to be no link. Pairs are verified on their cells by exact
 weighted Jaccard similarity, verified pairs are links, and linked nodes are one class, found by label propagation with
 pointer jumping over stored tables.
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import staged, text_key, whole_text
@@ -35,8 +37,10 @@ from marketlens.llm.wordhash import U, blocks, mix, words_of
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
 COORDINATES = BANDS * ROWS
-#: Bands of the first round, and the factor by which later rounds take more pivots.
-FIRST_BANDS, PIVOTS = 3, 4
+#: Bands of the first round.
+FIRST_BANDS = 3
+#: Bounds are loosened by this much, so that rounding loses no pair.
+SLACK = 1e-6
 
 
 def cells_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +157,48 @@ def _open(labelled: DataFrame) -> DataFrame:
     return labelled.join(several, "band", "left_semi")
 
 
+def _more(links: DataFrame, found: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links with those among the pairs, and the components of all."""
+    more = staged(_verified(pairs, sets, similarity), "pairs")
+    if more.isEmpty():
+        return links, found
+    links = links.unionByName(more)
+    return links, components(links)
+
+
+def _pivots(rows: DataFrame, name: str) -> DataFrame:
+    """band, and the most popular node of each."""
+    return rows.groupBy("band").agg(F.min(F.struct("far", "node")).alias("p")).select("band", F.col("p.node").alias(name))
+
+
+def _meeting(homes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes with a common centre and different labels, none missing that has the similarity.
+
+    ``homes`` has distinct (centre, node, label); of two nodes with different labels one at least is not similar to the centre.
+    """
+    odd = (1 - similarity) / (1 + similarity)  # cells in one of two similar nodes only, as a share of the cells of both
+    cells = homes.join(sets.select("node", F.col("cells").alias("_x")), "node").join(sets.select(F.col("node").alias("centre"), F.col("cells").alias("_c")), "centre")
+    apart = F.concat(F.array_except("_x", "_c"), F.array_except("_c", "_x"))
+    apart = staged(cells.select("centre", "node", "label", apart.alias("apart"), (F.size(apart) - odd * F.size("_x")).alias("excess")), "apart")
+    lows = apart.groupBy("centre", "label").agg(F.min("excess").alias("low"))
+    lowest = lows.groupBy("centre").agg(F.min(F.struct("low", "label")).alias("l"))
+    others = lows.join(lowest, "centre").filter(F.col("label") != F.col("l.label")).groupBy("centre").agg(F.min("low").alias("other"), F.first("l").alias("l"))
+    single = apart.select("centre", "node", "label", "excess", F.explode("apart").alias("cell"))
+    shared = single.groupBy("centre", "cell").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.count(F.lit(1)).alias("n")).filter("_l != _m")
+    rarest = F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("rarest")
+    nodes = single.join(shared.select("centre", "cell", "n"), ["centre", "cell"]).groupBy("centre", "node").agg(F.first("label").alias("label"), F.first("excess").alias("excess"), rarest)
+    partner = F.when(F.col("label") == F.col("l.label"), F.col("other")).otherwise(F.col("l.low"))
+    need = F.greatest(F.ceil((F.col("excess") + partner) / 2 - SLACK), F.lit(1))
+    nodes = nodes.join(others, "centre").select("centre", "node", "label", "excess", "rarest", F.size("rarest").alias("n"), need.cast("int").alias("need")).filter("n >= need")
+    named = nodes.select("centre", "node", "label", "excess", "n", F.posexplode(F.slice("rarest", F.lit(1), F.col("n") - F.col("need") + 1)).alias("at", "c"))
+    named = staged(named.select("centre", F.col("c.cell").alias("cell"), "node", "label", "excess", "n", "at"), "differences")
+    mine = [F.col(c).alias("_" + c) for c in ("node", "label", "excess", "n", "at")]
+    most = F.least("at", "_at") + 1 + F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) - 1
+    enough = F.least("n", "_n", most) >= (F.col("excess") + F.col("_excess")) / 2 - SLACK
+    met = named.join(named.select("centre", "cell", *mine), ["centre", "cell"]).filter((F.col("node") > F.col("_node")) & (F.col("label") != F.col("_label")) & enough)
+    return met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, key, class_id, class_size, kept, and twin (repeats the row that stays)."""
     rows = docs.select("doc_id", text_key().alias("key"), whole_text().alias("text"))
@@ -171,20 +217,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = rows.join(spokes, rows["doc_id"].eqNullSafe(spokes["_i"]) & (rows["key"] == spokes["_k"])).select("node", "text")
     sets = staged(texts.mapInArrow(_celled, "node binary, cells array<long>").dropDuplicates(["node"]), "cells")
     first = members.filter(F.col("place") < FIRST_BANDS)
-    pivot = first.groupBy("band").agg(F.min(F.struct("far", "node")).alias("p")).select("band", F.col("p.node").alias("b"))
-    links = staged(_verified(first.join(pivot, "band").filter("node != b").select(F.col("node").alias("a"), "b").distinct(), sets, similarity), "pairs")
+    pairs = first.join(_pivots(first, "b"), "band").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    links = staged(_verified(pairs, sets, similarity), "pairs")
     found = components(links)
-    order = F.row_number().over(Window.partitionBy("band").orderBy("far", "node"))
-    ranked = staged(_open(_labelled(members, found)).select("band", "node", order.alias("rank")), "bands")
-    done, pivots = 0, 1
-    while not (left := staged(_open(_labelled(ranked.filter(F.col("rank") > done), found)), "open")).isEmpty():
-        chosen = left.filter(F.col("rank") <= done + pivots).select("band", F.col("node").alias("b"), F.col("rank").alias("_r"), F.col("label").alias("_l"))
-        pairs = left.join(chosen, "band").filter("rank > _r and label != _l").select(F.col("node").alias("a"), "b").distinct()
-        more = staged(_verified(pairs, sets, similarity), "pairs")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        done, pivots = done + pivots, pivots * PIVOTS
+    left = staged(_open(_labelled(members, found)).select("band", "node", "far", "label"), "open")
+    centred = left.join(_pivots(left, "centre"), "band")
+    labels = left.select(F.col("node").alias("centre"), F.col("label").alias("_l")).distinct()
+    spokes = centred.filter("node != centre").select("band", "centre", "node")
+    pairs = centred.join(labels, "centre").filter("label != _l").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    links, found = _more(links, found, pairs, sets, similarity)
+    homes = staged(_open(_labelled(spokes, found)).select("centre", "node", "label").distinct(), "homes")
+    links, found = _more(links, found, _meeting(homes, sets, similarity), sets, similarity)
     named = signed.select("doc_id", "key", "node", F.monotonically_increasing_id().alias("row")).join(found, "node", "left")
     named = staged(named.select("doc_id", "key", "row", F.coalesce("label", "node").alias("label")), "classes")
     stay = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "key")).alias("s"), F.count(F.lit(1)).alias("class_size"))

@@ -448,6 +448,25 @@ def test_near_dedup_of_a_chain_and_odd_rows(spark, odd, none):
     assert near_dedup.classes(none).count() == 0 and near_dedup.drop_near_copies(none).count() == 0
 
 
+def test_near_dedup_compares_a_family_without_all_its_pairs(spark, monkeypatch):
+    base, pick, texts = prose(33, 200).split(), random.Random(34), []
+    for n in range(240):
+        text = list(base)
+        for at in sorted(pick.sample(range(5, 195), 2 + n % 6), reverse=True):
+            text[at : at + 1] = [f"x{pick.randrange(400)}"] if pick.random() < 0.8 else []
+        texts.append(" ".join(text))
+        if n % 6 == 5 and n % 4 == 1:  # linked to a copy that is not similar to the base
+            at = pick.randrange(20, 180)
+            texts.append(" ".join([*text[:at], "y", *text[at + 1 :]]))
+    rows, compared, verified = list(enumerate(texts)), [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    got = {r["doc_id"]: r["class_id"] for r in collected(near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")))}
+    want = brute_classes(texts)
+    assert [got[i] for i, _ in rows] == want
+    assert len(set(want)) > 20 and collections.Counter(collections.Counter(want).values())[2] > 5
+    assert sum(compared) < 20 * len(rows)  # all pairs: 33670
+
+
 # packing
 
 
