@@ -1,6 +1,6 @@
 """Packing by lexical retrieval.
 
-Documents are tokenised once and stored. The BM25 statistics, document frequency of each token, number and mean length
+Documents are tokenised once, a block of texts at a time and each distinct piece once, and stored. The BM25 statistics, document frequency of each token, number and mean length
 of documents, are taken over the whole corpus; they are as many numbers as the vocabulary has entries. Each document is
 routed by its rarest token that another document has too, so documents with rare words in common meet; the routes, in
 order, are cut into index shards of about ``SHARD_TOKENS`` tokens, and a route that is larger than a shard is spread over
@@ -15,22 +15,34 @@ smaller doc_id; an empty table gives an empty result; further columns are ignore
 
 from __future__ import annotations
 
+import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from marketlens.llm.bpe import Bpe, Generations, byte_symbols
+from marketlens.llm.bpe import Bpe, byte_symbols
 from marketlens.llm.common import staged, text_key, whole_text
 
 WINDOW, END, SHARD_TOKENS = 2048, 1, 4_000_000
-#: Chunks whose ids a worker keeps, twice over.
-KEPT_CHUNKS = 600_000
+#: Bytes of text that are tokenised together, and pieces that the library is given at a time.
+BLOCK, CALL = 8 << 20, 1000
+#: Units whose ids a worker keeps, twice over, and the most bytes of one.
+KEPT_UNITS, KEPT_BYTES = 500_000, 64
+#: Kinds of bytes; one of the last two is a unit by itself. A chunk with a byte of the kind WHOLE is cut by the file's pattern. No text in UTF-8 holds STOPS.
+SPACE, LETTER, SIGN, WHOLE, DIGIT, STOP = range(6)
+STOPS = b"\xff"
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
 #: A token in one of so many documents of a shard has a row with a weight (four bytes) for each of them.
@@ -43,50 +55,119 @@ ID = np.dtype("<u2")
 
 
 class LibraryBpe(Bpe):
-    """Pieces are tokenised by the library's own model; ids are kept as bytes, 16 bits each."""
+    """Pieces are tokenised by the library's own model, each distinct one of a block of texts once; ids are kept as bytes, 16 bits each."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.model = Tokenizer.from_file(path).model
-        self.symbols = byte_symbols()
         if max(self.strings) >= 1 << 16:
             raise ValueError("ids are stored in 16 bits")
-        self.coded = np.arange(1 << 16).astype(ID).tobytes()
+        self.library = Tokenizer(Tokenizer.from_file(path).model)
+        self.library.pre_tokenizer = CharDelimiterSplit("\n")
+        self.last_of_piece = np.zeros(1 << 16, bool)  # pieces hold letters, a digit or signs, so no other id ends in the suffix
+        self.last_of_piece[[i for i, s in self.strings.items() if s.endswith(self.library.model.end_of_word_suffix)]] = True
+        self.symbols = {b: s for b, s in byte_symbols().items() if b != ord("\n")}
+        self.fixed = {s.encode(): np.array([i], ID).tobytes() for s, i in self.special.items()} | {STOPS: np.array([END], ID).tobytes()}
+        self.kept, self.older = dict(self.fixed), {}
+        whole = "'" + "".join(sorted({s[0] for s in self.special}))
+        self.kind = np.full(256, SIGN, np.uint8)
+        for kind, some in ((SPACE, b"\t\n\v\f\r "), (LETTER, string.ascii_letters.encode()), (WHOLE, whole.encode() + bytes(range(128, 255))), (DIGIT, string.digits.encode()), (STOP, STOPS)):
+            self.kind[list(some)] = kind
+        self.odd = re.compile(b"[\x80-\xfe" + re.escape(whole.encode()) + b"]")
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text."""
+        return self.texts([text.encode()])[0].as_py()[: -ID.itemsize]
+
+    def tokenised(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece."""
+        made = []
+        for n in range(0, len(pieces), CALL):
+            some = pieces[n : n + CALL]
+            got = self.library.encode_batch_fast([b"\n".join(some).decode("latin-1").translate(self.symbols)])[0]
+            ids = np.array(got.ids, ID)
+            ends, ids = (np.flatnonzero(self.last_of_piece[ids]) + 1) * ID.itemsize, ids.tobytes()
+            made += [ids[a:b] for a, b in pairwise([0, *ends.tolist()])]
+        return made
+
+    def cut_unit(self, unit: bytes) -> list[bytes]:
+        """Pieces and special tokens of a chunk."""
+        text = unit.decode()
+        chunks = [text] if text.rstrip(",.").isalpha() else self.split(text)
+        return [p.encode() for c in chunks for p in ([c] if c in self.special else self.cut_chunk(c))]
+
+    def units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of each unit: a piece, or a chunk that is yet to be cut. Those of earlier blocks are kept."""
+        made = list(map(self.kept.get, units))
+        missing = [n for n, ids in enumerate(made) if ids is None]
+        if len(self.kept) + len(missing) > KEPT_UNITS:
+            self.kept, self.older = dict(self.fixed), self.kept
+        new = [units[n] for n in missing]
+        known = {u: self.older[u] for u in new if u in self.older}
+        cut = {u: self.cut_unit(u) if self.odd.search(u) else [u] for u in new if u not in known}
+        pieces = list(set().union(*cut.values()).difference(self.fixed))
+        ids_of = self.fixed | dict(zip(pieces, self.tokenised(pieces), strict=True))
+        known |= {u: b"".join([ids_of[p] for p in some]) for u, some in cut.items()}
+        for n, u in zip(missing, new, strict=True):
+            made[n] = known[u]
+        self.kept.update([(u, ids) for u, ids in known.items() if len(u) <= KEPT_BYTES])
+        return made
+
+    def texts(self, texts: list[bytes]) -> pa.Array:
+        """Ids of each text, the end token last. Chunks of plain ASCII are cut into pieces on the bytes of all texts; others are cut once each."""
+        data = np.frombuffer(STOPS.join([*texts, b""]), np.uint8)
+        kind = self.kind[data]
+        at = np.flatnonzero((np.append(True, kind[1:] != kind[:-1]) | (kind >= DIGIT)) & (kind != SPACE))
+        own, before = kind[at], kind[at - 1]
+        opens = (before == SPACE) | (before == STOP) | (own == STOP)
+        whole = np.logical_or.reduceat(own == WHOLE, np.flatnonzero(opens))[np.cumsum(opens) - 1]
+        stays = opens | ~whole
+        at, whole = at[stays], whole[stays]
+        filled = kind != SPACE
+        begin = at - np.cumsum(~filled, dtype=np.int32)[at]
+        data = data[filled]
+        data = np.where(np.repeat(whole, np.diff(begin, append=len(data))), data, LOWER[data])
+        units = _binary(np.append(begin, len(data)), data).dictionary_encode()
+        ids = pa.array(self.units(_listed(units.dictionary)), pa.binary()).take(units.indices)
+        offsets = np.frombuffer(ids.buffers()[1], np.int32)
+        return _binary(np.append(0, offsets[np.flatnonzero(kind[at] == STOP) + 1]), ids.buffers()[2])
+
+
+def _binary(offsets: np.ndarray, data: np.ndarray | pa.Buffer) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _listed(values: pa.Array) -> list[bytes]:
+    """What to_pylist returns for an array of ``_binary`` or of its dictionary."""
+    _, offsets, data = values.buffers()
+    data = data.to_pybytes()
+    return [data[a:b] for a, b in pairwise(np.frombuffer(offsets, np.int32)[: len(values) + 1].tolist())]
 
-    def _code(self, i: int) -> bytes:
-        return self.coded[2 * i : 2 * i + 2]
 
-    def _merged(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() and piece.isprintable() else "".join([self.symbols[b] for b in piece.encode("utf-8")])
-        return b"".join([self._code(t.id) for t in self.model.tokenize(shown)])
-
-    def packed(self, chunk: str) -> bytes:
-        """Ids of what ``split`` gives."""
-        special = self.special.get(chunk)
-        return b"".join([self.pieces[p] for p in self.cut_chunk(chunk)]) if special is None else self._code(special)
+@lru_cache(maxsize=4)
+def coder(path: str) -> LibraryBpe:
+    """One per worker process, which is a core's: the library starts no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryBpe(path)
 
 
-@lru_cache(maxsize=4)
-def coder(path: str) -> tuple[LibraryBpe, Generations]:
-    """One per worker process: the ids of a chunk as bytes."""
-    bpe = LibraryBpe(path)
-    return bpe, Generations(bpe.packed, KEPT_CHUNKS)
+def _blocks(sizes: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``most`` bytes, or one row and so many."""
+    number = np.cumsum(sizes, dtype=np.int64) // most
+    if len(sizes):
+        yield from pairwise([0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)])
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """Stored: doc_id, key, u in [0, 1), ids (16 bits each, the end token last), terms (the distinct ids)."""
-    end = np.array([END], ID).tobytes()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = coder(path)
+        bpe = coder(path)
         for batch in rows:
-            ids, terms = [], []
-            for text in batch.column("text"):
-                got = b"".join(map(cache.__getitem__, bpe.split(text.as_py()))) + end
-                ids.append(got)
-                terms.append(_distinct(np.frombuffer(got, ID))[0].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("u"), pa.array(ids, pa.binary()), pa.array(terms, pa.binary())],
-                                             ["doc_id", "key", "u", "ids", "terms"])
+            for begin, end in _blocks(pc.binary_length(batch.column("text")).to_numpy()):
+                some = batch.slice(begin, end - begin)
+                ids = bpe.texts(some.column("text").cast(pa.large_binary()).to_pylist())
+                terms = [x.astype(ID).tobytes() for x in _counted([np.frombuffer(x, ID) for x in _listed(ids)])[0]]
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in ("doc_id", "key", "u")], ids, pa.array(terms, pa.binary())], ["doc_id", "key", "u", "ids", "terms"])
 
     part = (F.shiftrightunsigned(F.xxhash64("doc_id", text_key(), F.lit(3)), 11) * F.lit(2.0**-53)).alias("u")
     rows = docs.select("doc_id", text_key().alias("key"), part, whole_text().alias("text"))
@@ -118,23 +199,32 @@ def _routes(terms: list[bytes], frequency: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids in order, and how often each occurs."""
-    ordered = np.sort(ids)
-    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[at], np.diff(np.append(at, len(ordered)))
+def _counted(ids: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each document the distinct ids in order, and how often each occurs."""
+    seen, place = np.zeros(1 << 16, bool), np.empty(1 << 16, np.int64)
+    for x in ids:
+        seen[x] = True
+    present = np.flatnonzero(seen)
+    place[present] = np.arange(len(present))
+    terms, counts = [], []
+    for x in ids:
+        times = np.bincount(place[x], minlength=len(present))
+        at = np.flatnonzero(times)
+        terms.append(present[at])
+        counts.append(times[at])
+    return terms, counts
 
 
 class Index:
     """BM25 weights of the documents of one shard, by document and by token; ``names`` are the documents still in it, in order."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        pairs = [_distinct(x) for x in ids]
-        n = np.array([len(t) for t, _ in pairs])
+        terms, counts = _counted(ids)
+        n = np.array([len(t) for t in terms])
         self.first = np.append(0, np.cumsum(n))
-        self.terms = np.concatenate([t for t, _ in pairs]).astype(np.int64)
+        self.terms = np.concatenate(terms)
         doc = np.repeat(np.arange(len(ids)), n)
-        tf = np.concatenate([c for _, c in pairs]).astype(np.float64)
+        tf = np.concatenate(counts).astype(np.float64)
         size = np.array([len(x) for x in ids], float)[doc]
         weight = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
         frequent = np.flatnonzero(np.bincount(self.terms, minlength=len(idf)) * FREQUENT >= max(len(ids), FREQUENT))

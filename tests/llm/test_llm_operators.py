@@ -504,6 +504,34 @@ def test_packing(spark, sf_dir, docs, odd, none):
     assert packing.pack(none, PATH).count() == 0
 
 
+def test_packing_asks_the_library_once_for_a_piece(docs, monkeypatch):
+    own, library, asked = packing.LibraryBpe(PATH), Tokenizer.from_file(PATH), []
+    monkeypatch.setattr(own, "tokenised", lambda pieces: asked.extend(pieces) or packing.LibraryBpe.tokenised(own, pieces))
+    pick = random.Random(7)
+    parts = [*ODD_TEXTS, "Word", "word,", "W\u00f6rd!", "H\u0331", "o\u0308", "\u2014", "'", "'s", "<|", "|>", " ", "\n", "\x1c", "\x00", "\x7f", "7", "\u1e9e", "\u0130", "\u4e2d", "\U0001f600", "a" * 5000]
+    texts = [*parts, *["".join(pick.choice(parts) for _ in range(12)) for _ in range(300)], *[r["text"] or "" for r in docs[:40]]]
+    want = [[*library.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+
+    def got():
+        return [np.frombuffer(x, packing.ID).tolist() for x in own.texts([t.encode() for t in texts]).to_pylist()]
+
+    assert got() == want and len(asked) == len(set(asked)) > 100
+    known, again = set(asked), "the Word, the w\u00f6rd; a7b the".encode()
+    own.texts([again])
+    asked.clear()
+    assert own.texts([again, b"", again]).to_pylist()[::2] == [own.texts([again])[0].as_py()] * 2 and not asked
+    assert got() == want and known.issuperset(asked) and len(asked) < len(known) / 2
+    monkeypatch.setattr(packing, "KEPT_UNITS", 50)
+    own.kept.clear()
+    own.kept.update(own.fixed)
+    assert got() == want and got() == want
+
+
+def test_blocks_of_texts():
+    assert list(packing._blocks(np.array([3, 9, 1, 1, 40, 0, 2]), 10)) == [(0, 1), (1, 4), (4, 7)]
+    assert list(packing._blocks(np.array([5]), 10)) == [(0, 1)]
+
+
 def test_index_ranks_by_bm25():
     ids = [np.array(x, packing.ID) for x in ([5, 6, 7, 1], [5, 6, 9, 1], [8, 8, 1], [5, 1], [6, 7, 7, 5, 1])]
     n, mean = len(ids), np.mean([len(x) for x in ids])
