@@ -1,8 +1,8 @@
 """Packing by lexical retrieval.
 
-Documents are tokenised once, a block of texts at a time and each distinct piece once, and stored. The BM25 statistics, document frequency of each token, number and mean length
-of documents, are taken over the whole corpus; they are as many numbers as the vocabulary has entries. Each document is
-routed by its rarest token that another document has too, so documents with rare words in common meet; the routes, in
+Documents are tokenised once, a block of texts at a time and each new piece of a block once, and stored. The BM25
+statistics, document frequency of each token, number and mean length of documents, are taken over the whole corpus;
+they are as many numbers as the vocabulary has entries. Each document is routed by its rarest token that another document has too, so documents with rare words in common meet; the routes, in
 order, are cut into index shards of about ``SHARD_TOKENS`` tokens, and a route that is larger than a shard is spread over
 several by a hash, so no task holds more than a shard. In a shard an inverted index of BM25 weights returns, for the
 document that opens a window, its best unused neighbours, which fill the window greedily; the one that no longer fits is
